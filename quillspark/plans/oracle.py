@@ -120,3 +120,112 @@ FROM pc {('GROUP BY ' + k) if keys else ''}
 
 def with_sentences(*ctes: str) -> str:
     return "WITH " + SENTENCES_CTE + "".join(ctes)
+
+
+def values_sql(rows: list[tuple], cols: str) -> str:
+    """Inline VALUES for a small fixture dictionary."""
+    def lit(v):
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        return str(v)
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"(VALUES {body}) t({cols})"
+
+
+EMAIL = f"{N}*@{N}*{W}?"
+
+
+def norm_sql(x: str) -> str:
+    """T7 -> T8 -> T9 -> T10."""
+    return (f"lower(translate(regexp_replace(regexp_replace({x}, '{EMAIL}', '', 'g'), '{W}+', ' ', 'g'), "
+            f"'ţş', 'țș'))")
+
+
+def toks_sql(x: str) -> str:
+    return f"regexp_extract_all({x}, '{TOK}')"
+
+
+def short_sql(x: str) -> str:
+    """T12 on a token list."""
+    return f"list_filter({x}, lambda t: length(t) > 3 OR t IN ('<', '>'))"
+
+
+def brands_sql(x: str) -> str:
+    from quillspark.constants import BRANDS
+    for b in BRANDS:
+        x = f"replace({x}, '{b}', '<ORG>')"
+    return x
+
+
+def sites_sql(x: str) -> str:
+    x = f"regexp_replace({x}, 'Timesnewroman.ro', '@URL', 'g')"
+    return f"regexp_replace({x}, 'www.cautatoriidepovesti.ro', '@URL', 'g')"
+
+
+def restore_sql(x: str, labels=("PERSON", "NORP", "GPE", "ORG", "LOC", "FAC")) -> str:
+    x = f"replace({x}, '< >', '')"
+    for tag in labels:
+        x = f"replace({x}, '< {tag.lower()} >', '<{tag}>')"
+    return x
+
+
+def stop_ctes(stopwords: list[tuple], lemmas: list[tuple], lang: str = "ro") -> str:
+    return f"""
+, stop AS (SELECT DISTINCT regexp_replace(translate(word, 'ţş', 'țș'), '^{W}+|{W}+$', '', 'g') AS word
+           FROM {values_sql(stopwords, 'lang, word')} WHERE lang = '{lang}')
+, lem AS (SELECT surface, min(lemma) AS lemma FROM {values_sql(lemmas, 'lang, surface, lemma')}
+          WHERE lang = '{lang}' GROUP BY surface)
+"""
+
+
+def process_ctes(src: str, text: str, out: str, use_dicts: bool = True) -> str:
+    """T18 over ``src`` ("index", {text}) into ``out``("index", t)."""
+    kept_where = ("WHERE tok NOT IN (SELECT word FROM stop) AND lemma NOT IN (SELECT word FROM stop)"
+                  if use_dicts else "")
+    lemma = "coalesce(lem.lemma, tu.tok)" if use_dicts else "tu.tok"
+    lem_join = "LEFT JOIN lem ON lem.surface = tu.tok" if use_dicts else ""
+    return f"""
+, {out}_tk AS (SELECT "index", {short_sql(toks_sql(norm_sql(text)))} AS toks FROM {src})
+, {out}_tu AS (SELECT "index", unnest(toks) AS tok, unnest(range(len(toks))) AS pos FROM {out}_tk)
+, {out}_tl AS (SELECT tu."index", tu.pos, tu.tok, {lemma} AS lemma FROM {out}_tu tu {lem_join})
+, {out}_kept AS (SELECT "index", pos, lower(lemma) AS v FROM {out}_tl {kept_where})
+, {out} AS (SELECT k."index", {restore_sql("coalesce(string_agg(v, ' ' ORDER BY pos), '')")} AS t
+            FROM {out}_tk k LEFT JOIN {out}_kept USING ("index") GROUP BY k."index")
+"""
+
+
+def gazetteer_ctes(src: str, text: str, gazetteer: list[tuple], max_n: int, out: str = "ents") -> str:
+    """Entity spans per row: ``out``("index", spans list<struct(s,e,l)>) for rows with a match."""
+    ngram_selects = [f'SELECT "index", e - length(tok) AS s, e, tok AS surface FROM gz_tp']
+    for n in range(2, max_n + 1):
+        surf = " || ".join(["tok"] + [f"lead(sep || tok, {k}) OVER w" for k in range(1, n)])
+        ngram_selects.append(
+            f'SELECT "index", e - length(tok) AS s, lead(e, {n - 1}) OVER w AS e, {surf} AS surface FROM gz_tp '
+            f'WINDOW w AS (PARTITION BY "index" ORDER BY i)')
+    ngrams = "\n  UNION ALL ".join(ngram_selects)
+    return f"""
+, gaz AS (SELECT surface, min(label) AS label FROM {values_sql(gazetteer, 'surface, label')} GROUP BY surface)
+, gz_tk AS (SELECT "index", {toks_sql(text)} AS toks, string_split_regex({text}, '{TOK}') AS seps FROM {src})
+, gz_tu AS (SELECT "index", toks, seps, unnest(range(1, len(toks) + 1)) AS i FROM gz_tk)
+, gz_tp AS (SELECT "index", i, toks[i] AS tok, seps[i] AS sep,
+                   sum(length(seps[i]) + length(toks[i])) OVER (PARTITION BY "index" ORDER BY i) AS e FROM gz_tu)
+, gz_ng AS ({ngrams})
+, gz_hit AS (SELECT g."index", CAST(g.s AS INTEGER) AS s, CAST(g.e AS INTEGER) AS e, z.label AS l
+             FROM gz_ng g JOIN gaz z ON z.surface = g.surface WHERE g.surface IS NOT NULL)
+, {out} AS (
+  SELECT "index", list_reduce(list_sort(list({{'s': s, 'nl': s - e, 'e': e, 'l': l}})),
+      lambda acc, c: CASE WHEN c.s >= acc.last
+                          THEN {{'last': c.e, 'ch': list_append(acc.ch, {{'s': c.s, 'e': c.e, 'l': c.l}})}}
+                          ELSE acc END,
+      {{'last': 0, 'ch': []::STRUCT(s INTEGER, e INTEGER, l VARCHAR)[]}}).ch AS spans
+  FROM gz_hit GROUP BY "index")
+"""
+
+
+def mask_sql(text: str, spans: str, labels=("PERSON", "NORP", "GPE", "ORG", "LOC", "FAC")) -> str:
+    """Replace the listed-label spans of ``text`` by <LABEL>."""
+    lab = ", ".join(f"'{x}'" for x in labels)
+    keep = f"list_filter(coalesce({spans}, []::STRUCT(s INTEGER, e INTEGER, l VARCHAR)[]), lambda z: z.l IN ({lab}))"
+    red = (f"list_reduce({keep}, lambda acc, z: {{'p': z.e, 'o': acc.o || substr({text}, acc.p + 1, z.s - acc.p) || '<' || z.l || '>'}}, "
+           f"{{'p': 0, 'o': ''}})")
+    return f"({red}).o || substr({text}, ({red}).p + 1)"
