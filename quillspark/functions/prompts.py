@@ -131,10 +131,20 @@ def training_example_completion(sentence: Column | str, label_text: Column | str
 
 
 def prompt_to_json(prompt: Column) -> Column:
-    """JSON text of a prompt (messages array or plain string), non-ASCII kept."""
+    """JSON text of a messages array, non-ASCII kept."""
     return F.to_json(prompt)
 
 
+def json_string(text: Column) -> Column:
+    """B12 for a plain-text prompt: the JSON string literal (quoted, escaped).
+
+    ``to_json`` takes only nested types, so the text is encoded as a
+    one-element array and the brackets are cut off.
+    """
+    js = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.substring(js, F.lit(2), F.length(js) - 2))
+
+
 def prompt_for_run(sentence: Column | str, class0: Column, class1: Column, *, use_completion: bool = False,
                    from_ft_model: bool = False, merge_system_into_user: bool = False, model: str = "") -> dict[str, Column]:
     """The prompt of one run configuration.
