@@ -186,3 +186,47 @@ def gazetteer_df(spark: SparkSession) -> DataFrame:
 
 def logits_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LOGITS, "id int, logits array<double>")
+
+
+# --- local stand-in scorers (top-level so tasks can unpickle them) ---------------
+
+def _hex(text: str) -> int:
+    import hashlib
+
+    return int(hashlib.md5(text.encode()).hexdigest()[0], 16)
+
+
+def fixture_scorer():
+    """A model that answers with the fixture answer of (run, index)."""
+    def fn(row: dict) -> str:
+        return fixture_answer_py(int(row["run"]), int(row["index"]))
+    return fn
+
+
+def flaky_failures(index: int) -> int:
+    """How many times the flaky service rate-limits a row before answering (0..6)."""
+    return _hex(f"flaky:{index}") % 7
+
+
+def flaky_scorer():
+    """Rate-limits each row ``flaky_failures(index)`` times, then answers."""
+    from quillspark.operators.score import RateLimited
+
+    seen: dict[tuple[int, int], int] = {}
+
+    def fn(row: dict) -> str:
+        key = (int(row["run"]), int(row["index"]))
+        seen[key] = seen.get(key, 0) + 1
+        if seen[key] <= flaky_failures(key[1]):
+            raise RateLimited("429 Too Many Requests")
+        return fixture_answer_py(*key)
+    return fn
+
+
+def failing_scorer():
+    """Fails hard (no retry) on rows whose md5('fail:{index}') starts with 0 or 1."""
+    def fn(row: dict) -> str:
+        if _hex(f"fail:{int(row['index'])}") < 2:
+            raise ValueError("connection reset")
+        return fixture_answer_py(int(row["run"]), int(row["index"]))
+    return fn
