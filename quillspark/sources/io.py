@@ -27,11 +27,15 @@ SENTENCE_SCHEMA = T.StructType([
 ])
 
 
+# Read-side null marker that never occurs in text: an unquoted empty field is
+# null, a quoted empty field ("") stays an empty string.
+NO_NULL_TEXT = "\u0000"
+
+
 def _csv_options(null_value: str | None = None) -> dict[str, str]:
-    opts = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "mode": "FAILFAST"}
-    if null_value is not None:
-        opts["nullValue"] = null_value
-    return opts
+    return {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "mode": "FAILFAST",
+            "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+            "nullValue": NO_NULL_TEXT if null_value is None else null_value}
 
 
 def read_sentences_csv(spark: SparkSession, path: str, schema: T.StructType = SENTENCE_SCHEMA,
@@ -41,14 +45,16 @@ def read_sentences_csv(spark: SparkSession, path: str, schema: T.StructType = SE
         parent = os.path.dirname(path) or "."
         listing = sorted(os.listdir(parent)) if os.path.isdir(parent) else []
         raise FileNotFoundError(f"dataset not found at {path}; available in {parent}: {listing[:20]}")
-    return spark.read.schema(schema).options(**_csv_options(null_value)).csv(path)
+    # enforceSchema=false: the header names must match the schema (no silent positional mix-up).
+    return spark.read.schema(schema).options(**_csv_options(null_value)).option("enforceSchema", "false").csv(path)
 
 
 def write_sentences_csv(df: DataFrame, path: str) -> None:
     """S3: header, quoted as needed, no index column added."""
     # Empty strings are written as "" so they read back as empty, not null.
     (df.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"')
-       .option("emptyValue", '""').csv(path))
+       .option("emptyValue", '""').option("ignoreLeadingWhiteSpace", "false")
+       .option("ignoreTrailingWhiteSpace", "false").csv(path))
 
 
 def read_sentences_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -66,5 +72,10 @@ def write_sentences_parquet(df: DataFrame, path: str, partition_by: str | None =
 def dump_sentences(df: DataFrame, path: str, col: str = "sentence") -> DataFrame:
     """One sentence per line, newlines replaced by spaces. Returns what is written."""
     lines = df.select(F.replace(F.col(col), F.lit("\n"), F.lit(" ")).alias("value"))
-    lines.write.mode("overwrite").text(path)
+    lines.write.mode("overwrite").option("lineSep", "\n").text(path)
     return lines
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text lines split on \n only (a \r inside a sentence stays in its line)."""
+    return spark.read.option("lineSep", "\n").text(path)
