@@ -1 +1,97 @@
-"""Registered queries (in progress)."""
+"""Registered queries: Spark ML baselines (M1-M5) and the logits sink (S6). Rows-only checks."""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
+
+from quillspark.operators import baseline as ML
+from quillspark.operators import metrics as M
+from quillspark.operators.positions import row_index, sample_exact_n
+from quillspark.operators.select import filter_split
+from quillspark.plans.registry import register
+from quillspark.session import scratch_path
+from quillspark.sinks import write_predictions
+from quillspark.sources.fixtures import labelled_sentences
+from quillspark.sources.tables import read_table
+
+SEEDS = (1, 2, 3, 4, 5)
+REG_GRID = (0.0, 0.01, 0.1)
+SEED_SAMPLE = 5000
+
+
+def _splits(spark, sf_dir):
+    t = labelled_sentences(spark, sf_dir).select("index", "sentence", "label", "split")
+    return filter_split(t, "train"), filter_split(t, "validation"), filter_split(t, "test")
+
+
+@register("train_text_classifier")
+def q_train_text(spark, sf_dir):
+    """M1: fit on train, report weighted and binary metrics on test."""
+    train, _, test = _splits(spark, sf_dir)
+    model = ML.fit_text_classifier(train)
+    return ML.metrics_table(ML.predict(model, test))
+
+
+@register("train_frozen_probe")
+def q_frozen_probe(spark, sf_dir):
+    """M2: linear probe on frozen embedding vectors (train / test by md5 of the id)."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    is_test = F.substring(F.md5(F.concat(F.lit("probe:"), F.col("vec_id").cast("string"))), 1, 1) >= "c"
+    model = ML.embedding_probe(emb.where(~is_test))
+    pred = ML.probe_predict(model, emb.where(is_test))
+    return M.evaluate(pred, (), "label", "prediction")
+
+
+@register("select_best_checkpoint")
+def q_select_best(spark, sf_dir):
+    """M3: candidates chosen on validation; the chosen one scores test once."""
+    train, valid, test = _splits(spark, sf_dir)
+    best, scores = ML.select_best(train, valid, REG_GRID)
+    test_m = M.evaluate(ML.predict(best, test), ()).first()
+    best_reg = max(scores, key=lambda s: s[1])[0]
+    rows = [(float(r), float(f1), r == best_reg, float(test_m["f1"]) if r == best_reg else None) for r, f1 in scores]
+    cand = spark.createDataFrame(rows, "reg_param double, validation_f1 double, chosen boolean, test_f1 double")
+    # Tie the (small) candidate table to the data it was computed from: rows of test scored.
+    return cand.withColumn("n_test", F.lit(int(test_m["n"])).cast("bigint"))
+
+
+@register("predict_with_saved_model")
+def q_predict_saved(spark, sf_dir):
+    """M4: save the fitted pipeline, load it back, predict test with logits."""
+    train, _, test = _splits(spark, sf_dir)
+    path = scratch_path(spark, "text-model")
+    ML.fit_text_classifier(train).write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    pred = ML.predict(loaded, test)
+    return pred.select("index", F.col("label").alias("ground_truth"), "prediction", "confidence", "logits_text")
+
+
+@register("sink_predictions_logits")
+def q_sink_logits(spark, sf_dir):
+    """Per-row idx, sentence, ground truth, prediction, confidence, logits; partitioned by model/run."""
+    train, _, test = _splits(spark, sf_dir)
+    pred = ML.predict(ML.fit_text_classifier(train), test)
+    pred = row_index(pred.withColumn("split", F.lit("test")), ("split",), "index", out="idx")
+    rows = pred.select(F.lit("tfidf-lr:1").alias("model_name"), F.lit(1).alias("run"), "idx", "sentence",
+                       F.col("label").alias("ground_truth"), "prediction", "confidence",
+                       F.col("logits_text").alias("logits"))
+    path = scratch_path(spark, "predictions-logits")
+    write_predictions(rows, path)
+    return spark.read.parquet(path)
+
+
+@register("repeat_over_seeds")
+def q_repeat_seeds(spark, sf_dir):
+    """M5: one fit per seed (seeded training sample), one metrics row per run, plus A8 summary columns."""
+    train, _, test = _splits(spark, sf_dir)
+    n_train = train.count()
+    size = min(SEED_SAMPLE, n_train)
+    parts = []
+    for seed in SEEDS:
+        model = ML.fit_text_classifier(sample_exact_n(train, size, seed, check=False))
+        parts.append(M.evaluate(ML.predict(model, test), ()).withColumn("run", F.lit(seed)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("run", "n", "accuracy", "precision", "recall", "f1")
