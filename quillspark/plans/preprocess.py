@@ -22,7 +22,14 @@ from quillspark.operators.tokens import lemmatize_and_filter
 
 
 def by_key(df: DataFrame, id_col: str = "index", partitions: int | None = None) -> DataFrame:
-    """Hash-partition by the unique row key (AQE sizes it when ``partitions`` is None)."""
+    """Hash-partition by the unique row key (AQE sizes it when ``partitions`` is None).
+
+    Rows without a key cannot be aligned and are dropped here, explicitly:
+    the optimizer would otherwise infer that filter on one side of the
+    entity join-back only, and the two sides would no longer share (reuse)
+    this exchange.
+    """
+    df = df.where(F.col(id_col).isNotNull())
     return df.repartition(partitions, id_col) if partitions else df.repartition(id_col)
 
 
