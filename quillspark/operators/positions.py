@@ -32,10 +32,37 @@ def dense_position(df: DataFrame, bucket: Column, order: Sequence[Column | str],
             .drop("_bkt", "_off"))
 
 
+def quantile_buckets(df: DataFrame, order_col: str, rows_per_bucket: int = 1_000_000,
+                     max_buckets: int = 10_000, rel_error: float = 1e-4) -> DataFrame:
+    """Add ``_qb``: equi-depth bucket of ``order_col`` (monotone in it).
+
+    Bucket bounds come from approximate quantiles (a bounded list of at most
+    ``max_buckets`` numbers on the driver), so a dense key range cannot pile
+    up in one bucket the way fixed-width ranges would.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    total = df.count()
+    n = max(1, min(max_buckets, -(-total // rows_per_bucket)))
+    if n == 1:
+        return df.withColumn("_qb", F.lit(0.0))
+    qs = df.approxQuantile(order_col, [i / n for i in range(1, n)], rel_error)
+    splits = [float("-inf")] + sorted(set(float(q) for q in qs)) + [float("inf")]
+    src = df.withColumn("_qv", F.col(order_col).cast("double"))
+    return Bucketizer(splits=splits, inputCol="_qv", outputCol="_qb").transform(src).drop("_qv")
+
+
 def row_index(df: DataFrame, partition_by: Sequence[str] = ("split",), order_col: str = "index",
-              bucket_width: int = 1 << 22, out: str = "idx") -> DataFrame:
-    """0-based index per split in ``order_col`` order (``reset_index``)."""
-    return dense_position(df, F.floor(F.col(order_col) / bucket_width), [F.col(order_col)], partition_by, out)
+              bucket_width: int | None = None, rows_per_bucket: int = 1_000_000, out: str = "idx") -> DataFrame:
+    """0-based index per split in ``order_col`` order (``reset_index``).
+
+    Buckets are fixed-width ranges of ``order_col`` when ``bucket_width`` is
+    given, else equi-depth quantile buckets of about ``rows_per_bucket`` rows.
+    """
+    if bucket_width is not None:
+        return dense_position(df, F.floor(F.col(order_col) / bucket_width), [F.col(order_col)], partition_by, out)
+    b = quantile_buckets(df, order_col, rows_per_bucket)
+    return dense_position(b, F.col("_qb"), [F.col(order_col)], partition_by, out).drop("_qb")
 
 
 def seeded_hash(seed: int | Column, key: Column | str) -> Column:

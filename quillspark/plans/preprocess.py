@@ -61,6 +61,7 @@ def process_text(df: DataFrame, *, stopwords: DataFrame | None = None, lemmas: D
                  id_col: str = "index", text_col: str = "sentence") -> DataFrame:
     """Normalise, tokenise, drop short tokens, drop stop words, lemmatise,
     join and restore the entity tags; ``text_col`` is replaced, other columns kept."""
+    df = df.withColumn("_null_text", F.col(text_col).isNull())
     carry: Sequence[str] = [c for c in df.columns if c not in (id_col, text_col)]
     df = normalize(df, text_col, upper_diacritics)
     df = df.withColumn("_tok", T.drop_short_tokens(T.tokenize(text_col), min_len))
@@ -69,8 +70,10 @@ def process_text(df: DataFrame, *, stopwords: DataFrame | None = None, lemmas: D
     else:
         out = lemmatize_and_filter(df, id_col, "_tok", lemmas=lemmas, stopwords=stopwords,
                                    token_stopwords=token_stopwords, out="_tok2", carry=carry)
-    out = out.withColumn(text_col, T.restore_placeholders(T.join_tokens("_tok2"), labels, keep_all_tags))
-    return out.select(id_col, text_col, *carry)
+    restored = T.restore_placeholders(T.join_tokens("_tok2"), labels, keep_all_tags)
+    # A null sentence stays null (the original would fail on it).
+    out = out.withColumn(text_col, F.when(~F.col("_null_text"), restored))
+    return out.select(id_col, text_col, *[c for c in carry if c != "_null_text"])
 
 
 def preprocess_full(df: DataFrame, *, gazetteer: DataFrame | None = None, stopwords: DataFrame | None = None,
