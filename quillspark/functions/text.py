@@ -148,17 +148,15 @@ def mask_spans(text: Column | str, spans: Column | str, labels: Iterable[str] |
         allowed = list(labels)
         sp = F.filter(sp, lambda s: s["label"].isin(*allowed))
     sp = F.array_sort(F.coalesce(sp, F.array().cast("array<struct<start:int,end:int,label:string>>")))
-    def prev_end(i: Column) -> Column:
-        return F.coalesce(F.get(sp, i - 1)["end"], F.lit(0))
-
-    pieces = F.transform(
-        sp,
-        lambda s, i: F.concat(
-            F.substring(t, prev_end(i) + 1, s["start"] - prev_end(i)),
-            F.lit("<"),
-            s["label"],
-            F.lit(">"),
-        ),
+    # Pair each span with its predecessor so the lambda only reads its own
+    # arguments (an outer array referenced inside a lambda is re-evaluated
+    # for every element).
+    prev = F.concat(F.array(F.lit(None).cast("struct<start:int,end:int,label:string>")), sp)
+    pieces = F.zip_with(
+        sp, prev,
+        lambda s, p: F.when(s.isNotNull(), F.concat(
+            F.substring(t, F.coalesce(p["end"], F.lit(0)) + 1, s["start"] - F.coalesce(p["end"], F.lit(0))),
+            F.lit("<"), s["label"], F.lit(">"))),
     )
     tail_from = F.coalesce(F.get(sp, F.size(sp) - 1)["end"], F.lit(0)) + 1
     return F.when(

@@ -76,9 +76,93 @@ def resolve_spans(cands: Column) -> Column:
     )
 
 
+# Gazetteers up to this many surfaces are matched inside each row (hashed
+# literal sets, no shuffle); bigger ones go through explode + broadcast join.
+INLINE_MAX_SURFACES = 20_000
+
+
+def inline_sets(gazetteer: DataFrame, max_surfaces: int = INLINE_MAX_SURFACES) -> tuple[dict[str, list[str]], int] | None:
+    """Surfaces per label, when the (deduplicated) gazetteer is small enough.
+
+    The size is checked with a count before anything is collected, so the
+    driver only ever holds at most ``max_surfaces`` short strings.
+    """
+    gaz, max_n = prepare_gazetteer(gazetteer)
+    if gaz.count() > max_surfaces:
+        return None
+    sets: dict[str, list[str]] = {}
+    for r in gaz.collect():
+        sets.setdefault(r["label"], []).append(r["surface"])
+    return sets, max_n
+
+
+def add_entity_spans_inline(df: DataFrame, text_col: str, sets: dict[str, list[str]], max_n: int,
+                            out: str = "entities") -> DataFrame:
+    """T2 within the row: n-grams of 1..max_n tokens, checked against the
+    per-label hashed sets, offsets computed for the hits only, then resolved
+    (leftmost, longest) into ``out`` array<struct<start,end,label>>.
+
+    Tokens, separators and pieces are materialised per row first: an
+    expression referenced inside a lambda runs once per element, so the regex
+    must never be inlined there.
+    """
+    text = F.col(text_col)
+    tok_arr = F.regexp_extract_all(text, F.lit(TOKEN_RE), 0)
+    sep_arr = F.split(text, TOKEN_RE, -1)
+    # piece j = separator before token j + token j
+    piece_arr = F.zip_with(F.slice(sep_arr, 1, F.size(tok_arr)), tok_arr, lambda sp, t: F.concat(sp, t))
+    # One-row generator as a materialisation point: the optimizer does not
+    # substitute generator outputs into later expressions, so the arrays are
+    # computed once per row even when a later filter is pushed down.
+    st = df.select("*", F.inline(F.array(F.struct(
+        tok_arr.alias("_toks"), sep_arr.alias("_seps"), piece_arr.alias("_pieces")))))
+    toks, seps, pieces = F.col("_toks"), F.col("_seps"), F.col("_pieces")
+    labels = sorted(sets)
+
+    def label_of(surface: Column) -> Column:
+        expr = None
+        for lab in labels:
+            cond = surface.isin(*sets[lab])
+            expr = F.when(cond, F.lit(lab)) if expr is None else expr.when(cond, F.lit(lab))
+        return expr if expr is not None else F.lit(None).cast("string")
+
+    def gram_of(n: int):
+        # One-argument lambda: PySpark reads a two-argument one as (element, position).
+        return lambda i: F.struct(
+            i.alias("i"), F.concat(toks[i], F.array_join(F.slice(pieces, i + 2, F.lit(n - 1)), "")).alias("surface"))
+
+    grams = []
+    for n in range(1, max_n + 1):
+        starts = F.when(F.size(toks) >= n, F.sequence(F.lit(0), F.size(toks) - n)).otherwise(F.array().cast("array<int>"))
+        grams.append(F.transform(starts, gram_of(n)))
+    st = st.withColumn("_grams", F.flatten(F.array(*grams)))
+    st = st.withColumn("_hits", F.filter(
+        F.transform(F.col("_grams"), lambda g: F.struct(g["i"].alias("i"), g["surface"].alias("surface"),
+                                                        label_of(g["surface"]).alias("label"))),
+        lambda g: g["label"].isNotNull()))
+    spans = F.transform(F.col("_hits"), lambda h: F.struct(
+        (F.length(F.array_join(F.slice(pieces, F.lit(1), h["i"]), "")) + F.length(seps[h["i"]])).alias("start"),
+        F.length(h["surface"]).alias("len"), h["label"].alias("label")))
+    st = st.withColumn("_spans", F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), (s["start"] + s["len"]).alias("end"), s["label"].alias("label"))))
+    return st.withColumn(out, resolve_spans(F.col("_spans"))).drop("_toks", "_seps", "_pieces", "_grams", "_hits", "_spans")
+
+
 def detect_entities(df: DataFrame, gazetteer: DataFrame, id_col: str = "index", text_col: str = "sentence",
-                    out: str = "entities") -> DataFrame:
-    """(id, entities) for rows with at least one match; join back with a left join."""
+                    out: str = "entities", inline_max: int = INLINE_MAX_SURFACES) -> DataFrame:
+    """(id, entities) for rows with at least one match."""
+    small = inline_sets(gazetteer, inline_max)
+    if small is not None:
+        ents = add_entity_spans_inline(df.select(id_col, text_col), text_col, *small, out=out)
+        return ents.select(id_col, out).where(F.size(out) > 0)
+    return detect_entities_joined(df, gazetteer, id_col, text_col, out)
+
+
+def detect_entities_joined(df: DataFrame, gazetteer: DataFrame, id_col: str = "index", text_col: str = "sentence",
+                           out: str = "entities") -> DataFrame:
+    """T2 for big gazetteers: explode n-grams, broadcast (or salted) join, regroup by id.
+    Join the result back with a left join; pre-partition ``df`` by id to keep
+    the window, regroup and join-back free of further exchanges."""
     gaz, max_n = prepare_gazetteer(gazetteer)
     toks = token_offsets(df, id_col, text_col)
     grams = gazetteer_ngrams(toks, id_col, max_n)
@@ -89,9 +173,14 @@ def detect_entities(df: DataFrame, gazetteer: DataFrame, id_col: str = "index",
 
 
 def with_entities(df: DataFrame, gazetteer: DataFrame, id_col: str = "index", text_col: str = "sentence",
-                  out: str = "entities") -> DataFrame:
-    """``df`` plus its entity spans (empty array when none)."""
-    ents = detect_entities(df.select(id_col, text_col), gazetteer, id_col, text_col, out)
+                  out: str = "entities", inline_max: int = INLINE_MAX_SURFACES,
+                  sets: tuple[dict[str, list[str]], int] | None = None) -> DataFrame:
+    """``df`` plus its entity spans (empty array when none). ``sets``: result of
+    ``inline_sets`` when already computed."""
+    small = sets if sets is not None else inline_sets(gazetteer, inline_max)
+    if small is not None:
+        return add_entity_spans_inline(df, text_col, *small, out=out)
+    ents = detect_entities_joined(df.select(id_col, text_col), gazetteer, id_col, text_col, out)
     return (df.join(ents, id_col, "left")
             .withColumn(out, F.coalesce(F.col(out), F.array().cast(SPAN_TYPE))))
 

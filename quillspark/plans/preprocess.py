@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quillspark.constants import DEFAULT_ENTITY_LABELS
 from quillspark.functions import text as T
-from quillspark.operators.entities import with_entities
+from quillspark.operators.entities import inline_sets, with_entities
 from quillspark.operators.tokens import lemmatize_and_filter
 
 
@@ -34,11 +34,16 @@ def by_key(df: DataFrame, id_col: str = "index", partitions: int | None = None)
 
 
 def anonymize(df: DataFrame, gazetteer: DataFrame | None = None, labels: Iterable[str] = DEFAULT_ENTITY_LABELS,
-              all_urls: bool = False, id_col: str = "index", text_col: str = "sentence") -> DataFrame:
-    """Entity spans -> tags (T2, T1), brands (T3), site names (T4), optionally all URLs (T5)."""
+              all_urls: bool = False, id_col: str = "index", text_col: str = "sentence",
+              sets: tuple[dict[str, list[str]], int] | None = None) -> DataFrame:
+    """Entity spans -> tags (T2, T1), brands (T3), site names (T4), optionally all URLs (T5).
+
+    A small gazetteer is matched inside each row (no shuffle at all); a big
+    one needs the rows hash-partitioned by ``id_col`` first (``by_key``).
+    """
     labels = list(labels)
     if gazetteer is not None:
-        df = with_entities(df, gazetteer, id_col, text_col, "_ents")
+        df = with_entities(df, gazetteer, id_col, text_col, "_ents", sets=sets)
         df = df.withColumn(text_col, T.mask_spans(text_col, "_ents", labels)).drop("_ents")
     df = df.withColumn(text_col, T.mask_brands(text_col))
     df = df.withColumn(text_col, T.mask_site_urls(text_col))
@@ -80,7 +85,13 @@ def preprocess_full(df: DataFrame, *, gazetteer: DataFrame | None = None, stopwo
                     lemmas: DataFrame | None = None, labels: Iterable[str] = DEFAULT_ENTITY_LABELS,
                     all_urls: bool = False, partitions: int | None = None, id_col: str = "index",
                     text_col: str = "sentence", **kw) -> DataFrame:
-    """T6 then T18 over the whole table."""
-    df = by_key(df, id_col, partitions)
-    df = anonymize(df, gazetteer, labels, all_urls, id_col, text_col)
+    """T6 then T18 over the whole table.
+
+    The rows are hash-partitioned by the key only when a step regroups by it
+    (dictionary joins on exploded tokens, or a gazetteer too big to inline).
+    """
+    sets = inline_sets(gazetteer) if gazetteer is not None else None
+    if stopwords is not None or lemmas is not None or (gazetteer is not None and sets is None):
+        df = by_key(df, id_col, partitions)
+    df = anonymize(df, gazetteer, labels, all_urls, id_col, text_col, sets=sets)
     return process_text(df, stopwords=stopwords, lemmas=lemmas, labels=labels, id_col=id_col, text_col=text_col, **kw)

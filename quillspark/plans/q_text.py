@@ -181,7 +181,7 @@ _GAZ = O.gazetteer_ctes("sentl", "sentence", GAZETTEER, MAX_N)
 SELECT "index", CAST(z.s AS INTEGER) AS "start", CAST(z.e AS INTEGER) AS "end", z.l AS label
 FROM (SELECT "index", unnest(spans) AS z FROM ents)""")
 def q_detect_entities(spark, sf_dir):
-    ents = detect_entities(by_key(_text(spark, sf_dir)), gazetteer_df(spark))
+    ents = detect_entities(_text(spark, sf_dir), gazetteer_df(spark))
     return ents.select("index", F.explode("entities").alias("z")).select(
         "index", F.col("z.start").alias("start"), F.col("z.end").alias("end"), F.col("z.label").alias("label"))
 
@@ -190,7 +190,7 @@ def q_detect_entities(spark, sf_dir):
 SELECT "index", array_to_string(list_reverse(list_sort(list_transform(spans, lambda z: z.s))), ',') AS starts_desc
 FROM ents""")
 def q_sort_spans(spark, sf_dir):
-    ents = detect_entities(by_key(_text(spark, sf_dir)), gazetteer_df(spark))
+    ents = detect_entities(_text(spark, sf_dir), gazetteer_df(spark))
     desc = sort_spans_desc(F.col("entities"))
     return ents.select("index", F.array_join(F.transform(desc, lambda z: z["start"].cast("string")), ",").alias("starts_desc"))
 
@@ -199,7 +199,7 @@ def q_sort_spans(spark, sf_dir):
 SELECT s."index", {O.mask_sql('s.sentence', 'e.spans')} AS sentence
 FROM sentl s LEFT JOIN ents e USING ("index")""")
 def q_mask_spans(spark, sf_dir):
-    t = with_entities(by_key(_text(spark, sf_dir)), gazetteer_df(spark))
+    t = with_entities(_text(spark, sf_dir), gazetteer_df(spark))
     return t.select("index", T.mask_spans("sentence", "entities").alias("sentence"))
 
 
@@ -211,7 +211,7 @@ _ANON_SQL = S(_GAZ, f"""
 
 @register("anonymize", _ANON_SQL + 'SELECT "index", sentence FROM an')
 def q_anonymize(spark, sf_dir):
-    return anonymize(by_key(_text(spark, sf_dir)), gazetteer_df(spark))
+    return anonymize(_text(spark, sf_dir), gazetteer_df(spark))
 
 
 @register("preprocess_full", _ANON_SQL + _DICTS + O.process_ctes("an", "sentence", "pf") + """

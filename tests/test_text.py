@@ -112,3 +112,16 @@ def test_process_text_keeps_rows_and_columns(spark):
     out = process_text(df, stopwords=load_stopwords(stopwords_df(spark), "ro"),
                        lemmas=prepare_lemmas(lemmas_df(spark), "ro")).orderBy("index").collect()
     assert [(r["index"], r.sentence, r.other) for r in out] == [(1, "mere multe acumul", "x"), (2, "", "y"), (3, None, "z")]
+
+
+def test_inline_and_joined_gazetteer_agree(spark):
+    from quillspark.operators.entities import detect_entities_joined
+    from quillspark.plans.preprocess import by_key
+    from quillspark.sources.fixtures import labelled_sentences
+    from tests.conftest import SMOKE
+
+    text = labelled_sentences(spark, SMOKE).select("index", "sentence")
+    a = detect_entities(text, gazetteer_df(spark)).collect()
+    b = detect_entities_joined(by_key(text), gazetteer_df(spark)).collect()
+    assert len(a) > 10
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
