@@ -98,26 +98,27 @@ def inline_sets(gazetteer: DataFrame, max_surfaces: int = INLINE_MAX_SURFACES) -
 
 def add_entity_spans_inline(df: DataFrame, text_col: str, sets: dict[str, list[str]], max_n: int,
                             out: str = "entities") -> DataFrame:
-    """T2 within the row: n-grams of 1..max_n tokens, checked against the
-    per-label hashed sets, offsets computed for the hits only, then resolved
-    (leftmost, longest) into ``out`` array<struct<start,end,label>>.
+    """T2 within the row into ``out`` array<struct<start,end,label>>.
 
-    Tokens, separators and pieces are materialised per row first: an
-    expression referenced inside a lambda runs once per element, so the regex
-    must never be inlined there.
+    Only positions whose token begins some surface are expanded (one hashed
+    membership test per token); at those, n-grams of 1..max_n tokens are
+    looked up in the per-label hashed sets; offsets are computed for the hits
+    only; overlaps are resolved leftmost, then longest.
+
+    Higher-order functions run interpreted, element by element, so the work
+    per token is kept to that single test. Tokens and separators are
+    materialised per row first: an expression referenced inside a lambda
+    runs once per element, so the regex must never be inlined there.
     """
     text = F.col(text_col)
-    tok_arr = F.regexp_extract_all(text, F.lit(TOKEN_RE), 0)
-    sep_arr = F.split(text, TOKEN_RE, -1)
-    # piece j = separator before token j + token j
-    piece_arr = F.zip_with(F.slice(sep_arr, 1, F.size(tok_arr)), tok_arr, lambda sp, t: F.concat(sp, t))
+    labels = sorted(sets)
+    firsts = sorted({_first_token(sf) for lab in labels for sf in sets[lab]})
     # One-row generator as a materialisation point: the optimizer does not
-    # substitute generator outputs into later expressions, so the arrays are
-    # computed once per row even when a later filter is pushed down.
+    # substitute generator outputs into later expressions.
     st = df.select("*", F.inline(F.array(F.struct(
-        tok_arr.alias("_toks"), sep_arr.alias("_seps"), piece_arr.alias("_pieces")))))
-    toks, seps, pieces = F.col("_toks"), F.col("_seps"), F.col("_pieces")
-    labels = sorted(sets)
+        F.regexp_extract_all(text, F.lit(TOKEN_RE), 0).alias("_toks"),
+        F.split(text, TOKEN_RE, -1).alias("_seps")))))
+    toks, seps = F.col("_toks"), F.col("_seps")
 
     def label_of(surface: Column) -> Column:
         expr = None
@@ -126,26 +127,39 @@ def add_entity_spans_inline(df: DataFrame, text_col: str, sets: dict[str, list[s
             expr = F.when(cond, F.lit(lab)) if expr is None else expr.when(cond, F.lit(lab))
         return expr if expr is not None else F.lit(None).cast("string")
 
-    def gram_of(n: int):
-        # One-argument lambda: PySpark reads a two-argument one as (element, position).
-        return lambda i: F.struct(
-            i.alias("i"), F.concat(toks[i], F.array_join(F.slice(pieces, i + 2, F.lit(n - 1)), "")).alias("surface"))
+    positions = F.when(F.size(toks) > 0, F.sequence(F.lit(0), F.size(toks) - 1)).otherwise(F.array().cast("array<int>"))
+    st = st.withColumn("_starts", F.filter(positions, lambda i: toks[i].isin(*firsts)))
 
-    grams = []
-    for n in range(1, max_n + 1):
-        starts = F.when(F.size(toks) >= n, F.sequence(F.lit(0), F.size(toks) - n)).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, gram_of(n)))
-    st = st.withColumn("_grams", F.flatten(F.array(*grams)))
+    def grams_at(i: Column) -> Column:
+        # surface of n tokens from i: tok_i, then (separator, token) pairs; null past the end
+        grams, surface = [], toks[i]
+        for n in range(1, max_n + 1):
+            if n > 1:
+                surface = F.concat(surface, F.get(seps, i + n - 1), F.get(toks, i + n - 1))
+            grams.append(F.struct(i.alias("i"), surface.alias("surface")))
+        return F.array(*grams)
+
+    cands = F.filter(F.flatten(F.transform(F.col("_starts"), grams_at)), lambda g: g["surface"].isNotNull())
     st = st.withColumn("_hits", F.filter(
-        F.transform(F.col("_grams"), lambda g: F.struct(g["i"].alias("i"), g["surface"].alias("surface"),
-                                                        label_of(g["surface"]).alias("label"))),
+        F.transform(cands, lambda g: F.struct(g["i"].alias("i"), g["surface"].alias("surface"),
+                                              label_of(g["surface"]).alias("label"))),
         lambda g: g["label"].isNotNull()))
-    spans = F.transform(F.col("_hits"), lambda h: F.struct(
-        (F.length(F.array_join(F.slice(pieces, F.lit(1), h["i"]), "")) + F.length(seps[h["i"]])).alias("start"),
-        F.length(h["surface"]).alias("len"), h["label"].alias("label")))
-    st = st.withColumn("_spans", F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), (s["start"] + s["len"]).alias("end"), s["label"].alias("label"))))
-    return st.withColumn(out, resolve_spans(F.col("_spans"))).drop("_toks", "_seps", "_pieces", "_grams", "_hits", "_spans")
+
+    def span(h: Column) -> Column:
+        start = (F.length(F.array_join(F.slice(toks, F.lit(1), h["i"]), "")) +
+                 F.length(F.array_join(F.slice(seps, F.lit(1), h["i"] + 1), "")))
+        return F.struct(start.alias("start"), (start + F.length(h["surface"])).alias("end"), h["label"].alias("label"))
+
+    st = st.withColumn(out, resolve_spans(F.transform(F.col("_hits"), span)))
+    return st.drop("_toks", "_seps", "_starts", "_hits")
+
+
+def _first_token(surface: str) -> str:
+    """First token of a surface, by the same pattern as the column tokenizer."""
+    import regex
+
+    m = regex.search(TOKEN_RE, surface)
+    return m.group(0) if m else surface
 
 
 def detect_entities(df: DataFrame, gazetteer: DataFrame, id_col: str = "index", text_col: str = "sentence",
