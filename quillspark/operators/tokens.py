@@ -41,37 +41,67 @@ def explode_tokens(df: DataFrame, id_col: str, tokens_col: str, carry: Sequence[
     return df.select(id_col, *carry, F.posexplode_outer(tokens_col).alias("pos", "tok"))
 
 
+def token_dictionary(lemmas: DataFrame | None, stopwords: DataFrame | None,
+                     token_stopwords: DataFrame | None) -> DataFrame:
+    """One row per known word: (tok, _lemma, _drop).
+
+    Folds the three lookups of the original (built-in stop word, lemma, lemma
+    in the custom stop list) into a single dictionary-sized table, so the
+    token rows go through one join instead of three. A word absent from it
+    keeps itself as lemma and is not dropped (every stop word is a key).
+    """
+    keys = []
+    if lemmas is not None:
+        keys.append(lemmas.select(F.col("surface").alias("tok")))
+    for sw in (stopwords, token_stopwords):
+        if sw is not None:
+            keys.append(sw.select(F.col("word").alias("tok")))
+    d = keys[0]
+    for k in keys[1:]:
+        d = d.unionByName(k)
+    d = d.distinct()
+    if lemmas is not None:
+        d = d.join(lemmas.select(F.col("surface").alias("tok"), F.col("lemma").alias("_lemma")), "tok", "left")
+        d = d.withColumn("_lemma", F.coalesce("_lemma", "tok"))
+    else:
+        d = d.withColumn("_lemma", F.col("tok"))
+    drop = F.lit(False)
+    if token_stopwords is not None:
+        ts = token_stopwords.select(F.col("word").alias("tok"), F.lit(True).alias("_st")).distinct()
+        d = d.join(ts, "tok", "left")
+        drop = drop | F.coalesce("_st", F.lit(False))
+    if stopwords is not None:
+        ls = stopwords.select(F.col("word").alias("_lemma"), F.lit(True).alias("_sl")).distinct()
+        d = d.join(ls, "_lemma", "left")
+        drop = drop | F.coalesce("_sl", F.lit(False))
+    return d.select("tok", "_lemma", drop.alias("_drop"))
+
+
 def lemmatize_and_filter(df: DataFrame, id_col: str, tokens_col: str, *, lemmas: DataFrame | None = None,
                          stopwords: DataFrame | None = None, token_stopwords: DataFrame | None = None,
                          out: str = "tokens", carry: Sequence[str] = (), lower_lemmas: bool = True) -> DataFrame:
-    """T14 + T15 in one explode / regroup.
+    """T14 + T15 in one explode / join / regroup.
 
     A token is dropped when it is in ``token_stopwords`` (the built-in list of
     the original; defaults to ``stopwords``) or when its lemma is in
     ``stopwords``. Kept tokens become their lemma, lower-cased. The lemma of a
     token missing from the dictionary is the token itself.
+
+    The regroup is a hash aggregate whose partial step runs before the
+    shuffle: all tokens of a row sit in the same task, so about one row per
+    id crosses the network.
     """
-    t = explode_tokens(df, id_col, tokens_col, carry)
-    salt = F.xxhash64(F.col(id_col), F.col("pos"))
-    if lemmas is not None:
-        lem = lemmas.select(F.col("surface").alias("tok"), F.col("lemma").alias("_lemma"))
-        t = dictionary_join(t, lem, "tok", "left", salt_from=salt)
-        t = t.withColumn("_lemma", F.coalesce("_lemma", "tok"))
-    else:
-        t = t.withColumn("_lemma", F.col("tok"))
-    drop = F.lit(False)
     if token_stopwords is None:
         token_stopwords = stopwords
-    if token_stopwords is not None:
-        ts = token_stopwords.select(F.col("word").alias("tok"), F.lit(True).alias("_stop_tok")).distinct()
-        t = dictionary_join(t, ts, "tok", "left", salt_from=salt)
-        drop = drop | F.coalesce("_stop_tok", F.lit(False))
-    if stopwords is not None:
-        ls = stopwords.select(F.col("word").alias("_lemma"), F.lit(True).alias("_stop_lem")).distinct()
-        t = dictionary_join(t, ls, "_lemma", "left", salt_from=salt)
-        drop = drop | F.coalesce("_stop_lem", F.lit(False))
+    t = explode_tokens(df, id_col, tokens_col, carry)
+    if lemmas is None and stopwords is None and token_stopwords is None:
+        t = t.withColumn("_lemma", F.col("tok")).withColumn("_drop", F.lit(False))
+    else:
+        d = token_dictionary(lemmas, stopwords, token_stopwords)
+        t = dictionary_join(t, d, "tok", "left", salt_from=F.xxhash64(F.col(id_col), F.col("pos")))
+        t = t.withColumn("_lemma", F.coalesce("_lemma", "tok")).withColumn("_drop", F.coalesce("_drop", F.lit(False)))
     value = F.lower("_lemma") if lower_lemmas else F.col("_lemma")
-    keep = F.col("tok").isNotNull() & ~drop
+    keep = F.col("tok").isNotNull() & ~F.col("_drop")
     agg = [F.first(c).alias(c) for c in carry]
     regrouped = t.groupBy(id_col).agg(
         *agg, F.collect_list(F.when(keep, F.struct(F.col("pos"), value.alias("v")))).alias("_kept"))

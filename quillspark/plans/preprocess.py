@@ -87,11 +87,13 @@ def preprocess_full(df: DataFrame, *, gazetteer: DataFrame | None = None, stopwo
                     text_col: str = "sentence", **kw) -> DataFrame:
     """T6 then T18 over the whole table.
 
-    The rows are hash-partitioned by the key only when a step regroups by it
-    (dictionary joins on exploded tokens, or a gazetteer too big to inline).
+    The rows are hash-partitioned by the key up front only for a gazetteer
+    too big to inline (its window, regroup and join-back then share that one
+    exchange). The token regroup alone does not need it: its partial
+    aggregate collapses each row's tokens before the shuffle.
     """
     sets = inline_sets(gazetteer) if gazetteer is not None else None
-    if stopwords is not None or lemmas is not None or (gazetteer is not None and sets is None):
+    if gazetteer is not None and sets is None:
         df = by_key(df, id_col, partitions)
     df = anonymize(df, gazetteer, labels, all_urls, id_col, text_col, sets=sets)
     return process_text(df, stopwords=stopwords, lemmas=lemmas, labels=labels, id_col=id_col, text_col=text_col, **kw)

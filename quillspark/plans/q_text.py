@@ -137,7 +137,7 @@ FROM tk k LEFT JOIN kept USING ("index") GROUP BY k."index\"""")
 def q_drop_stopwords(spark, sf_dir):
     t = _normed(spark, sf_dir).withColumn("toks", T.drop_short_tokens(T.tokenize("sentence")))
     stop = load_stopwords(stopwords_df(spark), "ro")
-    out = lemmatize_and_filter(by_key(t), "index", "toks", stopwords=stop, out="kept", lower_lemmas=False)
+    out = lemmatize_and_filter(t, "index", "toks", stopwords=stop, out="kept", lower_lemmas=False)
     return out.select("index", T.join_tokens("kept").alias("tokens"))
 
 
@@ -150,7 +150,7 @@ FROM tk k LEFT JOIN tl USING ("index") GROUP BY k."index\"""")
 def q_lemmatize(spark, sf_dir):
     t = _normed(spark, sf_dir).withColumn("toks", T.drop_short_tokens(T.tokenize("sentence")))
     lem = prepare_lemmas(lemmas_df(spark), "ro")
-    out = lemmatize_and_filter(by_key(t), "index", "toks", lemmas=lem, out="lemmas")
+    out = lemmatize_and_filter(t, "index", "toks", lemmas=lem, out="lemmas")
     return out.select("index", T.join_tokens("lemmas").alias("tokens"))
 
 
@@ -169,7 +169,7 @@ def q_dictionary_join(spark, sf_dir):
 @register("process_text", S(_DICTS, O.process_ctes("sentl", "sentence", "pt")) +
           'SELECT "index", t AS sentence FROM pt')
 def q_process_text(spark, sf_dir):
-    t = by_key(_text(spark, sf_dir))
+    t = _text(spark, sf_dir)
     return process_text(t, stopwords=load_stopwords(stopwords_df(spark), "ro"),
                         lemmas=prepare_lemmas(lemmas_df(spark), "ro"))
 
