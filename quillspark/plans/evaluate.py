@@ -33,13 +33,13 @@ def parse_answers(raw: DataFrame, mode: str = "chat", seed_col: str = "run", key
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def test_rows(spark: SparkSession, sf_dir: str, split: str = "test") -> DataFrame:
+def gold_rows(spark: SparkSession, sf_dir: str, split: str = "test") -> DataFrame:
     return filter_split(labelled_sentences(spark, sf_dir), split)
 
 
 def scored_predictions(spark: SparkSession, sf_dir: str, runs: int | Sequence[int] = 1, mode: str = "chat") -> DataFrame:
     """(run, index, domain, label, prediction): fixture answers parsed and aligned."""
-    gold = test_rows(spark, sf_dir).select("index", "domain", "label")
+    gold = gold_rows(spark, sf_dir).select("index", "domain", "label")
     raw = outputs(gold.select("index"), runs if isinstance(runs, int) else list(runs))
     preds = parse_answers(raw, mode).select(F.col("run").cast("int").alias("run"), "index", "prediction")
     return align_predictions(gold, preds, ["index"])

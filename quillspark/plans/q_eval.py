@@ -8,7 +8,7 @@ from quillspark.operators import metrics as M
 from quillspark.operators.align import align_predictions, scatter_results
 from quillspark.operators.annotate import corpus_stats, majority_vote
 from quillspark.plans import oracle as O
-from quillspark.plans.evaluate import parse_answers, scored_predictions, test_rows
+from quillspark.plans.evaluate import parse_answers, scored_predictions, gold_rows
 from quillspark.plans.registry import register
 from quillspark.sources.fixtures import labelled_sentences, outputs, sentences
 
@@ -23,7 +23,7 @@ _PRED_SQL_5 = O.with_sentences(O.outputs_cte(RUNS), O.parsed_cte(),
 @register("parse_chat", O.with_sentences(O.outputs_cte(1), O.parsed_cte()) +
           'SELECT run, "index", output, ans AS answer, prediction FROM pr')
 def q_parse_chat(spark, sf_dir):
-    raw = outputs(test_rows(spark, sf_dir).select("index"), 1)
+    raw = outputs(gold_rows(spark, sf_dir).select("index"), 1)
     return (parse_answers(raw, "chat")
             .select(F.col("run").cast("int").alias("run"), "index", "output", "answer", "prediction"))
 
@@ -48,7 +48,7 @@ FROM pick
 
 @register("parse_completion", _COMPLETION_SQL)
 def q_parse_completion(spark, sf_dir):
-    raw = outputs(test_rows(spark, sf_dir).select("index"), 1)
+    raw = outputs(gold_rows(spark, sf_dir).select("index"), 1)
     return (parse_answers(raw, "completion")
             .select(F.col("run").cast("int").alias("run"), "index", "output", "prediction"))
 
@@ -64,7 +64,7 @@ FROM sentl s LEFT JOIN (SELECT * FROM pr WHERE substr(md5(CAST("index" AS VARCHA
 WHERE s.split = 'test'
 """)
 def q_scatter(spark, sf_dir):
-    gold = test_rows(spark, sf_dir).select("index", "label")
+    gold = gold_rows(spark, sf_dir).select("index", "label")
     preds = parse_answers(outputs(gold.select("index"), 1), "chat").select("index", "prediction")
     # Results arrive unordered and some are missing (here: md5 digit f).
     preds = preds.where(F.substring(F.md5(F.col("index").cast("string")), 1, 1) != "f")
@@ -151,3 +151,24 @@ SELECT split, domain, label, count(*) AS n_sentences, count(DISTINCT news_id) AS
 FROM sentl GROUP BY split, domain, label""")
 def q_corpus_stats(spark, sf_dir):
     return corpus_stats(labelled_sentences(spark, sf_dir))
+
+
+BULK_RUNS = (1, 2)
+
+
+@register("bulk_evaluation", O.with_sentences(O.outputs_cte(len(BULK_RUNS)), O.parsed_cte(),
+    ', preds AS (SELECT p.run, p."index", s.label, p.prediction FROM pr p JOIN sentl s USING ("index"))')
+    + O.weighted_sql("preds", ["run"]).replace(
+        "SELECT run, CAST(sum(sup)", "SELECT 'fixture' AS model, 'sentences' AS data_file, run, CAST(sum(sup)", 1))
+def q_bulk(spark, sf_dir):
+    """The whole job: score (stand-in model) -> raw outputs -> parse -> predictions -> metrics per run."""
+    from quillspark.plans.bulk_eval import RunConfig, run_bulk_evaluation
+    from quillspark.session import scratch_path
+    from quillspark.sources.fixtures import fixture_scorer
+    from quillspark.operators.score import RetryPolicy
+
+    out = scratch_path(spark, "bulk-eval")
+    m = run_bulk_evaluation(spark, gold_rows(spark, sf_dir), fixture_scorer, out, runs=BULK_RUNS,
+                            cfg=RunConfig(model="fixture:latest"), policy=RetryPolicy(base_delay=0.0))
+    return m.select("model", "data_file", F.col("run").cast("int").alias("run"), "n", "accuracy", "precision",
+                    "recall", "f1", "n_invalid")
