@@ -29,10 +29,14 @@ from quillspark.operators import metrics as M
 
 @dataclass(frozen=True)
 class TextClassifierConfig:
-    num_features: int = 1 << 18
+    num_features: int = 1 << 16
     reg_param: float = 0.01
     max_iter: int = 20
     label_field: str = "label"
+    # Each optimiser step tree-aggregates one dense gradient of num_features
+    # doubles per partition: keep the width moderate and deepen the tree for
+    # thousands of partitions.
+    aggregation_depth: int = 2
 
 
 def text_features(df: DataFrame, text_col: str = "sentence") -> DataFrame:
@@ -43,7 +47,8 @@ def text_pipeline(cfg: TextClassifierConfig = TextClassifierConfig()) -> Pipelin
     return Pipeline(stages=[
         HashingTF(inputCol="words", outputCol="tf", numFeatures=cfg.num_features),
         IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="target", regParam=cfg.reg_param, maxIter=cfg.max_iter),
+        LogisticRegression(featuresCol="features", labelCol="target", regParam=cfg.reg_param, maxIter=cfg.max_iter,
+                           aggregationDepth=cfg.aggregation_depth),
     ])
 
 
@@ -78,9 +83,12 @@ def predict(model: PipelineModel, df: DataFrame, label_field: str = "label") ->
 
 
 def metrics_table(pred: DataFrame, keys: Sequence[str] = (), label_field: str = "label") -> DataFrame:
-    """Weighted (A3) and binary (A4) metrics side by side, one row per kind."""
-    w = M.evaluate(pred, keys, label_field, "prediction").drop("n_invalid").withColumn("kind", F.lit("weighted"))
-    b = M.binary_prf(pred, keys, label_field, "prediction").withColumn("kind", F.lit("binary"))
+    """Weighted (A3) and binary (A4) metrics side by side, one row per kind.
+    Both come from one confusion table, so the predictions are computed once
+    (the two branches share, and reuse, the confusion aggregate's exchange)."""
+    conf = M.confusion_counts(pred, keys, label_field, "prediction")
+    w = M.weighted_prf(conf, keys).withColumn("kind", F.lit("weighted"))
+    b = M.binary_from_confusion(conf, keys).withColumn("kind", F.lit("binary"))
     cols = [*keys, "kind", "n", "accuracy", "precision", "recall", "f1"]
     return w.select(*cols).unionByName(b.select(*cols))
 
@@ -92,7 +100,7 @@ def select_best(train: DataFrame, valid: DataFrame, reg_params: Sequence[float],
     scores = []
     best = None
     for reg in reg_params:
-        c = TextClassifierConfig(cfg.num_features, reg, cfg.max_iter, cfg.label_field)
+        c = TextClassifierConfig(cfg.num_features, reg, cfg.max_iter, cfg.label_field, cfg.aggregation_depth)
         model = fit_text_classifier(train, c)
         f1 = M.evaluate(predict(model, valid, cfg.label_field), (), cfg.label_field).first()["f1"]
         scores.append((reg, f1))

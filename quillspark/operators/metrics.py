@@ -99,6 +99,27 @@ def binary_prf(df: DataFrame, keys: Sequence[str] = (), gt: str = "label", pred:
     return _round(out, ("accuracy", "precision", "recall", "f1"), digits)
 
 
+def binary_from_confusion(conf: DataFrame, keys: Sequence[str] = (), positive: int = 1,
+                          digits: int | None = 6) -> DataFrame:
+    """A4 from a confusion table (so A3 and A4 share one pass over the predictions)."""
+    n = F.col("n")
+    out = conf.groupBy(*keys).agg(
+        F.sum(n).alias("n"),
+        F.sum(F.when(F.col("gt") == F.col("pred"), n).otherwise(0)).alias("_ok"),
+        F.sum(F.when((F.col("gt") == positive) & (F.col("pred") == positive), n).otherwise(0)).alias("_tp"),
+        F.sum(F.when(F.col("pred") == positive, n).otherwise(0)).alias("_pp"),
+        F.sum(F.when(F.col("gt") == positive, n).otherwise(0)).alias("_sup"),
+    )
+    out = out.select(
+        *keys, F.col("n").cast("bigint").alias("n"),
+        F.try_divide(F.col("_ok").cast("double"), F.col("n").cast("double")).alias("accuracy"),
+        _ratio(F.col("_tp"), F.col("_pp")).alias("precision"),
+        _ratio(F.col("_tp"), F.col("_sup")).alias("recall"),
+        _ratio(2 * F.col("_tp"), F.col("_pp") + F.col("_sup")).alias("f1"),
+    )
+    return _round(out, ("accuracy", "precision", "recall", "f1"), digits)
+
+
 def invalid_rate(df: DataFrame, keys: Sequence[str] = (), pred: str = "prediction") -> DataFrame:
     """Count and share of -1 (or missing) predictions per group."""
     bad = F.coalesce(F.col(pred), F.lit(-1)) == -1

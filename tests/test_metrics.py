@@ -64,3 +64,12 @@ def test_run_summary(spark):
                               "model string, run int, accuracy double, precision double, recall double, f1 double")
     r = M.run_summary(m).first()
     assert r.n_runs == 2 and r.accuracy_mean == pytest.approx(0.6) and r.f1_std == pytest.approx(0.141421, abs=1e-6)
+
+
+def test_binary_from_confusion_equals_direct(spark):
+    rnd = random.Random(7)
+    rows = [(rnd.choice([0, 1]), rnd.choice([0, 1, -1])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "label int, prediction int")
+    a = M.binary_prf(df).first()
+    b = M.binary_from_confusion(M.confusion_counts(df)).first()
+    assert (a.n, a.accuracy, a.precision, a.recall, a.f1) == (b.n, b.accuracy, b.precision, b.recall, b.f1)
