@@ -37,10 +37,22 @@ def gold_rows(spark: SparkSession, sf_dir: str, split: str = "test") -> DataFram
     return filter_split(labelled_sentences(spark, sf_dir), split)
 
 
-def scored_predictions(spark: SparkSession, sf_dir: str, runs: int | Sequence[int] = 1, mode: str = "chat") -> DataFrame:
-    """(run, index, domain, label, prediction): fixture answers parsed and aligned."""
+def scored_predictions(spark: SparkSession, sf_dir: str, runs: int | Sequence[int] = 1, mode: str = "chat",
+                       align: bool = False) -> DataFrame:
+    """(run, index, domain, label, prediction): fixture answers parsed.
+
+    The stand-in model's answer is a function of (run, index), so it is
+    computed on the gold rows themselves. With ``align`` the answers are
+    built as a separate table and lined up with gold by key (J1), the shape
+    of a real run where answers come back from a scorer's output table.
+    """
     gold = gold_rows(spark, sf_dir).select("index", "domain", "label")
-    raw = outputs(gold.select("index"), runs if isinstance(runs, int) else list(runs))
+    run_list = runs if isinstance(runs, int) else list(runs)
+    if not align:
+        raw = outputs(gold, run_list, carry=("domain", "label"))
+        return parse_answers(raw, mode).select(F.col("run").cast("int").alias("run"), "index", "domain", "label",
+                                               "prediction")
+    raw = outputs(gold.select("index"), run_list)
     preds = parse_answers(raw, mode).select(F.col("run").cast("int").alias("run"), "index", "prediction")
     return align_predictions(gold, preds, ["index"])
 

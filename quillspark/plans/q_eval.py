@@ -55,7 +55,7 @@ def q_parse_completion(spark, sf_dir):
 
 @register("align_predictions", _PRED_SQL_1 + 'SELECT run, "index", domain, label, prediction FROM preds')
 def q_align(spark, sf_dir):
-    return scored_predictions(spark, sf_dir, 1).select("run", "index", "domain", "label", "prediction")
+    return scored_predictions(spark, sf_dir, 1, align=True).select("run", "index", "domain", "label", "prediction")
 
 
 @register("scatter_results", O.with_sentences(O.outputs_cte(1), O.parsed_cte()) + r"""

@@ -134,11 +134,11 @@ def fixture_answer_py(run: int, index: int) -> str:
     return dict(_OUTPUT_CASES).get(digit, _OUTPUT_DEFAULT)
 
 
-def outputs(sent: DataFrame, runs: int | list[int] = 1) -> DataFrame:
-    """outputs(run, index, output) for the given runs of the test stand-in model."""
+def outputs(sent: DataFrame, runs: int | list[int] = 1, carry: tuple[str, ...] = ()) -> DataFrame:
+    """outputs(run, index, output[, carry...]) for the given runs of the test stand-in model."""
     run_list = list(range(1, runs + 1)) if isinstance(runs, int) else list(runs)
     return sent.select(
-        F.explode(F.array(*[F.lit(r) for r in run_list])).alias("run"), "index"
+        F.explode(F.array(*[F.lit(r) for r in run_list])).alias("run"), "index", *carry
     ).withColumn("output", fixture_answer(F.col("run"), F.col("index")))
 
 
