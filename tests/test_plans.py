@@ -1,5 +1,7 @@
 """Plan shape: pruning, pushdown, no Python per row, no cartesian products, one keyed exchange."""
 
+import contextlib
+import io
 import re
 
 from pyspark.sql import functions as F
@@ -15,7 +17,11 @@ BAD = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
 
 
 def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The formatted physical plan, as ``explain`` prints it."""
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue()
 
 
 def test_no_bad_operators(spark):
@@ -31,7 +37,7 @@ def test_preprocess_full_single_keyed_exchange(spark):
     p = plan(E.queries()["preprocess_full"](spark, SMOKE))
     # With an inlined gazetteer the only exchange on the key is the token
     # regroup, after its partial (map-side) aggregate.
-    keyed = set(re.findall(r"Exchange hashpartitioning\(index#\d+L?, \d+\)", p))
+    keyed = set(re.findall(r"hashpartitioning\(index#\d+L?, \d+\)", p))
     assert len(keyed) <= 1
     assert "partial_collect_list" in p
 
@@ -41,7 +47,7 @@ def test_split_filter_prunes_partitions_and_columns(spark):
     write_sentences_parquet(labelled_sentences(spark, SMOKE), path)
     df = filter_split(read_sentences_parquet(spark, path), "test").select("index", "label")
     p = plan(df)
-    assert "PartitionFilters: [isnotnull(split" in p and "(split#" in p
+    assert re.search(r"PartitionFilters: \[isnotnull\(split#\d+\), \(split#\d+ = test\)\]", p)
     assert re.search(r"ReadSchema: struct<index:bigint,label:int>", p)
 
 
