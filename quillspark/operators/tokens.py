@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import fix_diacritics, py_strip
-from quillspark.operators.joins import dictionary_join
+from quillspark.operators.joins import DEFAULT_BROADCAST_ROWS, dictionary_join
 
 
 def load_stopwords(words: DataFrame, lang: str | None = None, col: str = "word") -> DataFrame:
@@ -79,7 +79,8 @@ def token_dictionary(lemmas: DataFrame | None, stopwords: DataFrame | None,
 
 def lemmatize_and_filter(df: DataFrame, id_col: str, tokens_col: str, *, lemmas: DataFrame | None = None,
                          stopwords: DataFrame | None = None, token_stopwords: DataFrame | None = None,
-                         out: str = "tokens", carry: Sequence[str] = (), lower_lemmas: bool = True) -> DataFrame:
+                         out: str = "tokens", carry: Sequence[str] = (), lower_lemmas: bool = True,
+                         max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """T14 + T15 in one explode / join / regroup.
 
     A token is dropped when it is in ``token_stopwords`` (the built-in list of
@@ -98,7 +99,8 @@ def lemmatize_and_filter(df: DataFrame, id_col: str, tokens_col: str, *, lemmas:
         t = t.withColumn("_lemma", F.col("tok")).withColumn("_drop", F.lit(False))
     else:
         d = token_dictionary(lemmas, stopwords, token_stopwords)
-        t = dictionary_join(t, d, "tok", "left", salt_from=F.xxhash64(F.col(id_col), F.col("pos")))
+        t = dictionary_join(t, d, "tok", "left", max_broadcast_rows=max_broadcast_rows,
+                            salt_from=F.xxhash64(F.col(id_col), F.col("pos")))
         t = t.withColumn("_lemma", F.coalesce("_lemma", "tok")).withColumn("_drop", F.coalesce("_drop", F.lit(False)))
     value = F.lower("_lemma") if lower_lemmas else F.col("_lemma")
     keep = F.col("tok").isNotNull() & ~F.col("_drop")
