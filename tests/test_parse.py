@@ -13,28 +13,36 @@ from quillspark.sources.fixtures import LOGITS
 from tests.conftest import one_col
 
 
+MARKER = "RĂSPUNS:"
+
+
 def rule_completion(output, c0, c1):
-    """C4 stated directly: first contained class, else first word; letters only; map."""
-    picked = next((c for c in (c0, c1) if c in output), None)
-    if picked is None:
-        words = output.split()
-        if output and not words:
-            return -1  # the original raises here and falls back to -1
-        picked = words[0] if output else "-1"
-    letters = "".join(ch for ch in picked if ch.isalpha())
-    return 0 if "factual" in letters else 1 if "satiră" in letters else -1
+    """C4 as specified: a contained class in the row's order wins, otherwise the
+    first whitespace-separated word ("-1" for empty text); only letters count."""
+    if c0 in output:
+        word = c0
+    elif c1 in output:
+        word = c1
+    elif output == "":
+        word = "-1"
+    elif not output.strip():
+        return -1  # blank but not empty: the original errors here and falls back to -1
+    else:
+        word = re.match(r"\s*(\S+)", output).group(1)
+    letters = "".join(ch for ch in word if ch.isalpha())
+    if "factual" in letters:
+        return 0
+    return 1 if "satiră" in letters else -1
 
 
 def rule_chat(output, c0, c1):
-    """C5 stated directly."""
-    up = output.upper()
-    i = up.find("RĂSPUNS:")
-    if i >= 0:
-        answer = output[i:].split(":")[1].split("\n")[0].strip()
-    elif output.endswith(":"):
-        answer = ""
+    """C5 as specified: text after the marker up to the first ':' or newline,
+    trimmed; without the marker the whole trimmed output, unless it ends in ':'."""
+    pos = output.upper().find(MARKER)
+    if pos >= 0:
+        answer = re.split(r"[:\n]", output[pos + len(MARKER):], maxsplit=1)[0].strip()
     else:
-        answer = output.strip()
+        answer = "" if output.endswith(":") else output.strip()
     return rule_completion(answer.lower(), c0, c1)
 
 
