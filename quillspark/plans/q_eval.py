@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.operators import metrics as M
-from quillspark.operators.align import align_predictions, scatter_results
+from quillspark.operators.align import scatter_results
 from quillspark.operators.annotate import corpus_stats, majority_vote
 from quillspark.plans import oracle as O
 from quillspark.plans.evaluate import parse_answers, scored_predictions, gold_rows

@@ -11,7 +11,7 @@ from quillspark.operators import metrics as M
 from quillspark.operators.positions import row_index
 from quillspark.operators.tokens import load_stopwords, prepare_lemmas
 from quillspark.plans import oracle as O
-from quillspark.plans.evaluate import parse_answers, scored_predictions
+from quillspark.plans.evaluate import parse_answers
 from quillspark.plans.preprocess import preprocess_full
 from quillspark.plans.q_prompts import sys_sql, user_sql
 from quillspark.plans.q_text import _ANON_SQL, _DICTS
@@ -178,9 +178,7 @@ def q_run_layout(spark, sf_dir):
     """Output folder per (model, run): model = text before the first ':',
     base model = last path segment before ':'."""
     t = labelled_sentences(spark, sf_dir).where(F.col("split") == "test").select("index")
-    t = t.select(F.explode(F.array(*[F.lit(m) for m in LAYOUT_MODELS])).alias("model_name"),
-                 F.explode(F.array(*[F.lit(r) for r in (1, 2)])).alias("run")) if False else \
-        t.select(F.explode(F.array(*[F.lit(m) for m in LAYOUT_MODELS])).alias("model_name")).select(
-            "model_name", F.explode(F.array(F.lit(1), F.lit(2))).alias("run"))
+    t = t.select(F.explode(F.array(*[F.lit(m) for m in LAYOUT_MODELS])).alias("model_name"))
+    t = t.select("model_name", F.explode(F.array(F.lit(1), F.lit(2))).alias("run"))
     t = t.select("model_name", "run", *layout_columns(F.col("model_name"), F.col("run")))
     return t.groupBy("model_name", "run", "model", "base_model", "path").agg(F.count(F.lit(1)).alias("n_rows"))

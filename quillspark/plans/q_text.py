@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -11,7 +10,7 @@ from quillspark.operators.joins import dictionary_join
 from quillspark.operators.positions import row_index
 from quillspark.operators.tokens import explode_tokens, lemmatize_and_filter, load_stopwords, prepare_lemmas
 from quillspark.plans import oracle as O
-from quillspark.plans.preprocess import anonymize, by_key, preprocess_full, process_text
+from quillspark.plans.preprocess import anonymize, preprocess_full, process_text
 from quillspark.plans.registry import register
 from quillspark.sources.fixtures import (
     GAZETTEER, LEMMAS, STOPWORDS, gazetteer_df, labelled_sentences, lemmas_df, stopwords_df,

@@ -1,7 +1,5 @@
 """Bulk evaluation (resume without re-scoring) and the streaming runners."""
 
-import os
-
 from pyspark.sql import functions as F
 
 from quillspark.operators.score import RetryPolicy

@@ -3,8 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from quillspark.operators import metrics as M
 from quillspark.operators.annotate import majority_vote, majority_vote_long
 

@@ -4,10 +4,8 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
-
 from quillspark.functions.parse import (
-    argmax_class, chat_answer, class_from_answer, max_logit_confidence, parse_chat, parse_completion,
+    argmax_class, chat_answer, max_logit_confidence, parse_chat, parse_completion,
 )
 from quillspark.sources.fixtures import LOGITS
 from tests.conftest import one_col

@@ -4,8 +4,6 @@ import contextlib
 import io
 import re
 
-from pyspark.sql import functions as F
-
 import __spark_entry__ as E
 from quillspark.operators.select import filter_split
 from quillspark.session import scratch_path
