@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,34 +79,85 @@ def token_dictionary(lemmas: DataFrame | None, stopwords: DataFrame | None,
     return d.select("tok", "_lemma", drop.alias("_drop"))
 
 
+# Combined dictionaries up to this many entries are applied by a broadcast
+# lookup inside each task (no shuffle); bigger ones by explode / join / regroup.
+LOOKUP_MAX_ENTRIES = 500_000
+
+
 def lemmatize_and_filter(df: DataFrame, id_col: str, tokens_col: str, *, lemmas: DataFrame | None = None,
                          stopwords: DataFrame | None = None, token_stopwords: DataFrame | None = None,
                          out: str = "tokens", carry: Sequence[str] = (), lower_lemmas: bool = True,
+                         strategy: str = "auto", max_lookup_entries: int = LOOKUP_MAX_ENTRIES,
                          max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """T14 + T15 in one explode / join / regroup.
+    """T14 + T15: drop stop words, replace tokens by their lemma.
 
     A token is dropped when it is in ``token_stopwords`` (the built-in list of
     the original; defaults to ``stopwords``) or when its lemma is in
     ``stopwords``. Kept tokens become their lemma, lower-cased. The lemma of a
     token missing from the dictionary is the token itself.
 
-    The regroup is a hash aggregate whose partial step runs before the
-    shuffle: all tokens of a row sit in the same task, so about one row per
-    id crosses the network.
+    ``strategy``:
+
+    * ``"lookup"``: the combined dictionary (size checked first) is broadcast
+      and applied to each row's token array in Arrow batches. Map-only: no
+      shuffle, rows keep their partitioning.
+    * ``"join"``: tokens are exploded, joined to the dictionary (broadcast, or
+      salted above the bound) and regrouped by id. The regroup's partial
+      aggregate collapses each row's tokens before its shuffle.
+    * ``"auto"``: ``lookup`` up to ``max_lookup_entries`` entries, else ``join``.
     """
     if token_stopwords is None:
         token_stopwords = stopwords
-    t = explode_tokens(df, id_col, tokens_col, carry)
     if lemmas is None and stopwords is None and token_stopwords is None:
-        t = t.withColumn("_lemma", F.col("tok")).withColumn("_drop", F.lit(False))
-    else:
-        d = token_dictionary(lemmas, stopwords, token_stopwords)
-        t = dictionary_join(t, d, "tok", "left", max_broadcast_rows=max_broadcast_rows,
-                            salt_from=F.xxhash64(F.col(id_col), F.col("pos")))
-        t = t.withColumn("_lemma", F.coalesce("_lemma", "tok")).withColumn("_drop", F.coalesce("_drop", F.lit(False)))
+        kept = F.transform(tokens_col, lambda t: F.lower(t)) if lower_lemmas else F.col(tokens_col)
+        return df.select(id_col, *carry, F.coalesce(kept, F.array().cast("array<string>")).alias(out))
+    d = token_dictionary(lemmas, stopwords, token_stopwords)
+    if strategy == "auto":
+        strategy = "lookup" if d.count() <= max_lookup_entries else "join"
+    if strategy == "lookup":
+        return _lookup_strategy(df, d, id_col, tokens_col, out, carry, lower_lemmas, max_lookup_entries)
+    if strategy != "join":
+        raise ValueError(f"unknown strategy {strategy!r}")
+    t = explode_tokens(df, id_col, tokens_col, carry)
+    t = dictionary_join(t, d, "tok", "left", max_broadcast_rows=max_broadcast_rows,
+                        salt_from=F.xxhash64(F.col(id_col), F.col("pos")))
+    t = t.withColumn("_lemma", F.coalesce("_lemma", "tok")).withColumn("_drop", F.coalesce("_drop", F.lit(False)))
     value = F.lower("_lemma") if lower_lemmas else F.col("_lemma")
     keep = F.col("tok").isNotNull() & ~F.col("_drop")
     agg = [F.first(c).alias(c) for c in carry]
     regrouped = t.groupBy(id_col).agg(
         *agg, F.collect_list(F.when(keep, F.struct(F.col("pos"), value.alias("v")))).alias("_kept"))
     return regrouped.select(id_col, *carry, F.transform(F.array_sort("_kept"), lambda x: x["v"]).alias(out))
+
+
+def _lookup_strategy(df: DataFrame, d: DataFrame, id_col: str, tokens_col: str, out: str, carry: Sequence[str],
+                     lower_lemmas: bool, max_entries: int) -> DataFrame:
+    """Broadcast dictionary applied per Arrow batch (see ``lemmatize_and_filter``)."""
+    rows = d.limit(max_entries + 1).collect()
+    if len(rows) > max_entries:
+        raise ValueError(f"dictionary has more than {max_entries} entries; use strategy='join'")
+    # {token: (lemma, drop)} with raw lemmas; lower-casing stays a JVM
+    # expression (below) so both strategies give identical text.
+    table = {r["tok"]: (r["_lemma"], bool(r["_drop"])) for r in rows}
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("array<string>")
+    def apply_dictionary(tokens: pd.Series) -> pd.Series:
+        get = shared.value.get
+        result = []
+        for toks in tokens:
+            kept = []
+            if toks is not None:
+                for t in toks:
+                    hit = get(t)
+                    if hit is None:
+                        kept.append(t)
+                    elif not hit[1]:
+                        kept.append(hit[0])
+            result.append(kept)
+        return pd.Series(result)
+
+    kept = apply_dictionary(F.col(tokens_col))
+    if lower_lemmas:
+        kept = F.transform(kept, lambda t: F.lower(t))
+    return df.select(id_col, *carry, kept.alias(out))

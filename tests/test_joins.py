@@ -27,3 +27,18 @@ def test_regroup_with_salted_dictionary(spark):
     got = {r["index"]: r.tokens for r in lemmatize_and_filter(df, "index", "toks", lemmas=lem, stopwords=stop,
                                                               max_broadcast_rows=0).collect()}
     assert got == want == {1: ["alfa", "cccc"], 2: ["cccc"], 3: []}
+
+
+def test_lookup_and_join_strategies_agree(spark):
+    from quillspark.operators.tokens import load_stopwords, prepare_lemmas
+    from quillspark.plans.preprocess import normalize
+    from quillspark.functions import text as T
+    from quillspark.sources.fixtures import labelled_sentences, lemmas_df, stopwords_df
+    from tests.conftest import SMOKE
+
+    t = normalize(labelled_sentences(spark, SMOKE)).withColumn("t", T.drop_short_tokens(T.tokenize("sentence")))
+    kw = dict(lemmas=prepare_lemmas(lemmas_df(spark), "ro"), stopwords=load_stopwords(stopwords_df(spark), "ro"),
+              carry=["split"])
+    a = lemmatize_and_filter(t, "index", "t", strategy="lookup", **kw).collect()
+    b = lemmatize_and_filter(t, "index", "t", strategy="join", **kw).select("index", "split", "tokens").collect()
+    assert len(a) > 100 and sorted(map(tuple, a)) == sorted(map(tuple, b))

@@ -31,13 +31,24 @@ def test_no_bad_operators(spark):
             assert bad not in p, (key, bad)
 
 
-def test_preprocess_full_single_keyed_exchange(spark):
+def test_preprocess_full_is_map_only(spark):
     p = plan(E.queries()["preprocess_full"](spark, SMOKE))
-    # With an inlined gazetteer the only exchange on the key is the token
-    # regroup, after its partial (map-side) aggregate.
-    keyed = set(re.findall(r"hashpartitioning\(index#\d+L?, \d+\)", p))
-    assert len(keyed) <= 1
-    assert "partial_collect_list" in p
+    # Inlined gazetteer + broadcast dictionary lookup: the sentence rows are
+    # never exchanged by key; the only Python is Arrow-batched.
+    assert not re.search(r"hashpartitioning\(index#", p)
+    assert "ArrowEvalPython" in p and "BatchEvalPython" not in p
+
+
+def test_join_strategy_regroups_after_partial_aggregate(spark):
+    from quillspark.functions import text as T
+    from quillspark.operators.tokens import lemmatize_and_filter, load_stopwords, prepare_lemmas
+    from quillspark.sources.fixtures import lemmas_df, stopwords_df
+
+    t = labelled_sentences(spark, SMOKE).withColumn("t", T.tokenize("sentence"))
+    out = lemmatize_and_filter(t, "index", "t", lemmas=prepare_lemmas(lemmas_df(spark), "ro"),
+                               stopwords=load_stopwords(stopwords_df(spark), "ro"), strategy="join")
+    p = plan(out)
+    assert "partial_collect_list" in p and len(set(re.findall(r"hashpartitioning\(index#\d+L?, \d+\)", p))) == 1
 
 
 def test_split_filter_prunes_partitions_and_columns(spark):
