@@ -58,3 +58,20 @@ def test_incremental_scoring(spark):
                             cfg=RunConfig(model="fixture:latest"), policy=NO_WAIT)
     q.awaitTermination(300)
     assert spark.read.parquet(raw).count() == sent.where("split = 'test'").count()
+
+
+def test_label_files_are_in_idx_order(spark):
+    import glob
+
+    from quillspark.sinks import write_label_files
+
+    rows = spark.range(0, 2000).select(
+        F.lit(1).alias("run"), F.col("id").alias("idx"),
+        (F.col("id") % 3 - 1).cast("int").alias("prediction"), (F.col("id") % 2).cast("int").alias("ground_truth"))
+    path = scratch_path(spark, "labels-order")
+    write_label_files(rows.repartition(7), path)
+    lines = []
+    for f in sorted(glob.glob(f"{path}/preds/run=1/part-*")):
+        with open(f) as fh:
+            lines += fh.read().splitlines()
+    assert lines == [str(i % 3 - 1) for i in range(2000)]
