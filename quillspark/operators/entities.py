@@ -82,17 +82,23 @@ INLINE_MAX_SURFACES = 20_000
 
 
 def inline_sets(gazetteer: DataFrame, max_surfaces: int = INLINE_MAX_SURFACES) -> tuple[dict[str, list[str]], int] | None:
-    """Surfaces per label, when the (deduplicated) gazetteer is small enough.
+    """Surfaces per label and the longest surface in tokens, when the
+    (deduplicated) gazetteer is small enough; else None.
 
-    The size is checked with a count before anything is collected, so the
-    driver only ever holds at most ``max_surfaces`` short strings.
+    One bounded read: at most ``max_surfaces + 1`` short rows reach the
+    driver, which is how the size is checked.
     """
-    gaz, max_n = prepare_gazetteer(gazetteer)
-    if gaz.count() > max_surfaces:
+    import regex
+
+    gaz = gazetteer.groupBy("surface").agg(F.min("label").alias("label"))
+    rows = gaz.limit(max_surfaces + 1).collect()
+    if len(rows) > max_surfaces:
         return None
     sets: dict[str, list[str]] = {}
-    for r in gaz.collect():
+    max_n = 1
+    for r in rows:
         sets.setdefault(r["label"], []).append(r["surface"])
+        max_n = max(max_n, len(regex.findall(TOKEN_RE, r["surface"])))
     return sets, max_n
 
 

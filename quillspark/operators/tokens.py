@@ -112,10 +112,14 @@ def lemmatize_and_filter(df: DataFrame, id_col: str, tokens_col: str, *, lemmas:
         kept = F.transform(tokens_col, lambda t: F.lower(t)) if lower_lemmas else F.col(tokens_col)
         return df.select(id_col, *carry, F.coalesce(kept, F.array().cast("array<string>")).alias(out))
     d = token_dictionary(lemmas, stopwords, token_stopwords)
-    if strategy == "auto":
-        strategy = "lookup" if d.count() <= max_lookup_entries else "join"
-    if strategy == "lookup":
-        return _lookup_strategy(df, d, id_col, tokens_col, out, carry, lower_lemmas, max_lookup_entries)
+    if strategy in ("auto", "lookup"):
+        # One bounded read decides and, when small, is the lookup table itself.
+        rows = d.limit(max_lookup_entries + 1).collect()
+        if len(rows) <= max_lookup_entries:
+            return _lookup_strategy(df, rows, id_col, tokens_col, out, carry, lower_lemmas)
+        if strategy == "lookup":
+            raise ValueError(f"dictionary has more than {max_lookup_entries} entries; use strategy='join'")
+        strategy = "join"
     if strategy != "join":
         raise ValueError(f"unknown strategy {strategy!r}")
     t = explode_tokens(df, id_col, tokens_col, carry)
@@ -130,12 +134,9 @@ def lemmatize_and_filter(df: DataFrame, id_col: str, tokens_col: str, *, lemmas:
     return regrouped.select(id_col, *carry, F.transform(F.array_sort("_kept"), lambda x: x["v"]).alias(out))
 
 
-def _lookup_strategy(df: DataFrame, d: DataFrame, id_col: str, tokens_col: str, out: str, carry: Sequence[str],
-                     lower_lemmas: bool, max_entries: int) -> DataFrame:
+def _lookup_strategy(df: DataFrame, rows: list, id_col: str, tokens_col: str, out: str, carry: Sequence[str],
+                     lower_lemmas: bool) -> DataFrame:
     """Broadcast dictionary applied per Arrow batch (see ``lemmatize_and_filter``)."""
-    rows = d.limit(max_entries + 1).collect()
-    if len(rows) > max_entries:
-        raise ValueError(f"dictionary has more than {max_entries} entries; use strategy='join'")
     # {token: (lemma, drop)} with raw lemmas; lower-casing stays a JVM
     # expression (below) so both strategies give identical text.
     table = {r["tok"]: (r["_lemma"], bool(r["_drop"])) for r in rows}
