@@ -43,30 +43,46 @@ def text_features(df: DataFrame, text_col: str = "sentence") -> DataFrame:
     return df.withColumn("words", tokenize(lowercase(text_col)))
 
 
-def text_pipeline(cfg: TextClassifierConfig = TextClassifierConfig()) -> Pipeline:
+def text_pipeline(cfg: TextClassifierConfig = TextClassifierConfig(), weight_col: str | None = None) -> Pipeline:
+    lr = LogisticRegression(featuresCol="features", labelCol="target", regParam=cfg.reg_param, maxIter=cfg.max_iter,
+                            aggregationDepth=cfg.aggregation_depth)
+    if weight_col:
+        lr = lr.setWeightCol(weight_col)
     return Pipeline(stages=[
         HashingTF(inputCol="words", outputCol="tf", numFeatures=cfg.num_features),
         IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="target", regParam=cfg.reg_param, maxIter=cfg.max_iter,
-                           aggregationDepth=cfg.aggregation_depth),
+        lr,
     ])
 
 
+def bootstrap_weight(seed: int, key: str = "index") -> "Column":
+    """Seeded Bayesian-bootstrap weight of a row: Exponential(1) from md5(seed:key).
+
+    Every row takes part (weights are never 0); the seed changes the fit the
+    way a new random seed changes a stochastic trainer, reproducibly.
+    """
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 12), 16, 10)
+    u = (h.cast("double") + 1.0) / float(16 ** 12 + 1)
+    return -F.log(u)
+
+
 def _with_target(df: DataFrame, label_field: str) -> DataFrame:
     return df.withColumn("target", F.col(label_field).cast("double"))
 
 
-def fit_text_classifier(train: DataFrame, cfg: TextClassifierConfig = TextClassifierConfig()) -> PipelineModel:
+def fit_text_classifier(train: DataFrame, cfg: TextClassifierConfig = TextClassifierConfig(),
+                        weight_col: str | None = None) -> PipelineModel:
     """M1 fit on the train rows.
 
     The fit makes several passes (IDF statistics, then the optimiser), so the
     featurised rows are persisted (memory, spilling to disk) for the fit only;
     a lost executor's blocks are recomputed from lineage.
     """
-    feats = _with_target(text_features(train), cfg.label_field).select("words", "target")
+    cols = ["words", "target"] + ([weight_col] if weight_col else [])
+    feats = _with_target(text_features(train), cfg.label_field).select(*cols)
     feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return text_pipeline(cfg).fit(feats)
+        return text_pipeline(cfg, weight_col).fit(feats)
     finally:
         feats.unpersist()
 
