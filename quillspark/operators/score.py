@@ -97,6 +97,9 @@ def score_rows(df: DataFrame, make_scorer: Callable[[], Callable[[dict], object]
     (or ``(output, reasoning)``); ``row`` holds the ``keep`` columns and
     ``prompt``.
     """
+    from quillspark.session import ship_package
+
+    ship_package(df.sparkSession)
     keep = list(keep)
     cols = keep + ([prompt_col] if prompt_col not in keep else [])
     src = df.select(*cols)

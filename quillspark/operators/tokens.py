@@ -137,6 +137,9 @@ def lemmatize_and_filter(df: DataFrame, id_col: str, tokens_col: str, *, lemmas:
 def _lookup_strategy(df: DataFrame, rows: list, id_col: str, tokens_col: str, out: str, carry: Sequence[str],
                      lower_lemmas: bool) -> DataFrame:
     """Broadcast dictionary applied per Arrow batch (see ``lemmatize_and_filter``)."""
+    from quillspark.session import ship_package
+
+    ship_package(df.sparkSession)
     # {token: (lemma, drop)} with raw lemmas; lower-casing stays a JVM
     # expression (below) so both strategies give identical text.
     table = {r["tok"]: (r["_lemma"], bool(r["_drop"])) for r in rows}
