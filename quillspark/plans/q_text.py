@@ -123,7 +123,8 @@ def q_load_stopwords(spark, sf_dir):
     """The normalised list, with how often each word occurs in the corpus."""
     stop = load_stopwords(stopwords_df(spark), "ro")
     toks = _normed(spark, sf_dir).select(F.explode(T.tokenize("sentence")).alias("word"))
-    hits = toks.groupBy("word").agg(F.count(F.lit(1)).alias("n_hits"))
+    # Keep only stop-word tokens (size-checked broadcast semi join) before counting.
+    hits = dictionary_join(toks, stop, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n_hits"))
     return stop.join(hits, "word", "left").select("word", F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
 
 
