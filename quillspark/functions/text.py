@@ -121,9 +121,10 @@ def restore_placeholders(c: Column | str, labels: Iterable[str] = DEFAULT_ENTITY
     With ``keep_all_tags`` the three-letter tags survive as well (they are
     otherwise already gone with the short tokens).
     """
-    out = F.regexp_replace(_c(c), "< >", "")
+    # Literal patterns: plain string replace, no regex engine.
+    out = F.replace(_c(c), F.lit("< >"), F.lit(""))
     for tag in labels:
-        out = F.regexp_replace(out, f"< {tag.lower()} >", f"<{tag}>")
+        out = F.replace(out, F.lit(f"< {tag.lower()} >"), F.lit(f"<{tag}>"))
     if keep_all_tags:
         out = F.regexp_replace(out, "<([a-z]+)>", "<$1>")
     return out
