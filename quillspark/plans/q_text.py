@@ -222,3 +222,13 @@ def q_preprocess_full(spark, sf_dir):
                           stopwords=load_stopwords(stopwords_df(spark), "ro"),
                           lemmas=prepare_lemmas(lemmas_df(spark), "ro"))
     return out.select("index", "news_id", "sentence", "domain", "label_0", "label_1", "label_2", "label", "split")
+
+
+@register("distinct_stopwords", S(_DICTS, f"""
+, tk AS (SELECT unnest({O.toks_sql(O.norm_sql('sentence'))}) AS tok FROM sentl)
+""") + "SELECT DISTINCT tok AS word FROM tk WHERE tok IN (SELECT word FROM stop)")
+def q_distinct_stopwords(spark, sf_dir):
+    """The normalised stop-word set, as it occurs in the corpus (distinct)."""
+    stop = load_stopwords(stopwords_df(spark), "ro")
+    toks = _normed(spark, sf_dir).select(F.explode(T.tokenize("sentence")).alias("word"))
+    return dictionary_join(toks, stop, "word", "left_semi").distinct()
