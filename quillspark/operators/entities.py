@@ -208,3 +208,45 @@ def with_entities(df: DataFrame, gazetteer: DataFrame, id_col: str = "index", te
 def sort_spans_desc(spans: Column) -> Column:
     """Spans by start, descending (the replacement order of the original)."""
     return F.reverse(F.array_sort(spans))
+
+
+# Label names some recognisers use for the default categories (mapped before
+# the label filter, so those entities are masked too).
+MODEL_LABEL_MAP = {"ORGANIZATION": "ORG", "NAT_REL_POL": "NORP", "FACILITY": "FAC"}
+
+def detect_entities_with_model(df: DataFrame, make_recognizer, id_col: str = "index", text_col: str = "sentence",
+                               out: str = "entities", label_map: dict[str, str] | None = None) -> DataFrame:
+    """T2 (b): spans from a user-supplied recogniser, ``df`` plus ``out``.
+
+    ``make_recognizer()`` runs once per task (load the model there) and
+    returns ``fn(texts: list[str]) -> list[list[(start, end, label)]]``, code
+    point offsets, half-open. Rows stream through in Arrow batches; the
+    original row order and every column are kept. Labels are renamed with
+    ``label_map`` and overlapping spans resolved like the gazetteer's.
+    """
+    import pandas as pd
+
+    from quillspark.session import ship_package
+
+    ship_package(df.sparkSession)
+    mapping = dict(MODEL_LABEL_MAP if label_map is None else label_map)
+    from pyspark.sql import types as T
+
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
+                         T.StructField("label", T.StringType())])
+    schema = df.select(id_col, text_col).schema.add("_raw", T.ArrayType(span))
+
+    def run(batches):
+        fn = make_recognizer()
+        for pdf in batches:
+            texts = pdf[text_col].tolist()
+            found = fn([t if t is not None else "" for t in texts])
+            pdf["_raw"] = [
+                [{"start": int(s), "end": int(e), "label": mapping.get(lab, lab)} for s, e, lab in spans]
+                if t is not None else []
+                for t, spans in zip(texts, found)
+            ]
+            yield pdf
+
+    spans = df.select(id_col, text_col).mapInPandas(run, schema).select(id_col, resolve_spans(F.col("_raw")).alias(out))
+    return df.join(spans, id_col, "left")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quillspark.constants import DEFAULT_ENTITY_LABELS
 from quillspark.functions import text as T
-from quillspark.operators.entities import inline_sets, with_entities
+from quillspark.operators.entities import detect_entities_with_model, inline_sets, with_entities
 from quillspark.operators.tokens import lemmatize_and_filter
 
 
@@ -35,7 +35,7 @@ def by_key(df: DataFrame, id_col: str = "index", partitions: int | None = None)
 
 def anonymize(df: DataFrame, gazetteer: DataFrame | None = None, labels: Iterable[str] = DEFAULT_ENTITY_LABELS,
               all_urls: bool = False, id_col: str = "index", text_col: str = "sentence",
-              sets: tuple[dict[str, list[str]], int] | None = None) -> DataFrame:
+              sets: tuple[dict[str, list[str]], int] | None = None, recognizer=None) -> DataFrame:
     """Entity spans -> tags (T2, T1), brands (T3), site names (T4), optionally all URLs (T5).
 
     A small gazetteer is matched inside each row (no shuffle at all); a big
@@ -45,6 +45,9 @@ def anonymize(df: DataFrame, gazetteer: DataFrame | None = None, labels: Iterabl
     if gazetteer is not None:
         df = with_entities(df, gazetteer, id_col, text_col, "_ents", sets=sets)
         df = df.withColumn(text_col, T.mask_spans(text_col, "_ents", labels)).drop("_ents")
+    elif recognizer is not None:
+        df = detect_entities_with_model(df, recognizer, id_col, text_col, "_ents")
+        df = df.withColumn(text_col, T.mask_spans(text_col, "_ents", labels)).drop("_ents")
     df = df.withColumn(text_col, T.mask_brands(text_col))
     df = df.withColumn(text_col, T.mask_site_urls(text_col))
     if all_urls:

@@ -244,3 +244,30 @@ def failing_scorer():
             raise ValueError("connection reset")
         return fixture_answer_py(int(row["run"]), int(row["index"]))
     return fn
+
+
+def gazetteer_recognizer():
+    """A stand-in recogniser model: finds the fixture gazetteer surfaces with a
+    Python regex and reports some labels under a model's own names."""
+    import regex
+
+    model_names = {"ORG": "ORGANIZATION", "NORP": "NAT_REL_POL"}
+    surfaces = sorted({s for s, _ in GAZETTEER}, key=len, reverse=True)
+    label = {}
+    for s, lab in GAZETTEER:
+        label[s] = min(label.get(s, lab), lab)
+    tok = r"[<>]|[\p{L}\p{M}\p{N}]+(?:[-'’][\p{L}\p{M}\p{N}]+)*"
+    pattern = regex.compile(r"(?<![\p{L}\p{M}\p{N}])(?:" + "|".join(regex.escape(s) for s in surfaces) +
+                            r")(?![\p{L}\p{M}\p{N}])")
+
+    def fn(texts):
+        out = []
+        for t in texts:
+            spans = []
+            for m in pattern.finditer(t, overlapped=True):
+                if regex.fullmatch(r"(?:" + tok + r")(?:[^\p{L}\p{M}\p{N}<>]+(?:" + tok + r"))*", m.group(0)):
+                    lab = label[m.group(0)]
+                    spans.append((m.start(), m.end(), model_names.get(lab, lab)))
+            out.append(spans)
+        return out
+    return fn
