@@ -65,8 +65,9 @@ def label_text_ok(label_text: Column, classes: Sequence[str] = (CLASS_0, CLASS_1
 def assert_label_text(df: DataFrame, col: str = "labels", classes: Sequence[str] = (CLASS_0, CLASS_1)) -> DataFrame:
     """P9 (strict): fail the job on the first row whose label text is not a class."""
     ok = label_text_ok(F.col(col), classes)
-    return df.withColumn("_chk", F.assert_true(ok, F.concat(F.lit("Label must be one of the classes, got "),
-                                                            F.coalesce(F.col(col), F.lit("null"))))).drop("_chk")
+    msg = F.concat(F.lit("Label must be one of the classes, got "), F.coalesce(F.col(col), F.lit("null")))
+    # In a filter, not a dropped column: column pruning would remove the check.
+    return df.where(F.assert_true(ok, msg).isNull())
 
 
 def quarantine_label_text(df: DataFrame, col: str = "labels", classes: Sequence[str] = (CLASS_0, CLASS_1)) -> tuple[DataFrame, DataFrame]:
