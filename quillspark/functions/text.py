@@ -96,10 +96,25 @@ def tokenize(c: Column | str) -> Column:
     return F.regexp_extract_all(_c(c), F.lit(TOKEN_RE), 0)
 
 
-def drop_short_tokens(tokens: Column | str, min_len: int = 3, keep: Iterable[str] = KEEP_SHORT_TOKENS) -> Column:
-    """Drop tokens with length <= ``min_len`` except the kept ones."""
+def drop_short_tokens(tokens: Column | str, min_len: int = 3, keep: Iterable[str] = KEEP_SHORT_TOKENS,
+                      keep_tags: Iterable[str] = ()) -> Column:
+    """Drop tokens with length <= ``min_len`` except the kept ones.
+
+    ``keep_tags``: short words also kept when they sit between ``<`` and
+    ``>`` (entity tags such as ``< gpe >``). Neighbours come from shifted
+    copies zipped with the array, so the lambda reads only its own element.
+    """
     keep = list(keep)
-    return F.filter(_c(tokens), lambda t: (F.length(t) > min_len) | t.isin(*keep))
+    tags = [t.lower() for t in keep_tags]
+    toks = _c(tokens)
+    if not tags:
+        return F.filter(toks, lambda t: (F.length(t) > min_len) | t.isin(*keep))
+    prev = F.concat(F.array(F.lit(None).cast("string")), toks)
+    nxt = F.concat(F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
+    zipped = F.arrays_zip(toks.alias("t"), prev.alias("p"), nxt.alias("n"))
+    kept = F.filter(zipped, lambda z: (F.length(z["t"]) > min_len) | z["t"].isin(*keep) |
+                    (z["t"].isin(*tags) & (z["p"] == "<") & (z["n"] == ">")))
+    return F.transform(kept, lambda z: z["t"])
 
 
 def drop_listed_tokens(tokens: Column | str, words: Iterable[str]) -> Column:
@@ -115,18 +130,16 @@ def join_tokens(tokens: Column | str, sep: str = " ") -> Column:
     return F.array_join(_c(tokens), sep)
 
 
-def restore_placeholders(c: Column | str, labels: Iterable[str] = DEFAULT_ENTITY_LABELS, keep_all_tags: bool = False) -> Column:
+def restore_placeholders(c: Column | str, labels: Iterable[str] = DEFAULT_ENTITY_LABELS) -> Column:
     """Drop ``< >``, then ``< person >`` -> ``<PERSON>`` for each label.
 
-    With ``keep_all_tags`` the three-letter tags survive as well (they are
-    otherwise already gone with the short tokens).
+    The three-letter tags (GPE, ORG, LOC, FAC) only reach this step when the
+    short-token filter kept them (``drop_short_tokens(keep_tags=...)``).
     """
     # Literal patterns: plain string replace, no regex engine.
     out = F.replace(_c(c), F.lit("< >"), F.lit(""))
     for tag in labels:
         out = F.replace(out, F.lit(f"< {tag.lower()} >"), F.lit(f"<{tag}>"))
-    if keep_all_tags:
-        out = F.regexp_replace(out, "<([a-z]+)>", "<$1>")
     return out
 
 

@@ -72,13 +72,15 @@ def process_text(df: DataFrame, *, stopwords: DataFrame | None = None, lemmas: D
     df = df.withColumn("_null_text", F.col(text_col).isNull())
     carry: Sequence[str] = [c for c in df.columns if c not in (id_col, text_col)]
     df = normalize(df, text_col, upper_diacritics)
-    df = df.withColumn("_tok", T.drop_short_tokens(T.tokenize(text_col), min_len))
+    labels = list(labels)
+    tags = labels if keep_all_tags else ()
+    df = df.withColumn("_tok", T.drop_short_tokens(T.tokenize(text_col), min_len, keep_tags=tags))
     if stopwords is None and lemmas is None and token_stopwords is None:
         out = df.withColumn("_tok2", F.col("_tok"))
     else:
         out = lemmatize_and_filter(df, id_col, "_tok", lemmas=lemmas, stopwords=stopwords,
                                    token_stopwords=token_stopwords, out="_tok2", carry=carry)
-    restored = T.restore_placeholders(T.join_tokens("_tok2"), labels, keep_all_tags)
+    restored = T.restore_placeholders(T.join_tokens("_tok2"), labels)
     # A null sentence stays null (the original would fail on it).
     out = out.withColumn(text_col, F.when(~F.col("_null_text"), restored))
     return out.select(id_col, text_col, *[c for c in carry if c != "_null_text"])

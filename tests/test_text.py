@@ -67,9 +67,17 @@ def test_restore_gpe_vanishes_person_restored(spark):
     text = "<PERSON> merge la <GPE> cu <NORP>"
     got = col(spark, [text], lambda c: T.restore_placeholders(T.join_tokens(T.drop_short_tokens(T.tokenize(T.lowercase(c))))))
     assert got == ["<PERSON> merge  <NORP>"]
-    kept = col(spark, [text], lambda c: T.restore_placeholders(
-        T.join_tokens(T.drop_short_tokens(T.tokenize(T.lowercase(c)), 2)), keep_all_tags=True))
-    assert kept == ["<PERSON> merge <GPE> <NORP>"]
+    tags = ["PERSON", "NORP", "GPE", "ORG", "LOC", "FAC"]
+    kept = col(spark, [text + " gpe la"], lambda c: T.restore_placeholders(
+        T.join_tokens(T.drop_short_tokens(T.tokenize(T.lowercase(c)), keep_tags=tags))))
+    assert kept == ["<PERSON> merge <GPE> <NORP>"]  # a bare "gpe" word is still short and dropped
+
+
+def test_process_text_keep_all_tags(spark):
+    df = spark.createDataFrame([(1, "Ana merge la <GPE> cu <ORG> astazi")], "index long, sentence string")
+    default = process_text(df).first().sentence
+    kept = process_text(df, keep_all_tags=True).first().sentence
+    assert default == "merge   astazi" and kept == "merge <GPE> <ORG> astazi"
 
 
 def test_mask_spans_right_to_left_equivalent(spark):
