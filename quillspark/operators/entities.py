@@ -151,12 +151,24 @@ def add_entity_spans_inline(df: DataFrame, text_col: str, sets: dict[str, list[s
                                               label_of(g["surface"]).alias("label"))),
         lambda g: g["label"].isNotNull()))
 
-    def span(h: Column) -> Column:
-        start = (F.length(F.array_join(F.slice(toks, F.lit(1), h["i"]), "")) +
-                 F.length(F.array_join(F.slice(seps, F.lit(1), h["i"] + 1), "")))
-        return F.struct(start.alias("start"), (start + F.length(h["surface"])).alias("end"), h["label"].alias("label"))
-
-    st = st.withColumn(out, resolve_spans(F.transform(F.col("_hits"), span)))
+    # Offsets of the hits (in token order) with a running sum: each step adds
+    # the characters between the previous hit's token and this one, so a row
+    # costs O(tokens + hits) however many hits it has.
+    def between(a: Column, b: Column) -> Column:
+        """Characters of separators and tokens a .. b-1 (0-based, b >= a)."""
+        return (F.length(F.array_join(F.slice(seps, a + 1, b - a), "")) +
+                F.length(F.array_join(F.slice(toks, a + 1, b - a), "")))
+
+    init = F.struct(F.lit(0).alias("pi"), F.lit(0).alias("pp"), F.array().cast(SPAN_TYPE).alias("spans"))
+
+    def step(acc: Column, h: Column) -> Column:
+        pp = acc["pp"] + between(acc["pi"], h["i"])
+        start = pp + F.length(seps[h["i"]])
+        span = F.struct(start.alias("start"), (start + F.length(h["surface"])).alias("end"), h["label"].alias("label"))
+        return F.struct(h["i"].alias("pi"), pp.alias("pp"), F.array_append(acc["spans"], span).alias("spans"))
+
+    spans = F.aggregate(F.col("_hits"), init, step, lambda acc: acc["spans"])
+    st = st.withColumn(out, resolve_spans(spans))
     return st.drop("_toks", "_seps", "_starts", "_hits")
 
 
