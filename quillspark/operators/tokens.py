@@ -88,7 +88,7 @@ def lemmatize_and_filter(df: DataFrame, id_col: str, tokens_col: str, *, lemmas:
                          stopwords: DataFrame | None = None, token_stopwords: DataFrame | None = None,
                          out: str = "tokens", carry: Sequence[str] = (), lower_lemmas: bool = True,
                          strategy: str = "auto", max_lookup_entries: int = LOOKUP_MAX_ENTRIES,
-                         max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                         max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, lookup_rows: list | None = None) -> DataFrame:
     """T14 + T15: drop stop words, replace tokens by their lemma.
 
     A token is dropped when it is in ``token_stopwords`` (the built-in list of
@@ -105,7 +105,12 @@ def lemmatize_and_filter(df: DataFrame, id_col: str, tokens_col: str, *, lemmas:
       salted above the bound) and regrouped by id. The regroup's partial
       aggregate collapses each row's tokens before its shuffle.
     * ``"auto"``: ``lookup`` up to ``max_lookup_entries`` entries, else ``join``.
+
+    ``lookup_rows``: the result of ``prepare_lookup`` when already read (e.g.
+    once for all micro-batches of a stream).
     """
+    if lookup_rows is not None:
+        return _lookup_strategy(df, lookup_rows, id_col, tokens_col, out, carry, lower_lemmas)
     if token_stopwords is None:
         token_stopwords = stopwords
     if lemmas is None and stopwords is None and token_stopwords is None:
@@ -134,6 +139,17 @@ def lemmatize_and_filter(df: DataFrame, id_col: str, tokens_col: str, *, lemmas:
     return regrouped.select(id_col, *carry, F.transform(F.array_sort("_kept"), lambda x: x["v"]).alias(out))
 
 
+def prepare_lookup(lemmas: DataFrame | None, stopwords: DataFrame | None, token_stopwords: DataFrame | None = None,
+                   max_entries: int = LOOKUP_MAX_ENTRIES) -> list | None:
+    """The combined dictionary rows for the lookup strategy, or None when it is
+    bigger than ``max_entries`` (one bounded read)."""
+    if lemmas is None and stopwords is None and token_stopwords is None:
+        return None
+    d = token_dictionary(lemmas, stopwords, token_stopwords if token_stopwords is not None else stopwords)
+    rows = d.limit(max_entries + 1).collect()
+    return rows if len(rows) <= max_entries else None
+
+
 def _lookup_strategy(df: DataFrame, rows: list, id_col: str, tokens_col: str, out: str, carry: Sequence[str],
                      lower_lemmas: bool) -> DataFrame:
     """Broadcast dictionary applied per Arrow batch (see ``lemmatize_and_filter``)."""

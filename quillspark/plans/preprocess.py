@@ -66,7 +66,7 @@ def normalize(df: DataFrame, text_col: str = "sentence", upper_diacritics: bool
 def process_text(df: DataFrame, *, stopwords: DataFrame | None = None, lemmas: DataFrame | None = None,
                  token_stopwords: DataFrame | None = None, labels: Iterable[str] = DEFAULT_ENTITY_LABELS,
                  min_len: int = 3, keep_all_tags: bool = False, upper_diacritics: bool = False,
-                 id_col: str = "index", text_col: str = "sentence") -> DataFrame:
+                 id_col: str = "index", text_col: str = "sentence", lookup_rows: list | None = None) -> DataFrame:
     """Normalise, tokenise, drop short tokens, drop stop words, lemmatise,
     join and restore the entity tags; ``text_col`` is replaced, other columns kept."""
     df = df.withColumn("_null_text", F.col(text_col).isNull())
@@ -79,7 +79,7 @@ def process_text(df: DataFrame, *, stopwords: DataFrame | None = None, lemmas: D
         out = df.withColumn("_tok2", F.col("_tok"))
     else:
         out = lemmatize_and_filter(df, id_col, "_tok", lemmas=lemmas, stopwords=stopwords,
-                                   token_stopwords=token_stopwords, out="_tok2", carry=carry)
+                                   token_stopwords=token_stopwords, out="_tok2", carry=carry, lookup_rows=lookup_rows)
     restored = T.restore_placeholders(T.join_tokens("_tok2"), labels)
     # A null sentence stays null (the original would fail on it).
     out = out.withColumn(text_col, F.when(~F.col("_null_text"), restored))
@@ -89,7 +89,8 @@ def process_text(df: DataFrame, *, stopwords: DataFrame | None = None, lemmas: D
 def preprocess_full(df: DataFrame, *, gazetteer: DataFrame | None = None, stopwords: DataFrame | None = None,
                     lemmas: DataFrame | None = None, labels: Iterable[str] = DEFAULT_ENTITY_LABELS,
                     all_urls: bool = False, partitions: int | None = None, id_col: str = "index",
-                    text_col: str = "sentence", **kw) -> DataFrame:
+                    text_col: str = "sentence", sets: tuple[dict[str, list[str]], int] | None = None,
+                    **kw) -> DataFrame:
     """T6 then T18 over the whole table.
 
     The rows are hash-partitioned by the key up front only for a gazetteer
@@ -97,7 +98,8 @@ def preprocess_full(df: DataFrame, *, gazetteer: DataFrame | None = None, stopwo
     exchange). The token regroup alone does not need it: its partial
     aggregate collapses each row's tokens before the shuffle.
     """
-    sets = inline_sets(gazetteer) if gazetteer is not None else None
+    if sets is None and gazetteer is not None:
+        sets = inline_sets(gazetteer)
     if gazetteer is not None and sets is None:
         df = by_key(df, id_col, partitions)
     df = anonymize(df, gazetteer, labels, all_urls, id_col, text_col, sets=sets)

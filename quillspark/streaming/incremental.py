@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from quillspark.operators.entities import inline_sets
+from quillspark.operators.tokens import prepare_lookup
 from quillspark.plans.bulk_eval import RunConfig, prompts_for_runs, score_pending
 from quillspark.plans.preprocess import preprocess_full
 
@@ -38,9 +40,20 @@ def sentence_stream(spark: SparkSession, source_dir: str, schema: StructType, ma
 def incremental_preprocess(spark: SparkSession, source_dir: str, schema: StructType, out_dir: str,
                            checkpoint_dir: str, *, available_now: bool = True, max_files: int | None = None,
                            **preprocess_kw) -> StreamingQuery:
-    """T19 over each micro-batch, written to ``out_dir/batch_id=N`` (idempotent on replay)."""
+    """T19 over each micro-batch, written to ``out_dir/batch_id=N`` (idempotent on replay).
+
+    The gazetteer sets and the dictionary table are read once, before the
+    stream starts, not once per batch.
+    """
+    kw = dict(preprocess_kw)
+    gaz = kw.get("gazetteer")
+    if gaz is not None and "sets" not in kw:
+        kw["sets"] = inline_sets(gaz)
+    if "lookup_rows" not in kw and (kw.get("lemmas") is not None or kw.get("stopwords") is not None):
+        kw["lookup_rows"] = prepare_lookup(kw.get("lemmas"), kw.get("stopwords"), kw.get("token_stopwords"))
+
     def process(batch: DataFrame, batch_id: int) -> None:
-        out = preprocess_full(batch, **preprocess_kw)
+        out = preprocess_full(batch, **kw)
         out.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
     w = sentence_stream(spark, source_dir, schema, max_files).writeStream.foreachBatch(process)
