@@ -24,6 +24,10 @@ def dense_position(df: DataFrame, bucket: Column, order: Sequence[Column | str],
     keys = list(partition_by)
     b = df.withColumn("_bkt", bucket)
     counts = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
+    # The offset window runs over the bucket-count table, whose size is the
+    # number of buckets (bounded by the caller: <= 10k quantile buckets per
+    # key, or 65,536 hash buckets), never over the data rows. Without keys it
+    # is one small task by design.
     before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bkt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
     within = Window.partitionBy(*keys, "_bkt").orderBy(*order)
