@@ -1,14 +1,22 @@
-"""Dictionary entity recognition (T2) and span resolution.
-
-A recogniser model is not available here, so entities come from a gazetteer
-``(surface, label)``, matched exactly (case-sensitive) against token n-grams
-of the original text, with code-point offsets. Overlaps are resolved
-leftmost first, then longest, never overlapping.
-
-Offsets are computed linearly: tokens and the separators between them are
-exploded with their position, and a running sum over each row's tokens gives
-the end offset. N-gram surfaces are rebuilt with ``lead`` over the same
-window, so the text itself is never copied per token.
+"""Entity recognition (T2) and span resolution.
+
+Three ways to get entity spans, all giving half-open code-point offsets of
+the original text, resolved leftmost first, then longest, never overlapping:
+
+* gazetteer ``(surface, label)`` of checked, bounded size: matched inside
+  each row (``add_entity_spans_inline``): hashed literal sets, n-grams only
+  at tokens that start a surface, offsets by a running sum over the hits.
+  No shuffle.
+* bigger gazetteer (``detect_entities_joined``): tokens and separators are
+  exploded with their position, a running-sum window per row gives offsets,
+  n-grams come from ``lead`` over the same window (the text is never copied
+  per token), and the n-grams are joined to the gazetteer (broadcast when
+  its size allows, salted otherwise), then regrouped by row.
+* a recogniser model (``detect_entities_with_model``): a user factory run
+  once per task in ``mapInPandas``; its label names are mapped onto the
+  default set.
+
+Gazetteer matches are exact and case-sensitive on token n-grams.
 """
 
 from __future__ import annotations
