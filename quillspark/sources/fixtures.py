@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import SENTENCE_RE
-from quillspark.sources.tables import read_table
+from quillspark.sources.tables import read_table, spread_small_input
 
 # Sentence key: doc_id * SENTENCE_KEY_STRIDE + position in the document.
 SENTENCE_KEY_STRIDE = 100000
@@ -29,20 +29,6 @@ def _key(c: Column) -> Column:
     return c.cast("string")
 
 
-def spread_small_input(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that has fewer files than task slots.
-
-    A file holding one row group is read by one task however many splits it
-    is cut into, so all text work before the first exchange would run in one
-    task. Big inputs (many files) are left as they are: no extra shuffle.
-    """
-    spark = df.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= slots:
-        return df
-    return df.repartition(slots * 2, key)
-
-
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """index, news_id, sentence, domain, label_0..2, split (no majority label)."""
     docs = spread_small_input(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.sources.tables import spread_small_input
+
 SENTENCE_SCHEMA = T.StructType([
     T.StructField("index", T.LongType()),
     T.StructField("news_id", T.LongType()),
@@ -40,13 +42,20 @@ def _csv_options(null_value: str | None = None) -> dict[str, str]:
 
 def read_sentences_csv(spark: SparkSession, path: str, schema: T.StructType = SENTENCE_SCHEMA,
                        null_value: str | None = None) -> DataFrame:
-    """Typed read (no schema inference); a missing path is an error naming it."""
+    """Typed read (no schema inference); a missing path is an error naming it.
+
+    Multi-line CSV cannot be split, so each file is read by one task; when
+    there are fewer files than task slots the rows are hash-spread by
+    ``index`` right after the read. For large inputs write the table once as
+    parquet (``write_sentences_parquet``) and read that instead.
+    """
     if "://" not in path and not os.path.exists(path):
         parent = os.path.dirname(path) or "."
         listing = sorted(os.listdir(parent)) if os.path.isdir(parent) else []
         raise FileNotFoundError(f"dataset not found at {path}; available in {parent}: {listing[:20]}")
     # enforceSchema=false: the header names must match the schema (no silent positional mix-up).
-    return spark.read.schema(schema).options(**_csv_options(null_value)).option("enforceSchema", "false").csv(path)
+    df = spark.read.schema(schema).options(**_csv_options(null_value)).option("enforceSchema", "false").csv(path)
+    return spread_small_input(df, "index") if "index" in df.columns else df
 
 
 def write_sentences_csv(df: DataFrame, path: str) -> None:
