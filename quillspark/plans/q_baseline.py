@@ -10,7 +10,7 @@ from quillspark.operators import metrics as M
 from quillspark.operators.positions import row_index
 from quillspark.operators.select import filter_split
 from quillspark.plans.registry import register
-from quillspark.session import scratch_path
+from quillspark.session import materialize, scratch_path
 from quillspark.sinks import write_predictions
 from quillspark.sources.fixtures import labelled_sentences
 from quillspark.sources.tables import read_table
@@ -45,7 +45,7 @@ def q_frozen_probe(spark, sf_dir):
 @register("select_best_checkpoint")
 def q_select_best(spark, sf_dir):
     """M3: candidates chosen on validation; the chosen one scores test once."""
-    train, valid, test = _splits(spark, sf_dir)
+    train, valid, test = (materialize(d) for d in _splits(spark, sf_dir))
     best, scores = ML.select_best(train, valid, REG_GRID)
     test_m = M.evaluate(ML.predict(best, test), ()).first()
     best_reg = max(scores, key=lambda s: s[1])[0]
@@ -85,6 +85,7 @@ def q_repeat_seeds(spark, sf_dir):
     """M5: one fit per seed over all training rows (seeded bootstrap weights),
     one metrics row per run."""
     train, _, test = _splits(spark, sf_dir)
+    train, test = materialize(train), materialize(test)
     parts = []
     for seed in SEEDS:
         model = ML.fit_text_classifier(train.withColumn("w", ML.bootstrap_weight(seed)), weight_col="w")

@@ -83,3 +83,14 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, base))
     sc.addPyFile(zpath)
     _SHIPPED.add(app)
+
+
+def materialize(df):
+    """Cut the lineage: a reliable checkpoint into the shared checkpoint folder.
+
+    Used before loops that read the same derived rows many times (one fit per
+    seed or per candidate); a lost executor then re-reads the checkpoint
+    instead of recomputing the whole upstream plan.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
