@@ -138,7 +138,7 @@ def q_sink_label_files(spark, sf_dir):
     back = None
     for kind in ("preds", "gt"):
         part = (spark.read.option("lineSep", "\n").option("basePath", f"{path}/{kind}").text(f"{path}/{kind}")
-                .withColumn("_f", F.input_file_name()))
+                .withColumn("_f", F.col("_metadata.file_path")))
         back = part if back is None else back.unionByName(part)
     back = back.select(
         F.regexp_extract("_f", r"/(preds|gt)/", 1).alias("kind"),
