@@ -78,8 +78,13 @@ def seeded_hash(seed: int | Column, key: Column | str) -> Column:
 def sample_exact_n(df: DataFrame, n: int, seed: int, key: str = "index", check: bool = True) -> DataFrame:
     """Exactly ``n`` rows without replacement, chosen by the seeded hash of
     ``key`` (ties by key); ``n <= 0`` keeps every row; ``n`` above the row
-    count is an error. Buckets are the first 4 hex digits of the hash, which
-    are uniform, so no bucket is hot."""
+    count is an error. ``key`` must be unique.
+
+    Only the keys are ranked: buckets are the first 4 hex digits of the hash
+    (uniform, so no bucket is hot), positions come per bucket, and the ``n``
+    chosen keys are semi-joined back (size-checked broadcast, salted above
+    the bound), so wide rows never cross the network.
+    """
     if n <= 0:
         return df
     if check:
@@ -88,5 +93,7 @@ def sample_exact_n(df: DataFrame, n: int, seed: int, key: str = "index", check:
             raise ValueError(f"cannot select {n} rows without replacement from {total}")
     h = seeded_hash(seed, key)
     bucket = F.conv(F.substring(h, 1, 4), 16, 10).cast("int")
-    ranked = dense_position(df.withColumn("_h", h), bucket, [F.col("_h"), F.col(key)], (), "_rank")
-    return ranked.where(F.col("_rank") < n).drop("_h", "_rank")
+    keys = df.select(key).withColumn("_h", h)
+    ranked = dense_position(keys, bucket, [F.col("_h"), F.col(key)], (), "_rank")
+    chosen = ranked.where(F.col("_rank") < n).select(key)
+    return dictionary_join(df, chosen, key, "left_semi", salt_from=F.xxhash64(F.col(key)))
