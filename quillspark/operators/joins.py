@@ -12,7 +12,7 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 
 def dictionary_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner",
                     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, salt_buckets: int = 16,
-                    salt_from: Column | None = None) -> DataFrame:
+                    salt_from: Column | None = None, known_rows: int | None = None) -> DataFrame:
     """Join a row table to a dictionary (word -> value) on ``on``.
 
     The dictionary is counted first (a small job over a small table); under
@@ -20,11 +20,15 @@ def dictionary_join(big: DataFrame, small: DataFrame, on: str | list[str], how:
     it, each dictionary row is replicated ``salt_buckets`` times and the big
     side picks a bucket from ``salt_from`` (a stable per-row key), so one
     frequent word is spread over many tasks instead of one.
+
+    ``known_rows``: an upper bound on the small side's rows that the caller
+    has proven (e.g. exactly n sampled keys); no count job is run then.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_outer", "left_anti", "left_semi"):
         raise ValueError(f"unsupported join type {how!r}")
-    if small.count() <= max_broadcast_rows:
+    rows = known_rows if known_rows is not None else small.count()
+    if rows <= max_broadcast_rows:
         return big.join(F.broadcast(small), keys, how)
     if salt_from is None:
         salt_from = F.xxhash64(*[F.col(k) for k in big.columns])
