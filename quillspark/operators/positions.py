@@ -18,9 +18,10 @@ from quillspark.operators.joins import dictionary_join
 
 
 def dense_position(df: DataFrame, bucket: Column, order: Sequence[Column | str], partition_by: Sequence[str] = (),
-                   out: str = "pos") -> DataFrame:
+                   out: str = "pos", max_buckets: int | None = None) -> DataFrame:
     """Add ``out`` = 0-based position of each row within ``partition_by`` when
-    sorted by ``order``. ``bucket`` must be non-decreasing in that order."""
+    sorted by ``order``. ``bucket`` must be non-decreasing in that order.
+    ``max_buckets``: a proven bound on the offset table (saves its count)."""
     keys = list(partition_by)
     b = df.withColumn("_bkt", bucket)
     counts = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -31,7 +32,7 @@ def dense_position(df: DataFrame, bucket: Column, order: Sequence[Column | str],
     before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bkt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
     within = Window.partitionBy(*keys, "_bkt").orderBy(*order)
-    return (dictionary_join(b, offsets, keys + ["_bkt"], "inner")
+    return (dictionary_join(b, offsets, keys + ["_bkt"], "inner", known_rows=max_buckets)
             .withColumn(out, (F.col("_off") + F.row_number().over(within) - 1).cast("bigint"))
             .drop("_bkt", "_off"))
 
@@ -94,7 +95,7 @@ def sample_exact_n(df: DataFrame, n: int, seed: int, key: str = "index", check:
     h = seeded_hash(seed, key)
     bucket = F.conv(F.substring(h, 1, 4), 16, 10).cast("int")
     keys = df.select(key).withColumn("_h", h)
-    ranked = dense_position(keys, bucket, [F.col("_h"), F.col(key)], (), "_rank")
+    ranked = dense_position(keys, bucket, [F.col("_h"), F.col(key)], (), "_rank", max_buckets=1 << 16)
     chosen = ranked.where(F.col("_rank") < n).select(key)
     # At most n keys are chosen: a proven bound, so no count job.
     return dictionary_join(df, chosen, key, "left_semi", salt_from=F.xxhash64(F.col(key)), known_rows=n)
