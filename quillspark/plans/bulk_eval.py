@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import prompts as B
 from quillspark.operators import metrics as M
+from quillspark.operators.positions import row_index
 from quillspark.operators.score import RetryPolicy, pending_rows, score_rows
 from quillspark.plans.evaluate import parse_answers
 from quillspark.sinks import write_metrics, write_predictions
@@ -78,8 +79,11 @@ def run_bulk_evaluation(spark: SparkSession, gold: DataFrame, make_scorer: Calla
     aligned = parsed.select("model", F.col("run").cast("int").alias("run"), "index", pred.alias("prediction"),
                             "output", "reasoning", "sent_prompt").join(
         todo.select("model", "run", "index", "label", "sentence", "prompt_json"), list(KEYS), "inner")
+    # idx = 0-based position in the evaluated rows, ordered by key.
+    positions = row_index(gold.select("index").withColumn("_all", F.lit(1)), ("_all",), "index", out="idx").drop("_all")
+    aligned = aligned.join(positions, "index", "inner")
     rows = aligned.select(
-        F.lit(cfg.model).alias("model_name"), "run", F.col("index").alias("idx"), "sentence",
+        F.lit(cfg.model).alias("model_name"), "run", "idx", "sentence",
         F.when(F.col("sent_prompt") == "", F.lit("")).otherwise(F.col("prompt_json")).alias("prompt"),
         F.col("label").alias("ground_truth"), "prediction", F.col("output").alias("llm_output"),
         F.col("reasoning").alias("llm_reasoning"))

@@ -75,3 +75,11 @@ def test_label_files_are_in_idx_order(spark):
         with open(f) as fh:
             lines += fh.read().splitlines()
     assert lines == [str(i % 3 - 1) for i in range(2000)]
+
+
+def test_bulk_predictions_idx_is_position(spark):
+    gold = gold_rows(spark, SMOKE)
+    out = scratch_path(spark, "bulk-idx")
+    run_bulk_evaluation(spark, gold, fixture_scorer, out, runs=[1], cfg=RunConfig(model="fixture:latest"), policy=NO_WAIT)
+    idx = sorted(r.idx for r in spark.read.parquet(f"{out}/predictions").select("idx").collect())
+    assert idx == list(range(gold.count()))
