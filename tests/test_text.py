@@ -42,7 +42,7 @@ def test_emails_also_remove_url_placeholder(spark):
 WS = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1f", "\x85", " ", " ", " ", "　"]
 
 
-@settings(max_examples=40, deadline=None)
+@settings(max_examples=40, deadline=None, derandomize=True)
 @given(st.lists(st.lists(st.sampled_from(WS + list("ab@.") + ["​"]), max_size=15).map("".join),
                 min_size=25, max_size=25))
 def test_email_and_whitespace_match_python(spark, texts):
