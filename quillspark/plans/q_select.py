@@ -56,12 +56,37 @@ def q_project(spark, sf_dir):
     return P.project_columns(P.filter_split(_sent(spark, sf_dir)), ["index", "sentence", "label"])
 
 
-@register("preview_head", S() + """
-SELECT string_agg(sentence, chr(10) || chr(10) || '====' || chr(10) || chr(10) ORDER BY "index") AS preview,
-       count(*) AS n
-FROM (SELECT "index", sentence FROM sentl ORDER BY "index" LIMIT 10)""")
+def _preview_sql() -> str:
+    from quillspark.plans.q_text import _ANON_SQL, _DICTS
+
+    sep = "chr(10) || chr(10) || '====' || chr(10) || chr(10)"
+    return (_ANON_SQL + _DICTS + O.process_ctes("an", "sentence", "pf") + f"""
+, head AS (SELECT "index", sentence FROM sentl ORDER BY "index" LIMIT 10)
+SELECT (SELECT string_agg(sentence, {sep} ORDER BY "index") FROM head) AS preview,
+       (SELECT string_agg(pf.t, {sep} ORDER BY pf."index") FROM pf JOIN head USING ("index")) AS preview_after,
+       (SELECT count(*) FROM head) AS n""")
+
+
+@register("preview_head", _preview_sql())
 def q_preview(spark, sf_dir):
-    return P.preview_head(_sent(spark, sf_dir), "sentence", 10)
+    """The first 10 sentences, before and after preprocessing."""
+    from quillspark.operators.tokens import load_stopwords, prepare_lemmas
+    from quillspark.plans.preprocess import preprocess_full
+    from quillspark.sources.fixtures import gazetteer_df, lemmas_df, stopwords_df
+
+    sent = _sent(spark, sf_dir)
+    # Processing is per row, so the first 10 rows are taken first, then processed.
+    head = sent.orderBy("index").limit(10)
+    after = preprocess_full(head, gazetteer=gazetteer_df(spark), stopwords=load_stopwords(stopwords_df(spark), "ro"),
+                            lemmas=prepare_lemmas(lemmas_df(spark), "ro"))
+    rows = head.select("index", "sentence").join(after.select("index", F.col("sentence").alias("after")), "index")
+    return rows.agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "sentence"))), lambda x: x["sentence"]),
+                     P.PREVIEW_SEP).alias("preview"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "after"))), lambda x: x["after"]),
+                     P.PREVIEW_SEP).alias("preview_after"),
+        F.count(F.lit(1)).alias("n"),
+    )
 
 
 @register("split_size", S() + "SELECT count(*) AS n FROM sentl WHERE split = 'test'")
