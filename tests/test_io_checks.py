@@ -49,3 +49,16 @@ def test_strict_alignment(spark):
     with pytest.raises(ValueError, match="2 keys"):
         align_predictions(gold, preds, strict=True)
     assert align_predictions(gold, preds).count() == 1
+
+
+def test_csv_round_trip_keeps_empty_null_and_na(spark):
+    from quillspark.sources.io import SENTENCE_SCHEMA, write_sentences_csv
+
+    rows = [(1, 1, s, "it-stiinta", 0, 0, 0, 0, "test") for s in
+            ('a, b', 'he said "hi"', "line1\nline2", "back\\slash", "NA", "", None, "  padded  ")]
+    rows = [(i,) + r[1:2] + r[2:] for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, SENTENCE_SCHEMA)
+    path = scratch_path(spark, "csv-edges")
+    write_sentences_csv(df, path)
+    back = {r["index"]: r.sentence for r in read_sentences_csv(spark, path).collect()}
+    assert back == {r[0]: r[2] for r in rows}
