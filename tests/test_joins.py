@@ -42,3 +42,31 @@ def test_lookup_and_join_strategies_agree(spark):
     a = lemmatize_and_filter(t, "index", "t", strategy="lookup", **kw).collect()
     b = lemmatize_and_filter(t, "index", "t", strategy="join", **kw).select("index", "split", "tokens").collect()
     assert len(a) > 100 and sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_auto_strategies_switch_on_size(spark):
+    from quillspark.operators.entities import detect_entities
+    from quillspark.sources.fixtures import gazetteer_df, labelled_sentences
+    from tests.conftest import SMOKE
+
+    import contextlib
+    import io
+
+    def plan(df):
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+        return buf.getvalue()
+
+    df = spark.createDataFrame([(1, ["aaaa", "bbbb"]), (2, ["cccc"])], "index long, toks array<string>")
+    lem = spark.createDataFrame([("aaaa", "Alfa"), ("cccc", "Ce")], "surface string, lemma string")
+    small = lemmatize_and_filter(df, "index", "toks", lemmas=lem)
+    big = lemmatize_and_filter(df, "index", "toks", lemmas=lem, max_lookup_entries=1)
+    assert "ArrowEvalPython" in plan(small) and "ArrowEvalPython" not in plan(big)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
+
+    text = labelled_sentences(spark, SMOKE).select("index", "sentence")
+    inline = detect_entities(text, gazetteer_df(spark))
+    joined = detect_entities(text, gazetteer_df(spark), inline_max=1)
+    assert "Window" not in plan(inline) and "Window" in plan(joined)
+    assert sorted(map(tuple, inline.collect())) == sorted(map(tuple, joined.collect()))
