@@ -42,3 +42,19 @@ def test_pending_rows(spark):
     todo = spark.createDataFrame([("m", 1, 1), ("m", 1, 2)], "model string, run int, index long")
     done = spark.createDataFrame([("m", 1, 1)], "model string, run int, index long")
     assert [r["index"] for r in pending_rows(todo, done).collect()] == [2]
+
+
+def _reasoning_scorer():
+    def fn(row):
+        return f"RĂSPUNS: factual #{row['index']}", f"thought about {row['index']}"
+    return fn
+
+
+def test_scorer_with_reasoning_and_prompt_kept(spark):
+    df = spark.range(0, 50).select(F.lit(1).alias("run"), F.col("id").alias("index"),
+                                   F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt"))
+    out = {r["index"]: r for r in score_rows(df, _reasoning_scorer, keep=["run", "index"],
+                                             policy=RetryPolicy(base_delay=0.0)).collect()}
+    assert len(out) == 50
+    r = out[7]
+    assert (r.output, r.reasoning, r.sent_prompt, r.attempts, r.error) == ("RĂSPUNS: factual #7", "thought about 7", "p7", 1, None)
