@@ -44,13 +44,13 @@ def test_pending_rows(spark):
     assert [r["index"] for r in pending_rows(todo, done).collect()] == [2]
 
 
-def _reasoning_scorer():
-    def fn(row):
-        return f"RĂSPUNS: factual #{row['index']}", f"thought about {row['index']}"
-    return fn
-
-
 def test_scorer_with_reasoning_and_prompt_kept(spark):
+    # Defined inside the test so it is pickled by value (the test module is not on the workers).
+    def _reasoning_scorer():
+        def fn(row):
+            return f"RĂSPUNS: factual #{row['index']}", f"thought about {row['index']}"
+        return fn
+
     df = spark.range(0, 50).select(F.lit(1).alias("run"), F.col("id").alias("index"),
                                    F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt"))
     out = {r["index"]: r for r in score_rows(df, _reasoning_scorer, keep=["run", "index"],
