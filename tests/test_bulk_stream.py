@@ -83,3 +83,19 @@ def test_bulk_predictions_idx_is_position(spark):
     run_bulk_evaluation(spark, gold, fixture_scorer, out, runs=[1], cfg=RunConfig(model="fixture:latest"), policy=NO_WAIT)
     idx = sorted(r.idx for r in spark.read.parquet(f"{out}/predictions").select("idx").collect())
     assert idx == list(range(gold.count()))
+
+
+def test_incremental_scoring_resumes_from_checkpoint(spark):
+    sent = labelled_sentences(spark, SMOKE)
+    src, raw, ckpt = (scratch_path(spark, n) for n in ("resume-src", "resume-raw", "resume-ckpt"))
+    sent.where(F.col("index") % 2 == 0).write.mode("append").parquet(src)
+    schema = spark.read.parquet(src).schema
+    cfg = RunConfig(model="fixture:latest")
+    incremental_scoring(spark, src, schema, fixture_scorer, raw, ckpt, cfg=cfg, policy=NO_WAIT).awaitTermination(300)
+    first = spark.read.parquet(raw).count()
+    # new files arrive; a second run with the same checkpoint scores only them
+    sent.where(F.col("index") % 2 == 1).write.mode("append").parquet(src)
+    incremental_scoring(spark, src, schema, fixture_scorer, raw, ckpt, cfg=cfg, policy=NO_WAIT).awaitTermination(300)
+    out = spark.read.parquet(raw)
+    assert 0 < first < out.count() == sent.where("split = 'test'").count()
+    assert out.groupBy("model", "run", "index").count().where("count > 1").count() == 0
