@@ -107,4 +107,7 @@ def validate_schema(df: DataFrame) -> DataFrame:
         F.count_if(~F.coalesce(binary("label_0") & binary("label_1") & binary("label_2") & binary("label"),
                                F.lit(False))).alias("bad_label"),
         (F.count(F.lit(1)) - F.countDistinct("index")).alias("dup_index"),
+        # label is documented as the majority of the three annotators
+        F.count_if(~F.col("label").eqNullSafe(
+            F.when(F.col("label_0") + F.col("label_1") + F.col("label_2") >= 2, 1).otherwise(0))).alias("label_not_majority"),
     )

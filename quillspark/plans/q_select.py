@@ -147,7 +147,8 @@ SELECT count(*) AS n_rows,
   count(*) FILTER (WHERE domain IS NULL OR domain NOT IN ('life-death', 'it-stiinta', 'cronica-de-film')) AS bad_domain,
   count(*) FILTER (WHERE split IS NULL OR split NOT IN ('train', 'validation', 'test')) AS bad_split,
   count(*) FILTER (WHERE NOT coalesce(label_0 IN (0, 1) AND label_1 IN (0, 1) AND label_2 IN (0, 1) AND label IN (0, 1), false)) AS bad_label,
-  count(*) - count(DISTINCT "index") AS dup_index
+  count(*) - count(DISTINCT "index") AS dup_index,
+  count(*) FILTER (WHERE label IS DISTINCT FROM (CASE WHEN label_0 + label_1 + label_2 >= 2 THEN 1 ELSE 0 END)) AS label_not_majority
 FROM sentl""")
 def q_validate(spark, sf_dir):
     return P.validate_schema(_sent(spark, sf_dir))
