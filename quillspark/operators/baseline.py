@@ -109,17 +109,17 @@ def metrics_table(pred: DataFrame, keys: Sequence[str] = (), label_field: str =
     return w.select(*cols).unionByName(b.select(*cols))
 
 
-def select_best(train: DataFrame, valid: DataFrame, reg_params: Sequence[float],
-                cfg: TextClassifierConfig = TextClassifierConfig()) -> tuple[PipelineModel, list[tuple[float, float]]]:
-    """M3: fit each candidate on train, score on validation (weighted F1), keep the best.
-    Test rows are never looked at here."""
+def select_best(train: DataFrame, valid: DataFrame, candidates: Sequence[TextClassifierConfig],
+                label_field: str = "label") -> tuple[PipelineModel, list[tuple[TextClassifierConfig, float]]]:
+    """M3: fit each candidate on train (e.g. one per training-length
+    "checkpoint"), score on validation (weighted F1), keep the best. Test
+    rows are never looked at here."""
     scores = []
     best = None
-    for reg in reg_params:
-        c = TextClassifierConfig(cfg.num_features, reg, cfg.max_iter, cfg.label_field, cfg.aggregation_depth)
-        model = fit_text_classifier(train, c)
-        f1 = M.evaluate(predict(model, valid, cfg.label_field), (), cfg.label_field).first()["f1"]
-        scores.append((reg, f1))
+    for cfg in candidates:
+        model = fit_text_classifier(train, cfg)
+        f1 = M.evaluate(predict(model, valid, label_field), (), label_field).first()["f1"]
+        scores.append((cfg, f1))
         if best is None or f1 > best[1]:
             best = (model, f1)
     return best[0], scores

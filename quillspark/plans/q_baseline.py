@@ -16,7 +16,7 @@ from quillspark.sources.fixtures import labelled_sentences
 from quillspark.sources.tables import read_table
 
 SEEDS = (1, 2, 3, 4, 5)
-REG_GRID = (0.0, 0.01, 0.1)
+ITER_GRID = (5, 10, 20)
 
 
 def _splits(spark, sf_dir):
@@ -44,14 +44,16 @@ def q_frozen_probe(spark, sf_dir):
 
 @register("select_best_checkpoint")
 def q_select_best(spark, sf_dir):
-    """M3: candidates chosen on validation; the chosen one scores test once."""
+    """M3: one candidate per training length (optimiser iterations, the
+    counterpart of epochs), chosen on validation; the chosen one scores test once."""
     train, valid, test = (materialize(d) for d in _splits(spark, sf_dir))
-    best, scores = ML.select_best(train, valid, REG_GRID)
+    candidates = [ML.TextClassifierConfig(max_iter=it) for it in ITER_GRID]
+    best, scores = ML.select_best(train, valid, candidates)
     test_m = M.evaluate(ML.predict(best, test), ()).first()
-    best_reg = max(scores, key=lambda s: s[1])[0]
-    rows = [(float(r), float(f1), r == best_reg, float(test_m["f1"]) if r == best_reg else None) for r, f1 in scores]
-    cand = spark.createDataFrame(rows, "reg_param double, validation_f1 double, chosen boolean, test_f1 double")
-    # Tie the (small) candidate table to the data it was computed from: rows of test scored.
+    best_iter = max(scores, key=lambda s: s[1])[0].max_iter
+    rows = [(int(c.max_iter), float(f1), c.max_iter == best_iter,
+             float(test_m["f1"]) if c.max_iter == best_iter else None) for c, f1 in scores]
+    cand = spark.createDataFrame(rows, "iterations int, validation_f1 double, chosen boolean, test_f1 double")
     return cand.withColumn("n_test", F.lit(int(test_m["n"])).cast("bigint"))
 
 
