@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,51 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_spans(text: Column, starts: Column, ends: Column) -> Column:
+    """The text without the given code point spans (disjoint, ascending); texts without spans pass unchanged."""
+    @F.pandas_udf("string")
+    def cut(t: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, s, e in zip(t, a, b):
+            if x is not None and s is not None and len(s):
+                at, kept = 0, []
+                for i, j in zip(s, e):
+                    kept.append(x[at:i])
+                    at = j
+                x = "".join([*kept, x[at:]])
+            out.append(x)
+        return pd.Series(out, dtype=object)
+
+    return cut(text, starts, ends)
+
+
+#: Bits of a membership filter: 2 MiB, whatever the number of members.
+FILTER_BITS = 1 << 24
+
+
+def membership_filter(members: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of ``bits`` bits in which the bit ``value mod bits`` of every value of a long column is set.
+
+    Its size is fixed, so it can be broadcast whatever the data. It only thins out rows before an exact
+    join: with very many members it passes more rows, never fewer.
+    """
+    at = F.pmod(F.col(column), F.lit(bits)) + 1
+    rows = (members.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p"))
+            .groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect())  # at most bits / 32768 rows of 4 KiB
+    out = np.zeros(max(1, bits // 8), dtype=np.uint8)
+    for r in rows:
+        m = np.frombuffer(bytes(r.m), dtype=np.uint8)
+        lo = (r.b - 1) * 4096
+        out[lo:lo + 4096] = m[:len(out) - lo]
+    return out
+
+
+def passes_filter(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each signed 64-bit value may be a member."""
+    at = values.view(np.uint64) & np.uint64(len(bitmap) * 8 - 1)  # equals pmod: the number of bits is a power of two
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 # --- byte kernels -----------------------------------------------------------
 
 #: Most text bytes handled by the numpy kernels at a time (a single longer text is one piece).

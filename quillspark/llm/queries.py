@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
-from quillspark.llm import line_rules, pareto_mix
+from quillspark.llm import line_chunks, line_rules, pareto_mix, pii, template_decontam, unit_dedup, url_model
 from quillspark.sources.tables import read_table
 
 
+def op4_unit_dedup(spark, sf_dir):
+    return unit_dedup.unit_query(read_table(spark, sf_dir, "documents"))
+
+
+def op5_line_chunks(spark, sf_dir):
+    return line_chunks.chunk_query(read_table(spark, sf_dir, "documents"))
+
+
 def op6_line_rules(spark, sf_dir):
     return line_rules.rules_query(read_table(spark, sf_dir, "documents"))
 
 
+def op7_template_decontam(spark, sf_dir):
+    return template_decontam.decontam_query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_pareto_mix(spark, sf_dir):
     return pareto_mix.mix_query(read_table(spark, sf_dir, "documents"))
 
 
+def op9_url_model(spark, sf_dir):
+    return url_model.url_query(read_table(spark, sf_dir, "pages"))
+
+
+def op10_pii(spark, sf_dir):
+    return pii.find_pii(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_unit_dedup": (op4_unit_dedup, unit_dedup.UNIT_SQL),
+    "op5_line_chunks": (op5_line_chunks, None),
     "op6_line_rules": (op6_line_rules, line_rules.RULES_SQL),
+    "op7_template_decontam": (op7_template_decontam, None),
     "op8_pareto_mix": (op8_pareto_mix, pareto_mix.MIX_SQL),
+    "op9_url_model": (op9_url_model, None),
+    "op10_pii": (op10_pii, None),
 }
