@@ -3,14 +3,11 @@
 Every line is judged by itself: a line without a word is blank and ignored; a line
 fails if it is
 
-* navigation: at least ``nav_pipes`` separators ``|`` ``»`` ``›`` ``•`` standing alone
-  make up at least ``nav_share`` of its words;
+* navigation: it has at least ``nav_pipes`` separators ``|``, and at least ``nav_share`` times as many as words;
 * symbols: more than ``symbol_share`` of its characters are one of ``#*$%&|<>``;
-* boilerplate: it contains one of BOILERPLATE, whatever the case;
+* boilerplate: it has at most ``max_boiler_words`` words and contains one of BOILERPLATE, whatever the case;
 * punctuation: it has ``min_line_words`` words or more and no sentence mark
-  ``. ! ? : ; …`` anywhere;
-* shouting or echo: it has ``min_line_words`` words or more, and one word fills more than
-  ``echo_share`` of it.
+  ``. ! ? : ; …`` anywhere.
 
 Failed lines are removed. A document whose removed lines hold more than ``max_lost_percent``
 of its words is rejected, as is one that fails the base rules: fewer than ``min_words`` words,
@@ -18,7 +15,8 @@ or more than ``max_repeat_percent`` of its words in three-word windows that occu
 
 Scale: everything happens inside a row; there is no shuffle and no Python. Words, lines
 and windows are staged behind a one-row generator so that no expression is computed
-once for each element. Windows are counted by sorting their 64-bit hashes within the text.
+once for each element. Repeated windows are found by sorting longs within the text: a window's 64-bit hash with its
+lowest bits (as many as the text's number of words needs) replaced by its position.
 
 Edge cases: a null text has no words and fails the base rules, as does an empty one; repeated rows are
 judged alike; an empty table gives an empty result; other columns are not read.
@@ -32,6 +30,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import WORD_RE, columns_of
 
 SPACE_RE = r"[\x20\x09-\x0D]+"
+_SPACES = " \t\n\x0b\x0c\r"
+SYMBOL_RE = r"[#*$%&|<>]"
+SENTENCE_MARKS = (".", "!", "?", ":", ";", "…")
 #: Lower-case phrases that mark a line of web boilerplate.
 BOILERPLATE = (
     "accept all cookies", "all rights reserved", "back to top", "click here to", "enable javascript",
@@ -41,6 +42,7 @@ BOILERPLATE = (
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_LINE_WORDS = 8
+MAX_BOILER_WORDS = 40
 MAX_LOST_PERCENT = 30
 
 
@@ -50,15 +52,9 @@ def _stage(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
-def repeated_words(hashes: Column) -> Column:
-    """Words covered by three-word windows whose hash occurs again; ``hashes`` is array<struct<h, i>> sorted by h, i."""
-    n = F.size(hashes)
-    before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice(hashes, 1, F.greatest(n - 1, F.lit(0))))
-    after = F.concat(F.slice(hashes, 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(None).cast("struct<h:bigint,i:int>")))
-    marked = F.zip_with(
-        F.zip_with(hashes, before, lambda x, y: F.struct(x["i"].alias("i"), x["h"].alias("h"), (x["h"] == y["h"]).alias("b"))),
-        after, lambda x, y: F.when(F.coalesce(x["b"], F.lit(False)) | F.coalesce(x["h"] == y["h"], F.lit(False)), x["i"]))
-    return F.sort_array(F.array_compact(marked))
+def _words(text: Column) -> Column:
+    trimmed = F.btrim(text, F.lit(_SPACES))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RE))
 
 
 def covered(positions: Column, width: int = 3) -> Column:
@@ -69,78 +65,69 @@ def covered(positions: Column, width: int = 3) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def line_fails(line: Column, nav_pipes: int = 3, nav_share: float = 0.2, symbol_share: float = 0.1,
-               min_line_words: int = MIN_LINE_WORDS, echo_share: float = 0.5) -> Column:
-    """True for a line that some rule rejects. ``line`` is a struct of text, words and n_words."""
-    text, words, n = line["text"], line["words"], line["n_words"]
-    pipes = F.size(F.filter(words, lambda w: w.isin("|", "»", "›", "•")))
-    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
+def line_fails(text: Column, n: Column, symbols: Column, nav_pipes: int = 3, nav_share: float = 0.2,
+               symbol_share: float = 0.1, min_line_words: int = MIN_LINE_WORDS,
+               max_boiler_words: int = MAX_BOILER_WORDS) -> Column:
+    """True for a line (its text and number of words) that some rule rejects; ``symbols`` are those of its document."""
+    marks = F.regexp_count(text, F.lit(SYMBOL_RE))
+    pipes = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("|"), F.lit("")))
+    marked = F.when(symbols == 0, F.lit(False)).otherwise(  # most documents have none
+        (marks > F.length(text) * symbol_share) | ((pipes >= nav_pipes) & (pipes >= n * nav_share)))
     low = F.lower(text)
-    boiler = F.lit(False)
-    for phrase in BOILERPLATE:
+    boiler = F.contains(low, F.lit(BOILERPLATE[0]))
+    for phrase in BOILERPLATE[1:]:
         boiler = boiler | F.contains(low, F.lit(phrase))
-    unpunctuated = (n >= min_line_words) & (F.length(text) == F.length(F.translate(text, ".!?:;…", "")))
-    # distinct words leave little room for one word to fill half the line; the exact count follows only then
-    echo = ((n >= min_line_words) & (F.size(F.array_distinct(words)) <= n * (1 - echo_share) + 1)
-            & (_top_count(words) > n * echo_share))
-    return ((pipes >= nav_pipes) & (pipes >= n * nav_share)) | (symbols > F.length(text) * symbol_share) \
-        | boiler | unpunctuated | echo
-
-
-def _top_count(words: Column) -> Column:
-    """Occurrences of the most frequent word if it is the middle one of the sorted words (a majority must be)."""
-    mid = F.element_at(F.sort_array(words), (F.size(words) / 2).cast("int") + 1)
-    return F.size(words) - F.size(F.array_remove(words, mid))
+    unpunctuated = n >= min_line_words
+    for mark in SENTENCE_MARKS:
+        unpunctuated = unpunctuated & ~F.contains(text, F.lit(mark))
+    return (n > 0) & (marked | unpunctuated | ((n <= max_boiler_words) & boiler))
 
 
 def judged(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT,
-           max_lost_percent: int = MAX_LOST_PERCENT, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
-    """(doc_id, counts, base_failed, lost_words, cleaned, kept) for each row of ``docs`` (doc_id, text).
+           max_lost_percent: int = MAX_LOST_PERCENT, min_line_words: int = MIN_LINE_WORDS,
+           with_text: bool = False) -> DataFrame:
+    """(doc_id, counts, base_failed, kept, lost_words) for each row of ``docs`` (doc_id, text).
 
-    ``cleaned`` is the text without its failed lines.
+    ``with_text`` adds ``cleaned``, the text without its failed lines.
     """
-    d = columns_of(docs, "doc_id", "text")
-    d = _stage(d, words=F.filter(F.split(F.coalesce("text", F.lit("")), SPACE_RE), lambda w: w != ""),
-               rows=F.split(F.coalesce("text", F.lit("")), "\n"))
-    n = F.size("words")
-    window = F.zip_with(
-        F.zip_with(F.slice("words", 1, F.greatest(n - 2, F.lit(0))), F.slice("words", 2, F.greatest(n - 2, F.lit(0))),
-                   lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-        F.slice("words", 3, F.greatest(n - 2, F.lit(0))),
-        lambda x, c: F.xxhash64(x["a"], x["b"], c))
-    d = _stage(d, n_words=n.cast("long"), word_chars=F.length(F.array_join("words", "")).cast("long"),
-               windows=F.sort_array(F.transform(window, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-               lines=F.transform("rows", lambda t: _line(t)))
-    d = d.drop("words", "rows")
-    d = _stage(d, repeats=repeated_words(F.col("windows")),
-               full=F.filter("lines", lambda x: x["n_words"] > 0))
-    d = d.drop("windows")
-    d = _stage(
-        d,
-        n_symbols=(F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long"),
-        n_dup_lines=(F.size("full") - F.size(F.array_distinct(F.transform("full", lambda x: x["text"])))).cast("long"),
-        n_repeat_words=covered(F.col("repeats")),
-        failed=F.transform("lines", lambda x: (x["n_words"] > 0) & line_fails(x, min_line_words=min_line_words)))
-    d = d.drop("repeats", "full")
-    lost = F.aggregate(F.zip_with("lines", "failed", lambda x, f: F.when(f, x["n_words"]).otherwise(F.lit(0))),
-                       F.lit(0).cast("long"), lambda s, x: s + x)
-    cleaned = F.array_join(F.filter(F.zip_with("lines", "failed", lambda x, f: F.when(~f, x["text"])),
-                                    lambda x: x.isNotNull()), "\n")
-    d = _stage(d, lost_words=lost, cleaned=cleaned)
+    d = columns_of(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    d = _stage(d, rows=F.split("text", "\n"),
+               n_symbols=F.when(F.rlike("text", F.lit(SYMBOL_RE)), F.regexp_count("text", F.lit(SYMBOL_RE)))
+               .otherwise(0).cast("long"))
+    d = _stage(d, line_words=F.transform("rows", _words))
+    d = _stage(d, words=F.flatten("line_words"), n_line=F.transform("line_words", F.size))
+    windows = F.transform(F.slice("words", 1, F.greatest(F.size("words") - 2, F.lit(0))),
+                          lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
+    failed = F.transform(F.arrays_zip(F.col("rows").alias("t"), F.col("n_line").alias("n")),
+                         lambda x: line_fails(x["t"], x["n"], F.col("n_symbols"), min_line_words=min_line_words))
+    d = _stage(d.drop("line_words"), n_words=F.size("words").cast("long"), windows=windows, failed=failed,
+               word_chars=F.length(F.array_join("words", "")).cast("long"),
+               full=F.filter("rows", lambda t, i: F.get("n_line", i) > 0),
+               # a power of two above the number of words: a hash's low bits make room for the position
+               room=F.pow(F.lit(2.0), F.ceil(F.log2(F.size("words") + F.lit(2.0)))).cast("long"))
+    # most texts have no window twice and are done here
+    keys = F.when(F.size(F.array_distinct("windows")) < F.size("windows"),
+                  F.sort_array(F.transform("windows", lambda h, i: _window(h) + i)))
+    d = _stage(d.drop("words"), keys=F.coalesce(keys, F.array().cast("array<bigint>")))
+    twice = F.filter("keys", lambda k, i: (_window(k) == _window(F.get("keys", i + 1))) | (_window(k) == _window(F.get("keys", i - 1))))
+    d = _stage(d.drop("windows"), repeats=F.sort_array(F.transform(twice, lambda k: F.pmod(k, F.col("room")))),
+               n_dup_lines=(F.size("full") - F.size(F.array_distinct("full"))).cast("long"),
+               lost_words=F.aggregate(F.zip_with("n_line", "failed", lambda n, f: F.when(f, n).otherwise(0)),
+                                      F.lit(0).cast("long"), lambda s, x: s + x))
+    d = _stage(d, n_repeat_words=covered(F.col("repeats")))
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
-    return d.select("doc_id", "n_words", "word_chars", F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"),
-                    "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
-                    (~base & (F.col("lost_words") * 100 <= F.col("n_words") * max_lost_percent)).alias("kept"),
-                    "lost_words", "cleaned")
+    cleaned = F.array_join(F.filter("rows", lambda t, i: ~F.get("failed", i)), "\n")
+    out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
+           (~base & (F.col("lost_words") * 100 <= F.col("n_words") * max_lost_percent)).alias("kept"), "lost_words"]
+    return d.select(*out, *([cleaned.alias("cleaned")] if with_text else []))
 
 
-def _line(text: Column) -> Column:
-    words = F.filter(F.split(text, SPACE_RE), lambda w: w != "")
-    return F.struct(text.alias("text"), words.alias("words"), F.size(words).alias("n_words"))
+def _window(key: Column) -> Column:
+    return key - F.pmod(key, F.col("room"))
 
 
 def rules_query(docs: DataFrame) -> DataFrame:
-    return judged(docs).drop("cleaned")
+    return judged(docs)
 
 
 _BOILER_SQL = " OR ".join(f"contains(lower(l), '{p}')" for p in BOILERPLATE)
@@ -155,13 +142,11 @@ rep AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM win, (SELECT un
 ln AS (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM d),
 lw AS (SELECT rid, l, regexp_extract_all(l, '{WORD_RE}') AS ws FROM ln),
 lf AS (SELECT rid, l, len(ws) AS n,
-              len(ws) > 0 AND ((len(list_filter(ws, lambda x: x IN ('|', '»', '›', '•'))) >= 3
-                AND len(list_filter(ws, lambda x: x IN ('|', '»', '›', '•'))) >= len(ws) * 0.2)
+              len(ws) > 0 AND ((length(l) - length(replace(l, '|', '')) >= 3
+                AND length(l) - length(replace(l, '|', '')) >= len(ws) * 0.2)
                OR length(l) - length(translate(l, '#*$%&|<>', '')) > length(l) * 0.1
-               OR {_BOILER_SQL}
-               OR (len(ws) >= {MIN_LINE_WORDS} AND length(l) = length(translate(l, '.!?:;…', '')))
-               OR (len(ws) >= {MIN_LINE_WORDS} AND
-                   list_max(map_values(list_histogram(ws))) > len(ws) * 0.5)) AS failed
+               OR (len(ws) <= {MAX_BOILER_WORDS} AND ({_BOILER_SQL}))
+               OR (len(ws) >= {MIN_LINE_WORDS} AND length(l) = length(translate(l, '.!?:;…', '')))) AS failed
        FROM lw),
 la AS (SELECT rid, sum(CASE WHEN failed THEN n ELSE 0 END)::BIGINT AS lost_words,
               count(*) FILTER (n > 0) - count(DISTINCT l) FILTER (n > 0) AS n_dup_lines FROM lf GROUP BY rid),
