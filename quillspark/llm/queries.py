@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from quillspark.llm import line_chunks, line_rules, pareto_mix, pii, template_decontam, unit_dedup, url_model
+from quillspark.llm import (
+    lang_crf, line_chunks, line_rules, pareto_mix, pii, quality_cnn, template_decontam, unit_dedup, url_model,
+)
 from quillspark.sources.tables import read_table
 
 
+def op2_quality_cnn(spark, sf_dir):
+    return quality_cnn.quality_query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_lang_crf(spark, sf_dir):
+    return lang_crf.language_query(read_table(spark, sf_dir, "documents"))
+
+
 def op4_unit_dedup(spark, sf_dir):
     return unit_dedup.unit_query(read_table(spark, sf_dir, "documents"))
 
@@ -35,6 +45,8 @@ def op10_pii(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_quality_cnn": (op2_quality_cnn, None),
+    "op3_lang_crf": (op3_lang_crf, None),
     "op4_unit_dedup": (op4_unit_dedup, unit_dedup.UNIT_SQL),
     "op5_line_chunks": (op5_line_chunks, None),
     "op6_line_rules": (op6_line_rules, line_rules.RULES_SQL),
