@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from quillspark.llm import (
-    lang_crf, line_chunks, line_rules, pareto_mix, pii, quality_cnn, template_decontam, unit_dedup, url_model,
+    lang_crf, line_chunks, line_rules, pareto_mix, pii, probminhash, quality_cnn, template_decontam, unit_dedup, url_model,
 )
 from quillspark.sources.tables import read_table
 
 
+def op1_probminhash(spark, sf_dir):
+    return probminhash.near_duplicate_query(read_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_cnn(spark, sf_dir):
     return quality_cnn.quality_query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -45,6 +49,7 @@ def op10_pii(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_probminhash": (op1_probminhash, None),
     "op2_quality_cnn": (op2_quality_cnn, None),
     "op3_lang_crf": (op3_lang_crf, None),
     "op4_unit_dedup": (op4_unit_dedup, unit_dedup.UNIT_SQL),
