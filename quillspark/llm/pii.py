@@ -123,6 +123,11 @@ LOOKALIKES = {
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6",
                "seven": "7", "eight": "8", "nine": "9"}
 
+#: Top-level domains that a fully spelled address ("name at host dot tld") may end in; prose has "at the dot on".
+SPELLED_TLDS = frozenset(
+    "com org net edu gov mil int info biz io co ai app dev me tv uk ie us ca au nz de at ch fr be nl lu es pt it ro pl cz sk hu bg gr "
+    "dk se no fi ee lv lt ru ua tr in cn jp kr br mx ar za eu".split())
+
 
 def _char_table() -> dict[int, str]:
     """LOOKALIKES, and by rule every character whose compatibility form is one ASCII character, or that is a decimal digit."""
@@ -137,7 +142,8 @@ def _char_table() -> dict[int, str]:
 
 
 _CHARS = _char_table()
-_CHAR_CLASS = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_CHARS)) + "]")
+#: Everything that the first transducer could change lies here; one range test a character.
+_UNUSUAL = re.compile("[\u00a0\u00ad\u0131\u0250-\U0010ffff]")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 _SPELLED = "|".join(DIGIT_WORDS)
 _ITEM = rf"(?:{_SPELLED}|[0-9]++)(?![^\W_])"
@@ -160,35 +166,34 @@ class Tape:
 
     def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None):
         self.text = text
-        self.starts = np.arange(len(text)) if starts is None else starts
-        self.ends = self.starts + 1 if ends is None else ends
+        self.starts, self.ends = starts, ends  # None: every character stands for itself
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Tape:
         """Replaces disjoint, ordered [start, end) pieces; each new character stands for its whole piece."""
         if not edits:
             return self
+        old_starts = np.arange(len(self.text)) if self.starts is None else self.starts
+        old_ends = old_starts + 1 if self.ends is None else self.ends
         text, starts, ends, at = [], [], [], 0
         for s, e, new in edits:
             text += [self.text[at:s], new]
-            starts += [self.starts[at:s], np.full(len(new), self.starts[s])]
-            ends += [self.ends[at:s], np.full(len(new), self.ends[e - 1])]
+            starts += [old_starts[at:s], np.full(len(new), old_starts[s])]
+            ends += [old_ends[at:s], np.full(len(new), old_ends[e - 1])]
             at = e
         text.append(self.text[at:])
-        starts.append(self.starts[at:])
-        ends.append(self.ends[at:])
+        starts.append(old_starts[at:])
+        ends.append(old_ends[at:])
         return Tape("".join(text), np.concatenate(starts), np.concatenate(ends))
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        return int(self.starts[start]), int(self.ends[end - 1])
+        return (start, end) if self.starts is None else (int(self.starts[start]), int(self.ends[end - 1]))
 
 
 def plain_characters(t: Tape) -> Tape:
-    if t.text.isascii():
+    if t.text.isascii() or not _UNUSUAL.search(t.text):
         return t
     t = t.rewrite([(*m.span(), "") for m in _INVISIBLE.finditer(t.text)])
-    if _CHAR_CLASS.search(t.text):
-        t = Tape(t.text.translate(_CHARS), t.starts, t.ends)
-    return t
+    return Tape(t.text.translate(_CHARS), t.starts, t.ends)
 
 
 def plain_digits(t: Tape) -> Tape:
@@ -216,7 +221,7 @@ def plain_signs(t: Tape) -> Tape:
         edits = []
         for m in _BARE_AT.finditer(text):
             host = _BARE_HOST.match(text, m.end())
-            if not host or (edits and m.start() < edits[-1][1]):
+            if not host or (edits and m.start() < edits[-1][1]) or host.group().split()[-1].lower() not in SPELLED_TLDS:
                 continue
             left = text[max(0, m.start() - _LOCAL_REACH):m.start()]
             local = _BARE_LOCAL.search(left)
@@ -238,7 +243,7 @@ def all_spans(text: str | None) -> tuple[list, list]:
         return [], []
     base = base_spans(text)
     t = plain_signs(plain_digits(plain_characters(Tape(text))))
-    if t.text is text:
+    if t.text == text:
         return base, base
     added = []
     for kind, s, e in base_spans(t.text):
