@@ -128,24 +128,29 @@ def repeated_chunks(docs: DataFrame, **rule) -> DataFrame:
                       F.col("first.start").alias("first_start"))
 
 
-def dedup_lines(docs: DataFrame, **rule) -> DataFrame:
-    """``docs`` (doc_id, text, ...) without repeated chunks; adds ``removed``, array of (start, end, first_doc_id)."""
+def dedup_lines(docs: DataFrame, spans_as: str | None = "removed", **rule) -> DataFrame:
+    """``docs`` (doc_id, text, ...) without repeated chunks.
+
+    ``spans_as`` names an added column with the array of (start, end, first_doc_id) that were cut out of the original text
+    (a column of that name in ``docs`` is replaced); None adds nothing.
+    """
+    cols = [c for c in docs.columns if c != spans_as]
     one = F.struct("start", "end", "first_doc_id")
     cut = (repeated_chunks(docs, **rule).groupBy(F.col("key").alias("__chunk_key"))
-           .agg(F.sort_array(F.collect_set(one)).alias("removed")))
+           .agg(F.sort_array(F.collect_set(one)).alias("__removed")))
     d = docs.withColumn("__row_key", row_key(F.col("doc_id"), F.col("text")))
-    d = d.join(cut, F.col("__row_key") == F.col("__chunk_key"), "left").drop("__row_key", "__chunk_key")
-    hit = F.size("removed") > 0
-    text = F.when(hit, cut_spans(F.col("text"), F.col("removed.start"), F.col("removed.end"))).otherwise(F.col("text"))
+    d = d.join(cut, F.col("__row_key") == F.col("__chunk_key"), "left")
+    hit = F.size("__removed") > 0
+    text = F.when(hit, cut_spans(F.col("text"), F.col("__removed.start"), F.col("__removed.end"))).otherwise(F.col("text"))
     d = d.withColumn("text", text)
-    if "n_chars" in d.columns:
+    if "n_chars" in cols:
         d = d.withColumn("n_chars", F.when(hit, F.length("text").cast(d.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return d
+    return d.select(*[F.col(f"`{c}`") for c in cols], *([F.col("__removed").alias(spans_as)] if spans_as else []))
 
 
 def chunk_query(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, the text that is left, and the removed spans as ``start:end:first_doc_id``."""
     d = dedup_lines(columns_of(docs, "doc_id", "text"))
     span = F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"], F.coalesce(r["first_doc_id"].cast("string"), F.lit("-"))))
-    return d.select("doc_id", "text", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+    return d.select("doc_id", "text", F.greatest(F.coalesce(F.size("removed"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"),
                     F.coalesce(F.array_join(span, ","), F.lit("")).alias("removed"))

@@ -141,11 +141,11 @@ def mix_query(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as the mix holds it, with ``copy_no`` from 1.
+    """The mix itself: the rows of ``docs``, each as often as the mix holds it, with ``copy_no`` from 1 (it replaces a column of that name).
 
     The plan carries keys only; it is joined back to the rows by the key.
     """
-    cols = docs.columns
+    cols = [c for c in docs.columns if c != "copy_no"]
     key = F.md5(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")),
                             F.coalesce(F.col("source").cast("string"), F.lit("-")),
                             F.coalesce(F.col("text"), F.lit("-"))))

@@ -91,13 +91,13 @@ def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WOR
 
 
 def remove_units(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``docs`` without the repeated units; adds ``removed``, the array of (start, end) in the original text."""
+    """``docs`` without the repeated units; adds ``removed``, the array of (start, end) in the original text (it replaces a column of that name)."""
+    cols = [c for c in docs.columns if c != "removed"]
     spans = (repeated.groupBy(F.col("key").alias("__unit_key"))
-             .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed")))
-    d = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text"))).join(
-        spans, F.col("__key") == F.col("__unit_key"), "left").drop("__key", "__unit_key")
-    return (d.withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>")))
-            .withColumn("text", cut_spans(F.col("text"), F.col("removed.start"), F.col("removed.end"))))
+             .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__removed")))
+    d = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text"))).join(spans, F.col("__key") == F.col("__unit_key"), "left")
+    d = d.withColumn("text", cut_spans(F.col("text"), F.col("__removed.start"), F.col("__removed.end")))
+    return d.select(*[F.col(f"`{c}`") for c in cols], F.coalesce("__removed", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("removed"))
 
 
 def unit_query(docs: DataFrame) -> DataFrame:
