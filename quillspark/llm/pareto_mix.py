@@ -74,21 +74,22 @@ def ranked(docs: DataFrame, targets: DataFrame, seed: str = SEED, exponent: floa
     """Adds copies, fraction words and the Pareto rank ``q`` to sized rows (source, size, key)."""
     power = F.floor(F.pow(F.col("size").cast("double"), F.lit(1 + exponent)) * 1000).cast("decimal(38,0)")
     scale = docs.groupBy(F.col("source").alias("m_source")).agg(
-        (F.sum(power).cast("double") / 1000 / F.sum("size")).alias("mean_power"))
+        F.try_divide(F.sum(power).cast("double") / 1000, F.sum("size")).alias("mean_power"))
     t = (targets.join(scale, F.col("source").eqNullSafe(F.col("m_source")), "left")
          .select(F.col("source").alias("t_source"), "source_size", "target", "mean_power",
-                 F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+                 F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0))
                  .cast("long").alias("whole")))
     # one row a source: tiny beside the documents; the join strategy is left to the measured size
     d = docs.join(t, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
     d = d.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     hexa = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("key"))), 1, 8)
     u = (F.conv(hexa, 16, 10).cast("double") + 0.5) / 4294967296.0
-    p = F.col("rest") / F.col("source_size") * F.pow(F.col("size").cast("double"), F.lit(exponent)) / F.col("mean_power")
+    p = F.try_divide(F.try_divide(F.col("rest"), F.col("source_size")) * F.pow(F.col("size").cast("double"), F.lit(exponent)),
+                     F.col("mean_power"))
     d = d.withColumn("u", u).withColumn("p", p)
     q = (F.when((F.col("size") <= 0) | (F.col("rest") <= 0), F.lit(None).cast("double"))
          .when(F.col("p") >= 1, F.lit(0.0))
-         .otherwise((F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
+         .otherwise(F.try_divide(F.col("u") / (1 - F.col("u")), F.try_divide(F.col("p"), 1 - F.col("p")))))
     d = d.withColumn("q", q)
     # p >= 1 all have q = 0: spread over bins below 0 by u, so that no bin is crowded
     bin_ = F.when(F.col("q") == 0, F.floor(F.col("u") * bins) - bins).otherwise(
