@@ -5,22 +5,30 @@ the original text, resolved leftmost first, then longest, never overlapping:
 
 * gazetteer ``(surface, label)`` of checked, bounded size: matched inside
   each row (``add_entity_spans_inline``): hashed literal sets, n-grams only
-  at tokens that start a surface, offsets by a running sum over the hits.
-  No shuffle.
-* bigger gazetteer (``detect_entities_joined``): tokens and separators are
-  exploded with their position, a running-sum window per row gives offsets,
-  n-grams come from ``lead`` over the same window (the text is never copied
-  per token), and the n-grams are joined to the gazetteer (broadcast when
-  its size allows, salted otherwise), then regrouped by row.
+  at tokens that start a surface; offsets and overlaps in one linear pass
+  over Arrow batches. No shuffle.
+* bigger gazetteer (``detect_entities_joined``): the distinct texts are
+  exploded into tokens and separators, a running-sum window per text gives
+  offsets, n-grams come from ``lead`` over the same window (the text is never
+  copied per token), and the n-grams are joined to the gazetteer (broadcast
+  when its size allows, salted otherwise), then regrouped by text.
 * a recogniser model (``detect_entities_with_model``): a user factory run
-  once per task in ``mapInPandas``; its label names are mapped onto the
-  default set.
+  once per task, applied to Arrow batches of texts; its label names are
+  mapped onto the default set.
+
+Spans depend on the text alone, so the joined path is keyed by a digest of the
+text, never by the user's row key: rows with null or repeated keys are matched
+like any other, and every input row gives one output row on both paths.
 
 Gazetteer matches are exact and case-sensitive on token n-grams.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,27 +69,55 @@ def gazetteer_ngrams(tokens: DataFrame, id_col: str, max_n: int) -> DataFrame:
 
 
 def prepare_gazetteer(gazetteer: DataFrame) -> tuple[DataFrame, int]:
-    """One label per surface (smallest) and the longest surface in tokens."""
-    g = gazetteer.groupBy("surface").agg(F.min("label").alias("label"))
+    """One label per surface (smallest) and the longest surface in tokens; entries with a null part are no entries."""
+    g = _entries(gazetteer)
     g = g.withColumn("n_tok", F.size(F.regexp_extract_all("surface", F.lit(TOKEN_RE), 0)))
     max_n = g.agg(F.max("n_tok")).first()[0] or 1
     return g.select("surface", "label"), int(max_n)
 
 
+def _entries(gazetteer: DataFrame) -> DataFrame:
+    g = gazetteer.where(F.col("surface").isNotNull() & F.col("label").isNotNull())
+    return g.groupBy("surface").agg(F.min("label").alias("label"))
+
+
+def leftmost_longest(spans: list[tuple[int, int, str]]) -> list[dict]:
+    """Sorted by start, longest first; those that overlap an earlier pick are dropped."""
+    last, chosen = 0, []
+    for start, neg, end, label in sorted((s, s - e, e, lab) for s, e, lab in spans):
+        if start >= last:
+            chosen.append({"start": start, "end": end, "label": label})
+            last = end
+    return chosen
+
+
 def resolve_spans(cands: Column) -> Column:
-    """Leftmost, then longest; drop candidates overlapping an earlier pick."""
-    ordered = F.array_sort(F.transform(cands, lambda c: F.struct(
-        c["start"].alias("start"), (c["start"] - c["end"]).alias("neg_len"), c["end"].alias("end"), c["label"].alias("label"))))
-    init = F.struct(F.lit(0).alias("last"), F.array().cast(SPAN_TYPE).alias("chosen"))
-    return F.aggregate(
-        ordered, init,
-        lambda acc, c: F.when(
-            c["start"] >= acc["last"],
-            F.struct(c["end"].alias("last"), F.array_append(acc["chosen"], F.struct(
-                c["start"].alias("start"), c["end"].alias("end"), c["label"].alias("label"))).alias("chosen")),
-        ).otherwise(acc),
-        lambda acc: acc["chosen"],
-    )
+    """Leftmost, then longest; drop candidates overlapping an earlier pick (linear after the sort; null gives none)."""
+    @F.pandas_udf(SPAN_TYPE)
+    def resolve(starts: pd.Series, ends: pd.Series, labels: pd.Series) -> pd.Series:
+        return pd.Series([
+            [] if s is None else leftmost_longest([(int(a), int(b), lab) for a, b, lab in zip(s, e, x)])
+            for s, e, x in zip(starts, ends, labels)])
+
+    return resolve(cands["start"], cands["end"], cands["label"])
+
+
+def _spans_of_hits(seps: Column, toks: Column, hits: Column) -> Column:
+    """Spans of hits (i: token, surface, label): one running sum over the row's token lengths, then resolved."""
+    @F.pandas_udf(SPAN_TYPE)
+    def place(sep: pd.Series, tok: pd.Series, at: pd.Series, size: pd.Series, label: pd.Series) -> pd.Series:
+        out = []
+        for s, t, i, n, lab in zip(sep, tok, at, size, label):
+            if i is None or len(i) == 0:
+                out.append([])
+                continue
+            start = np.cumsum(np.asarray(s)[:len(t)] + np.asarray(t)) - np.asarray(t)
+            out.append(leftmost_longest([(int(start[k]), int(start[k]) + int(m), x) for k, m, x in zip(i, n, lab)]))
+        return pd.Series(out)
+
+    some = F.size(hits) > 0  # lengths are needed only where something was found
+    return place(F.when(some, F.transform(seps, F.length)), F.when(some, F.transform(toks, F.length)),
+                 hits["i"], F.transform(hits["surface"], F.length), hits["label"])
 
 
 # Gazetteers up to this many surfaces are matched inside each row (hashed
@@ -98,8 +134,7 @@ def inline_sets(gazetteer: DataFrame, max_surfaces: int = INLINE_MAX_SURFACES) -
     """
     import regex
 
-    gaz = gazetteer.groupBy("surface").agg(F.min("label").alias("label"))
-    rows = gaz.limit(max_surfaces + 1).collect()
+    rows = _entries(gazetteer).limit(max_surfaces + 1).collect()
     if len(rows) > max_surfaces:
         return None
     sets: dict[str, list[str]] = {}
@@ -116,8 +151,8 @@ def add_entity_spans_inline(df: DataFrame, text_col: str, sets: dict[str, list[s
 
     Only positions whose token begins some surface are expanded (one hashed
     membership test per token); at those, n-grams of 1..max_n tokens are
-    looked up in the per-label hashed sets; offsets are computed for the hits
-    only; overlaps are resolved leftmost, then longest.
+    looked up in the per-label hashed sets; offsets are computed in rows with
+    hits only, from one running sum; overlaps are resolved leftmost, then longest.
 
     Higher-order functions run interpreted, element by element, so the work
     per token is kept to that single test. Tokens and separators are
@@ -159,24 +194,7 @@ def add_entity_spans_inline(df: DataFrame, text_col: str, sets: dict[str, list[s
                                               label_of(g["surface"]).alias("label"))),
         lambda g: g["label"].isNotNull()))
 
-    # Offsets of the hits (in token order) with a running sum: each step adds
-    # the characters between the previous hit's token and this one, so a row
-    # costs O(tokens + hits) however many hits it has.
-    def between(a: Column, b: Column) -> Column:
-        """Characters of separators and tokens a .. b-1 (0-based, b >= a)."""
-        return (F.length(F.array_join(F.slice(seps, a + 1, b - a), "")) +
-                F.length(F.array_join(F.slice(toks, a + 1, b - a), "")))
-
-    init = F.struct(F.lit(0).alias("pi"), F.lit(0).alias("pp"), F.array().cast(SPAN_TYPE).alias("spans"))
-
-    def step(acc: Column, h: Column) -> Column:
-        pp = acc["pp"] + between(acc["pi"], h["i"])
-        start = pp + F.length(seps[h["i"]])
-        span = F.struct(start.alias("start"), (start + F.length(h["surface"])).alias("end"), h["label"].alias("label"))
-        return F.struct(h["i"].alias("pi"), pp.alias("pp"), F.array_append(acc["spans"], span).alias("spans"))
-
-    spans = F.aggregate(F.col("_hits"), init, step, lambda acc: acc["spans"])
-    st = st.withColumn(out, resolve_spans(spans))
+    st = st.withColumn(out, _spans_of_hits(seps, toks, F.col("_hits")))
     return st.drop("_toks", "_seps", "_starts", "_hits")
 
 
@@ -191,18 +209,14 @@ def _first_token(surface: str) -> str:
 def detect_entities(df: DataFrame, gazetteer: DataFrame, id_col: str = "index", text_col: str = "sentence",
                     out: str = "entities", inline_max: int = INLINE_MAX_SURFACES) -> DataFrame:
     """(id, entities) for rows with at least one match."""
-    small = inline_sets(gazetteer, inline_max)
-    if small is not None:
-        ents = add_entity_spans_inline(df.select(id_col, text_col), text_col, *small, out=out)
-        return ents.select(id_col, out).where(F.size(out) > 0)
-    return detect_entities_joined(df, gazetteer, id_col, text_col, out)
+    ents = with_entities(df.select(id_col, text_col), gazetteer, text_col, out, inline_max)
+    return ents.select(id_col, out).where(F.size(out) > 0)
 
 
 def detect_entities_joined(df: DataFrame, gazetteer: DataFrame, id_col: str = "index", text_col: str = "sentence",
                            out: str = "entities") -> DataFrame:
-    """T2 for big gazetteers: explode n-grams, broadcast (or salted) join, regroup by id.
-    Join the result back with a left join; pre-partition ``df`` by id to keep
-    the window, regroup and join-back free of further exchanges."""
+    """T2 for big gazetteers over rows with a unique, non-null ``id_col``: explode n-grams, broadcast (or
+    salted) join, regroup by id. ``with_entities`` calls it with distinct texts and their digests."""
     gaz, max_n = prepare_gazetteer(gazetteer)
     toks = token_offsets(df, id_col, text_col)
     grams = gazetteer_ngrams(toks, id_col, max_n)
@@ -212,17 +226,18 @@ def detect_entities_joined(df: DataFrame, gazetteer: DataFrame, id_col: str = "i
     return per_row.select(id_col, resolve_spans(F.col("_c")).alias(out))
 
 
-def with_entities(df: DataFrame, gazetteer: DataFrame, id_col: str = "index", text_col: str = "sentence",
-                  out: str = "entities", inline_max: int = INLINE_MAX_SURFACES,
-                  sets: tuple[dict[str, list[str]], int] | None = None) -> DataFrame:
-    """``df`` plus its entity spans (empty array when none). ``sets``: result of
-    ``inline_sets`` when already computed."""
+def with_entities(df: DataFrame, gazetteer: DataFrame, text_col: str = "sentence", out: str = "entities",
+                  inline_max: int = INLINE_MAX_SURFACES, sets: tuple[dict[str, list[str]], int] | None = None) -> DataFrame:
+    """``df`` plus its entity spans (empty array when none), one output row per input row. ``sets``: result of
+    ``inline_sets`` when already computed. Above ``inline_max`` surfaces the distinct texts are joined."""
     small = sets if sets is not None else inline_sets(gazetteer, inline_max)
     if small is not None:
         return add_entity_spans_inline(df, text_col, *small, out=out)
-    ents = detect_entities_joined(df.select(id_col, text_col), gazetteer, id_col, text_col, out)
-    return (df.join(ents, id_col, "left")
-            .withColumn(out, F.coalesce(F.col(out), F.array().cast(SPAN_TYPE))))
+    keyed = df.withColumn("_text_key", F.unhex(F.md5(F.col(text_col))))
+    texts = keyed.where(F.col(text_col).isNotNull()).select("_text_key", text_col).dropDuplicates(["_text_key"])
+    ents = detect_entities_joined(texts, gazetteer, "_text_key", text_col, out)
+    return (keyed.join(ents, "_text_key", "left").drop("_text_key")
+            .withColumn(out, F.coalesce(F.col(out), F.array().cast(SPAN_TYPE))).select(*df.columns, out))
 
 
 def sort_spans_desc(spans: Column) -> Column:
@@ -234,39 +249,28 @@ def sort_spans_desc(spans: Column) -> Column:
 # the label filter, so those entities are masked too).
 MODEL_LABEL_MAP = {"ORGANIZATION": "ORG", "NAT_REL_POL": "NORP", "FACILITY": "FAC"}
 
-def detect_entities_with_model(df: DataFrame, make_recognizer, id_col: str = "index", text_col: str = "sentence",
-                               out: str = "entities", label_map: dict[str, str] | None = None) -> DataFrame:
-    """T2 (b): spans from a user-supplied recogniser, ``df`` plus ``out``.
+
+def detect_entities_with_model(df: DataFrame, make_recognizer, text_col: str = "sentence", out: str = "entities",
+                               label_map: dict[str, str] | None = None) -> DataFrame:
+    """T2 (b): spans from a user-supplied recogniser, ``df`` plus ``out``; map-only, one output row per input row.
 
     ``make_recognizer()`` runs once per task (load the model there) and
     returns ``fn(texts: list[str]) -> list[list[(start, end, label)]]``, code
-    point offsets, half-open. Rows stream through in Arrow batches; the
-    original row order and every column are kept. Labels are renamed with
-    ``label_map`` and overlapping spans resolved like the gazetteer's.
+    point offsets, half-open. Labels are renamed with ``label_map`` and
+    overlapping spans resolved like the gazetteer's.
     """
-    import pandas as pd
-
     from quillspark.session import ship_package
 
     ship_package(df.sparkSession)
     mapping = dict(MODEL_LABEL_MAP if label_map is None else label_map)
-    from pyspark.sql import types as T
-
-    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
-                         T.StructField("label", T.StringType())])
-    schema = df.select(id_col, text_col).schema.add("_raw", T.ArrayType(span))
 
-    def run(batches):
+    @F.pandas_udf(SPAN_TYPE)
+    def recognise(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fn = make_recognizer()
-        for pdf in batches:
-            texts = pdf[text_col].tolist()
+        for texts in batches:
             found = fn([t if t is not None else "" for t in texts])
-            pdf["_raw"] = [
-                [{"start": int(s), "end": int(e), "label": mapping.get(lab, lab)} for s, e, lab in spans]
-                if t is not None else []
-                for t, spans in zip(texts, found)
-            ]
-            yield pdf
-
-    spans = df.select(id_col, text_col).mapInPandas(run, schema).select(id_col, resolve_spans(F.col("_raw")).alias(out))
-    return df.join(spans, id_col, "left")
+            yield pd.Series([
+                leftmost_longest([(int(s), int(e), mapping.get(lab, lab)) for s, e, lab in spans]) if t is not None else []
+                for t, spans in zip(texts, found)])
+
+    return df.withColumn(out, recognise(F.col(text_col)))

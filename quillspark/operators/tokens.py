@@ -1,17 +1,19 @@
 """Dictionary-driven token operators.
 
-Tokens are exploded to (id, pos, tok), joined to the dictionaries (broadcast
-when their size is checked small, salted otherwise) and regrouped by id.
-When the input is already hash-partitioned by id, explode and broadcast join
-keep that partitioning and the regroup needs no shuffle.
+A dictionary of checked size is broadcast and applied to each row's tokens in
+Arrow batches. With a bigger one the distinct token arrays are exploded to
+(digest, pos, tok), joined to it (salted when it cannot be broadcast),
+regrouped by the digest and joined back: what a row's tokens become depends
+on the tokens alone, so the user's row key plays no part and rows with null
+or repeated keys stay apart. Both ways give one output row per input row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,9 +103,10 @@ def lemmatize_and_filter(df: DataFrame, id_col: str, tokens_col: str, *, lemmas:
     * ``"lookup"``: the combined dictionary (size checked first) is broadcast
       and applied to each row's token array in Arrow batches. Map-only: no
       shuffle, rows keep their partitioning.
-    * ``"join"``: tokens are exploded, joined to the dictionary (broadcast, or
-      salted above the bound) and regrouped by id. The regroup's partial
-      aggregate collapses each row's tokens before its shuffle.
+    * ``"join"``: the distinct token arrays are exploded, joined to the
+      dictionary (broadcast, or salted above the bound), regrouped by a digest
+      of the array and joined back. The regroup's partial aggregate collapses
+      each array's tokens before its shuffle.
     * ``"auto"``: ``lookup`` up to ``max_lookup_entries`` entries, else ``join``.
 
     ``lookup_rows``: the result of ``prepare_lookup`` when already read (e.g.
@@ -127,16 +130,18 @@ def lemmatize_and_filter(df: DataFrame, id_col: str, tokens_col: str, *, lemmas:
         strategy = "join"
     if strategy != "join":
         raise ValueError(f"unknown strategy {strategy!r}")
-    t = explode_tokens(df, id_col, tokens_col, carry)
+    keyed = df.withColumn("_tok_key", F.unhex(F.md5(F.to_json(F.struct(F.col(tokens_col).alias("t"))))))
+    arrays = keyed.where(F.size(tokens_col) > 0).select("_tok_key", F.col(tokens_col).alias("_t")).dropDuplicates(["_tok_key"])
+    t = explode_tokens(arrays, "_tok_key", "_t")
     t = dictionary_join(t, d, "tok", "left", max_broadcast_rows=max_broadcast_rows,
-                        salt_from=F.xxhash64(F.col(id_col), F.col("pos")))
+                        salt_from=F.xxhash64(F.col("_tok_key"), F.col("pos")))
     t = t.withColumn("_lemma", F.coalesce("_lemma", "tok")).withColumn("_drop", F.coalesce("_drop", F.lit(False)))
     value = F.lower("_lemma") if lower_lemmas else F.col("_lemma")
     keep = F.col("tok").isNotNull() & ~F.col("_drop")
-    agg = [F.first(c).alias(c) for c in carry]
-    regrouped = t.groupBy(id_col).agg(
-        *agg, F.collect_list(F.when(keep, F.struct(F.col("pos"), value.alias("v")))).alias("_kept"))
-    return regrouped.select(id_col, *carry, F.transform(F.array_sort("_kept"), lambda x: x["v"]).alias(out))
+    regrouped = t.groupBy("_tok_key").agg(F.collect_list(F.when(keep, F.struct(F.col("pos"), value.alias("v")))).alias("_kept"))
+    regrouped = regrouped.select("_tok_key", F.transform(F.array_sort("_kept"), lambda x: x["v"]).alias("_out"))
+    return keyed.join(regrouped, "_tok_key", "left").select(
+        id_col, *carry, F.coalesce("_out", F.array().cast("array<string>")).alias(out))
 
 
 def prepare_lookup(lemmas: DataFrame | None, stopwords: DataFrame | None, token_stopwords: DataFrame | None = None,
@@ -163,19 +168,16 @@ def _lookup_strategy(df: DataFrame, rows: list, id_col: str, tokens_col: str, ou
 
     @F.pandas_udf("array<string>")
     def apply_dictionary(tokens: pd.Series) -> pd.Series:
-        get = shared.value.get
-        result = []
-        for toks in tokens:
-            kept = []
-            if toks is not None:
-                for t in toks:
-                    hit = get(t)
-                    if hit is None:
-                        kept.append(t)
-                    elif not hit[1]:
-                        kept.append(hit[0])
-            result.append(kept)
-        return pd.Series(result)
+        # all tokens of the batch at once: each distinct token is looked up once
+        sizes = np.array([0 if t is None else len(t) for t in tokens], dtype=np.int64)
+        if not sizes.sum():
+            return pd.Series([[]] * len(sizes))
+        code, words = pd.factorize(np.concatenate([t for t in tokens if t is not None and len(t)]), use_na_sentinel=False)
+        found = [shared.value.get(w, (w, False)) for w in words]
+        lemma = np.array([x[0] for x in found], dtype=object)
+        keep = ~np.array([x[1] for x in found])[code]
+        ends = np.cumsum(np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes)))
+        return pd.Series(np.split(lemma[code[keep]], ends[:-1]))
 
     kept = apply_dictionary(F.col(tokens_col))
     if lower_lemmas:

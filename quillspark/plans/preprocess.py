@@ -1,11 +1,10 @@
 """Anonymise (T6), process (T18) and the full preprocessing job.
 
-Plan shape: one hash repartition by the sentence key (skew-free: the key is
-unique) spreads the text work over all tasks; after it, the entity window,
-the n-gram dictionary join, the token explode / lemma join / regroup and the
-join back all reuse that partitioning, so there is no further exchange of
-the sentence rows. Every text step is a JVM expression, staged with
-``withColumn`` so each regex runs once.
+With dictionaries of checked size the whole job is map-only. Bigger ones are
+joined to the distinct texts or token arrays, keyed by a digest of the
+content; the row key is carried along and never used for matching, so every
+input row gives one output row, whatever its key. Every text step is staged
+with ``withColumn`` so each regex runs once.
 """
 
 from __future__ import annotations
@@ -17,36 +16,23 @@ from pyspark.sql import functions as F
 
 from quillspark.constants import DEFAULT_ENTITY_LABELS
 from quillspark.functions import text as T
-from quillspark.operators.entities import detect_entities_with_model, inline_sets, with_entities
+from quillspark.operators.entities import INLINE_MAX_SURFACES, detect_entities_with_model, with_entities
 from quillspark.operators.tokens import lemmatize_and_filter
 
 
-def by_key(df: DataFrame, id_col: str = "index", partitions: int | None = None) -> DataFrame:
-    """Hash-partition by the unique row key (AQE sizes it when ``partitions`` is None).
-
-    Rows without a key cannot be aligned and are dropped here, explicitly:
-    the optimizer would otherwise infer that filter on one side of the
-    entity join-back only, and the two sides would no longer share (reuse)
-    this exchange.
-    """
-    df = df.where(F.col(id_col).isNotNull())
-    return df.repartition(partitions, id_col) if partitions else df.repartition(id_col)
-
-
 def anonymize(df: DataFrame, gazetteer: DataFrame | None = None, labels: Iterable[str] = DEFAULT_ENTITY_LABELS,
-              all_urls: bool = False, id_col: str = "index", text_col: str = "sentence",
-              sets: tuple[dict[str, list[str]], int] | None = None, recognizer=None) -> DataFrame:
+              all_urls: bool = False, text_col: str = "sentence",
+              sets: tuple[dict[str, list[str]], int] | None = None, recognizer=None,
+              inline_max: int = INLINE_MAX_SURFACES) -> DataFrame:
     """Entity spans -> tags (T2, T1), brands (T3), site names (T4), optionally all URLs (T5).
 
-    A small gazetteer is matched inside each row (no shuffle at all); a big
-    one needs the rows hash-partitioned by ``id_col`` first (``by_key``).
+    A gazetteer of at most ``inline_max`` surfaces is matched inside each row
+    (no shuffle at all); a bigger one is joined to the distinct texts.
     """
     labels = list(labels)
-    if gazetteer is not None:
-        df = with_entities(df, gazetteer, id_col, text_col, "_ents", sets=sets)
-        df = df.withColumn(text_col, T.mask_spans(text_col, "_ents", labels)).drop("_ents")
-    elif recognizer is not None:
-        df = detect_entities_with_model(df, recognizer, id_col, text_col, "_ents")
+    if gazetteer is not None or recognizer is not None:
+        df = (with_entities(df, gazetteer, text_col, "_ents", inline_max, sets) if gazetteer is not None
+              else detect_entities_with_model(df, recognizer, text_col, "_ents"))
         df = df.withColumn(text_col, T.mask_spans(text_col, "_ents", labels)).drop("_ents")
     df = df.withColumn(text_col, T.mask_brands(text_col))
     df = df.withColumn(text_col, T.mask_site_urls(text_col))
@@ -66,7 +52,8 @@ def normalize(df: DataFrame, text_col: str = "sentence", upper_diacritics: bool
 def process_text(df: DataFrame, *, stopwords: DataFrame | None = None, lemmas: DataFrame | None = None,
                  token_stopwords: DataFrame | None = None, labels: Iterable[str] = DEFAULT_ENTITY_LABELS,
                  min_len: int = 3, keep_all_tags: bool = False, upper_diacritics: bool = False,
-                 id_col: str = "index", text_col: str = "sentence", lookup_rows: list | None = None) -> DataFrame:
+                 id_col: str = "index", text_col: str = "sentence", lookup_rows: list | None = None,
+                 strategy: str = "auto") -> DataFrame:
     """Normalise, tokenise, drop short tokens, drop stop words, lemmatise,
     join and restore the entity tags; ``text_col`` is replaced, other columns kept."""
     df = df.withColumn("_null_text", F.col(text_col).isNull())
@@ -79,7 +66,8 @@ def process_text(df: DataFrame, *, stopwords: DataFrame | None = None, lemmas: D
         out = df.withColumn("_tok2", F.col("_tok"))
     else:
         out = lemmatize_and_filter(df, id_col, "_tok", lemmas=lemmas, stopwords=stopwords,
-                                   token_stopwords=token_stopwords, out="_tok2", carry=carry, lookup_rows=lookup_rows)
+                                   token_stopwords=token_stopwords, out="_tok2", carry=carry, lookup_rows=lookup_rows,
+                                   strategy=strategy)
     restored = T.restore_placeholders(T.join_tokens("_tok2"), labels)
     # A null sentence stays null (the original would fail on it).
     out = out.withColumn(text_col, F.when(~F.col("_null_text"), restored))
@@ -88,19 +76,9 @@ def process_text(df: DataFrame, *, stopwords: DataFrame | None = None, lemmas: D
 
 def preprocess_full(df: DataFrame, *, gazetteer: DataFrame | None = None, stopwords: DataFrame | None = None,
                     lemmas: DataFrame | None = None, labels: Iterable[str] = DEFAULT_ENTITY_LABELS,
-                    all_urls: bool = False, partitions: int | None = None, id_col: str = "index",
-                    text_col: str = "sentence", sets: tuple[dict[str, list[str]], int] | None = None,
+                    all_urls: bool = False, id_col: str = "index", text_col: str = "sentence",
+                    sets: tuple[dict[str, list[str]], int] | None = None, inline_max: int = INLINE_MAX_SURFACES,
                     **kw) -> DataFrame:
-    """T6 then T18 over the whole table.
-
-    The rows are hash-partitioned by the key up front only for a gazetteer
-    too big to inline (its window, regroup and join-back then share that one
-    exchange). The token regroup alone does not need it: its partial
-    aggregate collapses each row's tokens before the shuffle.
-    """
-    if sets is None and gazetteer is not None:
-        sets = inline_sets(gazetteer)
-    if gazetteer is not None and sets is None:
-        df = by_key(df, id_col, partitions)
-    df = anonymize(df, gazetteer, labels, all_urls, id_col, text_col, sets=sets)
+    """T6 then T18 over the whole table; ``kw`` goes to ``process_text``."""
+    df = anonymize(df, gazetteer, labels, all_urls, text_col, sets=sets, inline_max=inline_max)
     return process_text(df, stopwords=stopwords, lemmas=lemmas, labels=labels, id_col=id_col, text_col=text_col, **kw)

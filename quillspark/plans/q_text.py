@@ -214,6 +214,34 @@ def q_anonymize(spark, sf_dir):
     return anonymize(_text(spark, sf_dir), gazetteer_df(spark))
 
 
+# Keys of every kind for the same texts: null for a third of the rows, shared by neighbours for another third.
+_KEYS_SQL = """
+, kd AS (SELECT CASE WHEN "index" % 3 = 0 THEN NULL WHEN "index" % 3 = 1 THEN news_id ELSE "index" END AS "key", "index" AS idx FROM sentl)
+"""
+
+
+def _mixed_keys(df):
+    i = F.col("index")
+    return df.withColumn("key", F.when(i % 3 == 0, F.lit(None).cast("long")).when(i % 3 == 1, F.col("news_id")).otherwise(i))
+
+
+@register("anonymize_large_gazetteer", _ANON_SQL + _KEYS_SQL +
+          'SELECT kd.key, an.sentence FROM an JOIN kd ON kd.idx = an."index"')
+def q_anonymize_large(spark, sf_dir):
+    """T6 through the joined path that a gazetteer too big for the rows takes, with null and repeated row keys."""
+    t = _mixed_keys(_sent(spark, sf_dir).select("index", "news_id", "sentence")).select("key", "sentence")
+    return anonymize(t, gazetteer_df(spark), inline_max=0)
+
+
+@register("preprocess_large_dictionary", _ANON_SQL + _KEYS_SQL + _DICTS + O.process_ctes("an", "sentence", "pf") +
+          'SELECT kd.key, pf.t AS sentence FROM pf JOIN kd ON kd.idx = pf."index"')
+def q_preprocess_large(spark, sf_dir):
+    """T19 through both joined paths (big gazetteer, big dictionary), with null and repeated row keys."""
+    t = _mixed_keys(_sent(spark, sf_dir).select("index", "news_id", "sentence")).select("key", "sentence")
+    return preprocess_full(t, gazetteer=gazetteer_df(spark), stopwords=load_stopwords(stopwords_df(spark), "ro"),
+                           lemmas=prepare_lemmas(lemmas_df(spark), "ro"), id_col="key", inline_max=0, strategy="join")
+
+
 @register("preprocess_full", _ANON_SQL + _DICTS + O.process_ctes("an", "sentence", "pf") + """
 SELECT s."index", s.news_id, pf.t AS sentence, s.domain, s.label_0, s.label_1, s.label_2, s.label, s.split
 FROM sentl s JOIN pf USING ("index")""")

@@ -48,7 +48,8 @@ def test_join_strategy_regroups_after_partial_aggregate(spark):
     out = lemmatize_and_filter(t, "index", "t", lemmas=prepare_lemmas(lemmas_df(spark), "ro"),
                                stopwords=load_stopwords(stopwords_df(spark), "ro"), strategy="join")
     p = plan(out)
-    assert "partial_collect_list" in p and len(set(re.findall(r"hashpartitioning\(index#\d+L?, \d+\)", p))) == 1
+    # distinct arrays, regrouped by their digest; the sentence key is never exchanged
+    assert "partial_collect_list" in p and not re.search(r"hashpartitioning\(index#", p)
 
 
 def test_split_filter_prunes_partitions_and_columns(spark):

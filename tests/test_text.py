@@ -123,18 +123,51 @@ def test_process_text_keeps_rows_and_columns(spark):
 
 
 def test_inline_and_joined_gazetteer_agree(spark):
-    from quillspark.operators.entities import detect_entities_joined
-    from quillspark.plans.preprocess import by_key
     from quillspark.sources.fixtures import labelled_sentences
     from tests.conftest import SMOKE
 
     text = labelled_sentences(spark, SMOKE).select("index", "sentence")
     a = detect_entities(text, gazetteer_df(spark)).collect()
-    b = detect_entities_joined(by_key(text), gazetteer_df(spark)).collect()
+    b = detect_entities(text, gazetteer_df(spark), inline_max=0).collect()
     assert len(a) > 10
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+def test_size_switches_do_not_change_results(spark):
+    """Null and repeated keys, repeated texts, null surfaces: one row out per row in, on both sides of the switches."""
+    from quillspark.plans.preprocess import preprocess_full
+
+    rows = [(None, "Orre came home today"), (1, "Orre went with Orre"), (1, "hello there Orre friend"), (None, "Orre came home today"),
+            (2, None), (None, None), (3, ""), (1, "mere mere multe")]
+    df = spark.createDataFrame(rows, "index long, sentence string")
+    gaz = spark.createDataFrame([("Orre", "PERSON"), (None, "ORG"), ("home", None)], "surface string, label string")
+    small = sorted(str(tuple(r)) for r in anonymize(df, gaz).collect())
+    large = sorted(str(tuple(r)) for r in anonymize(df, gaz, inline_max=0).collect())
+    assert small == large and len(large) == len(rows)
+    assert "(1, '<PERSON> went with <PERSON>')" in small and "(None, '<PERSON> came home today')" in small
+    kw = dict(gazetteer=gaz, stopwords=load_stopwords(stopwords_df(spark), "ro"), lemmas=prepare_lemmas(lemmas_df(spark), "ro"))
+    a = sorted(str(tuple(r)) for r in preprocess_full(df, **kw).collect())
+    b = sorted(str(tuple(r)) for r in preprocess_full(df, inline_max=0, strategy="join", **kw).collect())
+    assert a == b and len(b) == len(rows)
+
+
+def test_masking_is_linear_in_hits(spark):
+    import time
+
+    gaz = gazetteer_df(spark)
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, "Orre merge acasă " * n)], "index long, sentence string")
+        t = time.perf_counter()
+        out = anonymize(df, gaz).first().sentence
+        assert out.count("<PERSON>") == n
+        return time.perf_counter() - t
+
+    seconds(1000)
+    half, whole = min(seconds(8000) for _ in range(2)), min(seconds(16000) for _ in range(2))
+    assert whole < 2.5 * half + 1 and whole < 15
+
+
 def test_model_recognizer_path(spark):
     from quillspark.operators.entities import detect_entities_with_model
     from quillspark.sources.fixtures import gazetteer_recognizer, labelled_sentences
