@@ -65,17 +65,21 @@ def class_from_answer(answer: Column | str, class0: Column | str = CLASS_0, clas
 def chat_answer(output: Column | str) -> Column:
     """The answer text of a chat output (first step of C5), lower-cased.
 
-    After the first ``RĂSPUNS:`` (searched upper-cased): the text up to the
-    next ':' and then to the first newline, stripped. With no marker the whole
-    output stripped, except that an output ending in ':' gives ''.
+    With ``RĂSPUNS:`` found in the upper-cased output, the output is cut from
+    that position, and the answer is what stands between its first and second
+    ':', up to the newline, stripped. Upper-casing may lengthen the text, so
+    the cut can fall behind the marker; with no ':' left the whole output
+    stripped is the answer. With no marker it is the whole output stripped
+    too, except that an output ending in ':' gives ''.
     """
     o = _c(output)
     pos = F.locate(ANSWER_MARKER, F.upper(o))
-    after = F.substring(o, pos + len(ANSWER_MARKER), 1 << 30)
-    found = F.substring_index(F.substring_index(after, ":", 1), "\n", 1)
+    cut = F.substr(o, F.greatest(pos, F.lit(1)))
+    colon = F.locate(":", cut)
+    found = F.substring_index(F.substring_index(F.substr(cut, colon + 1), ":", 1), "\n", 1)
     answer = (
-        F.when(pos > 0, py_strip(found))
-        .when(F.endswith(o, F.lit(":")), F.lit(""))
+        F.when((pos > 0) & (colon > 0), py_strip(found))
+        .when((pos == 0) & F.endswith(o, F.lit(":")), F.lit(""))
         .otherwise(py_strip(o))
     )
     return F.lower(answer)

@@ -122,6 +122,6 @@ def score_rows(df: DataFrame, make_scorer: Callable[[], Callable[[dict], object]
     return src.mapInPandas(run, schema)
 
 
-def pending_rows(todo: DataFrame, done: DataFrame, keys: Sequence[str] = ("model", "run", "index")) -> DataFrame:
+def pending_rows(todo: DataFrame, done: DataFrame, keys: Sequence[str] = ("config_id", "run", "index")) -> DataFrame:
     """Rows not scored yet (restart without re-scoring)."""
-    return todo.join(done.select(*keys).distinct(), list(keys), "left_anti")
+    return todo.join(done.select(*keys), list(keys), "left_anti")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.constants import CLASS_0, CLASS_1, DOMAINS, SPLITS
+from quillspark.operators.annotate import majority_label
 from quillspark.operators.positions import row_index
 
 PREVIEW_SEP = "\n\n====\n\n"
@@ -108,6 +109,5 @@ def validate_schema(df: DataFrame) -> DataFrame:
                                F.lit(False))).alias("bad_label"),
         (F.count(F.lit(1)) - F.countDistinct("index")).alias("dup_index"),
         # label is documented as the majority of the three annotators
-        F.count_if(~F.col("label").eqNullSafe(
-            F.when(F.col("label_0") + F.col("label_1") + F.col("label_2") >= 2, 1).otherwise(0))).alias("label_not_majority"),
+        F.count_if(~F.col("label").eqNullSafe(majority_label(("label_0", "label_1", "label_2")))).alias("label_not_majority"),
     )

@@ -1,68 +1,127 @@
 """Bulk evaluation of a scorer over repeated runs (the original's main job).
 
 test rows x runs -> prompt per run configuration (B7, B9) -> scorer
-(mapInPandas, C7-C9) -> raw outputs written first, keyed by (model, run,
-index) -> parse (C4/C5) -> align with gold (J1) -> predictions table (S5) and
-metrics per (model, run) (A3, A7, S8).
+(mapInPandas, C7-C9) -> raw outputs written first, keyed by (config, run,
+index) -> parse (C4/C5) -> strict alignment with gold (J1) -> predictions
+table (S5) and metrics per configuration and run (A3, A7, S8).
+
+``config_id`` is a digest of the whole run configuration: model name with
+its tag, data file, seed, decoding settings and prompt flags. Models that
+share a short name, or one model under changed settings, never share rows.
+The settings go to the scorer with every row and are columns of all three
+tables.
 
 Raw outputs are durable: re-parsing never re-scores, and a restart scores
-only the keys not yet written (left-anti join), so a lost job or executor
-costs at most the unfinished rows. All runs go through one job; ``run`` is a
-column, not a driver loop.
+the keys that have no answer yet, rows that failed included (left-anti
+join); the latest answer of a key counts. Predictions and metrics of a
+configuration and run replace their earlier version.
 """
 
 from __future__ import annotations
 
-import os
+import hashlib
+import json
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import prompts as B
 from quillspark.operators import metrics as M
+from quillspark.operators.align import align_predictions
 from quillspark.operators.positions import row_index
 from quillspark.operators.score import RetryPolicy, pending_rows, score_rows
 from quillspark.plans.evaluate import parse_answers
 from quillspark.sinks import write_metrics, write_predictions
 
-KEYS = ("model", "run", "index")
+KEYS = ("config_id", "run", "index")
 
 
 @dataclass(frozen=True)
 class RunConfig:
+    """Everything that decides a run's answers; a None decoding setting leaves the choice to the scorer."""
+
     model: str = "llama3.1:latest"
     use_completion: bool = False
     from_ft_model: bool = False
     merge_system_into_user: bool = False
     data_file: str = "sentences"
+    seed: int | None = None
+    temperature: float | None = None
+    top_k: int | None = None
+    top_p: float | None = None
+    min_p: float | None = None
+
+    @property
+    def config_id(self) -> str:
+        return hashlib.md5(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()
+
+    def columns(self) -> list:
+        """The configuration as literal columns (``model_name`` keeps the tag; ``model`` is the short display name)."""
+        kinds = {"seed": "long", "temperature": "double", "top_k": "int", "top_p": "double", "min_p": "double"}
+        values = asdict(self)
+        name = values.pop("model")
+        return [F.lit(self.config_id).alias("config_id"), F.lit(name).alias("model_name"), F.lit(name.split(":")[0]).alias("model"),
+                *[F.lit(v).cast(kinds[k]).alias(k) if k in kinds else F.lit(v).alias(k) for k, v in values.items()]]
+
+
+CONFIG_COLUMNS = ("config_id", "model_name", "model", "use_completion", "from_ft_model", "merge_system_into_user", "data_file",
+                  "seed", "temperature", "top_k", "top_p", "min_p")
 
 
 def prompts_for_runs(gold: DataFrame, runs: Sequence[int], cfg: RunConfig) -> DataFrame:
-    """(model, run, index, label, sentence, prompt, prompt_json, instructions)."""
+    """(configuration, run, index, label, sentence, prompt, prompt_json, instructions).
+
+    ``prompt`` is what the scorer gets: the text in completion mode, the user message's content in reasoning mode
+    (with the system text as ``instructions``), else the message array as JSON.
+    """
     t = gold.select("index", "sentence", "label").select(
         F.explode(F.array(*[F.lit(int(r)) for r in runs])).alias("run"), "index", "sentence", "label")
     c0, c1 = B.shuffled_classes(F.col("run"), "index")
     p = B.prompt_for_run("sentence", c0, c1, use_completion=cfg.use_completion, from_ft_model=cfg.from_ft_model,
                          merge_system_into_user=cfg.merge_system_into_user, model=cfg.model)
     prompt_json = B.json_string(p["prompt_text"]) if cfg.use_completion else B.prompt_to_json(p["messages"])
-    prompt = p["prompt_text"] if cfg.use_completion else prompt_json
-    return t.select(F.lit(cfg.model.split(":")[0]).alias("model"), "run", "index", "label", "sentence",
+    if cfg.use_completion:
+        prompt = p["prompt_text"]
+    else:
+        prompt = F.when(p["instructions"].isNotNull(), F.get(p["messages"], F.lit(0))["content"]).otherwise(prompt_json)
+    return t.select(*cfg.columns(), "run", "index", "label", "sentence",
                     prompt.alias("prompt"), prompt_json.alias("prompt_json"), p["instructions"].alias("instructions"))
 
 
+def read_raw(spark: SparkSession, raw_path: str) -> DataFrame | None:
+    """The raw outputs, or None when nothing has been written yet; any other failure to read is raised."""
+    try:
+        return spark.read.parquet(raw_path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def latest_answers(raw: DataFrame) -> DataFrame:
+    """One row per key: an answer rather than an error, then the latest."""
+    rest = [c for c in raw.columns if c not in KEYS]
+    best = raw.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), F.struct(F.col("error").isNull(), F.col("scored_at"))).alias("r"))
+    return best.select(*KEYS, *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
 def score_pending(spark: SparkSession, todo: DataFrame, make_scorer: Callable, raw_path: str,
-                  concurrency: int = 8, policy: RetryPolicy = RetryPolicy()) -> None:
-    """Score the rows of ``todo`` whose keys are not in ``raw_path`` yet and append them there."""
-    if os.path.exists(raw_path) or "://" in raw_path:
-        try:
-            todo = pending_rows(todo, spark.read.parquet(raw_path), KEYS)
-        except Exception:  # noqa: BLE001 - nothing committed yet
-            pass
-    scored = score_rows(todo, make_scorer, keep=["model", "run", "index", "instructions"], prompt_col="prompt",
+                  concurrency: int = 8, policy: RetryPolicy = RetryPolicy(), partitions: int | None = None) -> None:
+    """Score the rows of ``todo`` that have no answer in ``raw_path`` yet and append them there.
+
+    The rows are spread over ``partitions`` tasks (by default as many as the cluster has slots), each with ``concurrency`` calls.
+    """
+    raw = read_raw(spark, raw_path)
+    if raw is not None:
+        todo = pending_rows(todo, raw.where(F.col("error").isNull()), KEYS)
+    todo = todo.repartition(partitions or spark.sparkContext.defaultParallelism, *KEYS)
+    scored = score_rows(todo, make_scorer, keep=[*CONFIG_COLUMNS, "run", "index", "instructions"], prompt_col="prompt",
                         concurrency=concurrency, policy=policy)
-    scored.write.mode("append").partitionBy("model", "run").parquet(raw_path)
+    (scored.withColumn("scored_at", F.current_timestamp())
+     .write.mode("append").partitionBy("config_id", "run").parquet(raw_path))
 
 
 def run_bulk_evaluation(spark: SparkSession, gold: DataFrame, make_scorer: Callable, out_dir: str, *,
@@ -72,24 +131,27 @@ def run_bulk_evaluation(spark: SparkSession, gold: DataFrame, make_scorer: Calla
     todo = prompts_for_runs(gold, runs, cfg)
     raw_path = f"{out_dir}/raw"
     score_pending(spark, todo, make_scorer, raw_path, concurrency, policy)
-    raw = spark.read.parquet(raw_path).where(F.col("run").isin(*[int(r) for r in runs]))
-    mode = "completion" if cfg.use_completion else "chat"
-    parsed = parse_answers(raw, mode)
+    run_list = [int(r) for r in runs]
+    this = (F.col("config_id") == cfg.config_id) & F.col("run").isin(*run_list)
+    raw = latest_answers(read_raw(spark, raw_path).where(this))
+    parsed = parse_answers(raw, "completion" if cfg.use_completion else "chat")
     pred = F.when(F.col("error").isNotNull(), F.lit(-1)).otherwise(F.col("prediction")).cast("int")
-    aligned = parsed.select("model", F.col("run").cast("int").alias("run"), "index", pred.alias("prediction"),
-                            "output", "reasoning", "sent_prompt").join(
-        todo.select("model", "run", "index", "label", "sentence", "prompt_json"), list(KEYS), "inner")
+    parsed = parsed.select("config_id", F.col("run").cast("int").alias("run"), "index", pred.alias("prediction"),
+                           "output", "reasoning", "sent_prompt")
+    # every evaluated row must have an answer and every answer a row; a difference raises
+    aligned = align_predictions(todo.drop("prompt", "instructions"), parsed, list(KEYS), strict=True)
     # idx = 0-based position in the evaluated rows, ordered by key.
     positions = row_index(gold.select("index").withColumn("_all", F.lit(1)), ("_all",), "index", out="idx").drop("_all")
     aligned = aligned.join(positions, "index", "inner")
     rows = aligned.select(
-        F.lit(cfg.model).alias("model_name"), "run", "idx", "sentence",
-        F.when(F.col("sent_prompt") == "", F.lit("")).otherwise(F.col("prompt_json")).alias("prompt"),
+        *[c for c in CONFIG_COLUMNS if c != "model"], "run", "idx", "sentence",
+        # a failed row has sent nothing: the JSON text of an empty prompt
+        F.when(F.col("sent_prompt") == "", F.lit('""')).otherwise(F.col("prompt_json")).alias("prompt"),
         F.col("label").alias("ground_truth"), "prediction", F.col("output").alias("llm_output"),
         F.col("reasoning").alias("llm_reasoning"))
-    write_predictions(rows, f"{out_dir}/predictions")
-    preds = spark.read.parquet(f"{out_dir}/predictions")
-    metrics = M.evaluate(preds, ["model", "run"], "ground_truth", "prediction").withColumn(
-        "data_file", F.lit(cfg.data_file))
+    write_predictions(rows, f"{out_dir}/predictions", ("config_id",))
+    preds = spark.read.parquet(f"{out_dir}/predictions").where(this)
+    keys = [*CONFIG_COLUMNS, "run"]
+    metrics = M.evaluate(preds.select(*keys, "ground_truth", "prediction"), keys, "ground_truth", "prediction")
     write_metrics(metrics, f"{out_dir}/metrics")
-    return metrics
+    return spark.read.parquet(f"{out_dir}/metrics").where(this).select(*metrics.columns)

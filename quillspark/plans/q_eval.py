@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import metrics as M
 from quillspark.operators.align import scatter_results
-from quillspark.operators.annotate import corpus_stats, majority_vote
+from quillspark.operators.annotate import corpus_stats, majority_vote, majority_vote_long
 from quillspark.plans import oracle as O
 from quillspark.plans.evaluate import parse_answers, scored_predictions, gold_rows
 from quillspark.plans.registry import register
@@ -145,6 +145,36 @@ def q_majority(spark, sf_dir):
     return majority_vote(sentences(spark, sf_dir)).select("index", "label_0", "label_1", "label_2", "label")
 
 
+_VOTES_SQL = """
+, v AS (SELECT "index", CASE WHEN "index" % 35 = 0 THEN NULL ELSE label_0 END AS a,
+               CASE WHEN "index" % 5 = 0 THEN NULL ELSE label_1 END AS b, CASE WHEN "index" % 35 = 0 THEN NULL ELSE label_2 END AS c FROM sentl)
+, u AS (SELECT "index", unnest([a, b, c]) AS vote FROM v)
+, n AS (SELECT "index", count(vote) AS k, count_if(vote = 1) AS ones, count_if(vote = 0) AS zeros FROM u GROUP BY "index")
+"""
+
+
+def _majority_sql(k: str, ones: str, zeros: str) -> str:
+    return f"CASE WHEN {ones} * 2 > {k} THEN 1 WHEN {zeros} * 2 > {k} THEN 0 END"
+
+
+@register("majority_vote_partial", O.with_sentences(_VOTES_SQL) + f"""
+SELECT v."index", coalesce({_majority_sql('n.k', 'n.ones', 'n.zeros')}, -9) AS of_three, coalesce({_majority_sql('n.k', 'n.ones', 'n.zeros')}, -9) AS long_form,
+  coalesce({_majority_sql('(count_a + count_b)', '(one_a + one_b)', '(zero_a + zero_b)')}, -9) AS of_two
+FROM n JOIN (SELECT "index", CASE WHEN a IS NULL THEN 0 ELSE 1 END AS count_a, CASE WHEN b IS NULL THEN 0 ELSE 1 END AS count_b,
+  CASE WHEN a = 1 THEN 1 ELSE 0 END AS one_a, CASE WHEN b = 1 THEN 1 ELSE 0 END AS one_b,
+  CASE WHEN a = 0 THEN 1 ELSE 0 END AS zero_a, CASE WHEN b = 0 THEN 1 ELSE 0 END AS zero_b FROM v) v USING ("index")""")
+def q_majority_partial(spark, sf_dir):
+    """A5 with missing votes, two and three annotators, and the long form; -9 stands for no majority."""
+    i = F.col("index")
+    v = sentences(spark, sf_dir).select(
+        "index", F.when(i % 35 != 0, F.col("label_0")).alias("a"), F.when(i % 5 != 0, F.col("label_1")).alias("b"),
+        F.when(i % 35 != 0, F.col("label_2")).alias("c"))
+    wide = majority_vote(majority_vote(v, ("a", "b", "c"), "of_three"), ("a", "b"), "of_two")
+    long = majority_vote_long(v.select("index", F.explode(F.array("a", "b", "c")).alias("vote")))
+    out = wide.join(long.select("index", F.col("label").alias("long_form")), "index")
+    return out.select("index", *[F.coalesce(c, F.lit(-9)).cast("int").alias(c) for c in ("of_three", "long_form", "of_two")])
+
+
 @register("corpus_stats", O.with_sentences() + """
 SELECT split, domain, label, count(*) AS n_sentences, count(DISTINCT news_id) AS n_news,
   round(avg(length(sentence)), 6) AS avg_chars
@@ -156,19 +186,26 @@ def q_corpus_stats(spark, sf_dir):
 BULK_RUNS = (1, 2)
 
 
+_BULK_MODELS = ("fixture:8b", "fixture:70b")
+
+
 @register("bulk_evaluation", O.with_sentences(O.outputs_cte(len(BULK_RUNS)), O.parsed_cte(),
-    ', preds AS (SELECT p.run, p."index", s.label, p.prediction FROM pr p JOIN sentl s USING ("index"))')
-    + O.weighted_sql("preds", ["run"]).replace(
-        "SELECT run, CAST(sum(sup)", "SELECT 'fixture' AS model, 'sentences' AS data_file, run, CAST(sum(sup)", 1))
+    """, preds AS (SELECT m.model_name, p.run, p."index", s.label, p.prediction FROM pr p JOIN sentl s USING ("index")
+       CROSS JOIN (SELECT unnest(['fixture:8b', 'fixture:70b']) AS model_name) m)""")
+    + O.weighted_sql("preds", ["model_name", "run"]).replace(
+        "SELECT model_name, run, CAST(sum(sup)", "SELECT 'fixture' AS model, 'sentences' AS data_file, model_name, run, CAST(sum(sup)", 1))
 def q_bulk(spark, sf_dir):
-    """The whole job: score (stand-in model) -> raw outputs -> parse -> predictions -> metrics per run."""
+    """The whole job for two models that share a short name, then one of them again:
+    score (stand-in model) -> raw outputs -> parse -> predictions -> metrics per run."""
+    from quillspark.operators.score import RetryPolicy
     from quillspark.plans.bulk_eval import RunConfig, run_bulk_evaluation
     from quillspark.session import scratch_path
     from quillspark.sources.fixtures import fixture_scorer
-    from quillspark.operators.score import RetryPolicy
 
     out = scratch_path(spark, "bulk-eval")
-    m = run_bulk_evaluation(spark, gold_rows(spark, sf_dir), fixture_scorer, out, runs=BULK_RUNS,
-                            cfg=RunConfig(model="fixture:latest"), policy=RetryPolicy(base_delay=0.0))
-    return m.select("model", "data_file", F.col("run").cast("int").alias("run"), "n", "accuracy", "precision",
-                    "recall", "f1", "n_invalid")
+    gold = gold_rows(spark, sf_dir)
+    for model, runs in ((_BULK_MODELS[0], BULK_RUNS[:1]), (_BULK_MODELS[1], BULK_RUNS), (_BULK_MODELS[0], BULK_RUNS)):
+        run_bulk_evaluation(spark, gold, fixture_scorer, out, runs=runs, cfg=RunConfig(model=model, temperature=0.8),
+                            policy=RetryPolicy(base_delay=0.0))
+    return spark.read.parquet(f"{out}/metrics").select(
+        "model", "data_file", "model_name", F.col("run").cast("int").alias("run"), "n", "accuracy", "precision", "recall", "f1", "n_invalid")

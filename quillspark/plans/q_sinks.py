@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.constants import SYSTEM_PROMPT_CHAT, USER_PROMPT_CHAT
@@ -126,27 +127,19 @@ def q_sink_predictions(spark, sf_dir):
 
 
 @register("sink_label_files", _PRED_ROWS_SQL + """
-SELECT 'preds' AS kind, run, count(*) AS n_lines, count(*) FILTER (WHERE prediction = 1) AS n_ones,
-       count(*) FILTER (WHERE prediction = -1) AS n_invalid FROM rows_ GROUP BY run
-UNION ALL
-SELECT 'gt', run, count(*), count(*) FILTER (WHERE ground_truth = 1), count(*) FILTER (WHERE ground_truth = -1)
-FROM rows_ GROUP BY run""")
+SELECT 'preds' AS kind, run, CAST(idx AS BIGINT) AS line, CAST(prediction AS INTEGER) AS v FROM rows_
+UNION ALL SELECT 'gt', run, CAST(idx AS BIGINT), CAST(ground_truth AS INTEGER) FROM rows_""")
 def q_sink_label_files(spark, sf_dir):
-    """Preds.txt / gt.txt per run, one label per line in idx order; read back and counted."""
+    """Preds / gt text per run, one label per line in idx order; read back with line numbers."""
     path = scratch_path(spark, "label-files")
     write_label_files(_prediction_rows(spark, sf_dir), path)
-    back = None
-    for kind in ("preds", "gt"):
-        part = (spark.read.option("lineSep", "\n").option("basePath", f"{path}/{kind}").text(f"{path}/{kind}")
-                .withColumn("_f", F.col("_metadata.file_path")))
-        back = part if back is None else back.unionByName(part)
-    back = back.select(
-        F.regexp_extract("_f", r"/(preds|gt)/", 1).alias("kind"),
-        F.col("run").cast("int").alias("run"),
-        F.col("value").cast("int").alias("v"))
-    return back.groupBy("kind", "run").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("v") == 1).alias("n_ones"),
-        F.count_if(F.col("v") == -1).alias("n_invalid"))
+    back = (spark.read.option("lineSep", "\n").text(path)
+            .withColumn("_f", F.col("_metadata.file_path")).withColumn("_b", F.col("_metadata.file_block_start"))
+            .withColumn("_n", F.monotonically_increasing_id()))
+    # lines are numbered through a run's part files, file by file; the files themselves are the result
+    lines = Window.partitionBy("kind", "run").orderBy("_f", "_b", "_n")
+    return back.select("kind", F.col("run").cast("int").alias("run"), (F.row_number().over(lines) - 1).cast("long").alias("line"),
+                       F.col("value").cast("int").alias("v"))
 
 
 @register("sink_metrics", _PRED_ROWS_SQL.replace("WITH ", "WITH ", 1) + """

@@ -216,13 +216,13 @@ def q_anonymize(spark, sf_dir):
 
 # Keys of every kind for the same texts: null for a third of the rows, shared by neighbours for another third.
 _KEYS_SQL = """
-, kd AS (SELECT CASE WHEN "index" % 3 = 0 THEN NULL WHEN "index" % 3 = 1 THEN news_id ELSE "index" END AS "key", "index" AS idx FROM sentl)
+, kd AS (SELECT CASE WHEN "index" % 3 = 0 THEN NULL WHEN "index" % 3 = 1 THEN concat('n', news_id) ELSE concat('i', "index") END AS "key", "index" AS idx FROM sentl)
 """
 
 
 def _mixed_keys(df):
     i = F.col("index")
-    return df.withColumn("key", F.when(i % 3 == 0, F.lit(None).cast("long")).when(i % 3 == 1, F.col("news_id")).otherwise(i))
+    return df.withColumn("key", F.when(i % 3 == 1, F.concat(F.lit("n"), F.col("news_id"))).when(i % 3 == 2, F.concat(F.lit("i"), i)))
 
 
 @register("anonymize_large_gazetteer", _ANON_SQL + _KEYS_SQL +

@@ -14,28 +14,34 @@ def layout_columns(model_name: Column, run: Column) -> list[Column]:
     return [model.alias("model"), base.alias("base_model"), path.alias("path")]
 
 
-def write_predictions(rows: DataFrame, path: str) -> None:
-    """Rows with ``model_name`` and ``run``, written under model=/run= folders.
+def write_predictions(rows: DataFrame, path: str, key: tuple[str, ...] = ()) -> None:
+    """Rows with ``model_name`` and ``run``, written under (key=)/model=/run= folders.
 
-    Dynamic partition overwrite replaces only the (model, run) folders being
-    written, so a re-run of one run never touches the others.
+    Dynamic partition overwrite replaces only the folders being written, so a
+    re-run of one run never touches the others. ``key`` names columns that tell
+    apart runs whose short model name is the same.
     """
-    out = rows.withColumn("model", F.substring_index("model_name", ":", 1)).drop("model_name")
+    out = rows.withColumn("model", F.substring_index("model_name", ":", 1))
+    out = out if key else out.drop("model_name")
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("model", "run").parquet(path))
+        .partitionBy(*key, "model", "run").parquet(path))
 
 
 def write_label_files(rows: DataFrame, path: str) -> None:
-    """``preds`` and ``gt`` text, one label per line in ``idx`` order, per (model, run).
+    """``preds`` and ``gt`` text, one label per line in ``idx`` order, per run, under ``path/kind=.../run=...``.
 
-    A global sort range-partitions by (run, idx); part files are in order.
+    One pass writes both kinds. A global sort range-partitions by (kind, run, idx); part files are in order.
     """
-    ordered = rows.repartitionByRange("run", "idx").sortWithinPartitions("run", "idx")
-    for kind, col in (("preds", "prediction"), ("gt", "ground_truth")):
-        (ordered.select("run", F.col(col).cast("string").alias("value"))
-         .write.mode("overwrite").partitionBy("run").option("lineSep", "\n").text(f"{path}/{kind}"))
-
-
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Append metric records (one per model / run)."""
-    metrics.write.mode("append").parquet(path)
+    both = rows.select("run", "idx", F.explode(F.create_map(
+        F.lit("preds"), F.col("prediction").cast("string"), F.lit("gt"), F.col("ground_truth").cast("string"))).alias("kind", "value"))
+    ordered = both.repartitionByRange("kind", "run", "idx").sortWithinPartitions("kind", "run", "idx")
+    ordered.select("kind", "run", "value").write.mode("overwrite").partitionBy("kind", "run").option("lineSep", "\n").text(path)
+
+
+def write_metrics(metrics: DataFrame, path: str, key: tuple[str, ...] = ("config_id", "run")) -> None:
+    """Metric records (one per configuration and run); writing one again replaces it."""
+    key = tuple(k for k in key if k in metrics.columns)
+    if not key:
+        metrics.write.mode("overwrite").parquet(path)
+        return
+    (metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*key).parquet(path))

@@ -34,13 +34,11 @@ def rule_completion(output, c0, c1):
 
 
 def rule_chat(output, c0, c1):
-    """C5 as specified: text after the marker up to the first ':' or newline,
-    trimmed; without the marker the whole trimmed output, unless it ends in ':'."""
-    pos = output.upper().find(MARKER)
-    if pos >= 0:
-        answer = re.split(r"[:\n]", output[pos + len(MARKER):], maxsplit=1)[0].strip()
-    else:
-        answer = "" if output.endswith(":") else output.strip()
+    """C5 as specified: slice at the marker's place in the upper-cased text, then the part after the first ':' up to
+    the next ':' or newline, trimmed; the whole trimmed output if that fails. A missing marker slices the last character."""
+    at = output.upper().find(MARKER)
+    parts = (output[at:] if at >= 0 else output[-1:]).split(":")
+    answer = parts[1].split("\n")[0].strip() if len(parts) > 1 else output.strip()
     return rule_completion(answer.lower(), c0, c1)
 
 

@@ -41,7 +41,7 @@ def test_score_rows_flaky(spark):
 def test_pending_rows(spark):
     todo = spark.createDataFrame([("m", 1, 1), ("m", 1, 2)], "model string, run int, index long")
     done = spark.createDataFrame([("m", 1, 1)], "model string, run int, index long")
-    assert [r["index"] for r in pending_rows(todo, done).collect()] == [2]
+    assert [r["index"] for r in pending_rows(todo, done, ("model", "run", "index")).collect()] == [2]
 
 
 def test_scorer_with_reasoning_and_prompt_kept(spark):
