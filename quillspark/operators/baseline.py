@@ -19,7 +19,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.parse import argmax_class, logits_text, max_logit_confidence
@@ -43,19 +43,46 @@ def text_features(df: DataFrame, text_col: str = "sentence") -> DataFrame:
     return df.withColumn("words", tokenize(lowercase(text_col)))
 
 
-def text_pipeline(cfg: TextClassifierConfig = TextClassifierConfig(), weight_col: str | None = None) -> Pipeline:
+def fit_features(train: DataFrame, num_features: int = 1 << 16) -> PipelineModel:
+    """HashingTF + IDF of the train rows (``words``): fitted once, shared by every candidate and seed."""
+    return Pipeline(stages=[HashingTF(inputCol="words", outputCol="tf", numFeatures=num_features),
+                            IDF(inputCol="tf", outputCol="features")]).fit(train)
+
+
+def classifier(cfg: TextClassifierConfig, weight_col: str | None = None) -> LogisticRegression:
     lr = LogisticRegression(featuresCol="features", labelCol="target", regParam=cfg.reg_param, maxIter=cfg.max_iter,
                             aggregationDepth=cfg.aggregation_depth)
-    if weight_col:
-        lr = lr.setWeightCol(weight_col)
-    return Pipeline(stages=[
-        HashingTF(inputCol="words", outputCol="tf", numFeatures=cfg.num_features),
-        IDF(inputCol="tf", outputCol="features"),
-        lr,
-    ])
+    return lr.setWeightCol(weight_col) if weight_col else lr
+
+
+class SharedFeatures:
+    """Feature vectors of the train rows, computed once and kept (memory, spilling to disk) while classifiers are fitted on them.
+
+    A lost executor's blocks are recomputed from lineage. Use as a context manager.
+    """
 
+    def __init__(self, train: DataFrame, cfg: TextClassifierConfig = TextClassifierConfig(), carry: Sequence[str] = ()):
+        words = _with_target(text_features(train), cfg.label_field).select("words", "target", *carry)
+        words = words.persist(StorageLevel.MEMORY_AND_DISK)
+        self.features = fit_features(words, cfg.num_features)
+        self.rows = self.features.transform(words).select("features", "target", *carry).persist(StorageLevel.MEMORY_AND_DISK)
+        self._held = (words, self.rows)
 
-def bootstrap_weight(seed: int, key: str = "index") -> "Column":
+    def fit(self, cfg: TextClassifierConfig = TextClassifierConfig(), weight: Column | None = None) -> PipelineModel:
+        """A whole pipeline model: the shared features and a classifier fitted for ``cfg`` (row weights optional)."""
+        rows = self.rows if weight is None else self.rows.withColumn("_w", weight)
+        model = classifier(cfg, None if weight is None else "_w").fit(rows)
+        return PipelineModel(stages=[*self.features.stages, model])
+
+    def __enter__(self) -> SharedFeatures:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for d in self._held:
+            d.unpersist()
+
+
+def bootstrap_weight(seed: int, key: str = "index") -> Column:
     """Seeded Bayesian-bootstrap weight of a row: Exponential(1) from md5(seed:key).
 
     Every row takes part (weights are never 0); the seed changes the fit the
@@ -71,20 +98,10 @@ def _with_target(df: DataFrame, label_field: str) -> DataFrame:
 
 
 def fit_text_classifier(train: DataFrame, cfg: TextClassifierConfig = TextClassifierConfig(),
-                        weight_col: str | None = None) -> PipelineModel:
-    """M1 fit on the train rows.
-
-    The fit makes several passes (IDF statistics, then the optimiser), so the
-    featurised rows are persisted (memory, spilling to disk) for the fit only;
-    a lost executor's blocks are recomputed from lineage.
-    """
-    cols = ["words", "target"] + ([weight_col] if weight_col else [])
-    feats = _with_target(text_features(train), cfg.label_field).select(*cols)
-    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return text_pipeline(cfg, weight_col).fit(feats)
-    finally:
-        feats.unpersist()
+                        weight: Column | None = None, carry: Sequence[str] = ()) -> PipelineModel:
+    """M1 fit on the train rows; ``weight`` may use the columns named in ``carry``."""
+    with SharedFeatures(train, cfg, carry) as shared:
+        return shared.fit(cfg, weight)
 
 
 def predict(model: PipelineModel, df: DataFrame, label_field: str = "label") -> DataFrame:
@@ -113,15 +130,16 @@ def select_best(train: DataFrame, valid: DataFrame, candidates: Sequence[TextCla
                 label_field: str = "label") -> tuple[PipelineModel, list[tuple[TextClassifierConfig, float]]]:
     """M3: fit each candidate on train (e.g. one per training-length
     "checkpoint"), score on validation (weighted F1), keep the best. Test
-    rows are never looked at here."""
-    scores = []
-    best = None
-    for cfg in candidates:
-        model = fit_text_classifier(train, cfg)
-        f1 = M.evaluate(predict(model, valid, label_field), (), label_field).first()["f1"]
-        scores.append((cfg, f1))
-        if best is None or f1 > best[1]:
-            best = (model, f1)
+    rows are never looked at here. Candidates share the label field and the
+    number of features, which are computed once."""
+    scores, best = [], None
+    with SharedFeatures(train, candidates[0]) as shared:
+        for cfg in candidates:
+            model = shared.fit(cfg)
+            f1 = M.evaluate(predict(model, valid, label_field), (), label_field).first()["f1"]
+            scores.append((cfg, f1))
+            if best is None or f1 > best[1]:
+                best = (model, f1)
     return best[0], scores
 
 

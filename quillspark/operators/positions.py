@@ -76,26 +76,39 @@ def seeded_hash(seed: int | Column, key: Column | str) -> Column:
     return F.md5(F.concat_ws(":", s, k.cast("string")))
 
 
-def sample_exact_n(df: DataFrame, n: int, seed: int, key: str = "index", check: bool = True) -> DataFrame:
+#: Samples of up to this many rows are taken as a top-n; bigger ones rank the keys in hash buckets.
+TOP_N_ROWS = 100_000
+
+
+def sample_exact_n(df: DataFrame, n: int, seed: int, key: str = "index", check: bool = True,
+                   top_n_rows: int = TOP_N_ROWS) -> DataFrame:
     """Exactly ``n`` rows without replacement, chosen by the seeded hash of
     ``key`` (ties by key); ``n <= 0`` keeps every row; ``n`` above the row
-    count is an error. ``key`` must be unique.
-
-    Only the keys are ranked: buckets are the first 4 hex digits of the hash
-    (uniform, so no bucket is hot), positions come per bucket, and the ``n``
-    chosen keys are semi-joined back (size-checked broadcast, salted above
-    the bound), so wide rows never cross the network.
+    count is an error when the rows are computed (a table without rows gives
+    none). ``key`` must be unique.
+
+    Up to ``top_n_rows`` every task keeps its best ``n`` rows and the driver's
+    plan merges them: one scan, no shuffle of the corpus, no job at plan time.
+    Above it only the keys are ranked: buckets are the first 4 hex digits of
+    the hash (uniform, so no bucket is hot), positions come per bucket, and
+    the ``n`` chosen keys are semi-joined back.
     """
     if n <= 0:
         return df
+    h = seeded_hash(seed, key)
+    if n <= top_n_rows:
+        best = df.withColumn("_h", h).orderBy("_h", key).limit(n)
+        if check:
+            msg = F.concat(F.lit(f"cannot select {n} rows without replacement from "), F.col("_n").cast("string"))
+            best = best.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy())).where(
+                F.assert_true(F.col("_n") == n, msg).isNull()).drop("_n")
+        return best.drop("_h")
     if check:
         total = df.count()
         if n > total:
             raise ValueError(f"cannot select {n} rows without replacement from {total}")
-    h = seeded_hash(seed, key)
     bucket = F.conv(F.substring(h, 1, 4), 16, 10).cast("int")
     keys = df.select(key).withColumn("_h", h)
     ranked = dense_position(keys, bucket, [F.col("_h"), F.col(key)], (), "_rank", max_buckets=1 << 16)
     chosen = ranked.where(F.col("_rank") < n).select(key)
-    # At most n keys are chosen: a proven bound, so no count job.
-    return dictionary_join(df, chosen, key, "left_semi", salt_from=F.xxhash64(F.col(key)), known_rows=n)
+    return dictionary_join(df, chosen, key, "left_semi", salt_from=F.xxhash64(F.col(key)))

@@ -77,9 +77,9 @@ def quarantine_label_text(df: DataFrame, col: str = "labels", classes: Sequence[
     return df.where(ok), df.where(~ok)
 
 
-def check_training_examples(df: DataFrame, expected: Column, got: Column) -> DataFrame:
-    """P10: one aggregate row: rows checked and rows whose rendered answer differs."""
-    return df.agg(F.count(F.lit(1)).alias("n_checked"),
+def check_training_examples(df: DataFrame, expected: Column, got: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """P10: rows checked and rows whose rendered answer differs, in one aggregate (per ``keys``, else one row)."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_checked"),
                   F.count_if(~expected.eqNullSafe(got)).alias("n_mismatch"))
 
 

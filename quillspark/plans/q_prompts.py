@@ -11,6 +11,7 @@ from quillspark.functions import prompts as B
 from quillspark.operators.select import filter_split, label_to_class_text
 from quillspark.plans import oracle as O
 from quillspark.plans.registry import register
+from quillspark.sources.tables import read_table
 from quillspark.sources.fixtures import labelled_sentences
 
 S = O.with_sentences
@@ -24,7 +25,6 @@ RUN_CONFIGS = [
     ("merged", False, False, True, "gemma3:4b"),
     ("reasoning", False, False, False, "o4-mini"),
 ]
-MODELS = ["llama3.1:latest", "gpt-4o", "o4-mini", "O3-PRO", "gpt-4.1-nano", "ro-gpt2-large"]
 
 
 def q(s: str) -> str:
@@ -147,28 +147,32 @@ def _variant_sql() -> str:
 @register("prompt_variant", _variant_sql())
 def q_prompt_variant(spark, sf_dir):
     """The prompt each run configuration sends, for every test row."""
-    t = _test(spark, sf_dir)
-    out = None
+    t = _test(spark, sf_dir).withColumn("config", F.explode(F.array(*[F.lit(c[0]) for c in RUN_CONFIGS])))
+    chosen = {"kind": None, "prompt": None, "instructions": None}
     for name, comp, ft, merge, model in RUN_CONFIGS:
         p = B.prompt_for_run("sentence", F.col("c0"), F.col("c1"), use_completion=comp, from_ft_model=ft,
                              merge_system_into_user=merge, model=model)
-        prompt = B.json_string(p["prompt_text"]) if comp else B.prompt_to_json(p["messages"])
-        part = t.select(F.lit(name).alias("config"), "index", p["kind"].alias("kind"), prompt.alias("prompt"),
-                        p["instructions"].alias("instructions"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-@register("is_reasoning_model", S() + """
-, m(model) AS (VALUES """ + ", ".join(f"('{m}')" for m in MODELS) + """)
-SELECT m.model, count(*) AS n_rows,
-  bool_or(contains(lower(m.model), 'o3') OR contains(lower(m.model), 'o1') OR contains(lower(m.model), 'o4-mini')) AS reasoning
-FROM sentl s, m WHERE s.split = 'test' GROUP BY m.model""")
+        p["prompt"] = B.json_string(p["prompt_text"]) if comp else B.prompt_to_json(p["messages"])
+        for k, had in chosen.items():
+            chosen[k] = F.when(F.col("config") == name, p[k]) if had is None else had.when(F.col("config") == name, p[k])
+    return t.select("config", "index", *[v.alias(k) for k, v in chosen.items()])
+
+
+# Model names taken from the documents: their source under one of five families.
+_MODEL_SQL = """CASE doc_id % 5 WHEN 0 THEN 'o3-' WHEN 1 THEN 'gpt-4o-' WHEN 2 THEN 'Lab/O4-mini-' WHEN 3 THEN 'llama3.' ELSE 'x-o1:' END || source"""
+
+
+def _model_names(spark, sf_dir):
+    family = F.element_at(F.array(*[F.lit(x) for x in ("o3-", "gpt-4o-", "Lab/O4-mini-", "llama3.", "x-o1:")]),
+                          (F.col("doc_id") % 5 + 1).cast("int"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.concat(family, F.col("source")).alias("model"))
+
+
+@register("is_reasoning_model", f"""
+SELECT doc_id, {_MODEL_SQL} AS model, regexp_matches(lower({_MODEL_SQL}), 'o3|o1|o4-mini') AS reasoning FROM documents""")
 def q_is_reasoning(spark, sf_dir):
-    """B8 per model over the rows each model would score."""
-    t = filter_split(labelled_sentences(spark, sf_dir), "test").select("index")
-    t = t.select(F.explode(F.array(*[F.lit(m) for m in MODELS])).alias("model"))
-    return t.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), F.bool_or(B.is_reasoning_model("model")).alias("reasoning"))
+    """B8 for a model name per row."""
+    return _model_names(spark, sf_dir).withColumn("reasoning", B.is_reasoning_model("model"))
 
 
 _TRAIN = S() + f"""

@@ -36,10 +36,11 @@ def q_confidence(spark, sf_dir):
     return _logits(spark, sf_dir).select("vec_id", F.round(C.max_logit_confidence("logits"), 6).alias("confidence"))
 
 
-@register("logits_text")
+@register("logits_text", "SELECT vec_id, unnest(range(len(embedding)))::INTEGER AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings")
 def q_logits_text(spark, sf_dir):
-    """Logits as text (rows-only: float formatting differs between engines)."""
-    return _logits(spark, sf_dir).select("vec_id", C.logits_text("logits").alias("logits"))
+    """Logits as text, parsed back: every number must survive exactly."""
+    text = _logits(spark, sf_dir).select("vec_id", C.logits_text("logits").alias("logits"))
+    return text.select("vec_id", F.posexplode(F.from_json("logits", "array<double>")).alias("pos", "v"))
 
 
 def _to_score(spark, sf_dir, runs=(1,)):
@@ -104,12 +105,15 @@ def q_dispatch(spark, sf_dir):
     """Each run configuration gets its prompt (B7) and its parser (C4 or C5)."""
     t = filter_split(labelled_sentences(spark, sf_dir), "test").select(F.lit(1).alias("run"), "index", "sentence")
     c0, c1 = B.shuffled_classes(F.col("run"), "index")
-    out = None
+    prompt = None
     for name, completion, model in DISPATCH:
         p = B.prompt_for_run("sentence", c0, c1, use_completion=completion, model=model)
-        prompt = p["prompt_text"] if completion else B.prompt_to_json(p["messages"])
-        scored = score_rows(t.withColumn("prompt", prompt), fixture_scorer, keep=["run", "index"], policy=NO_WAIT)
-        parsed = parse_answers(scored, "completion" if completion else "chat")
-        part = parsed.select(F.lit(name).alias("config"), "index", "prediction")
-        out = part if out is None else out.unionByName(part)
-    return out
+        text = p["prompt_text"] if completion else B.prompt_to_json(p["messages"])
+        prompt = F.when(F.col("config") == name, text) if prompt is None else prompt.when(F.col("config") == name, text)
+    # one scan and one scoring pass over row x configuration
+    t = t.withColumn("config", F.explode(F.array(*[F.lit(d[0]) for d in DISPATCH])))
+    scored = score_rows(t.withColumn("prompt", prompt), fixture_scorer, keep=["config", "run", "index"], policy=NO_WAIT)
+    chat = parse_answers(scored, "chat")
+    completion = C.parse_completion("output", F.col("class0"), F.col("class1"))
+    return chat.select("config", "index", F.when(F.col("config").isin(*[d[0] for d in DISPATCH if d[1]]), completion)
+                       .otherwise(F.col("prediction")).cast("int").alias("prediction"))

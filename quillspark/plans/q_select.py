@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.constants import CLASS_0, CLASS_1
-from quillspark.functions.prompts import answer_text, training_example_chat
+from quillspark.functions.prompts import answer_text, training_example_chat, training_example_completion
 from quillspark.operators import select as P
 from quillspark.operators.positions import row_index, sample_exact_n
 from quillspark.plans import oracle as O
@@ -132,12 +132,18 @@ def q_assert_label(spark, sf_dir):
 
 
 @register("check_training_examples", S() + """
-SELECT count(*) AS n_checked, CAST(0 AS BIGINT) AS n_mismatch FROM sentl WHERE split = 'train'""")
+SELECT form, split, count(*) AS n_checked, count(*) FILTER (WHERE "index" % 7 = 0 AND label_0 <> label) AS n_mismatch
+FROM sentl, (SELECT unnest(['chat', 'completion']) AS form) WHERE split IN ('train', 'validation') GROUP BY form, split""")
 def q_check_examples(spark, sf_dir):
-    t = P.label_to_class_text(P.filter_split(_sent(spark, sf_dir), "train"), "label")
-    t = P.assert_label_text(t)
-    t = t.withColumn("messages", training_example_chat("sentence", F.col("labels")))
-    return P.check_training_examples(t, answer_text(F.col("labels")), F.element_at("messages", -1)["content"])
+    """P10 in both forms, on train and validation; every seventh row is rendered from another annotator's label."""
+    t = _sent(spark, sf_dir).where(F.col("split").isin("train", "validation"))
+    t = P.assert_label_text(P.label_to_class_text(t, "label"))
+    wrong = P.label_to_class_text(t.withColumn("used", F.when(F.col("index") % 7 == 0, F.col("label_0")).otherwise(F.col("label"))),
+                                  "used", out="used_labels")
+    chat = F.element_at(training_example_chat("sentence", F.col("used_labels")), -1)["content"]
+    _, completion = training_example_completion("sentence", F.col("used_labels"))
+    forms = wrong.select("split", "labels", F.explode(F.create_map(F.lit("chat"), chat, F.lit("completion"), completion)).alias("form", "got"))
+    return P.check_training_examples(forms, answer_text(F.col("labels")), F.col("got"), ("form", "split"))
 
 
 @register("validate_schema", S() + """

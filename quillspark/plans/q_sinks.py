@@ -18,6 +18,7 @@ from quillspark.plans.q_prompts import sys_sql, user_sql
 from quillspark.plans.q_text import _ANON_SQL, _DICTS
 from quillspark.plans.registry import register
 from quillspark.session import scratch_path
+from quillspark.sources.tables import read_table
 from quillspark.sinks import layout_columns, write_label_files, write_metrics, write_predictions
 from quillspark.sources import io as IO
 from quillspark.sources.fixtures import gazetteer_df, labelled_sentences, lemmas_df, outputs, stopwords_df
@@ -156,22 +157,20 @@ def q_sink_metrics(spark, sf_dir):
                                            "accuracy", "precision", "recall", "f1")
 
 
-LAYOUT_MODELS = ["llama3.1:latest", "hf.co/unsloth/gemma-3-4b-it-GGUF:Q4_K_M", "gpt-4o", "ro-gpt2:large"]
+_LAYOUT_SQL = """CASE doc_id % 3 WHEN 0 THEN 'hf.co/' || source || '/' || lang || ':Q4_K_M' WHEN 1 THEN source || ':' || lang ELSE source END"""
 
 
-@register("run_layout", S() + """
-, m(model_name) AS (VALUES """ + ", ".join(f"('{m}')" for m in LAYOUT_MODELS) + """)
-, r AS (SELECT CAST(x AS INTEGER) AS run FROM range(1, 3) t(x))
-SELECT model_name, run, split_part(model_name, ':', 1) AS model,
-  split_part(string_split(model_name, '/')[-1], ':', 1) AS base_model,
-  'results/inference/' || split_part(model_name, ':', 1) || '/' || CAST(run AS VARCHAR) AS path,
-  count(*) AS n_rows
-FROM sentl, m, r WHERE split = 'test' GROUP BY ALL""")
+@register("run_layout", f"""
+, m AS (SELECT {_LAYOUT_SQL} AS model_name, CAST(doc_id % 4 + 1 AS INTEGER) AS run FROM documents)
+SELECT model_name, run, split_part(model_name, ':', 1) AS model, split_part(string_split(model_name, '/')[-1], ':', 1) AS base_model,
+  'results/inference/' || split_part(model_name, ':', 1) || '/' || CAST(run AS VARCHAR) AS path, count(*) AS n_rows
+FROM m GROUP BY ALL""".replace(", m AS", "WITH m AS", 1))
 def q_run_layout(spark, sf_dir):
-    """Output folder per (model, run): model = text before the first ':',
+    """Output folder per (model, run) of a table with a model name per row: model = text before the first ':',
     base model = last path segment before ':'."""
-    t = labelled_sentences(spark, sf_dir).where(F.col("split") == "test").select("index")
-    t = t.select(F.explode(F.array(*[F.lit(m) for m in LAYOUT_MODELS])).alias("model_name"))
-    t = t.select("model_name", F.explode(F.array(F.lit(1), F.lit(2))).alias("run"))
+    source, lang, k = F.col("source"), F.col("lang"), F.col("doc_id") % 3
+    name = (F.when(k == 0, F.concat(F.lit("hf.co/"), source, F.lit("/"), lang, F.lit(":Q4_K_M")))
+            .when(k == 1, F.concat(source, F.lit(":"), lang)).otherwise(source))
+    t = read_table(spark, sf_dir, "documents").select(name.alias("model_name"), (F.col("doc_id") % 4 + 1).cast("int").alias("run"))
     t = t.select("model_name", "run", *layout_columns(F.col("model_name"), F.col("run")))
     return t.groupBy("model_name", "run", "model", "base_model", "path").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -13,7 +13,7 @@ from quillspark.plans import oracle as O
 from quillspark.plans.preprocess import anonymize, preprocess_full, process_text
 from quillspark.plans.registry import register
 from quillspark.sources.fixtures import (
-    GAZETTEER, LEMMAS, STOPWORDS, gazetteer_df, labelled_sentences, lemmas_df, stopwords_df,
+    GAZETTEER, LEMMAS, STOPWORDS, gazetteer_df, gazetteer_recognizer, labelled_sentences, lemmas_df, stopwords_df,
 )
 
 S = O.with_sentences
@@ -214,6 +214,12 @@ def q_anonymize(spark, sf_dir):
     return anonymize(_text(spark, sf_dir), gazetteer_df(spark))
 
 
+@register("anonymize_recognizer", _ANON_SQL + 'SELECT "index", sentence FROM an')
+def q_anonymize_recognizer(spark, sf_dir):
+    """T6 with a recogniser model in place of the gazetteer (T2 (b)); the stand-in model finds the gazetteer's surfaces."""
+    return anonymize(_text(spark, sf_dir), recognizer=gazetteer_recognizer)
+
+
 # Keys of every kind for the same texts: null for a third of the rows, shared by neighbours for another third.
 _KEYS_SQL = """
 , kd AS (SELECT CASE WHEN "index" % 3 = 0 THEN NULL WHEN "index" % 3 = 1 THEN concat('n', news_id) ELSE concat('i', "index") END AS "key", "index" AS idx FROM sentl)

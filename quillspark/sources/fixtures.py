@@ -43,7 +43,9 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     keyed = (
         raw.select(
-            (F.col("doc_id") * SENTENCE_KEY_STRIDE + F.col("pos")).alias("index"),
+            # a document with more sentences would take its neighbour's keys: fail instead
+            F.when(F.col("pos") < SENTENCE_KEY_STRIDE, F.col("doc_id") * SENTENCE_KEY_STRIDE + F.col("pos"))
+            .otherwise(F.raise_error(F.lit("document with too many sentences for the key stride"))).alias("index"),
             F.col("doc_id").alias("news_id"),
             F.trim("s").alias("s"),
             "q",

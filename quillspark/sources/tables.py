@@ -26,15 +26,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: A scan of this many bytes or more for every task slot is left as it is.
+SPREAD_BELOW_BYTES_PER_SLOT = 32 << 20
+
+
 def spread_small_input(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that has fewer files than task slots.
+    """Hash-spread a small scan over the task slots.
 
-    A file holding one row group is read by one task however many splits it
-    is cut into, so all text work before the first exchange would run in one
-    task. Big inputs (many files) are left as they are: no extra shuffle.
+    A file of one row group is read by one task however many splits it is cut
+    into, so with little input all text work before the first exchange would
+    run in a few tasks. What counts is bytes, not files: an input with
+    ``SPREAD_BELOW_BYTES_PER_SLOT`` for every slot is split by the scan itself
+    and never shuffled. The size is the planner's estimate; nothing is read.
     """
-    spark = df.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= slots:
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= slots * SPREAD_BELOW_BYTES_PER_SLOT:
         return df
     return df.repartition(slots * 2, key)
