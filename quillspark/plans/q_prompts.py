@@ -214,3 +214,39 @@ def q_prompt_json(spark, sf_dir):
     text = B.prompt_completion(B.render_system_prompt(SYSTEM_PROMPT_SIMPLE, F.col("c0"), F.col("c1")),
                                B.render_user_prompt("sentence", USER_PROMPT_COMPLETION))
     return t.select("index", B.prompt_to_json(chat).alias("prompt"), B.json_string(text).alias("prompt_text"))
+
+
+FINETUNE_N, FINETUNE_SEED = 500, 42
+_FT_SQL = S() + f"""
+, pick AS (SELECT "index" FROM sentl WHERE split = 'train' ORDER BY md5(concat('{FINETUNE_SEED}:', CAST("index" AS VARCHAR))), "index" LIMIT {FINETUNE_N})
+, tr AS (SELECT *, CASE label WHEN 0 THEN '{CLASS_0}' WHEN 1 THEN '{CLASS_1}' END AS labels FROM sentl
+         WHERE split = 'validation' OR (split = 'train' AND "index" IN (SELECT "index" FROM pick)))
+"""
+
+
+def _finetune_round_trip(spark, sf_dir, form):
+    """The set written as JSON lines and Parquet, the lines read back."""
+    from quillspark.plans.finetune import finetune_rows, read_finetune_lines, write_finetune_set
+    from quillspark.session import scratch_path
+
+    path = scratch_path(spark, f"finetune-{form}")
+    rows = finetune_rows(labelled_sentences(spark, sf_dir), form, FINETUNE_N, FINETUNE_SEED)
+    write_finetune_set(rows, path)
+    return read_finetune_lines(spark, path, form)
+
+
+@register("finetune_set_chat", _FT_SQL + f"""
+SELECT split, to_json([{{'role': 'system', 'content': {q(SYSTEM_PROMPT_SIMPLE.format(class0=CLASS_0, class1=CLASS_1))}}},
+                       {{'role': 'user', 'content': {user_sql(USER_PROMPT_CHAT)}}},
+                       {{'role': 'assistant', 'content': 'RĂSPUNS: ' || labels}}]) AS messages FROM tr""")
+def q_finetune_chat(spark, sf_dir):
+    """Lifecycle D in chat form: filter, sample, label text, render, check, write, read back."""
+    return _finetune_round_trip(spark, sf_dir, "chat").select("split", B.prompt_to_json(F.col("messages")).alias("messages"))
+
+
+@register("finetune_set_completion", _FT_SQL + f"""
+SELECT split, {q(SYSTEM_PROMPT_SIMPLE.format(class0=CLASS_0, class1=CLASS_1))} || chr(10) || {user_sql(USER_PROMPT_CHAT)} || chr(10) AS prompt,
+       'RĂSPUNS: ' || labels AS completion FROM tr""")
+def q_finetune_completion(spark, sf_dir):
+    """Lifecycle D in completion form."""
+    return _finetune_round_trip(spark, sf_dir, "completion").select("split", "prompt", "completion")

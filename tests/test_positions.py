@@ -27,5 +27,9 @@ def test_sample_exact_n(spark, parts):
     want = sorted(range(3000), key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))[:250]
     assert got == sorted(want)
     assert sample_exact_n(df, 0, 1).count() == 3000
+    with pytest.raises(Exception, match="cannot select 3001 rows"):
+        sample_exact_n(df, 3001, 1).collect()
     with pytest.raises(ValueError):
-        sample_exact_n(df, 3001, 1)
+        sample_exact_n(df, 3001, 1, top_n_rows=100)
+    big = sorted(r["index"] for r in sample_exact_n(df, 250, 42, top_n_rows=100).collect())
+    assert big == got
