@@ -54,7 +54,7 @@ def test_majority_vote_wide_and_long(spark):
     df = spark.createDataFrame([(1, 1, 0, 1), (2, 0, 0, 1), (3, 1, 1, 1)], "index long, label_0 int, label_1 int, label_2 int")
     assert [r.label for r in majority_vote(df).orderBy("index").collect()] == [1, 0, 1]
     votes = spark.createDataFrame([(1, 1), (1, 0), (1, 1), (2, 0), (2, 1)], "index long, vote int")
-    assert {r["index"]: r.label for r in majority_vote_long(votes).collect()} == {1: 1, 2: 0}
+    assert {r["index"]: r.label for r in majority_vote_long(votes).collect()} == {1: 1, 2: None}
 
 
 def test_run_summary(spark):
