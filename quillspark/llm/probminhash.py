@@ -7,16 +7,18 @@ every register's earliest one. Signatures are cut into ``BANDS`` bands of ``ROWS
 a band share a bucket and are candidates. A candidate pair is a link if the exact Jaccard similarity of the shingle sets
 is at least ``THRESHOLD``. Classes are the connected components of links; equal texts are one node from the start.
 
-No pairs are spread out within a bucket. Each bucket has a center (its node with the most bucket neighbours); every member is compared
-with it. Two members ``o`` and ``m`` that were both compared with a center ``c`` can be linked without it only if
+No pairs are spread out within a bucket. Each bucket has a center (its node with the most bucket neighbours); buckets with one center
+are one. A bucket of at most ``TASK_NODES`` texts with ``TASK_SHINGLES`` shingles is resolved exactly in one task. In a larger one every
+member is compared with the center. Two members ``o`` and ``m`` of it can be linked without the center ``c`` only if
 
 * they share a shingle that ``c`` lacks: they meet again in a bucket for that shingle, or
 * they share none, and then what they share lies in ``c``: ``n_o + n_m <= (1 + t) / t * min(|o & c|, |m & c|)``; members that may
   satisfy this meet again in a bucket for their size.
 
-If both are linked to ``c`` they are in one class already. So buckets whose members are not all linked to their center go into
-another round with buckets refined in these two ways, until none is left; ``c`` then stands for the union of all centers so far. No candidate pair is
-given up. The banding itself misses a pair of similarity ``s`` with probability ``(1 - s ** ROWS) ** BANDS`` (3e-6 at 0.8).
+If both are linked to ``c`` they are in one class already. Only members that meet again in one of these two ways, one of them not
+linked to ``c``, are left of the bucket. If one task can hold them it resolves them; else the refined buckets go through another
+round, with ``c`` standing for the union of all centers so far, until none is left. No candidate pair is given up. The banding
+itself misses a pair of similarity ``s`` with probability ``(1 - s ** ROWS) ** BANDS`` (3e-6 at 0.8).
 
 Scale: signatures take one scan and are small. Shingle sets are made only for nodes in a bucket (a bitmap of fixed size thins them
 in a second scan), and move in equi-joins that adaptive execution splits where a center is hot. Buckets, classes and centers are
@@ -30,9 +32,11 @@ an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import (
@@ -46,6 +50,9 @@ ROWS = 4
 THRESHOLD = 0.8
 #: Texts whose registers are held at a time.
 MAX_TEXTS = 4096
+#: What one task may hold of a bucket, in texts and in shingles (8 bytes each).
+TASK_NODES = 2000
+TASK_SHINGLES = 1 << 20
 _U = float(2.0 ** -53)
 
 
@@ -110,8 +117,14 @@ def _long_lists(values: np.ndarray, lengths: np.ndarray):
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values.view(np.int64)))
 
 
+def _arrays(column) -> list[np.ndarray]:
+    """The rows of an Arrow list column as numpy arrays."""
+    values, off = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[off[i]:off[i + 1]] for i in range(len(column))]
+
+
 def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, buckets) of every distinct text; node is its md5, buckets are its band keys (none without words)."""
+    """(node, n, buckets) of every distinct text: its md5, its number of distinct shingles, its band keys (none without words)."""
     import pyarrow as pa
 
     d = docs.where("text is not null").select(text_digest(F.col("text")).alias("node"), "text")
@@ -120,14 +133,15 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: i
         for b in batches:
             raw, offsets, _ = text_buffers(b.column("text"))
             for lo, hi in pieces(offsets, MAX_TEXTS):
-                h, row = shingles(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], size)
-                has = np.bincount(row, minlength=hi - lo) > 0
-                keys = band_keys(prob_minhash(*weighted(h, row), hi - lo, bands * rows), bands, rows)
+                h, row, weight = weighted(*shingles(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], size))
+                n = np.bincount(row, minlength=hi - lo)
+                keys = band_keys(prob_minhash(h, row, weight, hi - lo, bands * rows), bands, rows)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("node").slice(lo, hi - lo), _long_lists(keys[has].ravel(), has * bands)], names=["node", "buckets"])
+                    [b.column("node").slice(lo, hi - lo), pa.array(n, pa.int64()), _long_lists(keys[n > 0].ravel(), (n > 0) * bands)],
+                    names=["node", "n", "buckets"])
 
-    found = d.mapInArrow(scan, "node binary, buckets array<bigint>")
-    return found.groupBy("node").agg(F.first("buckets").alias("buckets"))
+    found = d.mapInArrow(scan, "node binary, n long, buckets array<bigint>")
+    return found.groupBy("node").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"))
 
 
 def shingle_sets(docs: DataFrame, bitmap: np.ndarray, size: int = SHINGLE) -> DataFrame:
@@ -172,15 +186,10 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     d = pairs.join(left, F.col("node") == F.col("a_node")).drop("a_node")
     d = d.join(right, F.col("center") == F.col("b_node")).drop("b_node")
 
-    def lists(column):
-        values = column.values.to_numpy(zero_copy_only=False)
-        off = column.offsets.to_numpy()
-        return [values[off[i]:off[i + 1]] for i in range(len(column))]
-
     def scan(batches: Iterator) -> Iterator:
         for b in batches:
             n, m, inter, rests = [], [], [], []
-            sets_a, sets_b, old = lists(b.column("a_set")), lists(b.column("b_set")), lists(b.column("rest"))
+            sets_a, sets_b, old = _arrays(b.column("a_set")), _arrays(b.column("b_set")), _arrays(b.column("rest"))
             first = b.column("rest").is_null().to_pylist()
             for x, y, r, all_ in zip(sets_a, sets_b, old, first):
                 x, y = x.view(np.uint64), y.view(np.uint64)
@@ -205,7 +214,10 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _refined(done: DataFrame, threshold: float) -> DataFrame:
-    """Members (key, node, degree, rest) of the next round's buckets; see the module's docstring."""
+    """Members (key, lineage, node, degree, n, rest) of refined buckets; see the module's docstring.
+
+    ``lineage`` is the bucket that they come from.
+    """
     t = threshold
     done = done.withColumn("out", jaccard_of(F.col("inter"), F.col("n"), F.col("m")) < t)
     open_ = (done.groupBy(F.col("key").alias("g_key")).agg(F.count(F.lit(1)).alias("g_n"), F.max("out").alias("g_out"))
@@ -235,7 +247,56 @@ def _refined(done: DataFrame, threshold: float) -> DataFrame:
     found = found.groupBy("key", "n", "same").agg(F.min("next").alias("k_next")).select("k_next")
     members = rows.join(found, F.col("next") == F.col("k_next")).select("next", F.col("key").alias("r_key"), F.col("node").alias("r_node"))
     return (members.join(done, (F.col("r_key") == F.col("key")) & (F.col("r_node") == F.col("node")))
-            .select(F.col("next").alias("key"), "node", "degree", "rest"))
+            .select(F.col("next").alias("key"), F.col("r_key").alias("lineage"), "node", "degree", "n", "rest"))
+
+
+def _resolved(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(node, center): links within buckets (key, node) of bounded size, each resolved exactly in one task.
+
+    A member's intersections with all others are one pass over the bucket's shingles; it is skipped once all are in its class.
+    """
+    import pyarrow as pa
+
+    held = members.join(sets.select(F.col("node").alias("s_node"), "set"), F.col("node") == F.col("s_node")).select("key", "node", "set")
+
+    def rows(batches: Iterator):
+        for b in batches:
+            yield from zip(b.column("key").to_pylist(), b.column("node").to_pylist(), _arrays(b.column("set")))
+
+    def scan(batches: Iterator) -> Iterator:
+        for _, group in groupby(rows(batches), key=itemgetter(0)):
+            _, nodes, arrays = zip(*group)
+            found = links_within(list(arrays), threshold)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[j] for j, _ in found], pa.binary()),
+                                                  pa.array([nodes[i] for _, i in found], pa.binary())], names=["node", "center"])
+
+    return held.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "node binary, center binary")
+
+
+def links_within(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Pairs of positions that connect every class of the given shingle sets."""
+    if len(sets) < 2:
+        return []
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(flat.max() + 1, dtype=np.int64)
+    label = np.arange(len(sets))
+    found = []
+    for i in range(len(sets)):
+        if (label == label[i]).all():
+            break
+        mine = flat[starts[i]:starts[i] + sizes[i]]
+        mark[mine] = 1
+        inter = np.add.reduceat(mark[flat], starts)
+        mark[mine] = 0
+        near = jaccard_of(inter, sizes[i], sizes) >= threshold
+        for j in np.flatnonzero(near & (label != label[i])):
+            if label[j] != label[i]:
+                found.append((int(j), i))
+                label[label == label[j]] = label[i]
+    return found
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -243,30 +304,47 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, ba
     spark = docs.sparkSession
     d = columns_of(docs, "text")
     sig = written(spark, signatures(d, size, bands, rows), "signatures")
-    entries = sig.select("node", F.explode("buckets").alias("key"))
+    entries = sig.select("node", "n", F.explode("buckets").alias("key"))
     shared = entries.groupBy(F.col("key").alias("s_key")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(spark, entries.join(shared, F.col("key") == F.col("s_key")).select("key", "node", "size"), "buckets")
-    nodes = members.groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree"))
-    nodes = written(spark, nodes, "nodes")
-    bitmap = membership_filter(nodes.select(_node_long(F.col("node")).alias("v")), "v")
+    members = written(spark, entries.join(shared, F.col("key") == F.col("s_key")).select("key", "node", "n", "size"), "buckets")
+    nodes = written(spark, members.groupBy(F.col("node").alias("d_node")).agg(F.sum(F.col("size") - 1).alias("degree")), "nodes")
+    bitmap = membership_filter(nodes.select(_node_long(F.col("d_node")).alias("v")), "v")
     sets = written(spark, shingle_sets(d, bitmap, size), "sets")
-    members = (members.select("key", F.col("node").alias("m_node")).join(nodes, F.col("m_node") == F.col("node"))
-               .select("key", "node", "degree", F.lit(None).cast("array<bigint>").alias("rest")))
-    found, first = None, True
-    while True:
-        members = written(spark, members, "members") if not first else members
-        best = members.groupBy(F.col("key").alias("c_key")).agg(
-            F.max(F.struct("degree", "node")).alias("best")).select("c_key", F.col("best.node").alias("center"))
-        pairs = members.join(best, F.col("key") == F.col("c_key")).where(F.col("node") != F.col("center")).drop("c_key")
-        if first:  # buckets with one center are one bucket from here on
-            pairs = (pairs.select(F.xxhash64("center").alias("key"), "node", "center", "degree").distinct()
-                     .withColumn("rest", F.lit(None).cast("array<bigint>")))
+    members = members.join(nodes, F.col("node") == F.col("d_node")).select("key", "node", "n", "degree")
+    best = members.groupBy(F.col("key").alias("c_key")).agg(
+        F.max(F.struct("degree", "node", "n")).alias("best")).select("c_key", F.col("best.node").alias("center"), F.col("best.n").alias("c_n"))
+    # buckets with one center are one bucket from here on
+    pairs = members.join(best, F.col("key") == F.col("c_key")).where(F.col("node") != F.col("center"))
+    pairs = written(spark, pairs.select(F.xxhash64("center").alias("key"), "node", "center", "n", "c_n", "degree").distinct(), "pairs")
+    size = pairs.groupBy(F.col("key").alias("l_key")).agg(
+        (F.count(F.lit(1)) + 1).alias("nodes"), (F.sum("n") + F.max("c_n")).alias("shingles"), F.max("center").alias("l_center"))
+    size = _sized(spark, size)
+    small = size.where("small")
+    ready = pairs.join(small, F.col("key") == F.col("l_key"), "left_semi").select("key", "node").unionByName(
+        small.select(F.col("l_key").alias("key"), F.col("l_center").alias("node")))
+    found = written(spark, _resolved(ready, sets, threshold), "resolved")
+    pairs = (pairs.join(size.where("not small"), F.col("key") == F.col("l_key"), "left_semi")
+             .select("key", "node", "center", "degree", F.lit(None).cast("array<bigint>").alias("rest")))
+    while not size.where("not small").isEmpty():
         done = written(spark, compared(pairs, sets), "compared")
         linked = done.where(jaccard_of(F.col("inter"), F.col("n"), F.col("m")) >= threshold).select("node", "center")
-        found = linked if found is None else found.unionByName(linked)
-        members, first = _refined(done, threshold), False
-        if members.isEmpty():
-            return found.distinct()
+        rest = written(spark, _refined(done, threshold), "refined")
+        left = rest.select("lineage", "node", "n").distinct()
+        size = left.groupBy(F.col("lineage").alias("l_key")).agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"))
+        size = _sized(spark, size)
+        ready = left.join(size.where("small"), F.col("lineage") == F.col("l_key"), "left_semi").select(F.col("lineage").alias("key"), "node")
+        found = found.unionByName(linked).unionByName(written(spark, _resolved(ready, sets, threshold), "resolved"))
+        members = rest.join(size.where("not small"), F.col("lineage") == F.col("l_key"), "left_semi").select("key", "node", "degree", "rest")
+        best = members.groupBy(F.col("key").alias("c_key")).agg(
+            F.max(F.struct("degree", "node")).alias("best")).select("c_key", F.col("best.node").alias("center"))
+        pairs = written(spark, members.join(best, F.col("key") == F.col("c_key")).where(F.col("node") != F.col("center")).drop("c_key"), "pairs")
+    return found.distinct()
+
+
+def _sized(spark: SparkSession, size: DataFrame) -> DataFrame:
+    """(l_key, small, ...): whether one task can hold a bucket of so many nodes and shingles."""
+    small = (F.col("nodes") <= TASK_NODES) & (F.col("shingles") <= TASK_SHINGLES)
+    return written(spark, size.withColumn("small", small), "sizes")
 
 
 def components(edges: DataFrame) -> DataFrame:
