@@ -83,6 +83,35 @@ def test_large_group_without_all_pairs(spark, table):
     assert got == brute_classes(docs)
 
 
+def test_rounds_and_tasks_give_the_same_classes(spark, table, monkeypatch):
+    """With no room in a task every bucket is refined round by round."""
+    docs = corpus(4, groups=3, size=10)
+    monkeypatch.setattr(P, "TASK_NODES", 2)
+    assert {r.doc_id: r.class_id for r in P.near_duplicates(table(docs)).collect()} == brute_classes(docs)
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(1)
+    names = [bytes([i // 256, i % 256]) for i in range(400)]
+    edges = [(names[i], names[i + 1]) for i in range(0, 60)] + [(names[i], names[100]) for i in range(101, 180)]
+    edges += [(names[rng.randint(200, 399)], names[rng.randint(200, 399)]) for _ in range(110)]
+    edges = [e for e in edges if e[0] != e[1]]
+    rng.shuffle(edges)
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    got = {bytes(r.node): bytes(r.label) for r in P.components(spark.createDataFrame(edges, "node binary, center binary")).collect()}
+    nodes = {x for e in edges for x in e}
+    assert {x: got.get(x, x) for x in nodes} == {x: root(x) for x in nodes}
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(3)
     h = P.mix64(np.arange(1, 301, dtype=np.uint64))
