@@ -58,15 +58,19 @@ def classifier(cfg: TextClassifierConfig, weight_col: str | None = None) -> Logi
 class SharedFeatures:
     """Feature vectors of the train rows, computed once and kept (memory, spilling to disk) while classifiers are fitted on them.
 
-    A lost executor's blocks are recomputed from lineage. Use as a context manager.
+    A lost executor's blocks are recomputed from lineage. Use as a context manager. With ``many`` False only the words are
+    kept: a single fit caches its own copy of the vectors.
     """
 
-    def __init__(self, train: DataFrame, cfg: TextClassifierConfig = TextClassifierConfig(), carry: Sequence[str] = ()):
+    def __init__(self, train: DataFrame, cfg: TextClassifierConfig = TextClassifierConfig(), carry: Sequence[str] = (),
+                 many: bool = True):
         words = _with_target(text_features(train), cfg.label_field).select("words", "target", *carry)
         words = words.persist(StorageLevel.MEMORY_AND_DISK)
         self.features = fit_features(words, cfg.num_features)
-        self.rows = self.features.transform(words).select("features", "target", *carry).persist(StorageLevel.MEMORY_AND_DISK)
-        self._held = (words, self.rows)
+        self.rows = self.features.transform(words).select("features", "target", *carry)
+        if many:
+            self.rows = self.rows.persist(StorageLevel.MEMORY_AND_DISK)
+        self._held = (words, self.rows) if many else (words,)
 
     def fit(self, cfg: TextClassifierConfig = TextClassifierConfig(), weight: Column | None = None) -> PipelineModel:
         """A whole pipeline model: the shared features and a classifier fitted for ``cfg`` (row weights optional)."""
@@ -100,7 +104,7 @@ def _with_target(df: DataFrame, label_field: str) -> DataFrame:
 def fit_text_classifier(train: DataFrame, cfg: TextClassifierConfig = TextClassifierConfig(),
                         weight: Column | None = None, carry: Sequence[str] = ()) -> PipelineModel:
     """M1 fit on the train rows; ``weight`` may use the columns named in ``carry``."""
-    with SharedFeatures(train, cfg, carry) as shared:
+    with SharedFeatures(train, cfg, carry, many=False) as shared:
         return shared.fit(cfg, weight)
 
 

@@ -49,8 +49,12 @@ def incremental_preprocess(spark: SparkSession, source_dir: str, schema: StructT
     gaz = kw.get("gazetteer")
     if gaz is not None and "sets" not in kw:
         kw["sets"] = inline_sets(gaz)
+        if kw["sets"] is None:
+            kw["inline_max"] = 0  # too big for the rows: known now, not measured again in every batch
     if "lookup_rows" not in kw and (kw.get("lemmas") is not None or kw.get("stopwords") is not None):
         kw["lookup_rows"] = prepare_lookup(kw.get("lemmas"), kw.get("stopwords"), kw.get("token_stopwords"))
+        if kw["lookup_rows"] is None:
+            kw["strategy"] = "join"
 
     def process(batch: DataFrame, batch_id: int) -> None:
         out = preprocess_full(batch, **kw)
