@@ -1,20 +1,21 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last ``window`` lines decides whether a chunk ends after a line: when
-it is 0 modulo ``divisor``. Boundaries so depend on nearby lines only; text inserted or removed elsewhere in a
-document does not shift them. A chunk never exceeds ``max_lines`` lines. Chunks of two lines or more with at
-least ``min_words`` words whose bytes occur elsewhere in the corpus are removed, except at the first place by doc_id
-(null last), row key and position.
-
-Scale: the first pass emits 16-byte digests. Those seen twice set bits of a bitmap of fixed size; the second pass
-emits text only of chunks whose bit is set. Chunks meet their digest's first occurrence in an equi-join that
-compares the bytes and that adaptive execution splits where a digest is hot. The first
+A text's units are its lines, and the sentences of a line that holds several. A chunk is a shortest run of at least ``min_lines`` units
+with at least ``min_words`` words: one starts at every unit and one ends at every unit. Its ends so depend on the units within it only;
+text inserted or removed elsewhere in a document does not shift them. Chunks whose bytes (by a 16-byte BLAKE2b digest) occur elsewhere in
+the corpus are removed, except at the first place by doc_id (null last), row key and position. Chunks overlap, so of a passage that occurs elsewhere all whole units
+are removed if they are a chunk or more: each lies in a chunk that ends or starts at it or at an end of the passage. Of every unit
+the first place stays, as a removed one always has an equal one at an earlier place.
+
+Scale: the first pass emits 8-byte rolling hashes, made with numpy on the Arrow buffers. Those seen twice set bits of a bitmap of fixed size;
+the second pass emits digests only of chunks whose bit is set, never text: chunks overlap, and a passage's text would move several times.
+Chunks meet their digest's first occurrence in an equi-join that adaptive execution splits where a digest is hot. The first
 occurrence is a partial aggregate. Whole texts are shuffled once, to cut the spans out.
 
 Edge cases: null and empty texts have no chunks and pass unchanged; rows equal in doc_id and text are one document and
-get the same result; a chunk that repeats within one text keeps its first place; a digest collision
-(equal digest, other bytes) removes nothing; a text may become empty; an empty table gives an empty result; all other
-columns pass through, and ``n_chars``, if there, is set anew where the text changed.
+get the same result; a chunk that repeats within one text keeps its first place; a text may become empty; an empty table gives an empty result; all other
+columns pass through, and ``n_chars``, if there, is set anew where the text changed. White space after a chunk goes with it, so a
+passage that starts inside a line takes its last line end along.
 """
 
 from __future__ import annotations
@@ -22,108 +23,169 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import xxhash
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import columns_of, cut_spans, membership_filter, passes_filter, row_key, written
+from quillspark.llm.common import (
+    columns_of, cut_spans, membership_filter, passes_filter, pieces, row_key, span_hashes, text_buffers, word_spans, written,
+)
 
-WINDOW = 2
-DIVISOR = 4
-MAX_LINES = 64
 MIN_LINES = 2
 MIN_WORDS = 8
+#: No chunk has more units: each unit has a word.
+MAX_LINES = max(MIN_LINES, MIN_WORDS)
 
-_ODD = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-
-
-def chunks_of(text: str, window: int = WINDOW, divisor: int = DIVISOR, max_lines: int = MAX_LINES) -> Iterator[tuple[int, int, int]]:
-    """(start, end, number of non-blank lines) of the chunks of a text, line ends included; blank lines go with the line before."""
-    at, start, lines = 0, 0, 0
-    recent: list[int] = []  # hashes of the last lines, so that the rolling value needs no division
-    rolling, oldest = 0, pow(_ODD, window, 1 << 64)
-    n = len(text)
-    while at < n:
-        end = text.find("\n", at) + 1 or n
-        line = text[at:end].strip("\n")
-        if line.strip():
-            h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
-            rolling = (rolling * _ODD + h) & _MASK
-            recent.append(h)
-            if len(recent) > window:
-                rolling = (rolling - recent.pop(0) * oldest) & _MASK
-            lines += 1
-            mixed = ((rolling ^ (rolling >> 29)) * 0xBF58476D1CE4E5B9) & _MASK
-            if (mixed >> 32) % divisor == 0 or lines >= max_lines:
-                yield start, end, lines
-                start, lines = end, 0
-        at = end
-    if start < n:
-        yield start, n, lines
-
-
-def digest_of(chunk: str) -> bytes:
-    return hashlib.blake2b(chunk.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-
-
-def eligible(text: str, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, **rule) -> Iterator[tuple[int, int, str]]:
-    """(start, end, chunk) of the chunks that may be removed; the chunk has no line end at its end."""
-    for s, e, lines in chunks_of(text, **rule):
-        if lines >= min_lines:
-            chunk = text[s:e].rstrip("\n")
-            if len(chunk.split()) >= min_words:
-                yield s, e, chunk
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[ord(c) for c in ".!?"]] = True
+_CLOSER = np.zeros(256, dtype=bool)
+_CLOSER[[ord(c) for c in "\"')]}"]] = True
+
+
+def units(data: np.ndarray, bounds: np.ndarray):
+    """(starts, ends, row, index of each unit's first word) of the words of concatenated texts; a unit ends at a line end or sentence mark."""
+    starts, ends, row = word_spans(data, bounds)
+    if not len(starts):
+        return starts, ends, row, starts
+    lines = np.concatenate([[0], np.cumsum(data == 10)])
+    closed = _CLOSER[data[ends - 1]] & (ends - starts > 1)
+    mark = _MARK[data[ends - 1 - closed]]
+    head = np.ones(len(starts), dtype=bool)
+    head[1:] = mark[:-1] | (row[1:] != row[:-1]) | (lines[starts[1:]] > lines[ends[:-1]])
+    return starts, ends, row, np.flatnonzero(head)
+
+
+def chunk_spans(data: np.ndarray, bounds: np.ndarray, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS):
+    """(start, stop, end, row) of the chunks of concatenated texts, in bytes, by start, then end.
+
+    ``stop`` is the end of the last word, ``end`` also takes the white space behind it.
+    """
+    starts, ends, row, head = units(data, bounds)
+    n, n_words = len(head), len(starts)
+    if not n:
+        z = np.zeros(0, dtype=np.int64)
+        return z, z, z, z
+    at = np.append(head, n_words)
+    of = row[head]
+    lo, hi = np.searchsorted(of, of, side="left"), np.searchsorted(of, of, side="right")
+    i = np.arange(n)
+    stop = np.maximum(i + min_lines, np.searchsorted(at, head + min_words, side="left"))
+    start = np.minimum(i + 1 - min_lines, np.searchsorted(at, at[1:] - min_words, side="right") - 1)
+    forth, back = stop <= hi, start >= lo
+    pairs = np.unique(np.concatenate([i[forth] * (n + 1) + stop[forth], start[back] * (n + 1) + i[back] + 1]))
+    first, last = pairs // (n + 1), pairs % (n + 1)
+    behind = bounds[of[first] + 1]
+    inside = last < hi[first]
+    behind[inside] = starts[head[last[inside]]]
+    return starts[head[first]], ends[at[last] - 1], behind, of[first]
+
+
+def _bytes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+
+
+def _code_points(data: np.ndarray) -> np.ndarray:
+    """Number of code points before each byte offset."""
+    return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+
+
+def chunks_of(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, 1) of the units of a text; white space goes with the unit before, at the start of the text with the first."""
+    if not text:
+        return
+    data = _bytes(text)
+    starts, _, _, head = units(data, np.array([0, len(data)]))
+    cuts = [0, *_code_points(data)[starts[head[1:]]].tolist(), len(text)]
+    for s, e in zip(cuts, cuts[1:]):
+        yield s, e, 1
+
+
+def digest_of(chunk: np.ndarray) -> bytes:
+    return hashlib.blake2b(chunk, digest_size=16).digest()
+
+
+def eligible(text: str, **rule) -> Iterator[tuple[int, int, str]]:
+    """(start, end, chunk) of the chunks of a text, in code points; the chunk has no white space at its end. Neither starts nor ends descend."""
+    data = _bytes(text)
+    start, stop, end, _ = chunk_spans(data, np.array([0, len(data)]), **rule)
+    cp = _code_points(data)
+    for s, m, e in zip(cp[start].tolist(), cp[stop].tolist(), cp[end].tolist()):
+        yield s, e, text[s:m]
 
 
 def _pass(docs: DataFrame, bitmap=None, **rule) -> DataFrame:
-    import numpy as np
     import pyarrow as pa
 
     d = columns_of(docs, "doc_id", "text").where("text is not null")
     sc = docs.sparkSession.sparkContext
     known = sc.broadcast(bitmap) if bitmap is not None else None
     kind = d.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "key", "start", "end", "h", "digest", "chunk"]
+    names = ["doc_id", "key", "start", "end", "digest"]
+
+    def spans(b) -> Iterator:
+        raw, offsets, _ = text_buffers(b.column("text"))
+        for lo, hi in pieces(offsets):
+            data, bounds = raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
+            start, stop, end, row = chunk_spans(data, bounds, **rule)
+            yield lo, data, bounds, start, stop, end, row, span_hashes(data, start, stop).view(np.int64)
 
-    def digests(batches: Iterator) -> Iterator:
+    def hashes(batches: Iterator) -> Iterator:
         for b in batches:
-            out = [digest_of(c) for t in b.column("text") for _, _, c in eligible(t.as_py(), **rule)]
-            h = np.frombuffer(b"".join(x[:8] for x in out), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(out, pa.binary())], names=["h", "digest"])
+            for *_, h in spans(b):
+                yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
 
     def repeated(batches: Iterator) -> Iterator:
         for b in batches:
-            rows, found = [], []
-            for i, t in enumerate(b.column("text")):
-                for s, e, c in eligible(t.as_py(), **rule):
-                    rows.append(i)
-                    found.append((s, e, digest_of(c), c))
-            h = np.frombuffer(b"".join(x[2][:8] for x in found), dtype=np.int64)
-            keep = np.flatnonzero(passes_filter(known.value, h))
-            at = pa.array(np.asarray(rows, dtype=np.int64)[keep])
-            found = [found[k] for k in keep]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(at), b.column("key").take(at), pa.array([x[0] for x in found], pa.int64()),
-                 pa.array([x[1] for x in found], pa.int64()), pa.array(h[keep]),
-                 pa.array([x[2] for x in found], pa.binary()), pa.array([x[3] for x in found], pa.string())], names=names)
+            for lo, data, bounds, start, stop, end, row, h in spans(b):
+                keep = np.flatnonzero(passes_filter(known.value, h))
+                if not len(keep):
+                    continue
+                start, stop, end, row = start[keep], stop[keep], end[keep], row[keep]
+                digests = [digest_of(data[s:e]) for s, e in zip(start.tolist(), stop.tolist())]
+                cp = _code_points(data)
+                base = cp[bounds[row]]
+                at = pa.array(row + lo)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").take(at), b.column("key").take(at), pa.array(cp[start] - base), pa.array(cp[end] - base),
+                     pa.array(digests, pa.binary())], names=names)
 
     if known is None:
-        return d.select("text").mapInArrow(digests, "h long, digest binary")
+        return d.select("text").mapInArrow(hashes, "h long")
     d = d.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
-    return d.mapInArrow(repeated, f"doc_id {kind}, key binary, start long, end long, h long, digest binary, chunk string")
+    return d.mapInArrow(repeated, f"doc_id {kind}, key binary, start long, end long, digest binary")
+
+
+def _united(starts: Column, ends: Column) -> Column:
+    """Overlapping spans (ascending) as one, at the place of the first; null at the others' places."""
+    @F.pandas_udf("array<struct<start:bigint,end:bigint>>")
+    def unite(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for s, e in zip(a, b):
+            if s is None:
+                out.append(None)
+                continue
+            new = np.flatnonzero(np.append(True, s[1:] >= e[:-1]))  # ends ascend as starts do
+            last = np.append(new[1:], len(s)) - 1
+            whole: list = [None] * len(s)
+            for i, j in zip(new.tolist(), last.tolist()):
+                whole[i] = {"start": int(s[i]), "end": int(e[j])}
+            out.append(whole)
+        return pd.Series(out, dtype=object)
+
+    return unite(starts, ends)
 
 
 def repeated_chunks(docs: DataFrame, **rule) -> DataFrame:
     """Chunks to remove: (key, doc_id, start, end, first_doc_id, first_start); offsets are code points of the original text."""
-    twice = _pass(docs, **rule).groupBy("digest").agg(F.first("h").alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = _pass(docs, **rule).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = written(docs.sparkSession, _pass(docs, membership_filter(twice, "h"), **rule), "chunks")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("key"), F.col("start"), F.col("chunk"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("key"), F.col("start"))
     first = (found.groupBy(F.col("digest").alias("f_digest"))
              .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    first = written(docs.sparkSession, first, "first-chunks")  # an aggregate in the join's own stage would keep it from being split
     out = found.join(first, F.col("digest") == F.col("f_digest"))
-    out = out.where((F.col("chunk") == F.col("first.chunk"))
-                    & ((F.col("key") != F.col("first.key")) | (F.col("start") != F.col("first.start"))))
+    out = out.where((F.col("key") != F.col("first.key")) | (F.col("start") != F.col("first.start")))
     return out.select("key", "doc_id", "start", "end", F.col("first.doc_id").alias("first_doc_id"),
                       F.col("first.start").alias("first_start"))
 
@@ -137,7 +199,10 @@ def dedup_lines(docs: DataFrame, spans_as: str | None = "removed", **rule) -> Da
     cols = [c for c in docs.columns if c != spans_as]
     one = F.struct("start", "end", "first_doc_id")
     cut = (repeated_chunks(docs, **rule).groupBy(F.col("key").alias("__chunk_key"))
-           .agg(F.sort_array(F.collect_set(one)).alias("__removed")))
+           .agg(F.sort_array(F.collect_set(one)).alias("__spans")))
+    whole = F.zip_with(_united(F.col("__spans.start"), F.col("__spans.end")), F.col("__spans.first_doc_id"), lambda u, first: F.struct(
+        u["start"].alias("start"), u["end"].alias("end"), first.alias("first_doc_id")))
+    cut = cut.select("__chunk_key", F.filter(whole, lambda w: w["start"].isNotNull()).alias("__removed"))
     d = docs.withColumn("__row_key", row_key(F.col("doc_id"), F.col("text")))
     d = d.join(cut, F.col("__row_key") == F.col("__chunk_key"), "left")
     hit = F.size("__removed") > 0

@@ -76,3 +76,30 @@ def test_edges(spark, table):
     assert C.dedup_lines(table([])).collect() == []
     q = C.chunk_query(table(docs)).collect()
     assert len(q) == len(docs) and all(r.n_removed >= 0 for r in q)
+
+
+def test_all_whole_units_of_a_passage_go(spark, table):
+    """Passages of two to five units, as lines or inside a long line, wherever they stand; each is kept at its first place."""
+    rng = random.Random(4)
+    docs, want, made = [], [], 0
+    for i in range(40):
+        sentences = [" ".join(f"p{i}w{j}x{k}" for k in range(rng.randint(4, 20))) + rng.choice([".", "!", '."']) for j in range(2 + i % 4)]
+        passage = rng.choice(["\n", " "]).join(sentences)
+        for copy in range(2):
+            own = [f"Own sentence number {made + n} of this text é {rng.random()}." for n in range(4)]
+            made += 4
+            sep = rng.choice(["\n", " "])
+            docs.append((2 * i + copy, sep.join([*own[:2], passage, *own[2:]])))
+            want.append((2 * i + copy, docs[-1][1] if copy == 0 else sep.join(own[:2]) + sep + sep.join(own[2:])))
+    out = C.dedup_lines(table(docs)).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == want
+    # a long passage of short units, one removed span
+    block = "\n".join(f"short line {n}" for n in range(50))
+    q = {r.doc_id: r for r in C.chunk_query(table([(1, block), (2, "é\n" + block + "\nown end")])).collect()}
+    assert (q[2].text, q[2].n_removed, q[2].removed) == ("é\nown end", 1, f"2:{2 + len(block) + 1}:1") and q[1].n_removed == 0
+
+
+def test_of_every_unit_one_place_stays(spark, table):
+    docs = corpus(5) + [(100 + i, "same short line of words\n" * i) for i in range(6)]
+    left = "\n".join(r.text for r in C.dedup_lines(table(docs)).collect()).split("\n")
+    assert {x for _, t in docs for x in t.split("\n")} == set(left)
