@@ -10,8 +10,14 @@ item must map to one value of the document and back. Occurrences of which fewer
 of the slot pairs agree are dropped. A document is contaminated by an item if consistent occurrences cover at
 least ``min_coverage`` of the item's windows.
 
-Items with fewer tokens than a window have one window of all their tokens; items with fewer than
-``MIN_TOKENS`` are not judged. Windows of which less than half are literal words are no evidence and not counted.
+Placeholders depend on case, and names and numbers alone are no evidence. So every text also has a literal form: all its tokens,
+lower-cased, none replaced. Windows of it meet the items' literal windows in the same join, and an item is found as well
+if these cover it; copies in other case, and items of names or numbers only, are found so. What the template form finds is
+not reported again by the literal form.
+
+Items with fewer tokens than a window have one window of all their tokens; forms with fewer than
+``MIN_TOKENS`` are not judged. Template windows of which less than half are literal words are no evidence and not counted.
+Lower case is that of letters of one or two UTF-8 bytes (Latin, Greek, Cyrillic, Armenian).
 
 Scale: tokens and windows are computed with numpy on the Arrow buffers. The benchmark's window hashes set bits of a
 bitmap of fixed size, which thins the documents' windows before they are shuffled; the join itself is exact, on
@@ -24,6 +30,7 @@ text are one document and reported once; empty tables give an empty result; othe
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,9 +66,17 @@ _TOKEN[ord("0"):ord("9") + 1] = _TOKEN[ord("A"):ord("Z") + 1] = _TOKEN[ord("a"):
 _TOKEN[128:] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A"):ord("Z") + 1] += 32
+#: Lower case of letters of two bytes, by both bytes.
+_FOLD_PAIR = np.arange(65536, dtype=np.uint16)
+for _cp in range(0x80, 0x800):
+    _low = chr(_cp).lower().encode()
+    if len(_low) == 2:
+        _FOLD_PAIR[int.from_bytes(chr(_cp).encode(), "big")] = int.from_bytes(_low, "big")
 _STOP = np.zeros(256, dtype=np.int32)
 _STOP[[ord(c) for c in ".!?;:\n"]] = 1
 _NUM, _NAME, _UNIT = (np.uint64(x) for x in (11, 22, 33))
+#: Sets literal windows apart from template windows.
+_LITERAL = np.uint64(0xA0761D6478BD642F)
 
 
 def _hashes_of(words) -> np.ndarray:
@@ -78,19 +93,31 @@ def _in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
-def canonical(data: np.ndarray, bounds: np.ndarray):
-    """(code, slot, row) of the canonical tokens of concatenated texts; slot is 0 for a literal word, else a hash of its value."""
+def tokens(data: np.ndarray, bounds: np.ndarray):
+    """(starts, ends, row, hash of the lower-cased token) of the tokens of concatenated texts."""
     starts, ends, row = word_spans(data, bounds, _TOKEN[data])
+    folded = _FOLD[data]
+    lead = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] <= 0xDF))
+    if len(lead):
+        pair = _FOLD_PAIR[(data[lead].astype(np.int64) << 8) | data[lead + 1]]
+        folded[lead], folded[lead + 1] = pair >> 8, pair & 255
+    h = span_hashes(folded, starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)
+    return starts, ends, row, h
+
+
+def canonical(data: np.ndarray, bounds: np.ndarray, found=None):
+    """(code, slot, row) of the canonical tokens of concatenated texts; slot is 0 for a literal word, else a hash of its value.
+
+    ``found`` are the texts' ``tokens``, if the caller has them.
+    """
+    starts, ends, row, h = tokens(data, bounds) if found is None else found
     n = len(starts)
     if n == 0:
         z = np.zeros(0, dtype=np.uint64)
         return z, z, row
-    folded = _FOLD[data]
-    # two-byte Latin capitals (C3 80..9E without C3 97) are 32 below their small letters
+    # two-byte Latin capitals (C3 80..9E without C3 97)
     latin = np.zeros(len(data), dtype=bool)
     latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-    folded = np.where(latin, folded + 32, folded).astype(np.uint8)
-    h = span_hashes(folded, starts, ends)
     first = data[starts]
     second = np.minimum(starts + 1, len(data) - 1)
     number = (first >= ord("0")) & (first <= ord("9"))
@@ -134,6 +161,13 @@ def canonical_windows(code, slot, row, n_rows: int, size: int, whole_only: bool
     return h, r, i - first[r], i
 
 
+def literal_windows(found, n_rows: int, size: int):
+    """(hash, row, position in the row) of the windows of ``size`` lower-cased tokens of texts with tokens ``found``."""
+    _, _, row, h = found
+    w, r, _, i = canonical_windows(h, np.zeros(len(h), dtype=np.uint64), row, n_rows, size)
+    return mix64(w ^ _LITERAL), r, i - np.searchsorted(row, r)
+
+
 def _slot_lists(slot: np.ndarray, at: np.ndarray, size: int):
     import pyarrow as pa
 
@@ -142,7 +176,11 @@ def _slot_lists(slot: np.ndarray, at: np.ndarray, size: int):
 
 
 def item_table(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, template, pattern, size, n_windows, windows array<struct<h, ipos, islots>>) of the judged items."""
+    """(item_id, literal, form, template_form, size, n_windows, windows array<struct<h, ipos, islots>>) of the judged forms of the items.
+
+    ``form`` is a digest of what the windows are made from; rows with the same one have the same windows. Slots are numbered by their
+    values' first places. ``template_form`` is, on a literal form, the digest of the item's template form if that is judged.
+    """
     import pyarrow as pa
 
     d = columns_of(benchmark, "item_id", "text").where("text is not null")
@@ -155,30 +193,38 @@ def item_table(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
             ids = b.column("item_id").to_pylist()
             for i in range(len(ids)):
                 data = raw[offsets[i]:offsets[i + 1]]
-                code, slot, row = canonical(data, np.array([0, len(data)]))
-                if len(code) < MIN_TOKENS:
-                    continue
+                found = tokens(data, np.array([0, len(data)]))
+                template = None
+                code, slot, row = canonical(data, np.array([0, len(data)]), found)
                 size = min(window, len(code))
-                h, _, pos, at = canonical_windows(code, slot, row, 1, size)
-                if not len(h):
-                    continue
-                seen: dict[int, int] = {}
-                pattern = [seen.setdefault(int(v), len(seen)) for v in slot if v]
-                out.append({"item_id": ids[i], "template": code.tobytes(), "pattern": ",".join(map(str, pattern)),
-                            "size": size, "n_windows": len(h),
-                            "windows": [{"h": int(x), "ipos": int(p), "islots": slot[a:a + size].view(np.int64).tolist()}
-                                        for x, p, a in zip(h.view(np.int64), pos, at)]})
+                h, _, pos, at = canonical_windows(code, slot, row, 1, size) if size >= MIN_TOKENS else ((),) * 4
+                if len(h):
+                    seen: dict[int, int] = {}
+                    pattern = np.array([seen.setdefault(int(v), len(seen) + 1) if v else 0 for v in slot], dtype=np.int64)
+                    template = _form(b"template", code, pattern)
+                    out.append({"item_id": ids[i], "literal": False, "form": template, "template_form": None, "size": size, "n_windows": len(h),
+                                "windows": [{"h": int(x), "ipos": int(p), "islots": pattern[a:a + size].tolist()}
+                                            for x, p, a in zip(h.view(np.int64), pos, at)]})
+                size = min(window, len(found[3]))
+                if size >= MIN_TOKENS:
+                    h, _, pos = literal_windows(found, 1, size)
+                    out.append({"item_id": ids[i], "literal": True, "form": _form(b"literal", found[3]), "template_form": template, "size": size,
+                                "n_windows": len(h), "windows": [{"h": int(x), "ipos": int(p), "islots": []} for x, p in zip(h.view(np.int64), pos)]})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
-                ("item_id", b.schema.field("item_id").type), ("template", pa.binary()), ("pattern", pa.string()),
+                ("item_id", b.schema.field("item_id").type), ("literal", pa.bool_()), ("form", pa.binary()), ("template_form", pa.binary()),
                 ("size", pa.int32()), ("n_windows", pa.int64()),
                 ("windows", pa.list_(pa.struct([("h", pa.int64()), ("ipos", pa.int64()), ("islots", pa.list_(pa.int64()))])))]))
 
-    return d.mapInArrow(scan, f"item_id {kind}, template binary, pattern string, size int, n_windows long, "
+    return d.mapInArrow(scan, f"item_id {kind}, literal boolean, form binary, template_form binary, size int, n_windows long, "
                               "windows array<struct<h:bigint,ipos:bigint,islots:array<bigint>>>")
 
 
-def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], window: int = WINDOW) -> DataFrame:
-    """(key, doc_id, h, pos, slots) of the documents' windows that may be windows of the benchmark."""
+def _form(kind: bytes, *parts: np.ndarray) -> bytes:
+    return hashlib.blake2b(b"".join([kind, *(x.tobytes() for x in parts)]), digest_size=16).digest()
+
+
+def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[tuple[bool, int]]) -> DataFrame:
+    """(key, doc_id, h, pos, slots) of the documents' windows, of the given (literal, size), that may be windows of the benchmark."""
     import pyarrow as pa
 
     d = columns_of(docs, "doc_id", "text").where("text is not null")
@@ -191,17 +237,22 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], wind
             raw, offsets, _ = text_buffers(b.column("text"))
             for lo, hi in pieces(offsets):
                 data, bounds = raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
-                code, slot, row = canonical(data, bounds)
-                for size in sizes:
-                    h, r, pos, at = canonical_windows(code, slot, row, hi - lo, size)
+                tok = tokens(data, bounds)
+                code, slot, row = canonical(data, bounds, tok)
+                for literal, size in sizes:
+                    if literal:
+                        h, r, pos = literal_windows(tok, hi - lo, size)
+                    else:
+                        h, r, pos, at = canonical_windows(code, slot, row, hi - lo, size)
                     h = h.view(np.int64)
                     keep = np.flatnonzero(passes_filter(known.value, h))
                     if not len(keep):
                         continue
                     rows = pa.array(r[keep] + lo)
+                    lists = _slot_lists(slot, at[keep], size) if not literal else _slot_lists(slot, keep, 0)
                     yield pa.RecordBatch.from_arrays(
                         [b.column("key").take(rows), b.column("doc_id").take(rows), pa.array(h[keep]), pa.array(pos[keep]),
-                         _slot_lists(slot, at[keep], size)], names=["key", "doc_id", "h", "pos", "slots"])
+                         lists], names=["key", "doc_id", "h", "pos", "slots"])
 
     return d.mapInArrow(scan, f"key binary, doc_id {kind}, h long, pos long, slots array<bigint>")
 
@@ -210,33 +261,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
                  min_consistency: float = MIN_CONSISTENCY) -> DataFrame:
     """(key, doc_id, item_id, n_items, n_matched, n_windows, coverage) of every contaminated document and item.
 
-    ``item_id`` stands for all ``n_items`` items of its template and slot pattern.
+    ``item_id``, the least one, stands for all ``n_items`` rows of the benchmark with its form: its template and slot pattern or, where only
+    the literal form is found, its lower-cased tokens. It is null if all of them have none.
     """
     spark = docs.sparkSession
     items = written(spark, item_table(benchmark, window), "items")
-    same = items.groupBy("template", "pattern").agg(F.min("item_id").alias("item"), F.count(F.lit(1)).alias("n_items"))
-    ones = (items.join(same.select("item", "n_items"), F.col("item_id") == F.col("item"))
-            .select("item_id", "n_items", "n_windows", "size", F.explode("windows").alias("w"))
-            .select("item_id", "n_items", "n_windows", "size", F.col("w.h").alias("w_h"), F.col("w.ipos").alias("ipos"),
-                    F.col("w.islots").alias("islots")).dropDuplicates(["item_id", "ipos"]))
+    forms = items.groupBy("form").agg(
+        F.first("literal").alias("literal"), F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"),
+        F.first("n_windows").alias("n_windows"), F.first("size").alias("size"), F.first("windows").alias("windows"))
+    ones = forms.select("form", "literal", "n_windows", "size", F.explode("windows").alias("w")).select(
+        "form", "literal", "n_windows", "size", F.col("w.h").alias("w_h"), F.col("w.ipos").alias("ipos"), F.col("w.islots").alias("islots"))
     ones = written(spark, ones, "item-windows")
-    sizes = sorted(r["size"] for r in ones.select("size").distinct().collect())  # at most ``window`` numbers
-    found = written(spark, document_windows(docs, membership_filter(ones, "w_h"), sizes, window), "windows")
+    # at most ``window`` numbers of each kind
+    sizes = sorted((r["literal"], r["size"]) for r in ones.select("literal", "size").distinct().collect())
+    found = written(spark, document_windows(docs, membership_filter(ones, "w_h"), sizes), "windows")
     pair = F.arrays_zip(F.col("islots").alias("i"), F.col("slots").alias("d"))
     m = found.join(ones, F.col("h") == F.col("w_h")).select(
-        "key", "doc_id", "item_id", "n_items", "n_windows", "ipos", (F.col("pos") - F.col("ipos")).alias("diagonal"),
+        "key", "doc_id", "form", "n_windows", "ipos", (F.col("pos") - F.col("ipos")).alias("diagonal"),
         F.filter(pair, lambda p: p["i"] != 0).alias("pairs"))
-    run = m.groupBy("key", "item_id", "diagonal").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_items").alias("n_items"), F.first("n_windows").alias("n_windows"),
+    run = m.groupBy("key", "form", "diagonal").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_windows").alias("n_windows"),
         F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     n_pairs = F.size("pairs")
     agree = F.least(F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))),
                     F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"]))))
     run = run.where((n_pairs == 0) | (agree >= n_pairs * min_consistency))
-    out = run.groupBy("key", "item_id").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_items").alias("n_items"), F.first("n_windows").alias("n_windows"),
+    out = run.groupBy("key", "form").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_windows").alias("n_windows"),
         F.size(F.array_distinct(F.flatten(F.collect_set("at")))).cast("long").alias("n_matched"))
     out = out.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= min_coverage)
+    out = written(spark, out, "contaminated")
+    # literal forms of which an item's template form is found in the same document
+    both = items.where("literal and template_form is not null").select(F.col("form").alias("l_form"), "template_form").distinct()
+    known = (out.select("key", "form").join(both, F.col("form") == F.col("template_form"))
+             .select(F.col("key").alias("l_key"), "l_form").distinct())
+    out = out.join(known, (F.col("key") == F.col("l_key")) & (F.col("form") == F.col("l_form")), "left_anti")
+    out = out.join(forms.select(F.col("form").alias("f_form"), "item_id", "n_items"), F.col("form") == F.col("f_form"))
     return out.select("key", "doc_id", "item_id", "n_items", "n_matched", "n_windows", "coverage")
 
 

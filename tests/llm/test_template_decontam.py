@@ -90,3 +90,17 @@ def test_edges(spark, table):
     assert T.contaminated(table([]), bench).collect() == []
     none = spark.createDataFrame([], "item_id long, text string")
     assert T.contaminated(df, none).collect() == [] and T.decontaminate(df, none).count() == len(docs)
+
+
+def test_copies_in_other_case_and_items_without_words_are_caught(spark, table):
+    items = [
+        (1, "Mary has 12 apples and gives 5 apples to John. How many apples does Mary have left?"),
+        (2, "Great Expectations By Charles Dickens Was Published In London"),  # names only: no informative template window
+        (3, "12 15 18 21 24 27 30 33 36 39"),
+        (4, "Сколько планет в Солнечной системе без Плутона"),
+    ]
+    texts = ["so: " + items[0][1].upper(), items[0][1].lower() + " so", items[1][1], "in " + items[1][1].upper(), "count " + items[2][1], items[3][1].upper(),
+             "MARY HAS TWO CATS AND GIVES NONE TO JOHN", "Hard Times By Charles Dickens", "12 15 18 20 24 27 31 33 36 40"]
+    assert found(spark, table, texts, items) == {(0, 1), (1, 1), (2, 2), (3, 2), (4, 3), (5, 4)}
+    rows = T.contaminated(table(list(enumerate(items[0][1:]))), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.item_id, r.n_items, r.coverage) for r in rows] == [(1, 1, 1.0)]  # once, although both forms match
