@@ -24,7 +24,8 @@ bitmap of fixed size, which thins the documents' windows before they are shuffle
 (hash). Items equal in template and in the pattern of equal slots are one item there, so a popular template does not
 multiply matches. Per document, item and diagonal there are at most as many rows as the item has windows.
 
-Edge cases: null and empty texts or items have no windows; a null doc_id is reported as null; rows equal in doc_id and
+Edge cases: null and empty texts or items have no windows; a null doc_id is reported as null; items are told apart by their form, so
+null and repeated item ids lose nothing (a form whose ids are all null is reported as null); rows equal in doc_id and
 text are one document and reported once; empty tables give an empty result; other columns are not read.
 """
 

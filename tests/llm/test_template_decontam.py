@@ -104,3 +104,14 @@ def test_copies_in_other_case_and_items_without_words_are_caught(spark, table):
     assert found(spark, table, texts, items) == {(0, 1), (1, 1), (2, 2), (3, 2), (4, 3), (5, 4)}
     rows = T.contaminated(table(list(enumerate(items[0][1:]))), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert [(r.item_id, r.n_items, r.coverage) for r in rows] == [(1, 1, 1.0)]  # once, although both forms match
+
+
+def test_null_and_repeated_item_ids_are_items_of_their_own(spark, table):
+    one = "which of these seven rivers is the longest of them all in the world"
+    other = "please name the largest planet that moves around our sun in one year or more"
+    docs = table([(0, "a " + one + " b"), (1, "c " + other + " d"), (2, "neither of them")])
+    for ids in [(None, None), (7, 7), (7, None)]:
+        bench = spark.createDataFrame([(ids[0], one), (ids[1], other), (ids[0], one)], "item_id long, text string")
+        rows = {(r.doc_id, r.item_id, r.n_items, r.coverage) for r in T.contaminated(docs, bench).collect()}
+        assert rows == {(0, ids[0], 2, 1.0), (1, ids[1], 1, 1.0)}
+        assert [r.doc_id for r in T.decontaminate(docs, bench).collect()] == [2]
