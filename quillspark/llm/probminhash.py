@@ -3,7 +3,8 @@
 A text is a weighted set of shingles of ``SHINGLE`` words, weighted by how often they occur. For every shingle a Poisson process with
 its weight as rate sends arrivals to random registers; a register keeps the shingle whose arrival is earliest. Two texts agree in a
 register with the probability Jaccard similarity of their weights. A process stops as soon as its next arrival is later than
-every register's earliest one. Signatures are cut into ``BANDS`` bands of ``ROWS`` registers; texts that agree in
+every register's earliest one. Links are decided without weights, so a text in which a shingle repeats has a second signature
+with all weights 1, whose agreement is the plain Jaccard similarity. Signatures are cut into ``BANDS`` bands of ``ROWS`` registers; texts that agree in
 a band share a bucket and are candidates. A candidate pair is a link if the exact Jaccard similarity of the shingle sets
 is at least ``THRESHOLD``. Classes are the connected components of links; equal texts are one node from the start.
 
@@ -136,9 +137,18 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: i
                 h, row, weight = weighted(*shingles(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], size))
                 n = np.bincount(row, minlength=hi - lo)
                 keys = band_keys(prob_minhash(h, row, weight, hi - lo, bands * rows), bands, rows)
+                own = np.repeat((n > 0)[:, None], 2 * bands, axis=1)
+                own[:, bands:] = False
+                plain = np.zeros_like(keys)
+                again = np.flatnonzero(np.bincount(row[weight > 1], minlength=hi - lo))  # texts in which a shingle repeats
+                if len(again):
+                    at = np.isin(row, again)
+                    ones = prob_minhash(h[at], np.searchsorted(again, row[at]), np.ones(at.sum()), len(again), bands * rows)
+                    plain[again] = band_keys(ones, bands, rows)
+                    own[again, bands:] = plain[again] != keys[again]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("node").slice(lo, hi - lo), pa.array(n, pa.int64()), _long_lists(keys[n > 0].ravel(), (n > 0) * bands)],
-                    names=["node", "n", "buckets"])
+                    [b.column("node").slice(lo, hi - lo), pa.array(n, pa.int64()),
+                     _long_lists(np.concatenate([keys, plain], axis=1)[own], own.sum(axis=1))], names=["node", "n", "buckets"])
 
     found = d.mapInArrow(scan, "node binary, n long, buckets array<bigint>")
     return found.groupBy("node").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"))

@@ -154,3 +154,14 @@ def test_edge_cases(spark, table):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 5, 6, 8, 9, 10]))
     empty = table([])
     assert P.near_duplicates(empty).collect() == [] and P.keep_one(empty).collect() == []
+
+
+def test_repeated_lines_do_not_hide_equal_shingle_sets(spark, table):
+    """Equal sets of shingles, of which one text of each pair holds some many times: plain Jaccard at least 0.8, probability Jaccard far below."""
+    docs = []
+    for i in range(12):
+        body = " ".join(f"d{i}w{k}" for k in range(100))
+        footer = " ".join(f"d{i}f{k}" for k in range(15))
+        docs += [(2 * i, f"{body} {footer} {footer}"), (2 * i + 1, f"{body} " + " ".join([footer] * 1000))]
+    got = {r.doc_id: (r.class_id, r.class_size) for r in P.near_duplicates(table(docs)).collect()}
+    assert got == {d: (d - d % 2, 2) for d, _ in docs}
