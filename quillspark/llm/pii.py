@@ -154,6 +154,8 @@ _BRACKET_AT = re.compile(r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?", re.I)
 _BRACKET_DOT = re.compile(r"\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?", re.I)
 _BARE_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])\s+at\s+(?=[A-Za-z0-9])", re.I)
 _BARE_HOST = re.compile(r"[A-Za-z0-9-]++(?:\s+dot\s+[A-Za-z0-9-]++)++", re.I)
+_MIXED_HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\s+dot\s+)[A-Za-z0-9-]++)++", re.I)
+_LAST_LABEL = re.compile(r"(?:\.|\s)([A-Za-z]{2,})\Z")
 _BARE_LOCAL = re.compile(r"(?:[A-Za-z0-9_%+-]+\s+dot\s+)*[A-Za-z0-9._%+-]+\Z", re.I)
 _BARE_DOT = re.compile(r"\s+dot\s+", re.I)
 _NUMBER_DOT = re.compile(r"(?<=[0-9])\s+(?:dot|point)\s+(?=[0-9])", re.I)
@@ -185,6 +187,10 @@ class Tape:
         ends.append(old_ends[at:])
         return Tape("".join(text), np.concatenate(starts), np.concatenate(ends))
 
+    def wide(self, at: int) -> bool:
+        """Whether a character stands for a longer piece."""
+        return self.starts is not None and bool(self.ends[at] - self.starts[at] > 1)
+
     def source(self, start: int, end: int) -> tuple[int, int]:
         return (start, end) if self.starts is None else (int(self.starts[start]), int(self.ends[end - 1]))
 
@@ -210,18 +216,39 @@ def plain_digits(t: Tape) -> Tape:
     return t.rewrite(edits)
 
 
+def _spelled_hosts(t: Tape) -> Tape:
+    """Spelled dots of hosts after an ``@`` become dots; the last label has two letters or more."""
+    text, edits = t.text, []
+    at = text.find("@")
+    while at >= 0:
+        host = _MIXED_HOST.match(text, at + 1) if at and text[at - 1] in _LOCAL_SET else None
+        if host and _LAST_LABEL.search(host.group()):
+            edits += [(*d.span(), ".") for d in _BARE_DOT.finditer(text, at + 1, host.end())]
+        at = text.find("@", host.end() if host else at + 1)
+    return t.rewrite(edits)
+
+
 def plain_signs(t: Tape) -> Tape:
     text = t.text
     if any(c in text for c in "[({<"):
         t = t.rewrite([(*m.span(), "@") for m in _BRACKET_AT.finditer(text)])
         t = t.rewrite([(*m.span(), ".") for m in _BRACKET_DOT.finditer(t.text)])
-        text = t.text
+    bracketed, text = t.text != text, t.text
     low = text.lower()
-    if "dot" in low:
+    if "dot" in low and "@" in text:
+        t = _spelled_hosts(t)
+        text = t.text
+    if "dot" in low or bracketed:
         edits = []
         for m in _BARE_AT.finditer(text):
             host = _BARE_HOST.match(text, m.end())
-            if not host or (edits and m.start() < edits[-1][1]) or host.group().split()[-1].lower() not in SPELLED_TLDS:
+            if host and host.group().split()[-1].lower() not in SPELLED_TLDS:
+                host = None
+            if not host and bracketed:  # one bracketed dot is sign enough
+                host = _MIXED_HOST.match(text, m.end())
+                if host and not (_LAST_LABEL.search(host.group()) and any(text[i] == "." and t.wide(i) for i in range(*host.span()))):
+                    host = None
+            if not host or (edits and m.start() < edits[-1][1]):
                 continue
             left = text[max(0, m.start() - _LOCAL_REACH):m.start()]
             local = _BARE_LOCAL.search(left)

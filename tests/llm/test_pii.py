@@ -98,3 +98,13 @@ def test_query_columns_and_edges(spark, table):
     assert by[4].n_email == 1
     assert P.find_pii(table([])).collect() == []
     assert P.mask_pii("joe at mail dot com!") == "<email>!" and P.mask_pii(None) is None
+
+
+def test_half_disguised_addresses():
+    for address in ("jane (at) example dot com", "jane [at] mail dot example dot org", "jane@example dot com", "jane at example [dot] com",
+                    "jane (at) host dot online", "jane (at) mail.host dot shop", "jane at mail [.] host dot xyz"):
+        assert found(f"write {address}, now") == [("email", address)], address
+    for text in ("look at example.com dot", "a thing @ home dot", "meet at noon [.] 5", "see you at the dot on [at] maps"):
+        assert found(text) == [], text
+    P.all_spans("a@b dot " * 20_000)
+    P.all_spans("a at b [dot] " * 20_000)
