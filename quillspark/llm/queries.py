@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from quillspark.llm import (
-    lang_crf, line_chunks, line_rules, pareto_mix, pii, probminhash, quality_cnn, template_decontam, unit_dedup, url_model,
+    lang_crf, lexical_search, line_chunks, line_rules, pareto_mix, pii, probminhash, quality_cnn, radix_dedup, template_decontam,
+    trie_codes, unit_dedup, url_model,
 )
 from quillspark.sources.tables import read_table
 
@@ -48,6 +49,18 @@ def op10_pii(spark, sf_dir):
     return pii.find_pii(read_table(spark, sf_dir, "documents"))
 
 
+def op11_radix_dedup(spark, sf_dir):
+    return radix_dedup.exact_query(read_table(spark, sf_dir, "documents"))
+
+
+def op12_trie_codes(spark, sf_dir):
+    return trie_codes.code_query(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.search_query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_probminhash": (op1_probminhash, None),
     "op2_quality_cnn": (op2_quality_cnn, None),
@@ -59,4 +72,7 @@ QUERIES = {
     "op8_pareto_mix": (op8_pareto_mix, pareto_mix.MIX_SQL),
     "op9_url_model": (op9_url_model, None),
     "op10_pii": (op10_pii, None),
+    "op11_radix_dedup": (op11_radix_dedup, radix_dedup.EXACT_SQL),
+    "op12_trie_codes": (op12_trie_codes, trie_codes.CODE_SQL),
+    "op13_lexical_search": (op13_lexical_search, lexical_search.SEARCH_SQL),
 }
