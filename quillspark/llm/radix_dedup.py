@@ -10,7 +10,7 @@ Scale: a round is one aggregate by (group, digit) that runs before the shuffle,
 map task one row, and one equi-join of the members with the groups that have several, which adaptive execution splits where a group is
 hot. The groups are written first, so that this join has no aggregate in its stage. A document leaves with its result
 in the round that finds it alone or ended; the others carry only the bytes that are not yet split on, so what moves shrinks
-from round to round. In the first round the text travels only where a bitmap says that its digit may occur twice; the join that follows is exact.
+from round to round. Bytes travel to the join only where a bitmap says that the digit may occur twice; the join itself is exact.
 
 Edge cases: a null doc_id ranks below all others; of rows that are equal in doc_id and text exactly one is kept (they
 cannot be told apart, so the result is the same whichever it is); very long texts take more rounds; an empty table gives an empty result; other columns
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import columns_of, membership_filter, passes_filter, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FIRST = 64
+FIRST = 256
 GROWTH = 16
 WIDEST = 1 << 20
-#: Bounds of the first round's bitmap: 16 bits a member, 128 KiB to 32 MiB in all.
+#: Bounds of a round's bitmap: 16 bits a member, 128 KiB to 32 MiB in all.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
@@ -44,28 +44,27 @@ def _bits(members: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * members).bit_length()))
 
 
-def _may_repeat(bitmap) -> Column:
-    known = bitmap
-
-    @F.pandas_udf("boolean")
-    def may(h: pd.Series) -> pd.Series:
-        return pd.Series(passes_filter(known.value, h.to_numpy()))
-
-    return may(F.xxhash64("digit"))
-
-
-def _split(d: DataFrame, first: int, width: int) -> DataFrame:
-    return d.withColumns({"digit": F.substring("rest", first + 1, width),
-                          "rest": F.substring("rest", first + width + 1, (1 << 31) - 1)})
+def _split(d: DataFrame, width: int) -> DataFrame:
+    return d.withColumns({"digit": F.substring("rest", 1, width), "rest": F.substring("rest", width + 1, (1 << 31) - 1)})
 
 
 def _several(d: DataFrame, *aggregates: Column) -> DataFrame:
     """(of, by, n, ...) of the groups of (group, digit) with several members, each with a number of its own in ``next``."""
     found = d.groupBy(F.col("group").alias("of"), F.col("digit").alias("by")).agg(F.count(F.lit(1)).alias("n"), *aggregates)
-    return found.where("n > 1").withColumn("next", F.monotonically_increasing_id())
+    return written(d.sparkSession, found.where("n > 1").withColumn("next", F.monotonically_increasing_id()), "radix-groups")
 
 
 def _members(d: DataFrame, groups: DataFrame) -> DataFrame:
+    """``d`` with the columns of its rows' groups, null for rows that are alone; these may lose digit and rest."""
+    members = groups.select(F.xxhash64("of", "by").alias("h"))
+    bitmap = d.sparkSession.sparkContext.broadcast(membership_filter(members, "h", _bits(groups.count())))
+
+    @F.pandas_udf("boolean")
+    def may_repeat(h: pd.Series) -> pd.Series:
+        return pd.Series(passes_filter(bitmap.value, h.to_numpy()))
+
+    d = d.withColumn("may", may_repeat(F.xxhash64("group", "digit")))
+    d = d.withColumns({"digit": F.when(F.col("may"), F.col("digit")), "rest": F.when(F.col("may"), F.col("rest"))}).drop("may")
     return d.join(groups, (F.col("group") == F.col("of")) & (F.col("digit") == F.col("by")), "left")
 
 
@@ -76,22 +75,22 @@ def radix_groups(docs: DataFrame, first: int = FIRST, growth: int = GROWTH, row:
     """
     spark = docs.sparkSession
     own = docs if row is not None else columns_of(docs, "doc_id", "text")
-    d = own.select("doc_id", *([row.alias("row")] if row is not None else []), normalised(F.col("text")).alias("rest"), F.lit(0).cast("long").alias("group"))
-    d = _split(d, 0, first)
-    groups = written(spark, _several(d), "radix-groups")
-    bitmap = spark.sparkContext.broadcast(membership_filter(groups.select(F.xxhash64("by").alias("h")), "h", _bits(groups.count())))
-    sha = F.unhex(F.sha2(F.concat("digit", "rest"), 256))
-    d = d.select(*[c for c in d.columns if c != "rest"], sha.alias("sha"), F.when(_may_repeat(bitmap), F.col("rest")).alias("rest"))
-    number = F.col("row") if row is not None else F.monotonically_increasing_id()
-    d = _members(d, groups).select("doc_id", number.alias("row"), "sha", F.col("next").alias("group"), F.when(F.col("n") > 1, F.col("rest")).alias("rest"))
+    number = [row.alias("row")] if row is not None else []
+    d = own.select("doc_id", *number, "text", F.lit(0).cast("long").alias("group"))
+    # the first bytes come from as many characters, so that counting does not normalise whole texts
+    groups = _several(d.select("group", F.substring(normalised(F.substring("text", 1, first)), 1, first).alias("digit")))
+    d = d.select("doc_id", *(["row"] if number else []), "group", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("sha"), normalised(F.col("text")).alias("rest"))
+    d = _members(_split(d, first), groups)
+    numbered = F.col("row") if number else F.monotonically_increasing_id()
+    d = d.select("doc_id", numbered.alias("row"), "sha", F.col("next").alias("group"), F.when(F.col("n").isNotNull(), F.col("rest")).alias("rest"))
     d = written(spark, d, "radix-members")
     alone = [F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")]
     done = [d.where("group IS NULL").select("doc_id", "row", "sha", *alone)]
     live, width = d.where("group IS NOT NULL"), first
     while True:
         width = min(WIDEST, width * growth)
-        d = _split(live.select("doc_id", "row", "sha", "group", "rest"), 0, width)
-        groups = written(spark, _several(d, F.max(F.struct("doc_id", "row")).alias("best")), "radix-groups")
+        d = _split(live.select("doc_id", "row", "sha", "group", "rest"), width)
+        groups = _several(d, F.max(F.struct("doc_id", "row")).alias("best"))
         if groups.isEmpty():
             done.append(live.select("doc_id", "row", "sha", *alone))
             break
