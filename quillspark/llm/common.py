@@ -87,6 +87,15 @@ def membership_filter(members: DataFrame, column: str, bits: int = FILTER_BITS)
     return out
 
 
+#: A filter sized from its members has 16 bits a member, 128 KiB at least and 32 MiB at most.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+
+
+def filter_bits(members: int) -> int:
+    """Bits (a power of two) of a filter of so many members. Beyond 16 million members it passes more than a few percent of the others."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * members).bit_length()))
+
+
 def passes_filter(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether each signed 64-bit value may be a member."""
     at = values.view(np.uint64) & np.uint64(len(bitmap) * 8 - 1)  # equals pmod: the number of bits is a power of two

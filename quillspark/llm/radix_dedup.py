@@ -25,14 +25,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import columns_of, membership_filter, passes_filter, written
+from quillspark.llm.common import columns_of, filter_bits, membership_filter, passes_filter, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FIRST = 256
 GROWTH = 16
 WIDEST = 1 << 20
-#: Bounds of a round's bitmap: 16 bits a member, 128 KiB to 32 MiB in all.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
 def normalised(text: Column) -> Column:
@@ -40,10 +38,6 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER).cast("binary")
 
 
-def _bits(members: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * members).bit_length()))
-
-
 def _split(d: DataFrame, width: int) -> DataFrame:
     return d.withColumns({"digit": F.substring("rest", 1, width), "rest": F.substring("rest", width + 1, (1 << 31) - 1)})
 
@@ -57,7 +51,7 @@ def _several(d: DataFrame, *aggregates: Column) -> DataFrame:
 def _members(d: DataFrame, groups: DataFrame) -> DataFrame:
     """``d`` with the columns of its rows' groups, null for rows that are alone; these may lose digit and rest."""
     members = groups.select(F.xxhash64("of", "by").alias("h"))
-    bitmap = d.sparkSession.sparkContext.broadcast(membership_filter(members, "h", _bits(groups.count())))
+    bitmap = d.sparkSession.sparkContext.broadcast(membership_filter(members, "h", filter_bits(groups.count())))
 
     @F.pandas_udf("boolean")
     def may_repeat(h: pd.Series) -> pd.Series:

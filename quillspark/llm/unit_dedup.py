@@ -1,18 +1,22 @@
-"""Substring dedup by line hashing.
+"""Substring dedup by hashing lines, paragraphs or passages.
 
-A text's units are its lines (``unit="line"``) or its paragraphs, that is runs of non-blank lines (``unit="paragraph"``).
-A unit of at least ``min_words`` words is normalised (NFC, lower case, runs of white space as one
-space) and hashed to 16 bytes. Digests are grouped over the whole corpus; the
-occurrence that ranks first, by doc_id (null last), then row key, then position, is kept and every other
-one is reported with its offsets in the original text.
+A text's units are its lines (``unit="line"``), its paragraphs, that is runs of non-blank lines (``unit="paragraph"``), or its clauses:
+lines cut where a punctuation mark is followed by white space. A unit is normalised (NFC, lower case, runs of white space as one
+space) and hashed to 16 bytes. Digests are grouped over the whole corpus; the occurrence that ranks first, by doc_id (null last), then row key,
+then position, is kept and every other one is a repeat. ``repeated_units`` reports the repeats of lines or paragraphs of at least ``min_words``
+words. ``repeated_passages`` takes clauses of any length and reports the runs of adjacent repeats that have ``min_words`` words together, so a repeated
+paragraph, a repeated line and a passage inside a line are all found, and a short clause that occurs everywhere is removed only within a longer
+repeat. Each has its offsets in the original text.
 
-Scale: the scan emits small rows (digest, document, offsets), never text. The digests' first
-occurrences are a partial aggregate, so a unit that a third of all documents share costs each map task one row. Only digests seen twice are
-joined back, by a plain equi-join that adaptive execution splits where a digest is hot.
+Scale: no text is moved. Passages take two passes over the texts: the first counts 8-byte hashes of the units; those seen twice set bits of a
+bitmap sized from their number (bounded), and the second emits small rows (digest, document, offsets) where the bit is set. The digests' first
+occurrences are a partial aggregate, so a unit that a third of all documents share costs each map task one row. They are written before the
+repeats are joined to them, by a plain equi-join that adaptive execution splits where a digest is hot. Runs are a window over one document's repeats.
 
 Edge cases: null and empty texts have no units; a null doc_id is ranked last; rows equal in doc_id and text are one document
-(their common units are listed for each of them, or for none); a unit twice in one text keeps its first place;
-an empty table gives an empty result; other columns are not read. Offsets are code points, end exclusive.
+(their units are listed for each of them, or for none; their runs once); a unit twice in one text keeps its first place;
+an empty table gives an empty result; other columns are not read. Offsets are code points, end exclusive; a run holds the white space between
+its units, not that around it.
 """
 
 from __future__ import annotations
@@ -22,13 +26,18 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import columns_of, cut_spans, row_key, written
+from quillspark.llm.common import columns_of, cut_spans, filter_bits, membership_filter, passes_filter, row_key, written
 
 MIN_WORDS = 16
 _LINE = re.compile(r"[^\n]+")
+#: A clause with the white space behind it; these matches cover a text.
+CLAUSE_RE = r"""[^\n]*?[.,;:!?]["')\]}]*[ \t\r\f\v]+|[^\n]*\n|[^\n]+"""
+_CLAUSE = re.compile(CLAUSE_RE)
+_SPACE = " \t\r\n\f\v"
 _PARAGRAPH = re.compile(r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*")
 
 
@@ -100,18 +109,92 @@ def remove_units(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     return d.select(*[F.col(f"`{c}`") for c in cols], F.coalesce("__removed", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("removed"))
 
 
+def clauses_of(text: str) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(number, start, end, number of words, digest) of the clauses of a text that have a word; numbers count these."""
+    i = 0
+    for m in _CLAUSE.finditer(text):
+        words = normalised(m.group())
+        if words:
+            start = m.end() - len(m.group().lstrip(_SPACE))
+            yield i, start, m.start() + len(m.group().rstrip(_SPACE)), len(words), hashlib.blake2b(
+                " ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            i += 1
+
+
+def _clause_rows(docs: DataFrame, bitmap=None) -> DataFrame:
+    """Without a bitmap (h) of every clause, else (doc_id, key, i, start, end, n_words, digest) of those whose bit is set."""
+    import pyarrow as pa
+
+    d = columns_of(docs, "doc_id", "text").where("text is not null")
+    known = docs.sparkSession.sparkContext.broadcast(bitmap) if bitmap is not None else None
+    kind = d.schema["doc_id"].dataType.simpleString()
+
+    def scan(batches: Iterator) -> Iterator:
+        for b in batches:
+            rows, found = [], []
+            for n, text in enumerate(b.column("text")):
+                at = len(found)
+                found.extend(clauses_of(text.as_py()))
+                rows += [n] * (len(found) - at)
+            if not found:
+                continue
+            i, start, end, words, digest = zip(*found)
+            h = np.frombuffer(b"".join(digest), dtype=np.int64)[::2]
+            if known is None:
+                yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
+                continue
+            keep = pa.array(np.flatnonzero(passes_filter(known.value, np.ascontiguousarray(h))))
+            of = pa.array(rows, pa.int64()).take(keep)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(of), b.column("key").take(of), *(pa.array(x, pa.int64()).take(keep) for x in (i, start, end, words)),
+                 pa.array(digest, pa.binary()).take(keep)], names=["doc_id", "key", "i", "start", "end", "n_words", "digest"])
+
+    if known is None:
+        return d.select("text").mapInArrow(scan, "h long")
+    d = d.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
+    return d.mapInArrow(scan, f"doc_id {kind}, key binary, i long, start long, end long, n_words long, digest binary")
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Runs to remove: (doc_id, start, end, n_units, n_words, first_doc_id, first_start, key).
+
+    ``first_*`` is the kept occurrence of the run's first clause; ``key`` is the row key of the document.
+    """
+    spark = docs.sparkSession
+    twice = written(spark, _clause_rows(docs).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated-hashes")
+    units = written(spark, _clause_rows(docs, membership_filter(twice, "h", filter_bits(twice.count()))), "clauses")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("key"), F.col("start"))
+    first = (units.groupBy(F.col("digest").alias("f_digest"))
+             .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    first = written(spark, first, "first-clauses")  # an aggregate in the join's own stage would keep it from being split
+    out = units.join(first, F.col("digest") == F.col("f_digest"))
+    out = out.where((F.col("key") != F.col("first.key")) | (F.col("start") != F.col("first.start")))
+    out = out.select("key", "i", "doc_id", "start", "end", "n_words", "first").dropDuplicates(["key", "i"])
+    out = out.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy("key").orderBy("i")))
+    first = F.min_by("first", "i")
+    out = out.groupBy("key", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_units"),
+                                        F.sum("n_words").alias("n_words"), first.getField("doc_id").alias("first_doc_id"), first.getField("start").alias("first_start"))
+    return out.where(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_units", "n_words", "first_doc_id", "first_start", "key")
+
+
 def unit_query(docs: DataFrame) -> DataFrame:
-    return repeated_units(docs).drop("key")
+    return repeated_passages(docs).drop("key")
 
 
 #: The same rows in DuckDB (ids are unique there, so the row key never decides).
 UNIT_SQL = rf"""
-WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS l
-           FROM documents WHERE text IS NOT NULL),
-p AS (SELECT doc_id, l, (sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(l) - 1)::BIGINT AS s,
+WITH l AS (SELECT doc_id, unnest(x) AS l, generate_subscripts(x, 1) AS k
+           FROM (SELECT doc_id, regexp_extract_all(text, '{CLAUSE_RE.replace("'", "''")}') AS x FROM documents WHERE text IS NOT NULL)),
+p AS (SELECT doc_id, k, l, (sum(length(l)) OVER (PARTITION BY doc_id ORDER BY k) - length(l))::BIGINT AS s,
              trim(regexp_replace(lower(nfc_normalize(l)), '\s+', ' ', 'g')) AS norm FROM l),
-u AS (SELECT doc_id, s, s + length(l) AS e, len(string_split(norm, ' '))::BIGINT AS n_words, norm FROM p),
+u AS (SELECT doc_id, s + length(l) - length(ltrim(l, E' 	
+')) AS s, s + length(rtrim(l, E' 	
+')) AS e,
+             len(string_split(norm, ' '))::BIGINT AS n_words, norm, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM p WHERE norm <> ''),
 r AS (SELECT *, row_number() OVER o AS nth, first_value(doc_id) OVER o AS first_doc_id, first_value(s) OVER o AS first_start
-      FROM u WHERE n_words >= {MIN_WORDS} WINDOW o AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, s))
-SELECT doc_id, s AS start, e AS "end", n_words, first_doc_id, first_start FROM r WHERE nth > 1
+      FROM u WINDOW o AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, s)),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r WHERE nth > 1)
+SELECT doc_id, min(s) AS start, max(e) AS "end", count(*)::BIGINT AS n_units, sum(n_words)::BIGINT AS n_words,
+       min_by(first_doc_id, i) AS first_doc_id, min_by(first_start, i) AS first_start
+FROM g GROUP BY doc_id, run HAVING sum(n_words) >= {MIN_WORDS}
 """
