@@ -1,50 +1,55 @@
 """Line dedup by content-defined chunks of lines.
 
-A text's units are its lines, and the sentences of a line that holds several. A chunk is a shortest run of at least ``min_lines`` units
-with at least ``min_words`` words: one starts at every unit and one ends at every unit. Its ends so depend on the units within it only;
-text inserted or removed elsewhere in a document does not shift them. Chunks whose bytes (by a 16-byte BLAKE2b digest) occur elsewhere in
-the corpus are removed, except at the first place by doc_id (null last), row key and position. Chunks overlap, so of a passage that occurs elsewhere all whole units
-are removed if they are a chunk or more: each lies in a chunk that ends or starts at it or at an end of the passage. Of every unit
-the first place stays, as a removed one always has an equal one at an earlier place.
-
-Scale: the first pass emits 8-byte rolling hashes, made with numpy on the Arrow buffers. Those seen twice set bits of a bitmap of fixed size;
-the second pass emits digests only of chunks whose bit is set, never text: chunks overlap, and a passage's text would move several times.
-Chunks meet their digest's first occurrence in an equi-join that adaptive execution splits where a digest is hot. The first
-occurrence is a partial aggregate. Whole texts are shuffled once, to cut the spans out.
+A text's units are its lines, and the clauses of a line that holds several. A rolling hash over the hashes of ``WINDOW`` units chooses the
+boundaries: a chunk ends at a unit where it is 0 modulo ``DIVISOR``, and at the end of the text. Chunks do not overlap, and text inserted
+or removed elsewhere in a document does not shift their boundaries. Chunks of at least two units or ``SEED_WORDS`` words whose bytes stand at an earlier place
+of the corpus, by doc_id (null last), row key and position, are repeats: the join is on a rolling hash of the bytes and on the bytes themselves. A repeat
+is extended into the chunks beside it, unit by unit, while their bytes equal those beside the first place, because the ends of a passage fall
+inside chunks that differ. Runs of repeated units with at least ``min_lines`` units and ``min_words`` words are removed. Of every unit the first
+place stays, as a removed one always has an equal one at an earlier place.
+
+Scale: the first pass emits 8-byte hashes of the chunks, made with numpy on the Arrow buffers. Those seen twice set bits of a bitmap sized
+from their number (bounded); the second pass emits only the chunks whose bit is set and those beside them, so less than the text moves, and once. A chunk's first
+place is an aggregate that runs before the shuffle and is written, so that the join of the repeats with it has no aggregate in its stage and adaptive
+execution can split a hot chunk; so are the joins that fetch the chunks to extend into. Units meet by document only for the repeated ones. Whole
+texts are shuffled once, to cut the spans out.
 
 Edge cases: null and empty texts have no chunks and pass unchanged; rows equal in doc_id and text are one document and
-get the same result; a chunk that repeats within one text keeps its first place; a text may become empty; an empty table gives an empty result; all other
-columns pass through, and ``n_chars``, if there, is set anew where the text changed. White space after a chunk goes with it, so a
-passage that starts inside a line takes its last line end along.
+get the same result; a chunk that repeats within one text keeps its first place; very long texts are chunked like any other; a text may become empty; an empty table gives an empty
+result; all other columns pass through, and ``n_chars``, if there, is set anew where the text changed. White space after a unit goes with it, so a
+passage that starts inside a line takes its last line end along. Three or more one-unit chunks of fewer than ``SEED_WORDS`` words in a row are not bridged.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import (
-    columns_of, cut_spans, membership_filter, passes_filter, pieces, row_key, span_hashes, text_buffers, word_spans, written,
+    columns_of, cut_spans, filter_bits, free_name, membership_filter, mix64, passes_filter, pieces, row_key, span_hashes, text_buffers,
+    word_spans, written,
 )
 
 MIN_LINES = 2
 MIN_WORDS = 8
-#: No chunk has more units: each unit has a word.
-MAX_LINES = max(MIN_LINES, MIN_WORDS)
+SEED_WORDS = 4
+#: Units under the rolling hash, and one of how many is a boundary.
+WINDOW = 2
+DIVISOR = 2
 
+_ROLL = np.uint64(0x9E3779B97F4A7C15)
 _MARK = np.zeros(256, dtype=bool)
-_MARK[[ord(c) for c in ".!?"]] = True
+_MARK[[ord(c) for c in ".,;:!?"]] = True
 _CLOSER = np.zeros(256, dtype=bool)
 _CLOSER[[ord(c) for c in "\"')]}"]] = True
 
 
 def units(data: np.ndarray, bounds: np.ndarray):
-    """(starts, ends, row, index of each unit's first word) of the words of concatenated texts; a unit ends at a line end or sentence mark."""
+    """(starts, ends, row, index of each unit's first word) of the words of concatenated texts; a unit ends at a line end or punctuation mark."""
     starts, ends, row = word_spans(data, bounds)
     if not len(starts):
         return starts, ends, row, starts
@@ -56,33 +61,36 @@ def units(data: np.ndarray, bounds: np.ndarray):
     return starts, ends, row, np.flatnonzero(head)
 
 
-def chunk_spans(data: np.ndarray, bounds: np.ndarray, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS):
-    """(start, stop, end, row) of the chunks of concatenated texts, in bytes, by start, then end.
+class Chunks:
+    """Units and chunks of concatenated texts, as arrays; offsets are bytes.
 
-    ``stop`` is the end of the last word, ``end`` also takes the white space behind it.
+    ``start``, ``stop``, ``behind`` (start of the next unit of the text, or the text's end), ``words``, ``row`` are of units;
+    ``first`` and ``last`` are the units of a chunk, ``seed`` tells whether it is long enough, ``hash`` is of its bytes.
     """
-    starts, ends, row, head = units(data, bounds)
-    n, n_words = len(head), len(starts)
-    if not n:
-        z = np.zeros(0, dtype=np.int64)
-        return z, z, z, z
-    at = np.append(head, n_words)
-    of = row[head]
-    lo, hi = np.searchsorted(of, of, side="left"), np.searchsorted(of, of, side="right")
-    i = np.arange(n)
-    stop = np.maximum(i + min_lines, np.searchsorted(at, head + min_words, side="left"))
-    start = np.minimum(i + 1 - min_lines, np.searchsorted(at, at[1:] - min_words, side="right") - 1)
-    forth, back = stop <= hi, start >= lo
-    pairs = np.unique(np.concatenate([i[forth] * (n + 1) + stop[forth], start[back] * (n + 1) + i[back] + 1]))
-    first, last = pairs // (n + 1), pairs % (n + 1)
-    behind = bounds[of[first] + 1]
-    inside = last < hi[first]
-    behind[inside] = starts[head[last[inside]]]
-    return starts[head[first]], ends[at[last] - 1], behind, of[first]
-
-
-def _bytes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+        starts, ends, row, head = units(data, bounds)
+        n = len(head)
+        self.start, self.row = starts[head], row[head]
+        self.words = np.diff(np.append(head, len(starts)))
+        self.stop = ends[np.append(head[1:], len(starts)) - 1] if n else self.start
+        new = np.ones(n, dtype=bool)
+        new[1:] = self.row[1:] != self.row[:-1]
+        ends_text = np.append(new[1:], True)[:n]
+        self.behind = np.where(ends_text, bounds[self.row + 1], np.append(self.start[1:], 0)[:n])
+        h = span_hashes(data, self.start, self.stop)
+        roll = h.copy()
+        for back in range(1, WINDOW):
+            roll[back:] += h[:-back] * _ROLL ** np.uint64(back)
+        self.number = np.arange(n) - np.flatnonzero(new)[np.cumsum(new) - 1] if n else np.zeros(0, dtype=np.int64)  # of the unit in its text
+        cut = (mix64(roll) % np.uint64(DIVISOR) == 0) & (self.number >= WINDOW - 1) | ends_text
+        self.last = np.flatnonzero(cut)
+        self.first = np.append(0, self.last[:-1] + 1)[:len(self.last)]
+        total = np.concatenate([[0], np.cumsum(self.words)])
+        self.seed = (self.last > self.first) | (total[self.last + 1] - total[self.first] >= SEED_WORDS)
+        self.hash = span_hashes(data, self.start[self.first], self.stop[self.last]).view(np.int64)
+        opens = new[self.first]
+        self.place = np.arange(len(self.last)) - np.flatnonzero(opens)[np.cumsum(opens) - 1] if n else self.number  # of the chunk in its text
 
 
 def _code_points(data: np.ndarray) -> np.ndarray:
@@ -91,126 +99,176 @@ def _code_points(data: np.ndarray) -> np.ndarray:
 
 
 def chunks_of(text: str) -> Iterator[tuple[int, int, int]]:
-    """(start, end, 1) of the units of a text; white space goes with the unit before, at the start of the text with the first."""
-    if not text:
-        return
-    data = _bytes(text)
-    starts, _, _, head = units(data, np.array([0, len(data)]))
-    cuts = [0, *_code_points(data)[starts[head[1:]]].tolist(), len(text)]
-    for s, e in zip(cuts, cuts[1:]):
-        yield s, e, 1
-
-
-def digest_of(chunk: np.ndarray) -> bytes:
-    return hashlib.blake2b(chunk, digest_size=16).digest()
+    """(start, end, number of units) of the chunks of a text in code points; white space goes with the unit before, at the start of the text with none."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    c = Chunks(data, np.array([0, len(data)]))
+    cp = _code_points(data)
+    for a, b in zip(c.first.tolist(), c.last.tolist()):
+        yield int(cp[c.start[a]]), int(cp[c.behind[b]]), b - a + 1
 
 
-def eligible(text: str, **rule) -> Iterator[tuple[int, int, str]]:
-    """(start, end, chunk) of the chunks of a text, in code points; the chunk has no white space at its end. Neither starts nor ends descend."""
-    data = _bytes(text)
-    start, stop, end, _ = chunk_spans(data, np.array([0, len(data)]), **rule)
-    cp = _code_points(data)
-    for s, m, e in zip(cp[start].tolist(), cp[stop].tolist(), cp[end].tolist()):
-        yield s, e, text[s:m]
+#: A chunk of a text: its place among the text's chunks, the number of its first unit, its bytes, and of its units the
+#: code points where they start (and the last one's end), their bytes' starts and stops within ``body``, and their words.
+_CHUNK = ("c long, seed boolean, h long, u0 long, body binary, at array<long>, cut array<int>, words array<int>")
 
 
-def _pass(docs: DataFrame, bitmap=None, **rule) -> DataFrame:
+def _pass(docs: DataFrame, bitmap=None) -> DataFrame:
     import pyarrow as pa
 
     d = columns_of(docs, "doc_id", "text").where("text is not null")
-    sc = docs.sparkSession.sparkContext
-    known = sc.broadcast(bitmap) if bitmap is not None else None
+    known = docs.sparkSession.sparkContext.broadcast(bitmap) if bitmap is not None else None
     kind = d.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "key", "start", "end", "digest"]
 
-    def spans(b) -> Iterator:
+    def found(b) -> Iterator:
         raw, offsets, _ = text_buffers(b.column("text"))
         for lo, hi in pieces(offsets):
-            data, bounds = raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
-            start, stop, end, row = chunk_spans(data, bounds, **rule)
-            yield lo, data, bounds, start, stop, end, row, span_hashes(data, start, stop).view(np.int64)
+            data = raw[offsets[lo]:offsets[hi]]
+            yield lo, data, offsets[lo:hi + 1] - offsets[lo], Chunks(data, offsets[lo:hi + 1] - offsets[lo])
 
     def hashes(batches: Iterator) -> Iterator:
         for b in batches:
-            for *_, h in spans(b):
-                yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
+            for _, _, _, c in found(b):
+                yield pa.RecordBatch.from_arrays([pa.array(c.hash[c.seed])], names=["h"])
 
     def repeated(batches: Iterator) -> Iterator:
         for b in batches:
-            for lo, data, bounds, start, stop, end, row, h in spans(b):
-                keep = np.flatnonzero(passes_filter(known.value, h))
+            for lo, data, bounds, c in found(b):
+                seed = c.seed & passes_filter(known.value, c.hash) if len(c.last) else c.seed
+                row = c.row[c.first]
+                keep = seed.copy()
+                same = row[1:] == row[:-1]
+                keep[1:] |= seed[:-1] & same
+                keep[:-1] |= seed[1:] & same
+                keep = np.flatnonzero(keep)
                 if not len(keep):
                     continue
-                start, stop, end, row = start[keep], stop[keep], end[keep], row[keep]
-                digests = [digest_of(data[s:e]) for s, e in zip(start.tolist(), stop.tolist())]
+                first, last = c.first[keep], c.last[keep]
+                size = last - first + 1
+                ends = np.concatenate([[0], np.cumsum(size)])
+                unit = np.repeat(first - ends[:-1], size) + np.arange(ends[-1])  # of all kept chunks, in order
                 cp = _code_points(data)
-                base = cp[bounds[row]]
-                at = pa.array(row + lo)
+                base = cp[bounds[c.row]]
+                at = np.insert(cp[c.start[unit]] - base[unit], ends[1:], cp[c.behind[last]] - base[last])
+                cut = np.stack([c.start[unit], c.stop[unit]], axis=1) - np.repeat(c.start[first], size)[:, None]
+                bodies = [data[s:e].tobytes() for s, e in zip(c.start[first].tolist(), c.stop[last].tolist())]
+
+                def listed(values, lengths, kind):
+                    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values, kind))
+
+                of = pa.array(row[keep] + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(at), b.column("key").take(at), pa.array(cp[start] - base), pa.array(cp[end] - base),
-                     pa.array(digests, pa.binary())], names=names)
+                    [b.column("doc_id").take(of), b.column("key").take(of), pa.array(c.place[keep]), pa.array(seed[keep]), pa.array(c.hash[keep]),
+                     pa.array(c.number[first]), pa.array(bodies, pa.binary()), listed(at, size + 1, pa.int64()),
+                     listed(cut.ravel(), 2 * size, pa.int32()), listed(c.words[unit], size, pa.int32())],
+                    names=["doc_id", "key", "c", "seed", "h", "u0", "body", "at", "cut", "words"])
 
     if known is None:
         return d.select("text").mapInArrow(hashes, "h long")
     d = d.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
-    return d.mapInArrow(repeated, f"doc_id {kind}, key binary, start long, end long, digest binary")
-
-
-def _united(starts: Column, ends: Column) -> Column:
-    """Overlapping spans (ascending) as one, at the place of the first; null at the others' places."""
-    @F.pandas_udf("array<struct<start:bigint,end:bigint>>")
-    def unite(a: pd.Series, b: pd.Series) -> pd.Series:
+    return d.mapInArrow(repeated, f"doc_id {kind}, key binary, {_CHUNK}")
+
+
+def equal_units(body: bytes, cut, other: bytes, other_cut, side: int) -> int:
+    """How many units of two chunks are equal in bytes, from their starts (side 1) or their ends (side -1)."""
+    mine, its = list(zip(cut[::2], cut[1::2])), list(zip(other_cut[::2], other_cut[1::2]))
+    n = 0
+    for (a, b), (c, d) in zip(mine[::side], its[::side]):
+        if body[a:b] != other[c:d]:
+            break
+        n += 1
+    return n
+
+
+def _extensions(repeats: DataFrame, found: DataFrame) -> DataFrame:
+    """Units (key, u0, at, words, first_doc_id) beside the repeats that equal those beside the first places."""
+    order = Window.partitionBy("key").orderBy("c")
+    r = repeats.select("key", "c", "first", F.lag("c").over(order).alias("before"), F.lead("c").over(order).alias("after"))
+    sides = F.array(F.when(F.col("before").isNull() | (F.col("before") < F.col("c") - 1), F.lit(-1)),
+                    F.when(F.col("after").isNull() | (F.col("after") > F.col("c") + 1), F.lit(1)))
+    edges = r.select("key", "c", "first", F.explode(sides).alias("side")).where("side IS NOT NULL").select(
+        F.col("key").alias("k"), (F.col("c") + F.col("side")).alias("n"), F.col("first.key").alias("f_key"),
+        (F.col("first.c") + F.col("side")).alias("f_c"), "side", F.col("first.doc_id").alias("first_doc_id"))
+    own = found.select("key", "c", "u0", "body", "at", "cut", "words")
+    its = found.select(F.col("key").alias("o_key"), F.col("c").alias("o_c"), F.col("body").alias("o_body"), F.col("cut").alias("o_cut"))
+    beside = edges.join(own, (F.col("k") == F.col("key")) & (F.col("n") == F.col("c")))
+    beside = beside.join(its, (F.col("f_key") == F.col("o_key")) & (F.col("f_c") == F.col("o_c")))
+
+    @F.pandas_udf("int")
+    def equal(body: pd.Series, cut: pd.Series, other: pd.Series, other_cut: pd.Series, side: pd.Series) -> pd.Series:
+        return pd.Series([equal_units(*x) for x in zip(body, cut, other, other_cut, side)], dtype="int32")
+
+    beside = beside.withColumn("n_equal", equal("body", "cut", "o_body", "o_cut", "side")).where("n_equal > 0")
+    skip = F.when(F.col("side") < 0, F.size("words") - F.col("n_equal")).otherwise(F.lit(0))
+    return beside.select("key", (F.col("u0") + skip).alias("u0"), F.slice("at", skip + 1, F.col("n_equal") + 1).alias("at"),
+                         F.slice("words", skip + 1, F.col("n_equal")).alias("words"), "first_doc_id")
+
+
+def _runs(parts: Column, min_lines: int, min_words: int, kind: str) -> Column:
+    """(start, end, first_doc_id) of the runs of adjacent units in a document's parts that are long enough."""
+    @F.pandas_udf(f"array<struct<start:bigint,end:bigint,first_doc_id:{kind}>>")
+    def unite(documents: pd.Series) -> pd.Series:
         out = []
-        for s, e in zip(a, b):
-            if s is None:
-                out.append(None)
-                continue
-            new = np.flatnonzero(np.append(True, s[1:] >= e[:-1]))  # ends ascend as starts do
-            last = np.append(new[1:], len(s)) - 1
-            whole: list = [None] * len(s)
-            for i, j in zip(new.tolist(), last.tolist()):
-                whole[i] = {"start": int(s[i]), "end": int(e[j])}
-            out.append(whole)
+        for doc in documents:
+            known: dict = {}
+            for p in doc:
+                for j, w in enumerate(p["words"]):
+                    known.setdefault(p["u0"] + j, (p["at"][j], p["at"][j + 1], w, p["first_doc_id"]))
+            runs, last = [], None
+            for u in sorted(known):
+                start, end, w, first = known[u]
+                if last is not None and u == last + 1:
+                    run = runs[-1]
+                    run[1], run[3], run[4] = end, run[3] + 1, run[4] + w
+                else:
+                    runs.append([start, end, first, 1, w])
+                last = u
+            out.append([{"start": int(r[0]), "end": int(r[1]), "first_doc_id": r[2]} for r in runs if r[3] >= min_lines and r[4] >= min_words])
         return pd.Series(out, dtype=object)
 
-    return unite(starts, ends)
+    return unite(parts)
 
 
-def repeated_chunks(docs: DataFrame, **rule) -> DataFrame:
-    """Chunks to remove: (key, doc_id, start, end, first_doc_id, first_start); offsets are code points of the original text."""
-    twice = _pass(docs, **rule).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = written(docs.sparkSession, _pass(docs, membership_filter(twice, "h"), **rule), "chunks")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("key"), F.col("start"))
-    first = (found.groupBy(F.col("digest").alias("f_digest"))
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """(key, spans): for each document with runs to remove their (start, end, first_doc_id), code points of the original text."""
+    spark = docs.sparkSession
+    twice = written(spark, _pass(docs).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated-hashes")
+    found = _pass(docs, membership_filter(twice, "h", filter_bits(twice.count())))
+    found = written(spark, found.dropDuplicates(["key", "c"]), "chunks")  # rows equal in id and text are one document
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("key"), F.col("c"))
+    seeds = found.where("seed")
+    first = (seeds.groupBy(F.col("h").alias("f_h"), F.col("body").alias("f_body"))
              .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    first = written(docs.sparkSession, first, "first-chunks")  # an aggregate in the join's own stage would keep it from being split
-    out = found.join(first, F.col("digest") == F.col("f_digest"))
-    out = out.where((F.col("key") != F.col("first.key")) | (F.col("start") != F.col("first.start")))
-    return out.select("key", "doc_id", "start", "end", F.col("first.doc_id").alias("first_doc_id"),
-                      F.col("first.start").alias("first_start"))
+    first = written(spark, first, "first-chunks")  # an aggregate in the join's own stage would keep it from being split
+    repeats = seeds.join(first, (F.col("h") == F.col("f_h")) & (F.col("body") == F.col("f_body")))
+    repeats = repeats.where((F.col("key") != F.col("first.key")) | (F.col("c") != F.col("first.c"))).select("key", "c", "u0", "at", "words", "first")
+    repeats = written(spark, repeats, "repeated-chunks")
+    parts = repeats.select("key", "u0", "at", "words", F.col("first.doc_id").alias("first_doc_id")).unionByName(_extensions(repeats, found))
+    parts = parts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("u0", "at", "words", "first_doc_id"))).alias("parts"))
+    kind = repeats.schema["first"].dataType["doc_id"].dataType.simpleString()
+    return parts.select("key", _runs(F.col("parts"), min_lines, min_words, kind).alias("spans")).where(F.size("spans") > 0)
 
 
-def dedup_lines(docs: DataFrame, spans_as: str | None = "removed", **rule) -> DataFrame:
+def dedup_lines(docs: DataFrame, spans_as: str | None = "removed", most: float = 1.0, **rule) -> DataFrame:
     """``docs`` (doc_id, text, ...) without repeated chunks.
 
     ``spans_as`` names an added column with the array of (start, end, first_doc_id) that were cut out of the original text
-    (a column of that name in ``docs`` is replaced); None adds nothing.
+    (a column of that name in ``docs`` is replaced); None adds nothing. A document that would lose more than ``most`` of
+    its characters stays whole: such a document is a copy, which is a matter of near-duplicate detection.
     """
     cols = [c for c in docs.columns if c != spans_as]
-    one = F.struct("start", "end", "first_doc_id")
-    cut = (repeated_chunks(docs, **rule).groupBy(F.col("key").alias("__chunk_key"))
-           .agg(F.sort_array(F.collect_set(one)).alias("__spans")))
-    whole = F.zip_with(_united(F.col("__spans.start"), F.col("__spans.end")), F.col("__spans.first_doc_id"), lambda u, first: F.struct(
-        u["start"].alias("start"), u["end"].alias("end"), first.alias("first_doc_id")))
-    cut = cut.select("__chunk_key", F.filter(whole, lambda w: w["start"].isNotNull()).alias("__removed"))
-    d = docs.withColumn("__row_key", row_key(F.col("doc_id"), F.col("text")))
-    d = d.join(cut, F.col("__row_key") == F.col("__chunk_key"), "left")
-    hit = F.size("__removed") > 0
-    text = F.when(hit, cut_spans(F.col("text"), F.col("__removed.start"), F.col("__removed.end"))).otherwise(F.col("text"))
+    own, its, spans = (free_name(docs, n) for n in ("row_key", "chunk_key", "chunk_spans"))
+    cut = repeated_runs(docs, **rule).select(F.col("key").alias(its), F.col("spans").alias(spans))
+    d = docs.withColumn(own, row_key(F.col("doc_id"), F.col("text")))
+    d = d.join(cut, F.col(own) == F.col(its), "left")
+    if most < 1:
+        lost = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+        d = d.withColumn(spans, F.when(lost <= most * F.length("text"), F.col(spans)))
+    hit = F.size(spans) > 0
+    text = F.when(hit, cut_spans(F.col("text"), F.col(spans)["start"], F.col(spans)["end"])).otherwise(F.col("text"))
     d = d.withColumn("text", text)
     if "n_chars" in cols:
         d = d.withColumn("n_chars", F.when(hit, F.length("text").cast(d.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return d.select(*[F.col(f"`{c}`") for c in cols], *([F.col("__removed").alias(spans_as)] if spans_as else []))
+    return d.select(*[F.col(f"`{c}`") for c in cols], *([F.col(spans).alias(spans_as)] if spans_as else []))
 
 
 def chunk_query(docs: DataFrame) -> DataFrame:
