@@ -7,7 +7,7 @@ are found and hashed without making a Python object for each of them. Words are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -104,6 +104,18 @@ def filter_bits(members: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * members).bit_length()))
 
 
+def may_be_member(members: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test of a long column: false only where the value is not in ``column`` of ``members`` (a bitmap sized from their number, bounded)."""
+    sc = members.sparkSession.sparkContext
+    bitmap = sc.broadcast(membership_filter(members, column, filter_bits(members.count())))
+
+    @F.pandas_udf("boolean")
+    def may(h: pd.Series) -> pd.Series:
+        return pd.Series(passes_filter(bitmap.value, h.to_numpy()))
+
+    return may
+
+
 def passes_filter(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether each signed 64-bit value may be a member."""
     at = values.view(np.uint64) & np.uint64(len(bitmap) * 8 - 1)  # equals pmod: the number of bits is a power of two

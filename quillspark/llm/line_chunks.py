@@ -2,7 +2,7 @@
 
 A text's units are its lines, and the clauses of a line that holds several. A rolling hash over the hashes of ``WINDOW`` units chooses the
 boundaries: a chunk ends at a unit where it is 0 modulo ``DIVISOR``, and at the end of the text. Chunks do not overlap, and text inserted
-or removed elsewhere in a document does not shift their boundaries. Chunks of at least two units or ``SEED_WORDS`` words whose bytes stand at an earlier place
+or removed elsewhere in a document does not shift their boundaries. Chunks of at least ``SEED_WORDS`` words whose bytes stand at an earlier place
 of the corpus, by doc_id (null last), row key and position, are repeats: the join is on a rolling hash of the bytes and on the bytes themselves. A repeat
 is extended into the chunks beside it, unit by unit, while their bytes equal those beside the first place, because the ends of a passage fall
 inside chunks that differ. Runs of repeated units with at least ``min_lines`` units and ``min_words`` words are removed. Of every unit the first
@@ -11,13 +11,13 @@ place stays, as a removed one always has an equal one at an earlier place.
 Scale: the first pass emits 8-byte hashes of the chunks, made with numpy on the Arrow buffers. Those seen twice set bits of a bitmap sized
 from their number (bounded); the second pass emits only the chunks whose bit is set and those beside them, so less than the text moves, and once. A chunk's first
 place is an aggregate that runs before the shuffle and is written, so that the join of the repeats with it has no aggregate in its stage and adaptive
-execution can split a hot chunk; so are the joins that fetch the chunks to extend into. Units meet by document only for the repeated ones. Whole
-texts are shuffled once, to cut the spans out.
+execution can split a hot chunk; so are the joins that fetch the chunks to extend into, which read only chunks that a bitmap of the wanted ones lets pass. Of documents, the repeated units meet, and
+the texts that may lose something (by a bitmap again), to have the spans cut out; the others stay where they are.
 
 Edge cases: null and empty texts have no chunks and pass unchanged; rows equal in doc_id and text are one document and
 get the same result; a chunk that repeats within one text keeps its first place; very long texts are chunked like any other; a text may become empty; an empty table gives an empty
 result; all other columns pass through, and ``n_chars``, if there, is set anew where the text changed. White space after a unit goes with it, so a
-passage that starts inside a line takes its last line end along. Three or more one-unit chunks of fewer than ``SEED_WORDS`` words in a row are not bridged.
+passage that starts inside a line takes its last line end along. Three or more chunks of fewer than ``SEED_WORDS`` words in a row are not bridged.
 """
 
 from __future__ import annotations
@@ -30,12 +30,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import (
-    columns_of, cut_spans, filter_bits, free_name, membership_filter, mix64, passes_filter, pieces, row_key, span_hashes, text_buffers,
+    columns_of, cut_spans, filter_bits, free_name, may_be_member, membership_filter, mix64, passes_filter, pieces, row_key, span_hashes, text_buffers,
     word_spans, written,
 )
 
 MIN_LINES = 2
 MIN_WORDS = 8
+#: A shorter chunk is no repeat of its own; it goes with a longer one beside it.
 SEED_WORDS = 4
 #: Units under the rolling hash, and one of how many is a boundary.
 WINDOW = 2
@@ -87,7 +88,7 @@ class Chunks:
         self.last = np.flatnonzero(cut)
         self.first = np.append(0, self.last[:-1] + 1)[:len(self.last)]
         total = np.concatenate([[0], np.cumsum(self.words)])
-        self.seed = (self.last > self.first) | (total[self.last + 1] - total[self.first] >= SEED_WORDS)
+        self.seed = total[self.last + 1] - total[self.first] >= SEED_WORDS
         self.hash = span_hashes(data, self.start[self.first], self.stop[self.last]).view(np.int64)
         opens = new[self.first]
         self.place = np.arange(len(self.last)) - np.flatnonzero(opens)[np.cumsum(opens) - 1] if n else self.number  # of the chunk in its text
@@ -188,8 +189,11 @@ def _extensions(repeats: DataFrame, found: DataFrame) -> DataFrame:
     edges = r.select("key", "c", "first", F.explode(sides).alias("side")).where("side IS NOT NULL").select(
         F.col("key").alias("k"), (F.col("c") + F.col("side")).alias("n"), F.col("first.key").alias("f_key"),
         (F.col("first.c") + F.col("side")).alias("f_c"), "side", F.col("first.doc_id").alias("first_doc_id"))
-    own = found.select("key", "c", "u0", "body", "at", "cut", "words")
-    its = found.select(F.col("key").alias("o_key"), F.col("c").alias("o_c"), F.col("body").alias("o_body"), F.col("cut").alias("o_cut"))
+    edges = written(repeats.sparkSession, edges, "chunk-edges")
+    needed = may_be_member(edges.select(F.explode(F.array(F.xxhash64("k", "n"), F.xxhash64("f_key", "f_c"))).alias("h")), "h")
+    beside = written(repeats.sparkSession, found.where(needed(F.xxhash64("key", "c"))).dropDuplicates(["key", "c"]), "chunks-beside")
+    own = beside.select("key", "c", "u0", "body", "at", "cut", "words")
+    its = beside.select(F.col("key").alias("o_key"), F.col("c").alias("o_c"), F.col("body").alias("o_body"), F.col("cut").alias("o_cut"))
     beside = edges.join(own, (F.col("k") == F.col("key")) & (F.col("n") == F.col("c")))
     beside = beside.join(its, (F.col("f_key") == F.col("o_key")) & (F.col("f_c") == F.col("o_c")))
 
@@ -232,8 +236,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     """(key, spans): for each document with runs to remove their (start, end, first_doc_id), code points of the original text."""
     spark = docs.sparkSession
     twice = written(spark, _pass(docs).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated-hashes")
-    found = _pass(docs, membership_filter(twice, "h", filter_bits(twice.count())))
-    found = written(spark, found.dropDuplicates(["key", "c"]), "chunks")  # rows equal in id and text are one document
+    found = written(spark, _pass(docs, membership_filter(twice, "h", filter_bits(twice.count()))), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("key"), F.col("c"))
     seeds = found.where("seed")
     first = (seeds.groupBy(F.col("h").alias("f_h"), F.col("body").alias("f_body"))
@@ -241,7 +244,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     first = written(spark, first, "first-chunks")  # an aggregate in the join's own stage would keep it from being split
     repeats = seeds.join(first, (F.col("h") == F.col("f_h")) & (F.col("body") == F.col("f_body")))
     repeats = repeats.where((F.col("key") != F.col("first.key")) | (F.col("c") != F.col("first.c"))).select("key", "c", "u0", "at", "words", "first")
-    repeats = written(spark, repeats, "repeated-chunks")
+    repeats = written(spark, repeats.dropDuplicates(["key", "c"]), "repeated-chunks")  # rows equal in id and text are one document
     parts = repeats.select("key", "u0", "at", "words", F.col("first.doc_id").alias("first_doc_id")).unionByName(_extensions(repeats, found))
     parts = parts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("u0", "at", "words", "first_doc_id"))).alias("parts"))
     kind = repeats.schema["first"].dataType["doc_id"].dataType.simpleString()
@@ -256,10 +259,14 @@ def dedup_lines(docs: DataFrame, spans_as: str | None = "removed", most: float =
     its characters stays whole: such a document is a copy, which is a matter of near-duplicate detection.
     """
     cols = [c for c in docs.columns if c != spans_as]
-    own, its, spans = (free_name(docs, n) for n in ("row_key", "chunk_key", "chunk_spans"))
+    own, its, spans, may = (free_name(docs, n) for n in ("row_key", "chunk_key", "chunk_spans", "may_have_spans"))
     cut = repeated_runs(docs, **rule).select(F.col("key").alias(its), F.col("spans").alias(spans))
+    cut = written(docs.sparkSession, cut, "chunk-spans")
+    has_spans = may_be_member(cut.select(F.xxhash64(its).alias("h")), "h")
     d = docs.withColumn(own, row_key(F.col("doc_id"), F.col("text")))
-    d = d.join(cut, F.col(own) == F.col(its), "left")
+    d = d.withColumn(may, has_spans(F.xxhash64(own)))
+    rest = d.where(~F.col(may))
+    d = d.where(may).join(cut, F.col(own) == F.col(its), "left")
     if most < 1:
         lost = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
         d = d.withColumn(spans, F.when(lost <= most * F.length("text"), F.col(spans)))
@@ -268,7 +275,9 @@ def dedup_lines(docs: DataFrame, spans_as: str | None = "removed", most: float =
     d = d.withColumn("text", text)
     if "n_chars" in cols:
         d = d.withColumn("n_chars", F.when(hit, F.length("text").cast(d.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return d.select(*[F.col(f"`{c}`") for c in cols], *([F.col(spans).alias(spans_as)] if spans_as else []))
+    out = d.select(*[F.col(f"`{c}`") for c in cols], *([F.col(spans).alias(spans_as)] if spans_as else []))
+    none = F.lit(None).cast(d.schema[spans].dataType).alias(spans_as) if spans_as else None
+    return out.union(rest.select(*[F.col(f"`{c}`") for c in cols], *([none] if spans_as else [])))
 
 
 def chunk_query(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ paragraph, a repeated line and a passage inside a line are all found, and a shor
 repeat. Each has its offsets in the original text.
 
 Scale: no text is moved. Passages take two passes over the texts: the first counts 8-byte hashes of the units; those seen twice set bits of a
-bitmap sized from their number (bounded), and the second emits small rows (digest, document, offsets) where the bit is set. The digests' first
+bitmap sized from their number (bounded), and the second emits small rows (digest, document, offsets) where the bit is set; all of them take part in
+finding first occurrences, but only those in a long enough run of set bits can be removed and are joined. The digests' first
 occurrences are a partial aggregate, so a unit that a third of all documents share costs each map task one row. They are written before the
 repeats are joined to them, by a plain equi-join that adaptive execution splits where a digest is hot. Runs are a window over one document's repeats.
 
@@ -121,8 +122,11 @@ def clauses_of(text: str) -> Iterator[tuple[int, int, int, int, bytes]]:
             i += 1
 
 
-def _clause_rows(docs: DataFrame, bitmap=None) -> DataFrame:
-    """Without a bitmap (h) of every clause, else (doc_id, key, i, start, end, n_words, digest) of those whose bit is set."""
+def _clause_rows(docs: DataFrame, bitmap=None, min_words: int = MIN_WORDS) -> DataFrame:
+    """Without a bitmap (h) of every clause, else (doc_id, key, i, start, end, n_words, digest, long) of those whose bit is set.
+
+    ``long`` tells that the run of adjacent clauses whose bits are set has ``min_words`` words; no run of repeats outside such a run can have them.
+    """
     import pyarrow as pa
 
     d = columns_of(docs, "doc_id", "text").where("text is not null")
@@ -143,16 +147,20 @@ def _clause_rows(docs: DataFrame, bitmap=None) -> DataFrame:
             if known is None:
                 yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
                 continue
-            keep = pa.array(np.flatnonzero(passes_filter(known.value, np.ascontiguousarray(h))))
+            may = passes_filter(known.value, np.ascontiguousarray(h))
+            run = np.cumsum(~may | (np.array(i) == 0))
+            long = np.bincount(run, weights=np.array(words) * may)[run] >= min_words
+            keep = pa.array(np.flatnonzero(may))
             of = pa.array(rows, pa.int64()).take(keep)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(of), b.column("key").take(of), *(pa.array(x, pa.int64()).take(keep) for x in (i, start, end, words)),
-                 pa.array(digest, pa.binary()).take(keep)], names=["doc_id", "key", "i", "start", "end", "n_words", "digest"])
+                 pa.array(digest, pa.binary()).take(keep), pa.array(long[may])],
+                names=["doc_id", "key", "i", "start", "end", "n_words", "digest", "long"])
 
     if known is None:
         return d.select("text").mapInArrow(scan, "h long")
     d = d.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
-    return d.mapInArrow(scan, f"doc_id {kind}, key binary, i long, start long, end long, n_words long, digest binary")
+    return d.mapInArrow(scan, f"doc_id {kind}, key binary, i long, start long, end long, n_words long, digest binary, long boolean")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -162,12 +170,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     spark = docs.sparkSession
     twice = written(spark, _clause_rows(docs).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated-hashes")
-    units = written(spark, _clause_rows(docs, membership_filter(twice, "h", filter_bits(twice.count()))), "clauses")
+    units = written(spark, _clause_rows(docs, membership_filter(twice, "h", filter_bits(twice.count())), min_words), "clauses")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("key"), F.col("start"))
     first = (units.groupBy(F.col("digest").alias("f_digest"))
              .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     first = written(spark, first, "first-clauses")  # an aggregate in the join's own stage would keep it from being split
-    out = units.join(first, F.col("digest") == F.col("f_digest"))
+    out = units.where("long").join(first, F.col("digest") == F.col("f_digest"))
     out = out.where((F.col("key") != F.col("first.key")) | (F.col("start") != F.col("first.start")))
     out = out.select("key", "i", "doc_id", "start", "end", "n_words", "first").dropDuplicates(["key", "i"])
     out = out.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy("key").orderBy("i")))

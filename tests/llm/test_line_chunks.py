@@ -47,7 +47,7 @@ def brute(docs, min_lines=2, min_words=8):
             u += len(chunk)
         gone, repeats = set(), {}
         for c, chunk in enumerate(cut[i]):
-            if len(chunk) > 1 or chunk[0][3] >= C.SEED_WORDS:
+            if sum(x[3] for x in chunk) >= C.SEED_WORDS:
                 whole = t[chunk[0][0]:chunk[-1][1]]
                 if whole in first:
                     repeats[c] = first[whole]
