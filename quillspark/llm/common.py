@@ -203,12 +203,17 @@ def word_spans(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray | None
     return starts, ends, np.searchsorted(bounds, starts, side="right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand."""
+def span_hasher(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that gives 64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand."""
     up, down = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE_VALUE[data] * up[:len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts])
+    return lambda starts, ends: mix64((total[ends] - total[starts]) * down[starts])
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, as of ``span_hasher``."""
+    return span_hasher(data)(starts, ends)
 
 
 def window_hashes(words: np.ndarray, row: np.ndarray, n_rows: int, size: int):

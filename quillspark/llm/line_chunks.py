@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import (
-    columns_of, cut_spans, filter_bits, free_name, may_be_member, membership_filter, mix64, passes_filter, pieces, row_key, span_hashes, text_buffers,
+    columns_of, cut_spans, filter_bits, free_name, may_be_member, membership_filter, mix64, passes_filter, pieces, row_key, span_hasher, text_buffers,
     word_spans, written,
 )
 
@@ -79,7 +79,8 @@ class Chunks:
         new[1:] = self.row[1:] != self.row[:-1]
         ends_text = np.append(new[1:], True)[:n]
         self.behind = np.where(ends_text, bounds[self.row + 1], np.append(self.start[1:], 0)[:n])
-        h = span_hashes(data, self.start, self.stop)
+        hashes = span_hasher(data)
+        h = hashes(self.start, self.stop)
         roll = h.copy()
         for back in range(1, WINDOW):
             roll[back:] += h[:-back] * _ROLL ** np.uint64(back)
@@ -89,7 +90,7 @@ class Chunks:
         self.first = np.append(0, self.last[:-1] + 1)[:len(self.last)]
         total = np.concatenate([[0], np.cumsum(self.words)])
         self.seed = total[self.last + 1] - total[self.first] >= SEED_WORDS
-        self.hash = span_hashes(data, self.start[self.first], self.stop[self.last]).view(np.int64)
+        self.hash = hashes(self.start[self.first], self.stop[self.last]).view(np.int64)
         opens = new[self.first]
         self.place = np.arange(len(self.last)) - np.flatnonzero(opens)[np.cumsum(opens) - 1] if n else self.number  # of the chunk in its text
 
