@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators.entities import detect_entities, sort_spans_desc, with_entities
 from quillspark.operators.joins import dictionary_join
-from quillspark.operators.positions import row_index
+from quillspark.operators.positions import batch_padding, consecutive_batches, packed_batches, packed_padding
 from quillspark.operators.tokens import explode_tokens, lemmatize_and_filter, load_stopwords, prepare_lemmas
 from quillspark.plans import oracle as O
 from quillspark.plans.preprocess import anonymize, preprocess_full, process_text
@@ -106,10 +106,32 @@ def q_length_batches(spark, sf_dir):
     from quillspark.plans.preprocess import normalize
     t = normalize(_sent(spark, sf_dir).select("index", "split", "sentence"))
     t = t.select("index", "split", F.size(T.tokenize("sentence")).alias("len"))
-    t = row_index(t, ("split",), "index", out="idx").withColumn("batch", F.floor(F.col("idx") / BATCH_ROWS))
-    return t.groupBy("split", "batch").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.max("len").alias("max_len"),
-        (F.max("len") * F.count(F.lit(1)) - F.sum("len")).cast("bigint").alias("pad_tokens"))
+    return batch_padding(consecutive_batches(t, BATCH_ROWS))
+
+
+_LENGTHS_SQL = f"""
+, b AS (SELECT split, len, CAST((row_number() OVER (PARTITION BY split ORDER BY len, "index") - 1) // {BATCH_ROWS} AS BIGINT) AS batch
+        FROM (SELECT split, "index", CAST(len({O.toks_sql(O.norm_sql('sentence'))}) AS INTEGER) AS len FROM sentl))
+SELECT split, batch, count(*) AS n_rows, max(len) AS max_len, CAST(max(len) * count(*) - sum(len) AS BIGINT) AS pad_tokens
+FROM b GROUP BY split, batch"""
+
+
+def _lengths(spark, sf_dir):
+    from quillspark.plans.preprocess import normalize
+    t = normalize(_sent(spark, sf_dir).select("index", "split", "sentence"))
+    return t.select("index", "split", F.size(T.tokenize("sentence")).alias("len"))
+
+
+@register("length_packed_batches", S() + _LENGTHS_SQL)
+def q_packed_batches(spark, sf_dir):
+    """Padding when batches are packed over the whole split in order of length; every row gets its batch."""
+    return batch_padding(packed_batches(_lengths(spark, sf_dir), BATCH_ROWS))
+
+
+@register("length_packed_padding", S() + _LENGTHS_SQL)
+def q_packed_padding(spark, sf_dir):
+    """The same figures from the histogram of lengths alone."""
+    return packed_padding(_lengths(spark, sf_dir), BATCH_ROWS)
 
 
 _DICTS = O.stop_ctes(STOPWORDS, LEMMAS)
