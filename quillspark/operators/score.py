@@ -1,6 +1,6 @@
 """Scoring rows with a user-supplied model.
 
-The only Python boundary of the library. ``mapInPandas`` hands each task
+``mapInPandas`` hands each task
 Arrow batches; the scorer is built once per task; rows of a batch are sent
 through a small thread pool (I/O-bound calls), so concurrency is
 partitions x pool size. Each row is retried on rate limits only, with
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.constants import MAX_TRIES
@@ -122,6 +123,21 @@ def score_rows(df: DataFrame, make_scorer: Callable[[], Callable[[dict], object]
     return src.mapInPandas(run, schema)
 
 
+def predict_logits(df: DataFrame, make_model: Callable[[], Callable], inputs: Sequence[str], batch_rows: int = 1024, out: str = "logits") -> DataFrame:
+    """``df`` with ``out``, the array of logits that a batch model gives for each row.
+
+    ``make_model()`` runs once per Python worker and returns a function of one numpy array of doubles for each column in ``inputs``,
+    with up to ``batch_rows`` rows, to an array of (rows, classes). The model is called once a
+    batch, never once a row. Map-only; other columns pass through. A null in an input column is a NaN for the model.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+    from quillspark.session import ship_package
+
+    ship_package(df.sparkSession)
+    udf = predict_batch_udf(make_model, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_rows)
+    return df.withColumn(out, udf(*[F.col(c).cast("double") for c in inputs]))
+
+
 def pending_rows(todo: DataFrame, done: DataFrame, keys: Sequence[str] = ("config_id", "run", "index")) -> DataFrame:
     """Rows not scored yet (restart without re-scoring)."""
     return todo.join(done.select(*keys), list(keys), "left_anti")

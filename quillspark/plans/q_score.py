@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.constants import SYSTEM_PROMPT_CHAT, USER_PROMPT_CHAT
 from quillspark.functions import parse as C
 from quillspark.functions import prompts as B
-from quillspark.operators.score import RetryPolicy, score_rows
+from quillspark.operators.score import RetryPolicy, predict_logits, score_rows
 from quillspark.operators.select import filter_split
 from quillspark.plans import oracle as O
 from quillspark.plans.evaluate import parse_answers
@@ -117,3 +117,34 @@ def q_dispatch(spark, sf_dir):
     completion = C.parse_completion("output", F.col("class0"), F.col("class1"))
     return chat.select("config", "index", F.when(F.col("config").isin(*[d[0] for d in DISPATCH if d[1]]), completion)
                        .otherwise(F.col("prediction")).cast("int").alias("prediction"))
+
+
+#: A linear model over (tokens, characters): weights that doubles hold exactly, so SQL gives the same logits.
+BATCH_WEIGHTS = ((0.25, -0.03125), (-0.125, 0.0625))
+BATCH_BIAS = (1.5, -0.75)
+
+
+def make_linear_model():
+    """Built once per worker; called with the columns of one batch."""
+    import numpy as np
+    weights, bias = np.array(BATCH_WEIGHTS), np.array(BATCH_BIAS)
+    return lambda tokens, chars: np.stack([tokens, chars], axis=1) @ weights.T + bias
+
+
+def _logit_sql(k: int) -> str:
+    return f"({BATCH_WEIGHTS[k][0]} * tokens + {BATCH_WEIGHTS[k][1]} * chars + {BATCH_BIAS[k]})::DOUBLE"
+
+
+@register("predict_batches", S() + f"""
+, x AS (SELECT "index", label, len({O.toks_sql('sentence')}) AS tokens, length(sentence) AS chars FROM sentl WHERE split = 'test')
+, l AS (SELECT *, {_logit_sql(0)} AS logit_0, {_logit_sql(1)} AS logit_1 FROM x)
+SELECT "index", label AS ground_truth, logit_0, logit_1, CAST(CASE WHEN logit_1 > logit_0 THEN 1 ELSE 0 END AS INTEGER) AS prediction,
+  greatest(logit_0, logit_1) AS confidence FROM l""")
+def q_predict_batches(spark, sf_dir):
+    """Class, confidence and logits per row from a model that is called once a batch (C1, C2 on top)."""
+    from quillspark.functions.text import tokenize
+    t = filter_split(labelled_sentences(spark, sf_dir), "test")
+    t = t.select("index", F.col("label").alias("ground_truth"), F.size(tokenize("sentence")).alias("tokens"), F.length("sentence").alias("chars"))
+    t = predict_logits(t, make_linear_model, ["tokens", "chars"])
+    return t.select("index", "ground_truth", F.col("logits")[0].alias("logit_0"), F.col("logits")[1].alias("logit_1"),
+                    C.argmax_class("logits").cast("int").alias("prediction"), C.max_logit_confidence("logits").alias("confidence"))
