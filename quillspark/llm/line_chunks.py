@@ -109,9 +109,35 @@ def chunks_of(text: str) -> Iterator[tuple[int, int, int]]:
         yield int(cp[c.start[a]]), int(cp[c.behind[b]]), b - a + 1
 
 
-#: A chunk of a text: its place among the text's chunks, the number of its first unit, its bytes, and of its units the
-#: code points where they start (and the last one's end), their bytes' starts and stops within ``body``, and their words.
-_CHUNK = ("c long, seed boolean, h long, u0 long, body binary, at array<long>, cut array<int>, words array<int>")
+#: A chunk of a text: its place among the text's chunks, the number of its first unit, its bytes, and the marks of its units.
+_CHUNK = "c long, seed boolean, h long, u0 long, body binary, marks binary"
+
+
+class Marks:
+    """Of a chunk's n units, as 4n + 1 32-bit integers: the code points where they start, the one where the last one ends, their bytes'
+    starts and stops within the chunk in turn, and their words."""
+
+    @staticmethod
+    def packed(at: np.ndarray, cut: np.ndarray, words: np.ndarray, size: np.ndarray):
+        """An Arrow binary array; ``at`` has size + 1 numbers for each chunk, ``cut`` 2 * size and ``words`` size."""
+        import pyarrow as pa
+
+        offsets = np.concatenate([[0], np.cumsum(4 * size + 1)])
+        out = np.empty(offsets[-1], dtype="<i4")
+        for values, count, skip in ((at, size + 1, 0 * size), (cut, 2 * size, size + 1), (words, size, 3 * size + 1)):
+            ends = np.cumsum(count)
+            out[np.repeat(offsets[:-1] + skip - (ends - count), count) + np.arange(ends[-1])] = values
+        return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(out)])
+
+    def __init__(self, marks: bytes):
+        m = np.frombuffer(marks, dtype="<i4").tolist()
+        n = len(m) // 4
+        self.at, self.cut, self.words = m[:n + 1], m[n + 1:3 * n + 1], m[3 * n + 1:]
+
+    def part(self, first: int, last: int) -> bytes:
+        """The marks of the units [first, last), without bytes."""
+        none = [0] * (2 * (last - first))
+        return np.array(self.at[first:last + 1] + none + self.words[first:last], dtype="<i4").tobytes()
 
 
 def _pass(docs: DataFrame, bitmap=None) -> DataFrame:
@@ -154,15 +180,11 @@ def _pass(docs: DataFrame, bitmap=None) -> DataFrame:
                 cut = np.stack([c.start[unit], c.stop[unit]], axis=1) - np.repeat(c.start[first], size)[:, None]
                 bodies = [data[s:e].tobytes() for s, e in zip(c.start[first].tolist(), c.stop[last].tolist())]
 
-                def listed(values, lengths, kind):
-                    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values, kind))
-
                 of = pa.array(row[keep] + lo)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").take(of), b.column("key").take(of), pa.array(c.place[keep]), pa.array(seed[keep]), pa.array(c.hash[keep]),
-                     pa.array(c.number[first]), pa.array(bodies, pa.binary()), listed(at, size + 1, pa.int64()),
-                     listed(cut.ravel(), 2 * size, pa.int32()), listed(c.words[unit], size, pa.int32())],
-                    names=["doc_id", "key", "c", "seed", "h", "u0", "body", "at", "cut", "words"])
+                     pa.array(c.number[first]), pa.array(bodies, pa.binary()), Marks.packed(at, cut.ravel(), c.words[unit], size)],
+                    names=["doc_id", "key", "c", "seed", "h", "u0", "body", "marks"])
 
     if known is None:
         return d.select("text").mapInArrow(hashes, "h long")
@@ -182,7 +204,7 @@ def equal_units(body: bytes, cut, other: bytes, other_cut, side: int) -> int:
 
 
 def _extensions(repeats: DataFrame, found: DataFrame) -> DataFrame:
-    """Units (key, u0, at, words, first_doc_id) beside the repeats that equal those beside the first places."""
+    """Units (key, u0, marks, first_doc_id) beside the repeats that equal those beside the first places."""
     order = Window.partitionBy("key").orderBy("c")
     r = repeats.select("key", "c", "first", F.lag("c").over(order).alias("before"), F.lead("c").over(order).alias("after"))
     sides = F.array(F.when(F.col("before").isNull() | (F.col("before") < F.col("c") - 1), F.lit(-1)),
@@ -193,19 +215,24 @@ def _extensions(repeats: DataFrame, found: DataFrame) -> DataFrame:
     edges = written(repeats.sparkSession, edges, "chunk-edges")
     needed = may_be_member(edges.select(F.explode(F.array(F.xxhash64("k", "n"), F.xxhash64("f_key", "f_c"))).alias("h")), "h")
     beside = written(repeats.sparkSession, found.where(needed(F.xxhash64("key", "c"))).dropDuplicates(["key", "c"]), "chunks-beside")
-    own = beside.select("key", "c", "u0", "body", "at", "cut", "words")
-    its = beside.select(F.col("key").alias("o_key"), F.col("c").alias("o_c"), F.col("body").alias("o_body"), F.col("cut").alias("o_cut"))
+    own = beside.select("key", "c", "u0", "body", "marks")
+    its = beside.select(F.col("key").alias("o_key"), F.col("c").alias("o_c"), F.col("body").alias("o_body"), F.col("marks").alias("o_marks"))
     beside = edges.join(own, (F.col("k") == F.col("key")) & (F.col("n") == F.col("c")))
     beside = beside.join(its, (F.col("f_key") == F.col("o_key")) & (F.col("f_c") == F.col("o_c")))
 
-    @F.pandas_udf("int")
-    def equal(body: pd.Series, cut: pd.Series, other: pd.Series, other_cut: pd.Series, side: pd.Series) -> pd.Series:
-        return pd.Series([equal_units(*x) for x in zip(body, cut, other, other_cut, side)], dtype="int32")
+    @F.pandas_udf("struct<skip:bigint,marks:binary>")
+    def extension(body: pd.Series, marks: pd.Series, other: pd.Series, other_marks: pd.Series, side: pd.Series) -> pd.DataFrame:
+        skip, out = [], []
+        for b, m, o, om, at in zip(body, marks, other, other_marks, side):
+            own = Marks(m)
+            n, units = equal_units(b, own.cut, o, Marks(om).cut, at), len(own.words)
+            first, last = (0, n) if at > 0 else (units - n, units)
+            skip.append(first)
+            out.append(own.part(first, last) if n else None)
+        return pd.DataFrame({"skip": pd.Series(skip, dtype="int64"), "marks": pd.Series(out, dtype=object)})
 
-    beside = beside.withColumn("n_equal", equal("body", "cut", "o_body", "o_cut", "side")).where("n_equal > 0")
-    skip = F.when(F.col("side") < 0, F.size("words") - F.col("n_equal")).otherwise(F.lit(0))
-    return beside.select("key", (F.col("u0") + skip).alias("u0"), F.slice("at", skip + 1, F.col("n_equal") + 1).alias("at"),
-                         F.slice("words", skip + 1, F.col("n_equal")).alias("words"), "first_doc_id")
+    beside = beside.withColumn("more", extension("body", "marks", "o_body", "o_marks", "side")).where("more.marks IS NOT NULL")
+    return beside.select("key", (F.col("u0") + F.col("more.skip")).alias("u0"), F.col("more.marks").alias("marks"), "first_doc_id")
 
 
 def _runs(parts: Column, min_lines: int, min_words: int, kind: str) -> Column:
@@ -216,8 +243,10 @@ def _runs(parts: Column, min_lines: int, min_words: int, kind: str) -> Column:
         for doc in documents:
             known: dict = {}
             for p in doc:
-                for j, w in enumerate(p["words"]):
-                    known.setdefault(p["u0"] + j, (p["at"][j], p["at"][j + 1], w, p["first_doc_id"]))
+                u0, first = p["u0"], p["first_doc_id"]
+                m = Marks(p["marks"])
+                for j, w in enumerate(m.words):
+                    known.setdefault(u0 + j, (m.at[j], m.at[j + 1], w, first))
             runs, last = [], None
             for u in sorted(known):
                 start, end, w, first = known[u]
@@ -244,10 +273,10 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
              .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     first = written(spark, first, "first-chunks")  # an aggregate in the join's own stage would keep it from being split
     repeats = seeds.join(first, (F.col("h") == F.col("f_h")) & (F.col("body") == F.col("f_body")))
-    repeats = repeats.where((F.col("key") != F.col("first.key")) | (F.col("c") != F.col("first.c"))).select("key", "c", "u0", "at", "words", "first")
+    repeats = repeats.where((F.col("key") != F.col("first.key")) | (F.col("c") != F.col("first.c"))).select("key", "c", "u0", "marks", "first")
     repeats = written(spark, repeats.dropDuplicates(["key", "c"]), "repeated-chunks")  # rows equal in id and text are one document
-    parts = repeats.select("key", "u0", "at", "words", F.col("first.doc_id").alias("first_doc_id")).unionByName(_extensions(repeats, found))
-    parts = parts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("u0", "at", "words", "first_doc_id"))).alias("parts"))
+    parts = repeats.select("key", "u0", "marks", F.col("first.doc_id").alias("first_doc_id")).unionByName(_extensions(repeats, found))
+    parts = parts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("u0", "marks", "first_doc_id"))).alias("parts"))
     kind = repeats.schema["first"].dataType["doc_id"].dataType.simpleString()
     return parts.select("key", _runs(F.col("parts"), min_lines, min_words, kind).alias("spans")).where(F.size("spans") > 0)
 
