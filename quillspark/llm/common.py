@@ -173,11 +173,11 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, offsets, nulls
 
 
-def pieces(offsets: np.ndarray, max_rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
-    """Row ranges [a, b) whose texts hold about PIECE_BYTES together."""
+def pieces(offsets: np.ndarray, max_rows: int = 1 << 30, size: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges [a, b) whose texts hold about ``size`` bytes together."""
     a, n = 0, len(offsets) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PIECE_BYTES, side="right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1)
         b = min(b, a + max_rows, n)
         yield a, b
         a = b

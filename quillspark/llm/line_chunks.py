@@ -42,6 +42,9 @@ SEED_WORDS = 4
 WINDOW = 2
 DIVISOR = 2
 
+#: Text bytes handled at a time: the arrays of 8 bytes a text byte stay small.
+PIECE = 1 << 16
+
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 _MARK = np.zeros(256, dtype=bool)
 _MARK[[ord(c) for c in ".,;:!?"]] = True
@@ -149,7 +152,7 @@ def _pass(docs: DataFrame, bitmap=None) -> DataFrame:
 
     def found(b) -> Iterator:
         raw, offsets, _ = text_buffers(b.column("text"))
-        for lo, hi in pieces(offsets):
+        for lo, hi in pieces(offsets, size=PIECE):
             data = raw[offsets[lo]:offsets[hi]]
             yield lo, data, offsets[lo:hi + 1] - offsets[lo], Chunks(data, offsets[lo:hi + 1] - offsets[lo])
 
