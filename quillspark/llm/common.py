@@ -56,20 +56,43 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(n: int, size: int = 256) -> Iterator[slice]:
+    """Few rows of an Arrow batch at a time, so that only they exist as Python objects."""
+    return (slice(lo, min(lo + size, n)) for lo in range(0, n, size))
+
+
+def least_hashed(values: DataFrame, column: str, most: int) -> DataFrame:
+    """The ``most`` distinct values of a column with the least hashes (all, if fewer), as a DataFrame of that column.
+
+    A threshold on the hash from the approximate number of distinct values lets some twice as many pass, so the top-n that follows
+    gathers a bounded number of rows whatever the number of partitions, and repeated values count once.
+    """
+    h = F.xxhash64(column)
+    n = values.agg(F.approx_count_distinct(column, 0.02).alias("n")).first().n or 0
+    if n > 2 * most:
+        values = values.where(h < F.lit((2 * most << 64) // n - (1 << 63)))
+    return values.select(column).distinct().orderBy(h, F.col(column)).limit(most)
+
+
 def cut_spans(text: Column, starts: Column, ends: Column) -> Column:
     """The text without the given code point spans (disjoint, ascending); texts without spans pass unchanged."""
-    @F.pandas_udf("string")
-    def cut(t: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, s, e in zip(t, a, b):
-            if x is not None and s is not None and len(s):
-                at, kept = 0, []
-                for i, j in zip(s, e):
-                    kept.append(x[at:i])
-                    at = j
-                x = "".join([*kept, x[at:]])
-            out.append(x)
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("string")
+    def cut(t, a, b):
+        import pyarrow as pa
+
+        parts = [pa.array([], pa.string())]
+        for rows in slices(len(t)):
+            out = []
+            for x, s, e in zip(t[rows].to_pylist(), a[rows].to_pylist(), b[rows].to_pylist()):
+                if x is not None and s:
+                    at, kept = 0, []
+                    for i, j in zip(s, e):
+                        kept.append(x[at:i])
+                        at = j
+                    x = "".join([*kept, x[at:]])
+                out.append(x)
+            parts.append(pa.array(out, pa.string()))
+        return pa.concat_arrays(parts)
 
     return cut(text, starts, ends)
 

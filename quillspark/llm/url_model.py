@@ -6,13 +6,13 @@ hosts and paths that no rule names. Character n-grams of ``^host$`` and of the p
 ``dims`` slots, host and path apart; a URL's value is the sum of its slots' weights over the square
 root of its number of n-grams.
 
-Scale: one pass over (key, url), no shuffle. Training rows come from two top-n selections by a hash of the
-URL, at most ``train_rows`` a verdict. Rules are a short list given by the caller; they become
+Scale: one pass over (key, url), no shuffle. Training rows are the distinct URLs with the least hashes, at most ``train_rows`` a verdict;
+a threshold from the approximate number of distinct URLs bounds what is gathered to find them. Rules are a short list given by the caller; they become
 column expressions.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path; no rule fits it and the model scores the empty string.
 If the labelled table holds one verdict only, the model says that one; if it is empty, "allow".
-Repeated rows are judged alike; an empty table gives an empty result; other columns are not read.
+Repeated rows are judged alike, and a repeated URL is one training row; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import columns_of, mix64
+from quillspark.llm.common import columns_of, least_hashed, mix64
 
 #: (verdict, rule); a rule is a host followed by the path's first characters.
 RULES = (
@@ -123,13 +123,13 @@ class UrlModel:
 
 
 def labelled_by_rules(pages: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """A small labelled URL table: at most ``train_rows`` rule-decided URLs a verdict, by a hash of the URL."""
+    """A small labelled URL table: at most ``train_rows`` distinct rule-decided URLs a verdict, by a hash of the URL."""
     host, path = host_path(F.col("url"))
     d = (columns_of(pages, "url").where("url is not null")
          .select("url", matched_rule(host, path, rules)["verdict"].alias("verdict")))
-    order = (F.xxhash64("url"), F.col("url"))
-    return (d.where("verdict = 'block'").orderBy(*order).limit(train_rows)
-            .unionByName(d.where("verdict = 'allow'").orderBy(*order).limit(train_rows)))
+    verdicts = ("block", "allow")
+    samples = [least_hashed(d.where(F.col("verdict") == v), "url", train_rows).withColumn("verdict", F.lit(v)) for v in verdicts]
+    return samples[0].unionByName(samples[1])
 
 
 def train_url_model(labelled: DataFrame, **fit_args) -> UrlModel:

@@ -52,6 +52,21 @@ def test_model_learns_and_scores_whole_urls():
     assert far[0] != near[0]
 
 
+def test_repeated_urls_are_one_training_row(spark, table):
+    """A URL that fills most of the table does not fill the sample, and the threshold keeps the least hashes."""
+    from pyspark.sql import functions as F
+
+    from quillspark.llm.common import least_hashed
+
+    urls = [f"http://a{i}.{'com' if i % 2 else 'net'}/{'x' if i % 2 else 'fr'}/{i}" for i in range(3000)]
+    pages = table(list(enumerate(urls + urls[:2] * 2000 + [None])), "page_id long, url string").repartition(5)
+    got = U.labelled_by_rules(pages, train_rows=50).collect()
+    assert len({r.url for r in got}) == len(got) == 100 and sum(r.verdict == "block" for r in got) == 50
+    want = spark.createDataFrame([(u,) for u in urls], "url string").orderBy(F.xxhash64("url")).limit(70).collect()
+    assert [r.url for r in least_hashed(pages.where("url is not null"), "url", 70).collect()] == [r.url for r in want]
+    assert U.labelled_by_rules(pages, train_rows=5000).count() == 3000
+
+
 def test_one_label_no_label_and_empty(spark, table):
     assert U.UrlModel.fit([], [], []).score(["a"], ["b"])[0] < 0.5
     assert U.UrlModel.fit(["a"], ["/"], [1]).score(["a"], ["b"])[0] > 0.5
