@@ -11,13 +11,13 @@ rest of the target. Documents with ``p >= 1`` come first.
 
 Scale: the order is cut without sorting a source. Ranks fall into bins, the
 bins' words (a partial aggregate of at most ``bins`` rows a source) say which
-bin holds the cut, and only that bin's rows are sorted. Only the key, the source
+bin holds the cut, and only that bin's distinct documents are sorted. Only the key, the source
 and the size of a document are read or shuffled, never its text. The list of
 sources (one small row each) is ordered in one task.
 
 Edge cases: a null or empty text has size 0 and is taken 0 words; a null source
 is a source of its own, last in order; repeated rows are separate documents with equal
-ranks; an empty table gives an empty result. If no source has a word all targets are 0.
+ranks, of which as many are taken as the target needs (which of them, the reading task decides; they are equal); an empty table gives an empty result. If no source has a word all targets are 0.
 """
 
 from __future__ import annotations
@@ -97,6 +97,30 @@ def ranked(docs: DataFrame, targets: DataFrame, seed: str = SEED, exponent: floa
     return d.withColumn("bin", bin_.cast("long")).drop("p")
 
 
+def first_of_equal(rows: DataFrame, groups: DataFrame, out: str, order: str = "key") -> DataFrame:
+    """Adds ``out``: 1 for ``g_extra`` of the ``g_n`` rows of a ``key``, 0 for the others, by ``groups`` (g_key, g_n, g_extra).
+
+    Only groups of which some rows are taken and some not are numbered: by ``part``, the task that read a row, with offsets from the
+    counts of the parts, so that no task holds more of a group than it read; within a part they are taken in the order of ``order``. ``rows`` must be a written table.
+    """
+    rows = rows.join(groups, F.col("key") == F.col("g_key")).drop("g_key")
+    split = (F.col("g_extra") > 0) & (F.col("g_extra") < F.col("g_n"))
+    whole = rows.where(~split).withColumn(out, (F.col("g_extra") > 0).cast("long"))
+    some = rows.where(split)
+    before = W.partitionBy("o_key").orderBy("o_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = some.groupBy(F.col("key").alias("o_key"), F.col("part").alias("o_part")).agg(F.count(F.lit(1)).alias("o_n"))
+    offsets = offsets.withColumn("o_n", F.coalesce(F.sum("o_n").over(before), F.lit(0)))
+    some = some.withColumn("nth", F.row_number().over(W.partitionBy("key", "part").orderBy(order)))
+    some = some.join(offsets, (F.col("key") == F.col("o_key")) & (F.col("part") == F.col("o_part"))).drop("o_key", "o_part")
+    some = some.withColumn(out, (F.col("nth") + F.col("o_n") <= F.col("g_extra")).cast("long")).drop("nth", "o_n")
+    return whole.unionByName(some).drop("g_n", "g_extra", "part")
+
+
+def row_key(docs: DataFrame) -> Column:
+    """md5 of id, source and text."""
+    return F.md5(F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("doc_id", "source", "text")]))
+
+
 def pareto_mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, max_repeat: int = MAX_REPEAT,
                exponent: float = EXPONENT, bins: int = BINS, seed: str = SEED) -> DataFrame:
     """Rows of ``docs`` (doc_id, source, text) as (doc_id, source, size, source_size, target, copies, taken, key).
@@ -106,9 +130,7 @@ def pareto_mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERC
     """
     sized = columns_of(docs, "doc_id", "source", "text").select(
         "doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"),
-        F.md5(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")),
-                          F.coalesce(F.col("source").cast("string"), F.lit("-")),
-                          F.coalesce(F.col("text"), F.lit("-")))).alias("key"))
+        row_key(docs).alias("key"), F.spark_partition_id().alias("part"))
     sized = written(docs.sparkSession, sized, "mix-sizes")  # ids and sizes only; the texts are read once
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     d = ranked(sized, source_targets(sources, weights, share_percent, max_repeat), seed, exponent, bins)
@@ -122,16 +144,23 @@ def pareto_mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERC
     d = d.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
     # c_bin is null when the whole fraction fits: then every ranked row is taken
     at_cut = F.col("bin") == F.col("c_bin")
-    edge = d.where(at_cut)
-    running = (W.partitionBy("source", "bin").orderBy("q", "u", "key", "doc_id")
-               .rowsBetween(W.unboundedPreceding, W.currentRow))
-    edge = edge.withColumn("run", F.sum("size").over(running) + F.col("bin_start"))
+    edge = written(docs.sparkSession, d.where(at_cut), "mix-edge")  # one bin of a source
+    # equal rows are one row with a count here, so that the window meets distinct documents only
+    groups = edge.groupBy("source", "q", "u", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bin_start").alias("bin_start"), F.first("rest").alias("rest"))
+    running = W.partitionBy("source").orderBy("q", "u", "key").rowsBetween(W.unboundedPreceding, W.currentRow)
+    groups = groups.withColumn("run", F.sum(F.col("size") * F.col("n")).over(running) + F.col("bin_start"))
     # nearest to the target: the row that crosses it is taken if that leaves less than half of it over
-    edge = edge.withColumn("extra", (F.col("run") - F.col("size") / 2.0 <= F.col("rest")).cast("long")).drop("run")
+    start = F.col("run") - F.col("size") * F.col("n")
+    some = F.floor((F.col("rest") - start) / F.col("size") + 0.5).cast("long")
+    n_extra = (F.when(F.col("run") - F.col("size") / 2.0 <= F.col("rest"), F.col("n"))
+               .when(start + F.col("size") / 2.0 > F.col("rest"), F.lit(0).cast("long"))
+               .otherwise(F.greatest(F.lit(1).cast("long"), F.least(some, F.col("n") - 1))))
+    edge = first_of_equal(edge, groups.select(F.col("key").alias("g_key"), F.col("n").alias("g_n"), n_extra.alias("g_extra")), "extra")
     rest = d.where(F.coalesce(~at_cut, F.lit(True))).withColumn(
         "extra", F.when(F.col("bin").isNull(), 0).when(F.col("c_bin").isNull() | (F.col("bin") < F.col("c_bin")), 1)
         .otherwise(0).cast("long"))
-    out = rest.unionByName(edge)
+    out = rest.drop("part").unionByName(edge)
     copies = F.when(F.col("size") > 0, F.coalesce(F.col("whole"), F.lit(0)) + F.col("extra")).otherwise(F.lit(0))
     return out.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"),
                       copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "key")
@@ -147,15 +176,20 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     The plan carries keys only; it is joined back to the rows by the key.
     """
     cols = [c for c in docs.columns if c != "copy_no"]
-    key = F.md5(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")),
-                            F.coalesce(F.col("source").cast("string"), F.lit("-")),
-                            F.coalesce(F.col("text"), F.lit("-"))))
-    # equal rows may differ in copies by one (the cut can fall between them): the larger number holds for all
-    plan = (pareto_mix(docs).where("copies > 0").groupBy(F.col("key").alias("__mix_key"))
-            .agg(F.max("copies").alias("__mix_copies")))
-    d = docs.withColumn("__mix_k", key)
-    return (d.join(plan, F.col("__mix_k") == F.col("__mix_key"))
-            .select(*[F.col(f"`{c}`") for c in cols], F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int"))).alias("copy_no")))
+    plan = (pareto_mix(docs).where("size > 0").groupBy(F.col("key").alias("g_key"))
+            .agg(F.min("copies").alias("least"), F.sum("copies").alias("all"), F.count(F.lit(1)).alias("g_n")))
+    plan = plan.where("all > 0").withColumn("g_extra", F.col("all") - F.col("least") * F.col("g_n"))
+    plan = written(docs.sparkSession, plan, "mix-plan")
+    d = docs.select(row_key(docs).alias("key"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"))
+    out = (d.join(plan.where("g_extra = 0").select("g_key", F.col("least").alias("copies")), F.col("key") == F.col("g_key")).select("row", "copies"))
+    # equal rows that the cut divides: some have a copy more
+    uneven = plan.where("g_extra > 0")
+    d = docs.select(row_key(docs).alias("key"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.spark_partition_id().alias("part"))
+    d = d.join(uneven.select("g_key"), F.col("key") == F.col("g_key"), "left_semi").withColumn("order", F.xxhash64(F.to_json("row")))
+    d = first_of_equal(written(docs.sparkSession, d, "mix-equal-rows"), uneven.select("g_key", "g_n", "g_extra", "least"), "extra", "order")
+    out = out.unionByName(d.select("row", (F.col("least") + F.col("extra")).alias("copies")))
+    return (out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_no"))
+            .select(*[F.col("row")[c].alias(c) for c in cols], "copy_no"))
 
 
 #: The same rows in DuckDB. Sizes are exact integers, so both engines rank alike.

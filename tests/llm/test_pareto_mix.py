@@ -74,7 +74,24 @@ def test_mix_repeats_rows(spark, table, rows):
     mix = M.mixed_documents(docs)
     assert mix.columns == [*docs.columns, "copy_no"]
     plan = M.pareto_mix(docs).where("copies > 0").agg(F.sum("copies").alias("n")).first().n
-    assert abs(mix.count() - plan) <= 1  # equal rows get the larger number of copies
+    assert mix.count() == plan
+
+
+def test_many_equal_rows_at_the_cut(spark, table):
+    """10,000 equal rows without an id: the source still comes within half a document of its target, in the plan and in the mix."""
+    rows = [(None, "s1", "a b c d")] * 10_000 + [(i, "s2", "w " * (i % 7)) for i in range(40_000)] + [(1, "s3", "long " * 200_000), (2, "s3", "x " * 100_000)]
+    docs = table(rows, "doc_id long, source string, text string").repartition(6)
+    got = M.pareto_mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("most"),
+                                                   F.count_distinct("copies").alias("kinds")).collect()
+    assert all(abs(r.taken - r.target) <= r.most / 2 for r in got) and len(got) == 3
+    mix = M.mixed_documents(docs)
+    words = {r.source: r.n for r in mix.groupBy("source").agg(F.sum(M.n_words(F.col("text"))).alias("n")).collect()}
+    assert words == {r.source: r.taken for r in got if r.taken}
+    one = table([(None, "a", "x y")] * 999 + [(7, "b", "z " * 3000)], "doc_id long, source string, text string").repartition(4)
+    r = M.pareto_mix(one).where("source = 'b'").first()
+    assert r.taken in (0, 3000, 6000)
+    r = M.pareto_mix(one, weights=(1, 3)).where("source = 'a'").agg(F.sum("taken").alias("t"), F.max("target").alias("w"), F.count_distinct("copies").alias("k")).first()
+    assert abs(r.t - r.w) <= 1 and r.k == 2  # the cut falls among equal rows
 
 
 def test_empty_and_wordless(spark, table):
