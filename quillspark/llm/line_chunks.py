@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import (
-    columns_of, cut_spans, filter_bits, free_name, may_be_member, membership_filter, mix64, passes_filter, pieces, row_key, span_hasher, text_buffers,
+    columns_of, cut_spans, filter_bits, free_name, may_be_member, membership_filter, mix64, passes_filter, pieces, row_key, slices, span_hasher, text_buffers,
     word_spans, written,
 )
 
@@ -238,29 +238,38 @@ def _extensions(repeats: DataFrame, found: DataFrame) -> DataFrame:
     return beside.select("key", (F.col("u0") + F.col("more.skip")).alias("u0"), F.col("more.marks").alias("marks"), "first_doc_id")
 
 
+def _united(parts, min_lines: int, min_words: int) -> list[dict]:
+    """The long enough runs of one document's parts; of a unit in several parts the first counts."""
+    known: dict = {}
+    for p in parts:
+        u0, first = p["u0"], p["first_doc_id"]
+        m = Marks(p["marks"])
+        for j, w in enumerate(m.words):
+            known.setdefault(u0 + j, (m.at[j], m.at[j + 1], w, first))
+    runs, last = [], None
+    for u in sorted(known):
+        start, end, w, first = known[u]
+        if last is not None and u == last + 1:
+            run = runs[-1]
+            run[1], run[3], run[4] = end, run[3] + 1, run[4] + w
+        else:
+            runs.append([start, end, first, 1, w])
+        last = u
+    return [{"start": r[0], "end": r[1], "first_doc_id": r[2]} for r in runs if r[3] >= min_lines and r[4] >= min_words]
+
+
 def _runs(parts: Column, min_lines: int, min_words: int, kind: str) -> Column:
     """(start, end, first_doc_id) of the runs of adjacent units in a document's parts that are long enough."""
-    @F.pandas_udf(f"array<struct<start:bigint,end:bigint,first_doc_id:{kind}>>")
-    def unite(documents: pd.Series) -> pd.Series:
-        out = []
-        for doc in documents:
-            known: dict = {}
-            for p in doc:
-                u0, first = p["u0"], p["first_doc_id"]
-                m = Marks(p["marks"])
-                for j, w in enumerate(m.words):
-                    known.setdefault(u0 + j, (m.at[j], m.at[j + 1], w, first))
-            runs, last = [], None
-            for u in sorted(known):
-                start, end, w, first = known[u]
-                if last is not None and u == last + 1:
-                    run = runs[-1]
-                    run[1], run[3], run[4] = end, run[3] + 1, run[4] + w
-                else:
-                    runs.append([start, end, first, 1, w])
-                last = u
-            out.append([{"start": int(r[0]), "end": int(r[1]), "first_doc_id": r[2]} for r in runs if r[3] >= min_lines and r[4] >= min_words])
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf(f"array<struct<start:bigint,end:bigint,first_doc_id:{kind}>>")
+    def unite(documents):
+        import pyarrow as pa
+
+        of = documents.type.value_type.field("first_doc_id").type
+        of = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first_doc_id", of)]))
+        out = [pa.array([], of)]
+        for rows in slices(len(documents)):
+            out.append(pa.array([_united(doc, min_lines, min_words) for doc in documents[rows].to_pylist()], of))
+        return pa.concat_arrays(out)
 
     return unite(parts)
 

@@ -21,11 +21,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import columns_of, fold, pieces, text_buffers
+from quillspark.llm.common import columns_of, fold, least_hashed, pieces, text_buffers
 
 WIDTH = 8
 DIMS = 8
@@ -202,10 +201,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_
 
     known = (columns_of(labels, "doc_id", "quality").where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
              .where(fold(F.col("doc_id"), FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")))
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    ids = (known.where("quality = 0").orderBy(*order).limit(train_docs)
-           .unionByName(known.where("quality = 1").orderBy(*order).limit(train_docs)))
-    ids = ids.withColumnRenamed("doc_id", "l_doc_id")
+    ids = [least_hashed(known.where(F.col("quality") == y), "doc_id", train_docs).select(F.col("doc_id").alias("l_doc_id"), F.lit(y).alias("quality"))
+           for y in (0, 1)]
+    ids = ids[0].unionByName(ids[1])
     found = columns_of(docs, "doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("l_doc_id"))  # 2 * train_docs ids
     kind = found.schema["doc_id"].dataType.simpleString()
 
@@ -252,9 +250,9 @@ def keep_quality(docs: DataFrame, model: ByteCnn, threshold: float = THRESHOLD)
     """The rows of ``docs`` whose text scores ``threshold`` or more; all columns pass through."""
     import pyarrow as pa
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(_score_column(model, pa.array(text, pa.string())))
+    @F.arrow_udf("double")
+    def score(text):
+        return pa.array(_score_column(model, text), pa.float64())
 
     return docs.where(score(F.col("text")) >= threshold)
 
