@@ -1,13 +1,15 @@
 """Entity recognition (T2) and span resolution.
 
-Three ways to get entity spans, all giving half-open code-point offsets of
+Four ways to get entity spans, all giving half-open code-point offsets of
 the original text, resolved leftmost first, then longest, never overlapping:
 
 * gazetteer ``(surface, label)`` of checked, bounded size: matched inside
   each row (``add_entity_spans_inline``): hashed literal sets, n-grams only
   at tokens that start a surface; offsets and overlaps in one linear pass
   over Arrow batches. No shuffle.
-* bigger gazetteer (``detect_entities_joined``): the distinct texts are
+* bigger gazetteer of checked bytes (``gazetteer_trie``): a token trie in
+  flat arrays walked by whole Arrow batches. No shuffle.
+* bigger still (``detect_entities_joined``): the distinct texts are
   exploded into tokens and separators, a running-sum window per text gives
   offsets, n-grams come from ``lead`` over the same window (the text is never
   copied per token), and the n-grams are joined to the gazetteer (broadcast
@@ -18,7 +20,7 @@ the original text, resolved leftmost first, then longest, never overlapping:
 
 Spans depend on the text alone, so the joined path is keyed by a digest of the
 text, never by the user's row key: rows with null or repeated keys are matched
-like any other, and every input row gives one output row on both paths.
+like any other, and every input row gives one output row on all paths.
 
 Gazetteer matches are exact and case-sensitive on token n-grams.
 """
@@ -33,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import TOKEN_RE
+from quillspark.operators.gazetteer_trie import TRIE_MAX_BYTES, add_entity_spans_trie, gazetteer_trie
 from quillspark.operators.joins import dictionary_join
 
 SPAN_TYPE = "array<struct<start:int,end:int,label:string>>"
@@ -121,7 +124,7 @@ def _spans_of_hits(seps: Column, toks: Column, hits: Column) -> Column:
 
 
 # Gazetteers up to this many surfaces are matched inside each row (hashed
-# literal sets, no shuffle); bigger ones go through explode + broadcast join.
+# literal sets, no shuffle); bigger ones are a trie, or joined when that is too big.
 INLINE_MAX_SURFACES = 20_000
 
 
@@ -207,9 +210,9 @@ def _first_token(surface: str) -> str:
 
 
 def detect_entities(df: DataFrame, gazetteer: DataFrame, id_col: str = "index", text_col: str = "sentence",
-                    out: str = "entities", inline_max: int = INLINE_MAX_SURFACES) -> DataFrame:
+                    out: str = "entities", inline_max: int = INLINE_MAX_SURFACES, trie_max: int = TRIE_MAX_BYTES) -> DataFrame:
     """(id, entities) for rows with at least one match."""
-    ents = with_entities(df.select(id_col, text_col), gazetteer, text_col, out, inline_max)
+    ents = with_entities(df.select(id_col, text_col), gazetteer, text_col, out, inline_max, trie_max=trie_max)
     return ents.select(id_col, out).where(F.size(out) > 0)
 
 
@@ -227,12 +230,17 @@ def detect_entities_joined(df: DataFrame, gazetteer: DataFrame, id_col: str = "i
 
 
 def with_entities(df: DataFrame, gazetteer: DataFrame, text_col: str = "sentence", out: str = "entities",
-                  inline_max: int = INLINE_MAX_SURFACES, sets: tuple[dict[str, list[str]], int] | None = None) -> DataFrame:
+                  inline_max: int = INLINE_MAX_SURFACES, sets: tuple[dict[str, list[str]], int] | None = None,
+                  trie_max: int = TRIE_MAX_BYTES) -> DataFrame:
     """``df`` plus its entity spans (empty array when none), one output row per input row. ``sets``: result of
-    ``inline_sets`` when already computed. Above ``inline_max`` surfaces the distinct texts are joined."""
+    ``inline_sets`` when already computed. Above ``inline_max`` surfaces a trie is matched, and above ``trie_max`` bytes
+    of it (0: always) the distinct texts are joined."""
     small = sets if sets is not None else inline_sets(gazetteer, inline_max)
     if small is not None:
         return add_entity_spans_inline(df, text_col, *small, out=out)
+    trie = gazetteer_trie(_entries(gazetteer), trie_max) if trie_max > 0 else None
+    if trie is not None:
+        return add_entity_spans_trie(df, text_col, trie, out, SPAN_TYPE)
     keyed = df.withColumn("_text_key", F.unhex(F.md5(F.col(text_col))))
     texts = keyed.where(F.col(text_col).isNotNull()).select("_text_key", text_col).dropDuplicates(["_text_key"])
     ents = detect_entities_joined(texts, gazetteer, "_text_key", text_col, out)

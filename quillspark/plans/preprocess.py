@@ -17,21 +17,23 @@ from pyspark.sql import functions as F
 from quillspark.constants import DEFAULT_ENTITY_LABELS
 from quillspark.functions import text as T
 from quillspark.operators.entities import INLINE_MAX_SURFACES, detect_entities_with_model, with_entities
+from quillspark.operators.gazetteer_trie import TRIE_MAX_BYTES
 from quillspark.operators.tokens import lemmatize_and_filter
 
 
 def anonymize(df: DataFrame, gazetteer: DataFrame | None = None, labels: Iterable[str] = DEFAULT_ENTITY_LABELS,
               all_urls: bool = False, text_col: str = "sentence",
               sets: tuple[dict[str, list[str]], int] | None = None, recognizer=None,
-              inline_max: int = INLINE_MAX_SURFACES) -> DataFrame:
+              inline_max: int = INLINE_MAX_SURFACES, trie_max: int = TRIE_MAX_BYTES) -> DataFrame:
     """Entity spans -> tags (T2, T1), brands (T3), site names (T4), optionally all URLs (T5).
 
-    A gazetteer of at most ``inline_max`` surfaces is matched inside each row
-    (no shuffle at all); a bigger one is joined to the distinct texts.
+    A gazetteer of at most ``inline_max`` surfaces, or of at most ``trie_max`` bytes
+    as a trie, is matched inside each row (no shuffle at all); a bigger one is
+    joined to the distinct texts.
     """
     labels = list(labels)
     if gazetteer is not None or recognizer is not None:
-        df = (with_entities(df, gazetteer, text_col, "_ents", inline_max, sets) if gazetteer is not None
+        df = (with_entities(df, gazetteer, text_col, "_ents", inline_max, sets, trie_max) if gazetteer is not None
               else detect_entities_with_model(df, recognizer, text_col, "_ents"))
         df = df.withColumn(text_col, T.mask_spans(text_col, "_ents", labels)).drop("_ents")
     df = df.withColumn(text_col, T.mask_brands(text_col))
@@ -78,7 +80,7 @@ def preprocess_full(df: DataFrame, *, gazetteer: DataFrame | None = None, stopwo
                     lemmas: DataFrame | None = None, labels: Iterable[str] = DEFAULT_ENTITY_LABELS,
                     all_urls: bool = False, id_col: str = "index", text_col: str = "sentence",
                     sets: tuple[dict[str, list[str]], int] | None = None, inline_max: int = INLINE_MAX_SURFACES,
-                    **kw) -> DataFrame:
+                    trie_max: int = TRIE_MAX_BYTES, **kw) -> DataFrame:
     """T6 then T18 over the whole table; ``kw`` goes to ``process_text``."""
-    df = anonymize(df, gazetteer, labels, all_urls, text_col, sets=sets, inline_max=inline_max)
+    df = anonymize(df, gazetteer, labels, all_urls, text_col, sets=sets, inline_max=inline_max, trie_max=trie_max)
     return process_text(df, stopwords=stopwords, lemmas=lemmas, labels=labels, id_col=id_col, text_col=text_col, **kw)

@@ -256,18 +256,26 @@ def _mixed_keys(df):
 @register("anonymize_large_gazetteer", _ANON_SQL + _KEYS_SQL +
           'SELECT kd.key, an.sentence FROM an JOIN kd ON kd.idx = an."index"')
 def q_anonymize_large(spark, sf_dir):
-    """T6 through the joined path that a gazetteer too big for the rows takes, with null and repeated row keys."""
+    """T6 through the trie that a gazetteer too big for literal sets becomes (map-only), with null and repeated row keys."""
     t = _mixed_keys(_sent(spark, sf_dir).select("index", "news_id", "sentence")).select("key", "sentence")
     return anonymize(t, gazetteer_df(spark), inline_max=0)
 
 
+@register("anonymize_joined_gazetteer", _ANON_SQL + _KEYS_SQL +
+          'SELECT kd.key, an.sentence FROM an JOIN kd ON kd.idx = an."index"')
+def q_anonymize_joined(spark, sf_dir):
+    """T6 through the joined path that a gazetteer too big for a trie takes, with null and repeated row keys."""
+    t = _mixed_keys(_sent(spark, sf_dir).select("index", "news_id", "sentence")).select("key", "sentence")
+    return anonymize(t, gazetteer_df(spark), inline_max=0, trie_max=0)
+
+
 @register("preprocess_large_dictionary", _ANON_SQL + _KEYS_SQL + _DICTS + O.process_ctes("an", "sentence", "pf") +
           'SELECT kd.key, pf.t AS sentence FROM pf JOIN kd ON kd.idx = pf."index"')
 def q_preprocess_large(spark, sf_dir):
     """T19 through both joined paths (big gazetteer, big dictionary), with null and repeated row keys."""
     t = _mixed_keys(_sent(spark, sf_dir).select("index", "news_id", "sentence")).select("key", "sentence")
     return preprocess_full(t, gazetteer=gazetteer_df(spark), stopwords=load_stopwords(stopwords_df(spark), "ro"),
-                           lemmas=prepare_lemmas(lemmas_df(spark), "ro"), id_col="key", inline_max=0, strategy="join")
+                           lemmas=prepare_lemmas(lemmas_df(spark), "ro"), id_col="key", inline_max=0, trie_max=0, strategy="join")
 
 
 @register("preprocess_full", _ANON_SQL + _DICTS + O.process_ctes("an", "sentence", "pf") + """

@@ -128,7 +128,7 @@ def test_inline_and_joined_gazetteer_agree(spark):
 
     text = labelled_sentences(spark, SMOKE).select("index", "sentence")
     a = detect_entities(text, gazetteer_df(spark)).collect()
-    b = detect_entities(text, gazetteer_df(spark), inline_max=0).collect()
+    b = detect_entities(text, gazetteer_df(spark), inline_max=0, trie_max=0).collect()
     assert len(a) > 10
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
@@ -142,12 +142,12 @@ def test_size_switches_do_not_change_results(spark):
     df = spark.createDataFrame(rows, "index long, sentence string")
     gaz = spark.createDataFrame([("Orre", "PERSON"), (None, "ORG"), ("home", None)], "surface string, label string")
     small = sorted(str(tuple(r)) for r in anonymize(df, gaz).collect())
-    large = sorted(str(tuple(r)) for r in anonymize(df, gaz, inline_max=0).collect())
+    large = sorted(str(tuple(r)) for r in anonymize(df, gaz, inline_max=0, trie_max=0).collect())
     assert small == large and len(large) == len(rows)
     assert "(1, '<PERSON> went with <PERSON>')" in small and "(None, '<PERSON> came home today')" in small
     kw = dict(gazetteer=gaz, stopwords=load_stopwords(stopwords_df(spark), "ro"), lemmas=prepare_lemmas(lemmas_df(spark), "ro"))
     a = sorted(str(tuple(r)) for r in preprocess_full(df, **kw).collect())
-    b = sorted(str(tuple(r)) for r in preprocess_full(df, inline_max=0, strategy="join", **kw).collect())
+    b = sorted(str(tuple(r)) for r in preprocess_full(df, inline_max=0, trie_max=0, strategy="join", **kw).collect())
     assert a == b and len(b) == len(rows)
 
 
