@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from quillspark.constants import DEFAULT_ENTITY_LABELS
 from quillspark.functions import text as T
 from quillspark.operators.entities import INLINE_MAX_SURFACES, detect_entities_with_model, with_entities
-from quillspark.operators.gazetteer_trie import TRIE_MAX_BYTES
+from quillspark.operators.gazetteer_trie import TRIE_MAX_BYTES, Trie
 from quillspark.operators.tokens import lemmatize_and_filter
 
 
 def anonymize(df: DataFrame, gazetteer: DataFrame | None = None, labels: Iterable[str] = DEFAULT_ENTITY_LABELS,
               all_urls: bool = False, text_col: str = "sentence",
-              sets: tuple[dict[str, list[str]], int] | None = None, recognizer=None,
+              sets: tuple[dict[str, list[str]], int] | Trie | None = None, recognizer=None,
               inline_max: int = INLINE_MAX_SURFACES, trie_max: int = TRIE_MAX_BYTES) -> DataFrame:
     """Entity spans -> tags (T2, T1), brands (T3), site names (T4), optionally all URLs (T5).
 
@@ -79,7 +79,7 @@ def process_text(df: DataFrame, *, stopwords: DataFrame | None = None, lemmas: D
 def preprocess_full(df: DataFrame, *, gazetteer: DataFrame | None = None, stopwords: DataFrame | None = None,
                     lemmas: DataFrame | None = None, labels: Iterable[str] = DEFAULT_ENTITY_LABELS,
                     all_urls: bool = False, id_col: str = "index", text_col: str = "sentence",
-                    sets: tuple[dict[str, list[str]], int] | None = None, inline_max: int = INLINE_MAX_SURFACES,
+                    sets: tuple[dict[str, list[str]], int] | Trie | None = None, inline_max: int = INLINE_MAX_SURFACES,
                     trie_max: int = TRIE_MAX_BYTES, **kw) -> DataFrame:
     """T6 then T18 over the whole table; ``kw`` goes to ``process_text``."""
     df = anonymize(df, gazetteer, labels, all_urls, text_col, sets=sets, inline_max=inline_max, trie_max=trie_max)

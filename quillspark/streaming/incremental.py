@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from quillspark.operators.entities import inline_sets
+from quillspark.operators.entities import gazetteer_matcher
 from quillspark.operators.tokens import prepare_lookup
 from quillspark.plans.bulk_eval import RunConfig, prompts_for_runs, score_pending
 from quillspark.plans.preprocess import preprocess_full
@@ -42,15 +42,15 @@ def incremental_preprocess(spark: SparkSession, source_dir: str, schema: StructT
                            **preprocess_kw) -> StreamingQuery:
     """T19 over each micro-batch, written to ``out_dir/batch_id=N`` (idempotent on replay).
 
-    The gazetteer sets and the dictionary table are read once, before the
+    The gazetteer's sets or trie and the dictionary table are read once, before the
     stream starts, not once per batch.
     """
     kw = dict(preprocess_kw)
     gaz = kw.get("gazetteer")
     if gaz is not None and "sets" not in kw:
-        kw["sets"] = inline_sets(gaz)
+        kw["sets"] = gazetteer_matcher(gaz)
         if kw["sets"] is None:
-            kw["inline_max"] = 0  # too big for the rows: known now, not measured again in every batch
+            kw["inline_max"] = kw["trie_max"] = 0  # too big for the rows: known now, not measured again in every batch
     if "lookup_rows" not in kw and (kw.get("lemmas") is not None or kw.get("stopwords") is not None):
         kw["lookup_rows"] = prepare_lookup(kw.get("lemmas"), kw.get("stopwords"), kw.get("token_stopwords"))
         if kw["lookup_rows"] is None:
