@@ -17,8 +17,8 @@ from quillspark.llm.common import written
 from quillspark.session import ship_package
 from quillspark.sources.tables import read_table
 
-#: Line dedup leaves documents alone that would lose more than this share of their characters.
-COPY_SHARE = 0.5
+#: Share of its characters that line dedup may take from a document: all of them, so that no document is left out.
+COPY_SHARE = 1.0
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +29,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Multi-line chunks that an earlier document holds are cut out; every document stays.
-
-    A document that would lose more than half of its text is a copy and stays whole, so that the next stage can tell.
-    """
+    """Multi-line chunks that an earlier document holds are cut out of every document, copies too; every document stays."""
     ship_package(spark)
     return line_chunks.dedup_lines(docs, spans_as=None, most=COPY_SHARE)
 

@@ -82,3 +82,11 @@ def test_empty_documents(spark, tmp_path, schema_only):
         read_table(spark, SMALL, t).limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert C.run(spark, str(tmp_path)).collect() == []
     assert line_chunks is not None
+
+
+def test_line_stage_cuts_copies_too(spark):
+    """A document that is mostly a copy loses the copied lines like any other."""
+    block = "\n".join(f"one shared line number {i} with words" for i in range(30))
+    docs = spark.createDataFrame([(1, block), (2, block + "\nand an end of its own.")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in C.drop_repeated_lines(spark, docs, SMALL).collect()}
+    assert out == {1: block, 2: "and an end of its own."}
