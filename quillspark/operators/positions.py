@@ -13,18 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.joins import dictionary_join
-from quillspark.session import scratch_path
+from quillspark.session import written
 
 #: ``monotonically_increasing_id`` holds the partition above these bits and the place in it below.
 _PLACE_BITS = 33
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def row_index(df: DataFrame, partition_by: Sequence[str] = ("split",), order_col: str | Sequence[str] = "index", out: str = "idx",
               partitions: int | None = None) -> DataFrame:
     """0-based index per split in ``order_col`` order (``reset_index``); several columns order one after the other.
@@ -36,10 +30,10 @@ def row_index(df: DataFrame, partition_by: Sequence[str] = ("split",), order_col
     the offset table. Rows that tie in ``order_col`` are numbered in any order; nulls come first.
     """
     keys, order = list(partition_by), [order_col] if isinstance(order_col, str) else list(order_col)
-    staged = _written(df, "rows")
+    staged = written(df, "rows")
     by = [F.col(c) for c in [*keys, *order]]
     ranged = staged.repartitionByRange(partitions, *by) if partitions else staged.repartitionByRange(*by)
-    placed = _written(ranged.sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id()), "placed-rows")
+    placed = written(ranged.sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id()), "placed-rows")
     placed = placed.withColumn("_part", F.shiftright("_place", _PLACE_BITS))
     counts = placed.groupBy(*keys, "_part").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.constants import SYSTEM_PROMPT_CHAT, USER_PROMPT_CHAT
@@ -19,7 +18,7 @@ from quillspark.plans.q_text import _ANON_SQL, _DICTS
 from quillspark.plans.registry import register
 from quillspark.session import scratch_path
 from quillspark.sources.tables import read_table
-from quillspark.sinks import layout_columns, write_label_files, write_metrics, write_predictions
+from quillspark.sinks import layout_columns, numbered_lines, write_label_files, write_metrics, write_predictions
 from quillspark.sources import io as IO
 from quillspark.sources.fixtures import gazetteer_df, labelled_sentences, lemmas_df, outputs, stopwords_df
 
@@ -88,6 +87,8 @@ def q_sink_processed(spark, sf_dir):
 
 
 RUNS = (1, 2)
+#: Predictions, with their prompts, for one writing task.
+PREDICTION_ROWS = 50_000
 MODEL = "fixture:latest"
 
 
@@ -99,7 +100,9 @@ def _prediction_rows(spark, sf_dir):
     c0, c1 = B.shuffled_classes(F.col("run"), "index")
     prompt = B.prompt_to_json(B.prompt_chat(B.render_system_prompt(SYSTEM_PROMPT_CHAT, c0, c1),
                                             B.render_user_prompt("sentence", USER_PROMPT_CHAT)))
-    rows = parsed.join(gold, "index").select(
+    # both sides dealt by the number of rows, so that a writing task sorts so many prompts however many there are
+    parts = max(spark.sparkContext.defaultParallelism, -(-gold.count() * len(RUNS) // PREDICTION_ROWS))
+    rows = parsed.repartition(parts, "index").join(gold.repartition(parts, "index"), "index").select(
         F.lit(MODEL).alias("model_name"), F.col("run").cast("int").alias("run"), "idx", "sentence",
         prompt.alias("prompt"), F.col("label").alias("ground_truth"), "prediction",
         F.col("output").alias("llm_output"), F.lit(None).cast("string").alias("llm_reasoning"))
@@ -134,13 +137,8 @@ def q_sink_label_files(spark, sf_dir):
     """Preds / gt text per run, one label per line in idx order; read back with line numbers."""
     path = scratch_path(spark, "label-files")
     write_label_files(_prediction_rows(spark, sf_dir), path)
-    back = (spark.read.option("lineSep", "\n").text(path)
-            .withColumn("_f", F.col("_metadata.file_path")).withColumn("_b", F.col("_metadata.file_block_start"))
-            .withColumn("_n", F.monotonically_increasing_id()))
     # lines are numbered through a run's part files, file by file; the files themselves are the result
-    lines = Window.partitionBy("kind", "run").orderBy("_f", "_b", "_n")
-    return back.select("kind", F.col("run").cast("int").alias("run"), (F.row_number().over(lines) - 1).cast("long").alias("line"),
-                       F.col("value").cast("int").alias("v"))
+    return numbered_lines(spark, path, ["kind", "run"]).select("kind", F.col("run").cast("int").alias("run"), "line", F.col("value").cast("int").alias("v"))
 
 
 @register("sink_metrics", _PRED_ROWS_SQL.replace("WITH ", "WITH ", 1) + """
