@@ -9,11 +9,10 @@ the original text, resolved leftmost first, then longest, never overlapping:
   over Arrow batches. No shuffle.
 * bigger gazetteer of checked bytes (``gazetteer_trie``): a token trie in
   flat arrays walked by whole Arrow batches. No shuffle.
-* bigger still (``detect_entities_joined``): the distinct texts are
-  exploded into tokens and separators, a running-sum window per text gives
-  offsets, n-grams come from ``lead`` over the same window (the text is never
-  copied per token), and the n-grams are joined to the gazetteer (broadcast
-  when its size allows, salted otherwise), then regrouped by text.
+* bigger still (``detect_entities_joined``): the texts are exploded into
+  n-grams, which are joined to the gazetteer (broadcast when its size allows,
+  salted otherwise); those that are surfaces are regrouped by text and joined
+  to the rows, where they are placed as on the first path.
 * a recogniser model (``detect_entities_with_model``): a user factory run
   once per task, applied to Arrow batches of texts; its label names are
   mapped onto the default set.
@@ -41,33 +40,37 @@ from quillspark.operators.joins import dictionary_join
 SPAN_TYPE = "array<struct<start:int,end:int,label:string>>"
 
 
-def token_offsets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, i, tok, sep, start, end): 0-based half-open code-point offsets."""
+def tokens_and_seps(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with ``_toks``, the tokens of a text, and ``_seps``, what stands before each and behind the last.
+
+    A one-row generator is the materialisation point: the optimizer does not
+    substitute generator outputs into later expressions.
+    """
     text = F.col(text_col)
-    toks = F.regexp_extract_all(text, F.lit(TOKEN_RE), 0)
-    seps = F.split(text, TOKEN_RE, -1)
-    pairs = F.zip_with(F.slice(seps, 1, F.size(toks)), toks, lambda s, t: F.struct(s.alias("sep"), t.alias("tok")))
-    t = (df.select(id_col, F.posexplode(F.when(F.size(toks) > 0, pairs)).alias("i", "p"))
-         .select(id_col, "i", "p.sep", "p.tok"))
-    w = Window.partitionBy(id_col).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("end", F.sum(F.length("sep") + F.length("tok")).over(w).cast("int"))
-    return t.withColumn("start", (F.col("end") - F.length("tok")).cast("int"))
-
-
-def gazetteer_ngrams(tokens: DataFrame, id_col: str, max_n: int) -> DataFrame:
-    """(id, start, end, surface) for every n-gram of 1..max_n tokens."""
-    w = Window.partitionBy(id_col).orderBy("i")
-    piece = F.concat("sep", "tok")
-    staged = tokens.select(
-        id_col, "start", "end", "tok",
-        *[F.lead(piece, k).over(w).alias(f"_p{k}") for k in range(1, max_n)],
-        *[F.lead("end", k).over(w).alias(f"_e{k}") for k in range(1, max_n)],
-    )
-    grams = [F.struct(F.col("start"), F.col("end"), F.col("tok").alias("surface"))]
-    for n in range(2, max_n + 1):
-        surface = F.concat(F.col("tok"), *[F.col(f"_p{k}") for k in range(1, n)])
-        grams.append(F.struct(F.col("start"), F.col(f"_e{n - 1}").alias("end"), surface.alias("surface")))
-    g = staged.select(id_col, F.explode(F.array(*grams)).alias("g")).select(id_col, "g.*")
+    return df.select("*", F.inline(F.array(F.struct(
+        F.regexp_extract_all(text, F.lit(TOKEN_RE), 0).alias("_toks"),
+        F.split(text, TOKEN_RE, -1).alias("_seps")))))
+
+
+def _positions(toks: Column) -> Column:
+    return F.when(F.size(toks) > 0, F.sequence(F.lit(0), F.size(toks) - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _grams_at(toks: Column, seps: Column, i: Column, max_n: int) -> Column:
+    """(i, surface) of 1..max_n tokens from i: tok_i, then (separator, token) pairs; null past the end."""
+    grams, surface = [], toks[i]
+    for n in range(1, max_n + 1):
+        if n > 1:
+            surface = F.concat(surface, F.get(seps, i + n - 1), F.get(toks, i + n - 1))
+        grams.append(F.struct(i.alias("i"), surface.alias("surface")))
+    return F.array(*grams)
+
+
+def gazetteer_ngrams(df: DataFrame, id_col: str, text_col: str, max_n: int) -> DataFrame:
+    """(id, i, surface) for every n-gram of 1..max_n tokens of a text, from token i; map-only."""
+    toks, seps = F.col("_toks"), F.col("_seps")
+    st = tokens_and_seps(df.select(id_col, text_col), text_col).select(id_col, "_toks", "_seps", F.explode(_positions(toks)).alias("i"))
+    g = st.select(id_col, F.inline(_grams_at(toks, seps, F.col("i"), max_n)))
     return g.where(F.col("surface").isNotNull())
 
 
@@ -105,22 +108,52 @@ def resolve_spans(cands: Column) -> Column:
     return resolve(cands["start"], cands["end"], cands["label"])
 
 
+#: Rows whose spans are placed at a time.
+PLACE_ROWS = 512
+
+
+def _ends(lists) -> np.ndarray:
+    """Bounds of each list in the flattened values of an Arrow list array; null lists are empty."""
+    import pyarrow.compute as pc
+
+    return np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64))])
+
+
 def _spans_of_hits(seps: Column, toks: Column, hits: Column) -> Column:
     """Spans of hits (i: token, surface, label): one running sum over the row's token lengths, then resolved."""
-    @F.pandas_udf(SPAN_TYPE)
-    def place(sep: pd.Series, tok: pd.Series, at: pd.Series, size: pd.Series, label: pd.Series) -> pd.Series:
-        out = []
-        for s, t, i, n, lab in zip(sep, tok, at, size, label):
-            if i is None or len(i) == 0:
-                out.append([])
-                continue
-            start = np.cumsum(np.asarray(s)[:len(t)] + np.asarray(t)) - np.asarray(t)
-            out.append(leftmost_longest([(int(start[k]), int(start[k]) + int(m), x) for k, m, x in zip(i, n, lab)]))
-        return pd.Series(out)
+    @F.arrow_udf(SPAN_TYPE)
+    def place(sep, tok, at, size, label):
+        import pyarrow as pa
+
+        of = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())]))
+        # rows with hits only, and of these so many at a time: what is held beside the batch does not grow with it
+        rows = np.flatnonzero(np.diff(_ends(at)))
+        spans = []
+        for part in np.split(rows, range(PLACE_ROWS, len(rows), PLACE_ROWS)):
+            some = pa.array(part)
+            s, t, i, n, lab = (c.take(some) for c in (sep, tok, at, size, label))
+            s0, t0, i0 = _ends(s), _ends(t), _ends(i)
+            s, t, i, n = (np.asarray(c.flatten()) for c in (s, t, i, n))
+            lab = lab.flatten().to_pylist()
+            for k in range(len(part)):
+                own = t[t0[k]:t0[k + 1]]
+                start = np.cumsum(s[s0[k]:s0[k] + len(own)] + own) - own
+                here = slice(i0[k], i0[k + 1])
+                first = start[i[here]]
+                spans.append([(x["start"], x["end"], x["label"])
+                              for x in leftmost_longest(list(zip(first.tolist(), (first + n[here]).tolist(), lab[here])))])
+        sizes = np.zeros(len(at) + 1, dtype=np.int32)
+        sizes[rows + 1] = [len(x) for x in spans]
+        flat = [x for row in spans for x in row]
+        values = pa.StructArray.from_arrays(
+            [pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), pa.array([x[2] for x in flat], pa.string())],
+            fields=list(of.value_type))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), values, type=of)
 
     some = F.size(hits) > 0  # lengths are needed only where something was found
+    # all of it under the same condition: a null for every array of the other rows
     return place(F.when(some, F.transform(seps, F.length)), F.when(some, F.transform(toks, F.length)),
-                 hits["i"], F.transform(hits["surface"], F.length), hits["label"])
+                 F.when(some, hits["i"]), F.when(some, F.transform(hits["surface"], F.length)), F.when(some, hits["label"]))
 
 
 # Gazetteers up to this many surfaces are matched inside each row (hashed
@@ -163,14 +196,9 @@ def add_entity_spans_inline(df: DataFrame, text_col: str, sets: dict[str, list[s
     materialised per row first: an expression referenced inside a lambda
     runs once per element, so the regex must never be inlined there.
     """
-    text = F.col(text_col)
     labels = sorted(sets)
     firsts = sorted({_first_token(sf) for lab in labels for sf in sets[lab]})
-    # One-row generator as a materialisation point: the optimizer does not
-    # substitute generator outputs into later expressions.
-    st = df.select("*", F.inline(F.array(F.struct(
-        F.regexp_extract_all(text, F.lit(TOKEN_RE), 0).alias("_toks"),
-        F.split(text, TOKEN_RE, -1).alias("_seps")))))
+    st = tokens_and_seps(df, text_col)
     toks, seps = F.col("_toks"), F.col("_seps")
 
     def label_of(surface: Column) -> Column:
@@ -180,19 +208,8 @@ def add_entity_spans_inline(df: DataFrame, text_col: str, sets: dict[str, list[s
             expr = F.when(cond, F.lit(lab)) if expr is None else expr.when(cond, F.lit(lab))
         return expr if expr is not None else F.lit(None).cast("string")
 
-    positions = F.when(F.size(toks) > 0, F.sequence(F.lit(0), F.size(toks) - 1)).otherwise(F.array().cast("array<int>"))
-    st = st.withColumn("_starts", F.filter(positions, lambda i: toks[i].isin(*firsts)))
-
-    def grams_at(i: Column) -> Column:
-        # surface of n tokens from i: tok_i, then (separator, token) pairs; null past the end
-        grams, surface = [], toks[i]
-        for n in range(1, max_n + 1):
-            if n > 1:
-                surface = F.concat(surface, F.get(seps, i + n - 1), F.get(toks, i + n - 1))
-            grams.append(F.struct(i.alias("i"), surface.alias("surface")))
-        return F.array(*grams)
-
-    cands = F.filter(F.flatten(F.transform(F.col("_starts"), grams_at)), lambda g: g["surface"].isNotNull())
+    st = st.withColumn("_starts", F.filter(_positions(toks), lambda i: toks[i].isin(*firsts)))
+    cands = F.filter(F.flatten(F.transform(F.col("_starts"), lambda i: _grams_at(toks, seps, i, max_n))), lambda g: g["surface"].isNotNull())
     st = st.withColumn("_hits", F.filter(
         F.transform(cands, lambda g: F.struct(g["i"].alias("i"), g["surface"].alias("surface"),
                                               label_of(g["surface"]).alias("label"))),
@@ -217,17 +234,33 @@ def detect_entities(df: DataFrame, gazetteer: DataFrame, id_col: str = "index",
     return ents.select(id_col, out).where(F.size(out) > 0)
 
 
+def gazetteer_hits(df: DataFrame, gazetteer: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, _hits): the (i, surface, label) of a text's n-grams that are surfaces, for texts with some.
+
+    N-grams are made and joined where the texts are (broadcast when the size allows, salted otherwise), and only those that are
+    surfaces move. Rows equal in id are one text. Of the surfaces from one token only the longest can be chosen: the others go here.
+    """
+    gaz, max_n = prepare_gazetteer(gazetteer)
+    grams = gazetteer_ngrams(df, id_col, text_col, max_n)
+    hits = dictionary_join(grams, gaz, "surface", "inner", salt_from=F.xxhash64(id_col, "i"))
+    hits = hits.select(id_col, "i", "surface", "label").distinct()
+    w = Window.partitionBy(id_col).orderBy("i", F.length("surface").desc())
+    hits = hits.withColumn("_before", F.lag("i").over(w)).where(~F.col("_before").eqNullSafe(F.col("i")))
+    return hits.groupBy(id_col).agg(F.collect_list(F.struct("i", "surface", "label")).alias("_hits"))
+
+
+def _placed(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """``df`` with the spans of its ``_hits`` in place of them; the text is cut into tokens again where there are hits only."""
+    st = tokens_and_seps(df.withColumn("_hit_text", F.when(F.col("_hits").isNotNull(), F.col(text_col))), "_hit_text")
+    st = st.withColumn(out, _spans_of_hits(F.col("_seps"), F.col("_toks"), F.col("_hits")))
+    return st.drop("_toks", "_seps", "_hits", "_hit_text")
+
+
 def detect_entities_joined(df: DataFrame, gazetteer: DataFrame, id_col: str = "index", text_col: str = "sentence",
                            out: str = "entities") -> DataFrame:
-    """T2 for big gazetteers over rows with a unique, non-null ``id_col``: explode n-grams, broadcast (or
-    salted) join, regroup by id. ``with_entities`` calls it with distinct texts and their digests."""
-    gaz, max_n = prepare_gazetteer(gazetteer)
-    toks = token_offsets(df, id_col, text_col)
-    grams = gazetteer_ngrams(toks, id_col, max_n)
-    hits = dictionary_join(grams, gaz, "surface", "inner", salt_from=F.xxhash64(id_col, "start"))
-    per_row = hits.groupBy(id_col).agg(
-        F.collect_list(F.struct(F.col("start"), F.col("end"), F.col("label"))).alias("_c"))
-    return per_row.select(id_col, resolve_spans(F.col("_c")).alias(out))
+    """T2 for big gazetteers over rows with a unique, non-null ``id_col``: (id, spans) of rows with some."""
+    rows = df.select(id_col, text_col)
+    return _placed(rows.join(gazetteer_hits(rows, gazetteer, id_col, text_col), id_col), text_col, out).select(id_col, out)
 
 
 def gazetteer_matcher(gazetteer: DataFrame, inline_max: int = INLINE_MAX_SURFACES,
@@ -244,17 +277,15 @@ def with_entities(df: DataFrame, gazetteer: DataFrame, text_col: str = "sentence
                   trie_max: int = TRIE_MAX_BYTES) -> DataFrame:
     """``df`` plus its entity spans (empty array when none), one output row per input row. ``sets``: result of
     ``gazetteer_matcher`` when already computed. Above ``inline_max`` surfaces a trie is matched, and above ``trie_max`` bytes
-    of it (0: always) the distinct texts are joined."""
+    of it (0: always) the texts' n-grams are joined."""
     known = sets if sets is not None else gazetteer_matcher(gazetteer, inline_max, trie_max)
     if isinstance(known, Trie):
         return add_entity_spans_trie(df, text_col, known, out, SPAN_TYPE)
     if known is not None:
         return add_entity_spans_inline(df, text_col, *known, out=out)
     keyed = df.withColumn("_text_key", F.unhex(F.md5(F.col(text_col))))
-    texts = keyed.where(F.col(text_col).isNotNull()).select("_text_key", text_col).dropDuplicates(["_text_key"])
-    ents = detect_entities_joined(texts, gazetteer, "_text_key", text_col, out)
-    return (keyed.join(ents, "_text_key", "left").drop("_text_key")
-            .withColumn(out, F.coalesce(F.col(out), F.array().cast(SPAN_TYPE))).select(*df.columns, out))
+    hits = gazetteer_hits(keyed.where(F.col(text_col).isNotNull()), gazetteer, "_text_key", text_col)
+    return _placed(keyed.join(hits, "_text_key", "left"), text_col, out).select(*df.columns, out)
 
 
 def sort_spans_desc(spans: Column) -> Column:

@@ -1,10 +1,10 @@
 """Dictionary-driven token operators.
 
 A dictionary of checked size is broadcast and applied to each row's tokens in
-Arrow batches. With a bigger one the distinct token arrays are exploded to
-(digest, pos, tok), joined to it (salted when it cannot be broadcast),
-regrouped by the digest and joined back: what a row's tokens become depends
-on the tokens alone, so the user's row key plays no part and rows with null
+Arrow batches. With a bigger one the token arrays are exploded to
+(digest, pos, tok) and joined to it (salted when it cannot be broadcast);
+the tokens that it changes or drops are regrouped by the digest and joined
+back: what a row's tokens become depends on the tokens alone, so the user's row key plays no part and rows with null
 or repeated keys stay apart. Both ways give one output row per input row.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import fix_diacritics, py_strip
 from quillspark.operators.joins import DEFAULT_BROADCAST_ROWS, dictionary_join
+from quillspark.session import written
 
 
 def load_stopwords(words: DataFrame, lang: str | None = None, col: str = "word") -> DataFrame:
@@ -103,10 +104,9 @@ def lemmatize_and_filter(df: DataFrame, id_col: str, tokens_col: str, *, lemmas:
     * ``"lookup"``: the combined dictionary (size checked first) is broadcast
       and applied to each row's token array in Arrow batches. Map-only: no
       shuffle, rows keep their partitioning.
-    * ``"join"``: the distinct token arrays are exploded, joined to the
-      dictionary (broadcast, or salted above the bound), regrouped by a digest
-      of the array and joined back. The regroup's partial aggregate collapses
-      each array's tokens before its shuffle.
+    * ``"join"``: the token arrays are exploded and joined to the dictionary
+      (broadcast, or salted above the bound); what it changes is regrouped by
+      a digest of the array and joined back. Only those tokens move.
     * ``"auto"``: ``lookup`` up to ``max_lookup_entries`` entries, else ``join``.
 
     ``lookup_rows``: the result of ``prepare_lookup`` when already read (e.g.
@@ -130,18 +130,26 @@ def lemmatize_and_filter(df: DataFrame, id_col: str, tokens_col: str, *, lemmas:
         strategy = "join"
     if strategy != "join":
         raise ValueError(f"unknown strategy {strategy!r}")
-    keyed = df.withColumn("_tok_key", F.unhex(F.md5(F.to_json(F.struct(F.col(tokens_col).alias("t"))))))
-    arrays = keyed.where(F.size(tokens_col) > 0).select("_tok_key", F.col(tokens_col).alias("_t")).dropDuplicates(["_tok_key"])
-    t = explode_tokens(arrays, "_tok_key", "_t")
-    t = dictionary_join(t, d, "tok", "left", max_broadcast_rows=max_broadcast_rows,
+    # written once: the tokens are read twice, to look them up and to change them
+    keyed = df.select(id_col, *carry, F.col(tokens_col).alias("_t"), F.unhex(F.md5(F.to_json(F.struct(F.col(tokens_col).alias("t"))))).alias("_tok_key"))
+    keyed = written(keyed, "tokens")
+    t = keyed.where(F.size("_t") > 0).select("_tok_key", F.posexplode("_t").alias("pos", "tok"))
+    known = d.where(F.col("_drop") | ~F.col("_lemma").eqNullSafe(F.col("tok")))  # a token of no other entry stays as it is
+    t = dictionary_join(t, known, "tok", "inner", max_broadcast_rows=max_broadcast_rows,
                         salt_from=F.xxhash64(F.col("_tok_key"), F.col("pos")))
-    t = t.withColumn("_lemma", F.coalesce("_lemma", "tok")).withColumn("_drop", F.coalesce("_drop", F.lit(False)))
-    value = F.lower("_lemma") if lower_lemmas else F.col("_lemma")
-    keep = F.col("tok").isNotNull() & ~F.col("_drop")
-    regrouped = t.groupBy("_tok_key").agg(F.collect_list(F.when(keep, F.struct(F.col("pos"), value.alias("v")))).alias("_kept"))
-    regrouped = regrouped.select("_tok_key", F.transform(F.array_sort("_kept"), lambda x: x["v"]).alias("_out"))
-    return keyed.join(regrouped, "_tok_key", "left").select(
-        id_col, *carry, F.coalesce("_out", F.array().cast("array<string>")).alias(out))
+    # rows equal in digest have equal changes: one of each
+    t = t.select("_tok_key", "pos", F.when(~F.col("_drop"), F.col("_lemma")).alias("v")).distinct()
+    changes = t.groupBy("_tok_key").agg(F.collect_list(F.struct("pos", "v")).alias("_changes"))
+    changed = keyed.join(changes, "_tok_key", "left")
+    # tokens and changes in order of their place, a change before its token; sorted once, in a generator that is not substituted
+    both = F.concat(F.transform("_t", lambda x, i: F.struct(i.alias("pos"), F.lit(1).alias("k"), x.alias("v"))),
+                    F.transform("_changes", lambda x: F.struct(x["pos"], F.lit(0).alias("k"), x["v"])))
+    changed = changed.select("*", F.inline(F.array(F.struct(F.array_sort(both).alias("_m")))))
+    first = F.filter("_m", lambda x, i: x["v"].isNotNull() & ((i == 0) | (F.get("_m", i - 1)["pos"] != x["pos"])))
+    kept = F.when(F.col("_changes").isNull(), F.array_compact("_t")).otherwise(F.transform(first, lambda x: x["v"]))
+    if lower_lemmas:
+        kept = F.transform(kept, lambda x: F.lower(x))
+    return changed.select(id_col, *carry, F.coalesce(kept, F.array().cast("array<string>")).alias(out))
 
 
 def prepare_lookup(lemmas: DataFrame | None, stopwords: DataFrame | None, token_stopwords: DataFrame | None = None,
