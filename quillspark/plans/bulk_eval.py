@@ -34,9 +34,12 @@ from quillspark.operators.align import align_predictions
 from quillspark.operators.positions import row_index
 from quillspark.operators.score import RetryPolicy, pending_rows, score_rows
 from quillspark.plans.evaluate import parse_answers
+from quillspark.session import written
 from quillspark.sinks import write_metrics, write_predictions
 
 KEYS = ("config_id", "run", "index")
+#: Rows of runs, with their prompts, for one scoring or writing task.
+TASK_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -77,8 +80,17 @@ def prompts_for_runs(gold: DataFrame, runs: Sequence[int], cfg: RunConfig) -> Da
     ``prompt`` is what the scorer gets: the text in completion mode, the user message's content in reasoning mode
     (with the system text as ``instructions``), else the message array as JSON.
     """
-    t = gold.select("index", "sentence", "label").select(
-        F.explode(F.array(*[F.lit(int(r)) for r in runs])).alias("run"), "index", "sentence", "label")
+    return with_prompts(rows_of_runs(gold, runs, cfg), cfg)
+
+
+def rows_of_runs(gold: DataFrame, runs: Sequence[int], cfg: RunConfig) -> DataFrame:
+    """(config_id, run, index, sentence, label): every row for every run."""
+    return gold.select("index", "sentence", "label").select(
+        F.lit(cfg.config_id).alias("config_id"), F.explode(F.array(*[F.lit(int(r)) for r in runs])).alias("run"), "index", "sentence", "label")
+
+
+def with_prompts(t: DataFrame, cfg: RunConfig) -> DataFrame:
+    """The rows of runs with the configuration and their prompts (see ``prompts_for_runs``), other columns kept; nothing moves."""
     c0, c1 = B.shuffled_classes(F.col("run"), "index")
     p = B.prompt_for_run("sentence", c0, c1, use_completion=cfg.use_completion, from_ft_model=cfg.from_ft_model,
                          merge_system_into_user=cfg.merge_system_into_user, model=cfg.model)
@@ -87,7 +99,8 @@ def prompts_for_runs(gold: DataFrame, runs: Sequence[int], cfg: RunConfig) -> Da
         prompt = p["prompt_text"]
     else:
         prompt = F.when(p["instructions"].isNotNull(), F.get(p["messages"], F.lit(0))["content"]).otherwise(prompt_json)
-    return t.select(*cfg.columns(), "run", "index", "label", "sentence",
+    own = ("config_id", "run", "index", "label", "sentence")
+    return t.select(*cfg.columns(), "run", "index", "label", "sentence", *[c for c in t.columns if c not in own],
                     prompt.alias("prompt"), prompt_json.alias("prompt_json"), p["instructions"].alias("instructions"))
 
 
@@ -109,15 +122,19 @@ def latest_answers(raw: DataFrame) -> DataFrame:
 
 
 def score_pending(spark: SparkSession, todo: DataFrame, make_scorer: Callable, raw_path: str,
-                  concurrency: int = 8, policy: RetryPolicy = RetryPolicy(), partitions: int | None = None) -> None:
+                  concurrency: int = 8, policy: RetryPolicy = RetryPolicy(), partitions: int | None = None,
+                  prompts: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Score the rows of ``todo`` that have no answer in ``raw_path`` yet and append them there.
 
     The rows are spread over ``partitions`` tasks (by default as many as the cluster has slots), each with ``concurrency`` calls.
+    ``prompts`` adds the prompts to rows that have none, once they are spread, so that no prompt is shuffled.
     """
     raw = read_raw(spark, raw_path)
     if raw is not None:
         todo = pending_rows(todo, raw.where(F.col("error").isNull()), KEYS)
     todo = todo.repartition(partitions or spark.sparkContext.defaultParallelism, *KEYS)
+    if prompts is not None:
+        todo = prompts(todo)
     scored = score_rows(todo, make_scorer, keep=[*CONFIG_COLUMNS, "run", "index", "instructions"], prompt_col="prompt",
                         concurrency=concurrency, policy=policy)
     (scored.withColumn("scored_at", F.current_timestamp())
@@ -128,25 +145,29 @@ def run_bulk_evaluation(spark: SparkSession, gold: DataFrame, make_scorer: Calla
                         runs: Sequence[int] = (1, 2, 3, 4, 5), cfg: RunConfig = RunConfig(),
                         concurrency: int = 8, policy: RetryPolicy = RetryPolicy()) -> DataFrame:
     """Score, persist, parse, align and evaluate; returns the metrics per (model, run)."""
-    todo = prompts_for_runs(gold, runs, cfg)
+    gold = written(gold.select("index", "sentence", "label"), "gold")  # read several times below
+    parts = max(spark.sparkContext.defaultParallelism, -(-gold.count() * len(runs) // TASK_ROWS))
     raw_path = f"{out_dir}/raw"
-    score_pending(spark, todo, make_scorer, raw_path, concurrency, policy)
+    score_pending(spark, rows_of_runs(gold, runs, cfg), make_scorer, raw_path, concurrency, policy, parts, lambda t: with_prompts(t, cfg))
     run_list = [int(r) for r in runs]
     this = (F.col("config_id") == cfg.config_id) & F.col("run").isin(*run_list)
-    raw = latest_answers(read_raw(spark, raw_path).where(this))
-    parsed = parse_answers(raw, "completion" if cfg.use_completion else "chat")
+    # of the prompt that was sent, only whether there was one
+    raw = read_raw(spark, raw_path).where(this).select(*KEYS, "output", "reasoning", "error", "scored_at", (F.col("sent_prompt") == "").alias("unsent"))
+    parsed = parse_answers(latest_answers(raw), "completion" if cfg.use_completion else "chat")
     pred = F.when(F.col("error").isNotNull(), F.lit(-1)).otherwise(F.col("prediction")).cast("int")
-    parsed = parsed.select("config_id", F.col("run").cast("int").alias("run"), "index", pred.alias("prediction"),
-                           "output", "reasoning", "sent_prompt")
+    parsed = written(parsed.select("config_id", F.col("run").cast("int").alias("run"), "index", pred.alias("prediction"),
+                                   "output", "reasoning", "unsent"), "parsed")
     # every evaluated row must have an answer and every answer a row; a difference raises
-    aligned = align_predictions(todo.drop("prompt", "instructions"), parsed, list(KEYS), strict=True)
+    answers = align_predictions(rows_of_runs(gold, runs, cfg).select(*KEYS).distinct(), parsed, list(KEYS), strict=True)
     # idx = 0-based position in the evaluated rows, ordered by key.
     positions = row_index(gold.select("index").withColumn("_all", F.lit(1)), ("_all",), "index", out="idx").drop("_all")
-    aligned = aligned.join(positions, "index", "inner")
+    # each row's answers, one a run; a sentence moves once for all runs, and its prompts are made again where it is
+    aligned = gold.repartition(parts, "index").join(positions.repartition(parts, "index"), "index", "inner")
+    aligned = with_prompts(aligned.join(answers.repartition(parts, "index"), "index", "inner"), cfg)
     rows = aligned.select(
         *[c for c in CONFIG_COLUMNS if c != "model"], "run", "idx", "sentence",
         # a failed row has sent nothing: the JSON text of an empty prompt
-        F.when(F.col("sent_prompt") == "", F.lit('""')).otherwise(F.col("prompt_json")).alias("prompt"),
+        F.when(F.col("unsent"), F.lit('""')).otherwise(F.col("prompt_json")).alias("prompt"),
         F.col("label").alias("ground_truth"), "prediction", F.col("output").alias("llm_output"),
         F.col("reasoning").alias("llm_reasoning"))
     write_predictions(rows, f"{out_dir}/predictions", ("config_id",))
