@@ -18,13 +18,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.parse import argmax_class, logits_text, max_logit_confidence
 from quillspark.functions.text import lowercase, tokenize
 from quillspark.operators import metrics as M
+from quillspark.session import written
 
 
 @dataclass(frozen=True)
@@ -43,12 +43,6 @@ def text_features(df: DataFrame, text_col: str = "sentence") -> DataFrame:
     return df.withColumn("words", tokenize(lowercase(text_col)))
 
 
-def fit_features(train: DataFrame, num_features: int = 1 << 16) -> PipelineModel:
-    """HashingTF + IDF of the train rows (``words``): fitted once, shared by every candidate and seed."""
-    return Pipeline(stages=[HashingTF(inputCol="words", outputCol="tf", numFeatures=num_features),
-                            IDF(inputCol="tf", outputCol="features")]).fit(train)
-
-
 def classifier(cfg: TextClassifierConfig, weight_col: str | None = None) -> LogisticRegression:
     lr = LogisticRegression(featuresCol="features", labelCol="target", regParam=cfg.reg_param, maxIter=cfg.max_iter,
                             aggregationDepth=cfg.aggregation_depth)
@@ -56,21 +50,19 @@ def classifier(cfg: TextClassifierConfig, weight_col: str | None = None) -> Logi
 
 
 class SharedFeatures:
-    """Feature vectors of the train rows, computed once and kept (memory, spilling to disk) while classifiers are fitted on them.
+    """HashingTF + IDF of the train rows, fitted once and shared by every candidate and seed that is fitted on them.
 
-    A lost executor's blocks are recomputed from lineage. Use as a context manager. With ``many`` False only the words are
-    kept: a single fit caches its own copy of the vectors.
+    The term counts are written once into the shared folder; a fit reads them and keeps its own blocks of vectors, and nothing else is held.
+    They are read in two partitions a task slot at most: each optimiser step moves one gradient a partition.
     """
 
-    def __init__(self, train: DataFrame, cfg: TextClassifierConfig = TextClassifierConfig(), carry: Sequence[str] = (),
-                 many: bool = True):
-        words = _with_target(text_features(train), cfg.label_field).select("words", "target", *carry)
-        words = words.persist(StorageLevel.MEMORY_AND_DISK)
-        self.features = fit_features(words, cfg.num_features)
-        self.rows = self.features.transform(words).select("features", "target", *carry)
-        if many:
-            self.rows = self.rows.persist(StorageLevel.MEMORY_AND_DISK)
-        self._held = (words, self.rows) if many else (words,)
+    def __init__(self, train: DataFrame, cfg: TextClassifierConfig = TextClassifierConfig(), carry: Sequence[str] = ()):
+        terms = HashingTF(inputCol="words", outputCol="tf", numFeatures=cfg.num_features)
+        rows = terms.transform(_with_target(text_features(train), cfg.label_field)).select("tf", "target", *carry)
+        rows = written(rows, "train-terms").coalesce(2 * train.sparkSession.sparkContext.defaultParallelism)
+        idf = IDF(inputCol="tf", outputCol="features").fit(rows)
+        self.features = PipelineModel(stages=[terms, idf])
+        self.rows = idf.transform(rows).select("features", "target", *carry)
 
     def fit(self, cfg: TextClassifierConfig = TextClassifierConfig(), weight: Column | None = None) -> PipelineModel:
         """A whole pipeline model: the shared features and a classifier fitted for ``cfg`` (row weights optional)."""
@@ -78,12 +70,10 @@ class SharedFeatures:
         model = classifier(cfg, None if weight is None else "_w").fit(rows)
         return PipelineModel(stages=[*self.features.stages, model])
 
-    def __enter__(self) -> SharedFeatures:
-        return self
-
-    def __exit__(self, *_) -> None:
-        for d in self._held:
-            d.unpersist()
+    def featured(self, df: DataFrame, label_field: str = "label") -> DataFrame:
+        """(features, target, label) of further rows, written once, for ``predict_featured``."""
+        rows = self.features.transform(_with_target(text_features(df), label_field))
+        return written(rows.select("features", "target", label_field), "features")
 
 
 def bootstrap_weight(seed: int, key: str = "index") -> Column:
@@ -104,13 +94,20 @@ def _with_target(df: DataFrame, label_field: str) -> DataFrame:
 def fit_text_classifier(train: DataFrame, cfg: TextClassifierConfig = TextClassifierConfig(),
                         weight: Column | None = None, carry: Sequence[str] = ()) -> PipelineModel:
     """M1 fit on the train rows; ``weight`` may use the columns named in ``carry``."""
-    with SharedFeatures(train, cfg, carry, many=False) as shared:
-        return shared.fit(cfg, weight)
+    return SharedFeatures(train, cfg, carry).fit(cfg, weight)
 
 
 def predict(model: PipelineModel, df: DataFrame, label_field: str = "label") -> DataFrame:
     """Scores with class, confidence (max logit) and logits text."""
-    out = model.transform(_with_target(text_features(df), label_field))
+    return _with_logits(model.transform(_with_target(text_features(df), label_field)))
+
+
+def predict_featured(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """``predict`` over rows that have the model's features already (``SharedFeatures.featured``)."""
+    return _with_logits(model.stages[-1].transform(rows))
+
+
+def _with_logits(out: DataFrame) -> DataFrame:
     out = out.withColumn("logits", vector_to_array("rawPrediction"))
     return out.withColumns({
         "prediction": argmax_class("logits"),
@@ -137,13 +134,14 @@ def select_best(train: DataFrame, valid: DataFrame, candidates: Sequence[TextCla
     rows are never looked at here. Candidates share the label field and the
     number of features, which are computed once."""
     scores, best = [], None
-    with SharedFeatures(train, candidates[0]) as shared:
-        for cfg in candidates:
-            model = shared.fit(cfg)
-            f1 = M.evaluate(predict(model, valid, label_field), (), label_field).first()["f1"]
-            scores.append((cfg, f1))
-            if best is None or f1 > best[1]:
-                best = (model, f1)
+    shared = SharedFeatures(train, candidates[0])
+    valid = shared.featured(valid, label_field)
+    for cfg in candidates:
+        model = shared.fit(cfg)
+        f1 = M.evaluate(predict_featured(model, valid), (), label_field).first()["f1"]
+        scores.append((cfg, f1))
+        if best is None or f1 > best[1]:
+            best = (model, f1)
     return best[0], scores
 
 

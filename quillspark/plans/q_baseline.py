@@ -19,7 +19,7 @@ from quillspark.operators.positions import row_index
 from quillspark.operators.select import filter_split
 from quillspark.plans import oracle as O
 from quillspark.plans.registry import register
-from quillspark.session import materialize, scratch_path
+from quillspark.session import scratch_path
 from quillspark.sinks import write_predictions
 from quillspark.sources.fixtures import labelled_sentences
 from quillspark.sources.tables import read_table
@@ -88,7 +88,7 @@ def q_frozen_probe_checks(spark, sf_dir):
 
 
 def _m3(spark, sf_dir):
-    train, valid, test = (materialize(d) for d in _splits(spark, sf_dir))
+    train, valid, test = _splits(spark, sf_dir)
     best, scores = ML.select_best(train, valid, [ML.TextClassifierConfig(max_iter=it) for it in ITER_GRID])
     best_iter = max(scores, key=lambda s: s[1])[0].max_iter
     rows = [(int(c.max_iter), float(f1), c.max_iter == best_iter) for c, f1 in scores]
@@ -179,10 +179,9 @@ def q_sink_logits_checks(spark, sf_dir):
 
 def _m5(spark, sf_dir):
     train, _, test = _splits(spark, sf_dir)
-    train, test = materialize(train), materialize(test)
-    with ML.SharedFeatures(train, carry=("index",)) as shared:
-        models = [(seed, shared.fit(weight=ML.bootstrap_weight(seed))) for seed in SEEDS]
-    parts = [M.evaluate(ML.predict(model, test), ()).withColumn("run", F.lit(seed)) for seed, model in models]
+    shared = ML.SharedFeatures(train, carry=("index",))
+    test = shared.featured(test)
+    parts = [M.evaluate(ML.predict_featured(shared.fit(weight=ML.bootstrap_weight(seed)), test), ()).withColumn("run", F.lit(seed)) for seed in SEEDS]
     return reduce(DataFrame.unionByName, parts)
 
 
