@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import SENTENCE_RE
-from quillspark.sources.tables import read_table, spread_small_input
+from quillspark.sources.tables import read_table, spread_input
 
 # Sentence key: doc_id * SENTENCE_KEY_STRIDE + position in the document.
 SENTENCE_KEY_STRIDE = 100000
@@ -31,7 +31,7 @@ def _key(c: Column) -> Column:
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """index, news_id, sentence, domain, label_0..2, split (no majority label)."""
-    docs = spread_small_input(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread_input(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
     # Attach the document-level label before exploding: one row per document
     # goes through the join instead of one row per sentence.

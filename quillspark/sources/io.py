@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.sources.tables import spread_small_input
+from quillspark.sources.tables import spread_input
 
 SENTENCE_SCHEMA = T.StructType([
     T.StructField("index", T.LongType()),
@@ -44,9 +44,9 @@ def read_sentences_csv(spark: SparkSession, path: str, schema: T.StructType = SE
                        null_value: str | None = None) -> DataFrame:
     """Typed read (no schema inference); a missing path is an error naming it.
 
-    Multi-line CSV cannot be split, so each file is read by one task; when
-    there are fewer files than task slots the rows are hash-spread by
-    ``index`` right after the read. For large inputs write the table once as
+    Multi-line CSV cannot be split, so each file is read by one task; the rows
+    are hash-spread by ``index`` right after the read. ``write_sentences_csv``
+    bounds its files; of files from elsewhere the largest decides. For large inputs write the table once as
     parquet (``write_sentences_parquet``) and read that instead.
     """
     if "://" not in path and not os.path.exists(path):
@@ -55,14 +55,18 @@ def read_sentences_csv(spark: SparkSession, path: str, schema: T.StructType = SE
         raise FileNotFoundError(f"dataset not found at {path}; available in {parent}: {listing[:20]}")
     # enforceSchema=false: the header names must match the schema (no silent positional mix-up).
     df = spark.read.schema(schema).options(**_csv_options(null_value)).option("enforceSchema", "false").csv(path)
-    return spread_small_input(df, "index") if "index" in df.columns else df
+    return spread_input(df, "index") if "index" in df.columns else df
+
+
+#: Rows of a CSV file: one task reads a whole file, as it cannot be split.
+CSV_FILE_ROWS = 100_000
 
 
 def write_sentences_csv(df: DataFrame, path: str) -> None:
-    """S3: header, quoted as needed, no index column added."""
+    """S3: header, quoted as needed, no index column added; files of at most ``CSV_FILE_ROWS`` rows."""
     # Empty strings are written as "" so they read back as empty, not null.
     (df.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"')
-       .option("emptyValue", '""').option("ignoreLeadingWhiteSpace", "false")
+       .option("emptyValue", '""').option("maxRecordsPerFile", CSV_FILE_ROWS).option("ignoreLeadingWhiteSpace", "false")
        .option("ignoreTrailingWhiteSpace", "false").csv(path))
 
 

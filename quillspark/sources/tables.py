@@ -26,21 +26,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-#: A scan of this many bytes or more for every task slot is left as it is.
-SPREAD_BELOW_BYTES_PER_SLOT = 32 << 20
+#: Compressed bytes of a scan for one task of the text work behind it.
+SPREAD_BYTES = 8 << 20
 
 
-def spread_small_input(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a small scan over the task slots.
+def spread_input(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a scan over tasks of at most about ``SPREAD_BYTES``, two for every task slot at least.
 
     A file of one row group is read by one task however many splits it is cut
-    into, so with little input all text work before the first exchange would
-    run in a few tasks. What counts is bytes, not files: an input with
-    ``SPREAD_BELOW_BYTES_PER_SLOT`` for every slot is split by the scan itself
-    and never shuffled. The size is the planner's estimate; nothing is read.
+    into, and a split of 128 MB of compressed text is several times as much
+    work and memory once it is cut into sentences. The number of tasks grows
+    with the bytes, so a task stays as it is. The size is the planner's
+    estimate; nothing is read. The rows are shuffled once, as they are scanned.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= slots * SPREAD_BELOW_BYTES_PER_SLOT:
-        return df
-    return df.repartition(slots * 2, key)
+    return df.repartition(max(slots * 2, -(-size // SPREAD_BYTES)), key)
