@@ -1,7 +1,7 @@
 """Anonymise (T6), process (T18) and the full preprocessing job.
 
 With dictionaries of checked size the whole job is map-only. Bigger ones are
-joined to the distinct texts or token arrays, keyed by a digest of the
+joined to the texts or token arrays, keyed by a digest of the
 content; the row key is carried along and never used for matching, so every
 input row gives one output row, whatever its key. Every text step is staged
 with ``withColumn`` so each regex runs once.
@@ -29,7 +29,7 @@ def anonymize(df: DataFrame, gazetteer: DataFrame | None = None, labels: Iterabl
 
     A gazetteer of at most ``inline_max`` surfaces, or of at most ``trie_max`` bytes
     as a trie, is matched inside each row (no shuffle at all); a bigger one is
-    joined to the distinct texts.
+    joined to the texts' n-grams.
     """
     labels = list(labels)
     if gazetteer is not None or recognizer is not None:
