@@ -25,8 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import (
@@ -223,55 +222,81 @@ def _extensions(repeats: DataFrame, found: DataFrame) -> DataFrame:
     beside = edges.join(own, (F.col("k") == F.col("key")) & (F.col("n") == F.col("c")))
     beside = beside.join(its, (F.col("f_key") == F.col("o_key")) & (F.col("f_c") == F.col("o_c")))
 
-    @F.pandas_udf("struct<skip:bigint,marks:binary>")
-    def extension(body: pd.Series, marks: pd.Series, other: pd.Series, other_marks: pd.Series, side: pd.Series) -> pd.DataFrame:
-        skip, out = [], []
-        for b, m, o, om, at in zip(body, marks, other, other_marks, side):
-            own = Marks(m)
-            n, units = equal_units(b, own.cut, o, Marks(om).cut, at), len(own.words)
-            first, last = (0, n) if at > 0 else (units - n, units)
-            skip.append(first)
-            out.append(own.part(first, last) if n else None)
-        return pd.DataFrame({"skip": pd.Series(skip, dtype="int64"), "marks": pd.Series(out, dtype=object)})
-
-    beside = beside.withColumn("more", extension("body", "marks", "o_body", "o_marks", "side")).where("more.marks IS NOT NULL")
-    return beside.select("key", (F.col("u0") + F.col("more.skip")).alias("u0"), F.col("more.marks").alias("marks"), "first_doc_id")
-
-
-def _united(parts, min_lines: int, min_words: int) -> list[dict]:
-    """The long enough runs of one document's parts; of a unit in several parts the first counts."""
-    known: dict = {}
-    for p in parts:
-        u0, first = p["u0"], p["first_doc_id"]
-        m = Marks(p["marks"])
-        for j, w in enumerate(m.words):
-            known.setdefault(u0 + j, (m.at[j], m.at[j + 1], w, first))
-    runs, last = [], None
-    for u in sorted(known):
-        start, end, w, first = known[u]
-        if last is not None and u == last + 1:
-            run = runs[-1]
-            run[1], run[3], run[4] = end, run[3] + 1, run[4] + w
-        else:
-            runs.append([start, end, first, 1, w])
-        last = u
-    return [{"start": r[0], "end": r[1], "first_doc_id": r[2]} for r in runs if r[3] >= min_lines and r[4] >= min_words]
-
-
-def _runs(parts: Column, min_lines: int, min_words: int, kind: str) -> Column:
-    """(start, end, first_doc_id) of the runs of adjacent units in a document's parts that are long enough."""
-    @F.arrow_udf(f"array<struct<start:bigint,end:bigint,first_doc_id:{kind}>>")
-    def unite(documents):
+    kind = repeats.schema["first"].dataType["doc_id"].dataType.simpleString()
+
+    def extended(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for rows in slices(b.num_rows):
+                part = b.slice(rows.start, rows.stop - rows.start)
+                at, skip, marks = [], [], []
+                columns = (part.column(x).to_pylist() for x in ("body", "marks", "o_body", "o_marks", "side"))
+                for i, (body, m, other, om, side) in enumerate(zip(*columns)):
+                    own = Marks(m)
+                    n, units = equal_units(body, own.cut, other, Marks(om).cut, side), len(own.words)
+                    if n:
+                        first, last = (0, n) if side > 0 else (units - n, units)
+                        at.append(i)
+                        skip.append(first)
+                        marks.append(own.part(first, last))
+                of = part.select(["key", "u0", "first_doc_id"]).take(pa.array(at, pa.int64()))
+                u0 = pa.array(of.column("u0").to_numpy() + np.array(skip, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([of.column("key"), u0, pa.array(marks, pa.binary()), of.column("first_doc_id")],
+                                                 names=["key", "u0", "marks", "first_doc_id"])
+
+    beside = beside.select("key", "u0", "body", "marks", "o_body", "o_marks", "side", "first_doc_id")
+    return beside.mapInArrow(extended, f"key binary, u0 long, marks binary, first_doc_id {kind}")
+
+
+def _united(parts, min_lines: int, min_words: int):
+    """The long enough runs of each document's parts, as an Arrow list array; of a unit in several parts the first counts."""
+    import pyarrow as pa
+
+    offsets = parts.offsets.to_numpy()
+    u0, marks, firsts = parts.flatten().flatten()
+    raw, at, _ = text_buffers(marks)
+    values = np.frombuffer(raw[at[0]:at[-1]].tobytes(), dtype="<i4").astype(np.int64)
+    at = (at[:-1] - at[0]) // 4
+    size = (np.append(at[1:], len(values)) - at) // 4
+    ends = np.cumsum(size)
+    part = np.repeat(np.arange(len(size)), size)
+    j = np.arange(len(part)) - np.repeat(ends - size, size)  # of the unit in its part
+    unit = u0.to_numpy()[part] + j
+    doc = np.repeat(np.arange(len(parts)), np.diff(offsets))[part]
+    order = np.lexsort((unit, doc))  # stable: parts keep their order
+    unit, doc = unit[order], doc[order]
+    new = np.ones(len(unit), dtype=bool)
+    new[1:] = (unit[1:] != unit[:-1]) | (doc[1:] != doc[:-1])
+    order, unit, doc = order[new], unit[new], doc[new]
+    part, place = part[order], (at[part] + j)[order]
+    head = np.ones(len(unit), dtype=bool)
+    head[1:] = (unit[1:] != unit[:-1] + 1) | (doc[1:] != doc[:-1])
+    head = np.flatnonzero(head)
+    tail = np.append(head[1:], len(unit))[:len(head)] - 1
+    words = np.concatenate([[0], np.cumsum(values[place + 3 * size[part] + 1])])
+    long = (tail - head + 1 >= min_lines) & (words[tail + 1] - words[head] >= min_words)
+    head, tail = head[long], tail[long]
+    runs = pa.StructArray.from_arrays([pa.array(values[place[head]]), pa.array(values[place[tail] + 1]), firsts.take(pa.array(part[head]))],
+                                      names=["start", "end", "first_doc_id"])
+    count = np.bincount(doc[head], minlength=len(parts))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), runs)
+
+
+def _runs(parts: DataFrame, min_lines: int, min_words: int, kind: str) -> DataFrame:
+    """(key, spans) of documents (key, parts): (start, end, first_doc_id) of the runs of adjacent units that are long enough, at least one."""
+    def unite(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        of = documents.type.value_type.field("first_doc_id").type
-        of = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first_doc_id", of)]))
-        out = [pa.array([], of)]
-        for rows in slices(len(documents)):
-            out.append(pa.array([_united(doc, min_lines, min_words) for doc in documents[rows].to_pylist()], of))
-        return pa.concat_arrays(out)
+        for b in batches:
+            for rows in slices(b.num_rows):
+                some = b.slice(rows.start, rows.stop - rows.start)
+                spans = _united(some.column("parts"), min_lines, min_words)
+                out = pa.RecordBatch.from_arrays([some.column("key"), spans], names=["key", "spans"])
+                yield out.filter(pc.greater(pc.list_value_length(spans), 0))
 
-    return unite(parts)
+    return parts.mapInArrow(unite, f"key binary, spans array<struct<start:bigint,end:bigint,first_doc_id:{kind}>>")
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -290,7 +315,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     parts = repeats.select("key", "u0", "marks", F.col("first.doc_id").alias("first_doc_id")).unionByName(_extensions(repeats, found))
     parts = parts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("u0", "marks", "first_doc_id"))).alias("parts"))
     kind = repeats.schema["first"].dataType["doc_id"].dataType.simpleString()
-    return parts.select("key", _runs(F.col("parts"), min_lines, min_words, kind).alias("spans")).where(F.size("spans") > 0)
+    return _runs(parts.select("key", "parts"), min_lines, min_words, kind)
 
 
 def dedup_lines(docs: DataFrame, spans_as: str | None = "removed", most: float = 1.0, **rule) -> DataFrame:
@@ -308,7 +333,8 @@ def dedup_lines(docs: DataFrame, spans_as: str | None = "removed", most: float =
     d = docs.withColumn(own, row_key(F.col("doc_id"), F.col("text")))
     d = d.withColumn(may, has_spans(F.xxhash64(own)))
     rest = d.where(~F.col(may))
-    d = d.where(may).join(cut, F.col(own) == F.col(its), "left")
+    # a shuffle between the two Python steps, the test and the cut: a task holds one Python worker, not two, whatever the size of the spans
+    d = d.where(may).join(cut.hint("merge"), F.col(own) == F.col(its), "left")
     if most < 1:
         lost = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
         d = d.withColumn(spans, F.when(lost <= most * F.length("text"), F.col(spans)))

@@ -172,3 +172,50 @@ def test_of_every_unit_one_place_stays(spark, table):
     docs = corpus(5) + [(100 + i, "same short line of words\n" * i) for i in range(6)]
     left = [x for r in C.dedup_lines(table(docs)).collect() for x in plain_units(r.text) for x in [r.text[x[0]:x[1]]]]
     assert {t[a:b] for _, t in docs for a, b, _, _ in plain_units(t)} == set(left)
+
+
+def test_python_steps_run_once_and_one_to_a_stage(spark, table, monkeypatch):
+    """A filter on what a Python function returns is moved below it and evaluates it again, in a second worker of the task."""
+    plans = {}
+    kept = C.written
+
+    def noted(session, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(session, df, name)
+
+    monkeypatch.setattr(C, "written", noted)
+    out = C.dedup_lines(table(corpus(6)))
+    assert plans["chunk-spans"].count("MapInArrow") == 2 and "ArrowEvalPython" not in plans["chunk-spans"]
+    last = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in last and "BroadcastHashJoin" not in last  # a shuffle between the test and the cut
+
+
+def test_runs_of_parts_equal_a_plain_union():
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    kind = pa.list_(pa.struct([("u0", pa.int64()), ("marks", pa.binary()), ("first_doc_id", pa.string())]))
+    docs, want = [], []
+    for _ in range(120):
+        at = np.cumsum([rng.randint(1, 30) for _ in range(40)]).tolist()
+        words = [rng.randint(1, 6) for _ in range(40)]
+        parts, known = [], {}
+        for _ in range(rng.randint(0, 6)):
+            a = rng.randint(0, 34)
+            b = a + rng.randint(1, 5)
+            marks = np.array(at[a:b + 1] + [0] * (2 * (b - a)) + words[a:b], dtype="<i4").tobytes()
+            parts.append({"u0": a, "marks": marks, "first_doc_id": rng.choice([None, "x", "y"])})
+            for u in range(a, b):
+                known.setdefault(u, parts[-1]["first_doc_id"])
+        runs = []
+        for u in sorted(known):
+            if runs and runs[-1][-1] == u - 1:
+                runs[-1].append(u)
+            else:
+                runs.append([u])
+        docs.append(parts)
+        want.append([{"start": at[r[0]], "end": at[r[-1] + 1], "first_doc_id": known[r[0]]}
+                     for r in runs if len(r) >= 2 and sum(words[u] for u in r) >= 8])
+    docs = pa.array(docs, kind)
+    assert C._united(docs, 2, 8).to_pylist() == want
+    assert C._united(docs.slice(50, 9), 2, 8).to_pylist() == want[50:59] and C._united(docs.slice(0, 0), 2, 8).to_pylist() == []
