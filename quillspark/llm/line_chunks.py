@@ -22,6 +22,7 @@ passage that starts inside a line takes its last line end along. Three or more c
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,14 +133,14 @@ class Marks:
         return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(out)])
 
     def __init__(self, marks: bytes):
-        m = np.frombuffer(marks, dtype="<i4").tolist()
+        m = struct.unpack(f"<{len(marks) // 4}i", marks)
         n = len(m) // 4
         self.at, self.cut, self.words = m[:n + 1], m[n + 1:3 * n + 1], m[3 * n + 1:]
 
     def part(self, first: int, last: int) -> bytes:
         """The marks of the units [first, last), without bytes."""
-        none = [0] * (2 * (last - first))
-        return np.array(self.at[first:last + 1] + none + self.words[first:last], dtype="<i4").tobytes()
+        kept = self.at[first:last + 1] + (0,) * (2 * (last - first)) + self.words[first:last]
+        return struct.pack(f"<{len(kept)}i", *kept)
 
 
 def _pass(docs: DataFrame, bitmap=None) -> DataFrame:
@@ -196,13 +197,12 @@ def _pass(docs: DataFrame, bitmap=None) -> DataFrame:
 
 def equal_units(body: bytes, cut, other: bytes, other_cut, side: int) -> int:
     """How many units of two chunks are equal in bytes, from their starts (side 1) or their ends (side -1)."""
-    mine, its = list(zip(cut[::2], cut[1::2])), list(zip(other_cut[::2], other_cut[1::2]))
-    n = 0
-    for (a, b), (c, d) in zip(mine[::side], its[::side]):
-        if body[a:b] != other[c:d]:
-            break
-        n += 1
-    return n
+    most = min(len(cut), len(other_cut)) // 2
+    for n in range(most):
+        i, j = (2 * n, 2 * n) if side > 0 else (len(cut) - 2 * n - 2, len(other_cut) - 2 * n - 2)
+        if body[cut[i]:cut[i + 1]] != other[other_cut[j]:other_cut[j + 1]]:
+            return n
+    return most
 
 
 def _extensions(repeats: DataFrame, found: DataFrame) -> DataFrame:
