@@ -9,16 +9,20 @@ a band share a bucket and are candidates. A candidate pair is a link if the exac
 is at least ``THRESHOLD``. Classes are the connected components of links; equal texts are one node from the start.
 
 No pairs are spread out within a bucket. Each bucket has a center (its node with the most bucket neighbours); buckets with one center
-are one. A bucket of at most ``TASK_NODES`` texts with ``TASK_SHINGLES`` shingles is resolved exactly in one task. In a larger one every
-member is compared with the center. Two members ``o`` and ``m`` of it can be linked without the center ``c`` only if
+are one. A set is held as its differences to a reference, the shingles that more than half of the bucket's members have: those of the
+reference that it lacks and those that it has besides. For two members ``o`` and ``m``, with ``lack`` the number of the former,
 
-* they share a shingle that ``c`` lacks: they meet again in a bucket for that shingle, or
-* they share none, and then what they share lies in ``c``: ``n_o + n_m <= (1 + t) / t * min(|o & c|, |m & c|)``; members that may
-  satisfy this meet again in a bucket for their size.
+    ``|o & m| = |reference| - lack_o - lack_m + (differences that both have)``
 
-If both are linked to ``c`` they are in one class already. Only members that meet again in one of these two ways, one of them not
-linked to ``c``, are left of the bucket. If one task can hold them it resolves them; else the refined buckets go through another
-round, with ``c`` standing for the union of all centers so far, until none is left. No candidate pair is given up. The banding
+is exact whatever the reference, and near copies have few differences; all members together never have more of them than shingles. An
+index from differences to members gives a member's intersections with all others at once.
+
+A bucket of at most ``TASK_NODES`` texts with ``TASK_SHINGLES`` shingles is resolved exactly in one task. In a larger one every
+member is compared with the center; those linked to it are one class. The others are dealt into blocks by a hash, the linked ones into blocks of
+their own, and every two blocks, at least one of them of others, meet in one task that finds the links between and within them. So
+every pair of members meets, unless both are linked to the center; no candidate pair is given up, and there is one such step however
+large a bucket is. Blocks are bounded by half of what a task may hold, counted in texts and in differences (a text is never cut). The number of
+pairs of blocks grows with the square of a bucket, a text of it being sent once for each other block. The banding
 itself misses a pair of similarity ``s`` with probability ``(1 - s ** ROWS) ** BANDS`` (3e-6 at 0.8).
 
 Scale: signatures take one scan and are small. Shingle sets are made only for nodes in a bucket (a bitmap of fixed size thins them
@@ -51,7 +55,7 @@ ROWS = 4
 THRESHOLD = 0.8
 #: Texts whose registers are held at a time.
 MAX_TEXTS = 4096
-#: What one task may hold of a bucket, in texts and in shingles (8 bytes each).
+#: What one task may hold of a bucket, in texts and in shingles or differences (8 bytes each).
 TASK_NODES = 2000
 TASK_SHINGLES = 1 << 20
 _U = float(2.0 ** -53)
@@ -184,99 +188,69 @@ def _node_long(node):
     return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long")
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds n, m, inter (sizes of both sets and of what they share) to (key, node, center, degree, rest).
+def differences(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, node, center, n, lack, reference, diff, linked) of the members (key, node, center, nodes) of buckets, centers among them.
 
-    ``rest`` becomes the node's shingles that no center so far has; null stands for all of them.
+    ``nodes`` is the number of the bucket's members, ``reference`` that of its reference shingles, ``lack`` how many of them the node lacks, ``diff`` its differences;
+    ``linked`` whether it is the center or similar to it.
     """
-    import pyarrow as pa
-
-    left = sets.select(F.col("node").alias("a_node"), F.col("set").alias("a_set"))
-    right = sets.select(F.col("node").alias("b_node"), F.col("set").alias("b_set"))
-    d = pairs.join(left, F.col("node") == F.col("a_node")).drop("a_node")
-    d = d.join(right, F.col("center") == F.col("b_node")).drop("b_node")
-
-    def scan(batches: Iterator) -> Iterator:
-        for b in batches:
-            n, m, inter, rests = [], [], [], []
-            sets_a, sets_b, old = _arrays(b.column("a_set")), _arrays(b.column("b_set")), _arrays(b.column("rest"))
-            first = b.column("rest").is_null().to_pylist()
-            for x, y, r, all_ in zip(sets_a, sets_b, old, first):
-                x, y = x.view(np.uint64), y.view(np.uint64)
-                has = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
-                n.append(len(x))
-                m.append(len(y))
-                inter.append(int(has.sum()))
-                if all_:
-                    rests.append(x[~has])
-                else:
-                    r = r.view(np.uint64)
-                    rests.append(r[y[np.minimum(np.searchsorted(y, r), len(y) - 1)] != r])
-            lengths = np.array([len(r) for r in rests], dtype=np.int64)
-            flat = np.concatenate(rests) if rests else np.zeros(0, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("key"), b.column("node"), b.column("center"), b.column("degree"), pa.array(n, pa.int64()),
-                 pa.array(m, pa.int64()), pa.array(inter, pa.int64()), _long_lists(flat, lengths)],
-                names=["key", "node", "center", "degree", "n", "m", "inter", "rest"])
-
-    return (d.select("key", "node", "center", "degree", "rest", "a_set", "b_set")
-            .mapInArrow(scan, "key long, node binary, center binary, degree long, n long, m long, inter long, rest array<bigint>"))
-
-
-def _refined(done: DataFrame, threshold: float) -> DataFrame:
-    """Members (key, lineage, node, degree, n, rest) of refined buckets; see the module's docstring.
-
-    ``lineage`` is the bucket that they come from.
+    spark = members.sparkSession
+    held = written(spark, members.join(sets.select(F.col("node").alias("s_node"), "set"), F.col("node") == F.col("s_node"))
+                   .select("key", "node", "center", "nodes", "set"), "held")
+    most = (held.select("key", "nodes", F.explode("set").alias("y")).groupBy("key", "nodes", "y").agg(F.count(F.lit(1)).alias("times"))
+            .where(2 * F.col("times") > F.col("nodes")).groupBy(F.col("key").alias("m_key")).agg(F.collect_list("y").alias("most")))
+    about = held.where(F.col("node") == F.col("center")).select(F.col("key").alias("c_key"), F.col("set").alias("c_set"))
+    about = about.join(most, F.col("c_key") == F.col("m_key"), "left").select(
+        "c_key", "c_set", F.coalesce("most", F.array().cast("array<bigint>")).alias("most"))
+    inter, n, m = F.size(F.array_intersect("set", "c_set")), F.size("set"), F.size("c_set")
+    lack = F.array_except("most", "set")
+    d = held.join(about, F.col("key") == F.col("c_key")).select(
+        "key", "node", "center", n.cast("long").alias("n"), F.size(lack).cast("long").alias("lack"), F.size("most").cast("long").alias("reference"),
+        F.concat(F.array_except("set", "most"), lack).alias("diff"), (jaccard_of(inter, n, m) >= threshold).alias("linked"))
+    return written(spark, d, "differences")
+
+
+def _blocks(d: DataFrame) -> DataFrame:
+    """Rows of ``differences`` as (key, node, n, lack, reference, diff, linked), once for each task that they go to, which is ``key``.
+
+    Any two members of a bucket meet in a task, unless both are linked to the center.
     """
-    t = threshold
-    done = done.withColumn("out", jaccard_of(F.col("inter"), F.col("n"), F.col("m")) < t)
-    open_ = (done.groupBy(F.col("key").alias("g_key")).agg(F.count(F.lit(1)).alias("g_n"), F.max("out").alias("g_out"))
-             .where("g_n > 1 and g_out").select("g_key"))
-    done = done.join(open_, F.col("key") == F.col("g_key")).drop("g_key")
-    by_shingle = done.select("key", "node", "out", F.explode("rest").alias("y")).select(
-        F.xxhash64("key", F.lit(1), "y").alias("next"), "key", "node", "out", F.lit(True).alias("partner"))
-    # texts inside the centers: partners by size, in steps of two per cent
-    covered = F.col("n") - F.size("rest")
-    reach = F.floor(covered * ((1 + t) / t) - F.col("n"))
-    step = lambda x: F.floor(F.log(x.cast("double")) / F.log(F.lit(1.02))).cast("int")
-    inside = done.where(covered >= t * F.col("n")).withColumn("reach", reach)
-    partners = inside.select("key", "node", "out", step(F.col("n")).alias("y"), F.lit(True).alias("partner"))
-    least = F.greatest(F.ceil(F.col("n") * t), F.lit(1))
-    seekers = (inside.where(F.col("out") & (F.col("reach") >= least))
-               .select("key", "node", "out", F.explode(F.sequence(step(least), step(F.col("reach")))).alias("y"),
-                       F.lit(False).alias("partner")))
-    by_size = (partners.unionByName(seekers).groupBy("key", "node", "y")
-               .agg(F.max("out").alias("out"), F.max("partner").alias("partner"), F.max(~F.col("partner")).alias("seeker")))
-    by_size = by_size.select(F.xxhash64("key", F.lit(2), F.col("y").cast("long")).alias("next"), "key", "node",
-                             F.col("seeker").alias("out"), "partner")
-    rows = by_shingle.unionByName(by_size)
-    # buckets with the same members are one; a bucket needs two members, one of them not linked to the center
-    found = (rows.groupBy("next").agg(F.first("key").alias("key"), F.count(F.lit(1)).alias("n"), F.max("out").alias("out"),
-                                      F.max("partner").alias("partner"), F.bit_xor(F.xxhash64("node")).alias("same"))
-             .where("n > 1 and out and partner"))
-    found = found.groupBy("key", "n", "same").agg(F.min("next").alias("k_next")).select("k_next")
-    members = rows.join(found, F.col("next") == F.col("k_next")).select("next", F.col("key").alias("r_key"), F.col("node").alias("r_node"))
-    return (members.join(done, (F.col("r_key") == F.col("key")) & (F.col("r_node") == F.col("node")))
-            .select(F.col("next").alias("key"), F.col("r_key").alias("lineage"), "node", "degree", "n", "rest"))
-
-
-def _resolved(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(node, center): links within buckets (key, node) of bounded size, each resolved exactly in one task.
-
-    A member's intersections with all others are one pass over the bucket's shingles; it is skipped once all are in its class.
+    parts = lambda nodes, diffs: F.ceil(F.greatest(2 * nodes / F.lit(TASK_NODES), 2 * diffs / F.lit(TASK_SHINGLES))).cast("int")
+    of = lambda value: F.sum(F.when(F.col("linked"), F.lit(0)).otherwise(value))
+    many = F.size("diff").cast("long")
+    total = d.groupBy(F.col("key").alias("t_key")).agg(
+        F.count(F.lit(1)).alias("nodes"), of(F.lit(1)).alias("o_nodes"), F.sum(many).alias("diffs"), of(many).alias("o_diffs"))
+    whole = (F.col("nodes") <= TASK_NODES) & (F.col("diffs") <= TASK_SHINGLES)
+    total = total.where("o_nodes > 0").select(
+        "t_key", whole.alias("whole"), parts(F.col("o_nodes"), F.col("o_diffs")).alias("o_parts"),
+        parts(F.col("nodes") - F.col("o_nodes"), F.col("diffs") - F.col("o_diffs")).alias("l_parts"))
+    h = F.xxhash64("node")
+    at = F.when(F.col("linked"), F.col("o_parts") + F.pmod(h, F.col("l_parts"))).otherwise(F.pmod(h, F.col("o_parts"))).cast("int")
+    with_ = F.col("o_parts") + F.when(F.col("linked"), F.lit(0)).otherwise(F.col("l_parts"))
+    d = d.join(total, F.col("key") == F.col("t_key")).withColumn("at", F.when(F.col("whole"), F.lit(0)).otherwise(at))
+    d = d.withColumn("other", F.explode(F.when(F.col("whole"), F.array(F.lit(0))).otherwise(
+        F.array_except(F.sequence(F.lit(0), with_ - 1), F.array("at")))))
+    return d.select(F.xxhash64("key", F.least("at", "other"), F.greatest("at", "other")).alias("key"), "node", "n", "lack", "reference", "diff", "linked")
+
+
+def _in_tasks(held: DataFrame, resolve) -> DataFrame:
+    """(node, center): what ``resolve`` finds in each group of rows (key, node, ...), the pairs of positions of a group's rows.
+
+    ``resolve`` gets the group's further columns: lists as arrays, numbers as they are.
     """
     import pyarrow as pa
 
-    held = members.join(sets.select(F.col("node").alias("s_node"), "set"), F.col("node") == F.col("s_node")).select("key", "node", "set")
+    names = [c for c in held.columns if c not in ("key", "node")]
 
     def rows(batches: Iterator):
         for b in batches:
-            yield from zip(b.column("key").to_pylist(), b.column("node").to_pylist(), _arrays(b.column("set")))
+            columns = [_arrays(c) if pa.types.is_list(c.type) else c.to_pylist() for c in map(b.column, names)]
+            yield from zip(b.column("key").to_pylist(), b.column("node").to_pylist(), *columns)
 
     def scan(batches: Iterator) -> Iterator:
         for _, group in groupby(rows(batches), key=itemgetter(0)):
-            _, nodes, arrays = zip(*group)
-            found = links_within(list(arrays), threshold)
+            _, nodes, *columns = zip(*group)
+            found = resolve(*columns)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([nodes[j] for j, _ in found], pa.binary()),
                                                   pa.array([nodes[i] for _, i in found], pa.binary())], names=["node", "center"])
@@ -284,28 +258,80 @@ def _resolved(members: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     return held.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "node binary, center binary")
 
 
+def _resolved(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(node, center): links within buckets (key, node) of bounded size, each resolved exactly in one task."""
+    held = members.join(sets.select(F.col("node").alias("s_node"), "set"), F.col("node") == F.col("s_node")).select("key", "node", "set")
+    return _in_tasks(held, lambda arrays: links_within(list(arrays), threshold))
+
+
+def _resolved_by_blocks(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(node, center): links within buckets (key, node, center, nodes) of any size."""
+    d = differences(members, sets, threshold)
+
+    def resolve(n, lack, reference, diff, linked):
+        return links_by_difference(list(diff), np.array(n), np.array(lack), reference[0], np.array(linked), threshold)
+
+    return (d.where(F.col("linked") & (F.col("node") != F.col("center"))).select("node", "center")
+            .unionByName(_in_tasks(_blocks(d), resolve)))
+
+
 def links_within(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
     """Pairs of positions that connect every class of the given shingle sets."""
     if len(sets) < 2:
         return []
-    sizes = np.array([len(x) for x in sets])
-    starts = np.cumsum(sizes) - sizes
+    n = np.array([len(x) for x in sets])
+    if len(sets) == 2:
+        inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(1, 0)] if jaccard_of(inter, n[0], n[1]) >= threshold else []
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    mark = np.zeros(flat.max() + 1, dtype=np.int64)
-    label = np.arange(len(sets))
+    common = 2 * np.bincount(flat) > len(sets)
+    reference = np.flatnonzero(common)
+    has = np.zeros(len(common), dtype=bool)
+    diff, lack = [], np.zeros(len(sets), dtype=np.int64)
+    for i, mine in enumerate(np.split(flat, np.cumsum(n)[:-1])):
+        has[mine] = True
+        lacks = reference[~has[reference]]
+        has[mine] = False
+        lack[i] = len(lacks)
+        diff.append(np.concatenate([mine[~common[mine]], lacks]))
+    return links_by_difference(diff, n, lack, len(reference), np.zeros(len(sets), dtype=bool), threshold)
+
+
+def links_by_difference(diff: list[np.ndarray], n: np.ndarray, lack: np.ndarray, reference: int, linked: np.ndarray,
+                        threshold: float) -> list[tuple[int, int]]:
+    """Pairs of positions that connect every class of sets given by their differences (see the module's docstring).
+
+    The sets that are ``linked`` are in one class from the start. A set is compared with all others at once; it is skipped if it is in
+    the class of the linked ones (without any, of the first set that is similar to another): whatever it is
+    similar to is in that class too or finds it.
+    """
+    count = len(diff)
+    sizes = np.array([len(x) for x in diff])
+    owner = np.repeat(np.arange(count), sizes)
+    flat = np.unique(np.concatenate(diff), return_inverse=True)[1]
+    shared = np.bincount(flat, minlength=1)[flat] > 1  # what one set only has counts for no pair
+    flat, owner = flat[shared], owner[shared]
+    starts = np.searchsorted(owner, np.arange(count + 1))
+    holders = owner[np.argsort(flat, kind="stable")]
+    held = np.bincount(flat, minlength=1)
+    first = np.cumsum(held) - held
+    label = np.arange(count)
+    hub = int(linked.argmax()) if linked.any() else -1
+    label[linked] = hub
     found = []
-    for i in range(len(sets)):
-        if (label == label[i]).all():
-            break
-        mine = flat[starts[i]:starts[i] + sizes[i]]
-        mark[mine] = 1
-        inter = np.add.reduceat(mark[flat], starts)
-        mark[mine] = 0
-        near = jaccard_of(inter, sizes[i], sizes) >= threshold
-        for j in np.flatnonzero(near & (label != label[i])):
-            if label[j] != label[i]:
-                found.append((int(j), i))
-                label[label == label[j]] = label[i]
+    for i in np.argsort(sizes, kind="stable"):
+        if hub >= 0 and label[i] == label[hub]:
+            continue
+        mine = flat[starts[i]:starts[i + 1]]
+        times = held[mine]
+        at = np.arange(times.sum()) + np.repeat(first[mine] - (np.cumsum(times) - times), times)
+        inter = reference - lack[i] - lack + np.bincount(holders[at], minlength=count)
+        near = np.flatnonzero((jaccard_of(inter, n[i], n) >= threshold) & (label != label[i]))
+        if len(near):
+            classes, one = np.unique(label[near], return_index=True)
+            found += [(int(j), int(i)) for j in near[one]]
+            label[np.isin(label, classes)] = label[i]
+            hub = int(i) if hub < 0 else hub
     return found
 
 
@@ -333,21 +359,11 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, ba
     ready = pairs.join(small, F.col("key") == F.col("l_key"), "left_semi").select("key", "node").unionByName(
         small.select(F.col("l_key").alias("key"), F.col("l_center").alias("node")))
     found = written(spark, _resolved(ready, sets, threshold), "resolved")
-    pairs = (pairs.join(size.where("not small"), F.col("key") == F.col("l_key"), "left_semi")
-             .select("key", "node", "center", "degree", F.lit(None).cast("array<bigint>").alias("rest")))
-    while not size.where("not small").isEmpty():
-        done = written(spark, compared(pairs, sets), "compared")
-        linked = done.where(jaccard_of(F.col("inter"), F.col("n"), F.col("m")) >= threshold).select("node", "center")
-        rest = written(spark, _refined(done, threshold), "refined")
-        left = rest.select("lineage", "node", "n").distinct()
-        size = left.groupBy(F.col("lineage").alias("l_key")).agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"))
-        size = _sized(spark, size)
-        ready = left.join(size.where("small"), F.col("lineage") == F.col("l_key"), "left_semi").select(F.col("lineage").alias("key"), "node")
-        found = found.unionByName(linked).unionByName(written(spark, _resolved(ready, sets, threshold), "resolved"))
-        members = rest.join(size.where("not small"), F.col("lineage") == F.col("l_key"), "left_semi").select("key", "node", "degree", "rest")
-        best = members.groupBy(F.col("key").alias("c_key")).agg(
-            F.max(F.struct("degree", "node")).alias("best")).select("c_key", F.col("best.node").alias("center"))
-        pairs = written(spark, members.join(best, F.col("key") == F.col("c_key")).where(F.col("node") != F.col("center")).drop("c_key"), "pairs")
+    large = size.where("not small")
+    if not large.isEmpty():
+        members = pairs.join(large, F.col("key") == F.col("l_key")).select("key", "node", "center", "nodes").unionByName(
+            large.select(F.col("l_key").alias("key"), F.col("l_center").alias("node"), F.col("l_center").alias("center"), "nodes"))
+        found = found.unionByName(written(spark, _resolved_by_blocks(members, sets, threshold), "resolved"))
     return found.distinct()
 
 

@@ -165,3 +165,78 @@ def test_repeated_lines_do_not_hide_equal_shingle_sets(spark, table):
         docs += [(2 * i, f"{body} {footer} {footer}"), (2 * i + 1, f"{body} " + " ".join([footer] * 1000))]
     got = {r.doc_id: (r.class_id, r.class_size) for r in P.near_duplicates(table(docs)).collect()}
     assert got == {d: (d - d % 2, 2) for d, _ in docs}
+
+
+def edited_copies(rng, words, n, most, choices):
+    """Copies in which some words are replaced, each by one of few others, so that copies share edits."""
+    for _ in range(n):
+        t = list(words)
+        for p in rng.sample(range(len(t)), rng.randint(1, most)):
+            t[p] = f"{t[p]}e{rng.randrange(choices)}"
+        yield " ".join(t)
+
+
+def test_large_bucket_takes_one_step(spark, table, monkeypatch):
+    """A bucket of many times what a task may hold, of copies that share their edits, takes no rounds, and its classes are exact."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(130)]
+    docs = list(enumerate({" ".join(words), *edited_copies(rng, words, 120, 7, 2)}))
+    steps, written = [], P.written
+    monkeypatch.setattr(P, "written", lambda spark, df, name: steps.append(name) or written(spark, df, name))
+    monkeypatch.setattr(P, "TASK_NODES", 16)
+    found = P.links(table(docs)).count()
+    assert found and len(steps) <= 10, steps
+    got = {r.doc_id: r.class_id for r in P.near_duplicates(table(docs)).collect()}
+    assert got == brute_classes(docs) and len(set(got.values())) > 5
+
+
+def test_blocks_bring_all_members_together(spark, monkeypatch):
+    """Any two members of a large bucket share a task, unless both are linked to the center; no task holds much more than it may."""
+    monkeypatch.setattr(P, "TASK_NODES", 20)
+    monkeypatch.setattr(P, "TASK_SHINGLES", 600)
+    rows = [(k, bytes([k, i]), bytes([k, 0]), 100, 2, 90, [100 * k + i + j for j in range(3 + i % 30)], i % 3 == 0)
+            for k, size in enumerate((8, 60, 150)) for i in range(size)]
+    d = spark.createDataFrame(rows, "key long, node binary, center binary, n long, lack long, reference long, diff array<bigint>, linked boolean")
+    tasks = {}
+    for r in P._blocks(d).collect():
+        tasks.setdefault(r.key, {})[bytes(r.node)] = len(r.diff)
+    together = {frozenset((a, b)) for t in tasks.values() for a in t for b in t if a < b}
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] and x[1] < y[1]:
+                assert frozenset((x[1], y[1])) in together or (x[7] and y[7])
+    assert all(len({n[0] for n in t}) == 1 for t in tasks.values())
+    assert max(len(t) for t in tasks.values()) <= 40 and max(sum(t.values()) for t in tasks.values()) <= 1200
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_links_by_differences_equal_all_pairs(seed):
+    """Whatever the reference, and with the members linked to one of them in a class from the start."""
+    rng = np.random.default_rng(seed)
+
+    def similar(a, b):
+        inter = len(np.intersect1d(a, b))
+        return inter / (len(a) + len(b) - inter) >= 0.8
+
+    def classes(pairs, n):
+        label = np.arange(n)
+        for a, b in pairs:
+            label[label == label[a]] = label[b]
+        return {frozenset(np.flatnonzero(label == x).tolist()) for x in label}
+
+    for _ in range(40):
+        bases = [rng.integers(0, 1 << 60, rng.integers(3, 60)).astype(np.uint64) for _ in range(rng.integers(1, 4))]
+        sets = []
+        for _ in range(rng.integers(2, 40)):
+            x = bases[rng.integers(len(bases))].copy()
+            out = rng.random(len(x)) < rng.choice([0, 0.03, 0.08, 0.15, 0.4])
+            x[out] = rng.integers(0, 40, out.sum())
+            sets.append(np.unique(x))
+        n, size = len(sets), np.array([len(x) for x in sets])
+        exact = classes([(i, j) for i in range(n) for j in range(i) if similar(sets[i], sets[j])], n)
+        assert classes(P.links_within(sets, 0.8), n) == exact
+        reference, center = np.unique(rng.choice(np.concatenate(sets), 20)), rng.integers(n)
+        linked = np.array([similar(x, sets[center]) for x in sets])
+        found = P.links_by_difference([np.setxor1d(x, reference) for x in sets], size, np.array([len(np.setdiff1d(reference, x)) for x in sets]),
+                                      len(reference), linked, 0.8)
+        assert classes([*found, *((i, center) for i in np.flatnonzero(linked))], n) == exact
